@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import sentencepiece_codec, token_counts, token_files
+from docloom.llm import byte_cnn, fertility_rules, sentencepiece_codec, source_mix, token_counts, token_files
 from docloom.llm.columns import documents
 
 
@@ -15,6 +15,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -23,8 +27,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_rules.verdicts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return byte_cnn.score(docs, byte_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op4_token_counts, op5_token_files, op8_fertility_rules, op9_byte_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
