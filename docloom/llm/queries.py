@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import byte_cnn, fertility_rules, sentencepiece_codec, source_mix, token_counts, token_files
+from docloom.llm import byte_cnn, embedding_passes, fertility_rules, minhash_forest, oracles, sentencepiece_codec, source_mix, token_counts, token_files
 from docloom.llm.columns import documents
 
 
@@ -27,6 +27,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.groups(documents(spark, sf_dir))
+
+
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules.verdicts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -36,9 +40,13 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score(docs, byte_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op10_embedding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_passes.groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op4_token_counts, op5_token_files, op8_fertility_rules, op9_byte_cnn)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op4_token_counts, op5_token_files, op7_minhash_forest, op8_fertility_rules, op9_byte_cnn, op10_embedding_passes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_minhash_forest": oracles.NEAR, "op10_embedding_passes": oracles.VECTORS}
