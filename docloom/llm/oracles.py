@@ -32,3 +32,10 @@ d AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(m.component_id, v.vec_id) AS component_id, v.vec_id = coalesce(m.component_id, v.vec_id) AS kept
 FROM v LEFT JOIN d USING (vec_id) LEFT JOIN m USING (vec_id)
 """
+
+#: What the transcripts' turns must be found to be, straight from the table.
+CHAT = """
+SELECT conv_id, (coalesce(turn, 0) // 64)::BIGINT AS segment, count(*)::BIGINT AS n_turns, string_agg(role, ',' ORDER BY turn, role, text) AS roles,
+       string_agg('<|' || role || '|>' || chr(10) || trim(coalesce(text, '')) || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+FROM conversations GROUP BY ALL
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import byte_cnn, embedding_passes, fertility_rules, minhash_forest, oracles, sentencepiece_codec, source_mix, token_counts, token_files
+from docloom.llm import byte_cnn, chat_hmm, embedding_passes, fertility_rules, html_mincut, minhash_forest, oracles, sentencepiece_codec, source_mix, token_counts, token_files
 from docloom.llm.columns import documents
 
 
@@ -19,6 +19,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents(spark, sf_dir))
 
 
+def op3_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,6 +31,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op6_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_hmm.formatted(chat_hmm.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.groups(documents(spark, sf_dir))
 
@@ -45,8 +53,8 @@ def op10_embedding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op4_token_counts, op5_token_files, op7_minhash_forest, op8_fertility_rules, op9_byte_cnn, op10_embedding_passes)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_source_mix, op3_html_mincut, op4_token_counts, op5_token_files, op6_chat_hmm, op7_minhash_forest, op8_fertility_rules, op9_byte_cnn, op10_embedding_passes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_forest": oracles.NEAR, "op10_embedding_passes": oracles.VECTORS}
+    return {"op6_chat_hmm": oracles.CHAT, "op7_minhash_forest": oracles.NEAR, "op10_embedding_passes": oracles.VECTORS}
