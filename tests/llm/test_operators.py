@@ -1,0 +1,387 @@
+"""Each operator over odd rows: nulls in any column, empty and long texts, ties, repeated rows, an empty table, clashing extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm import byte_cnn, chat_hmm, embedding_passes, fertility_rules, html_mincut, minhash_forest, sentencepiece_codec, source_mix, token_counts, token_files
+
+PIECES, WORDS, BYTES = map(public_tokenizers.path, ("piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rep string, place int"
+BASE = "Le rapport annuel de la société présente les résultats de chaque service, avec des chiffres et des notes. "
+
+
+def texts() -> list[str | None]:
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeiouéstrnl") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    plain = [" ".join(rng.choice(vocabulary) for _ in range(120)) for _ in range(12)]
+    near = plain[0].replace(plain[0].split()[40], "autre", 1)
+    odd = [None, "", " \n ", "one", "a b c d", "a b c d e", "▁ x  y", "  two  spaces ", "\x01 \x00", "漢字 かな 🙂", "<s> <|endoftext|> x", "a,.b _. ².", "é" * 30, "#*$% " * 80]
+    return plain + [plain[0], plain[0].upper(), near] + odd + [" ".join(plain) * 20]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, [None, "fr", "en"][k % 3], [None, "a", "b", ""][k % 4], None, 7, "x", 1) for k, t in enumerate(texts())]
+    rows += [rows[3], (None, texts()[0], None, None, 1, 1, None, None), (None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect() if r.doc_id is not None}
+
+
+def test_sentencepiece_is_the_librarys(docs, none):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = by_id(sentencepiece_codec.digests(docs, PIECES))
+    for k, t in enumerate(texts()):
+        ids = lib.encode(t or "")
+        assert got[k].n_tokens == len(ids)
+        assert got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[k].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+    assert sentencepiece_codec.digests(none, PIECES).count() == 0
+    assert sentencepiece_codec.encode_decode(docs, PIECES).count() == docs.count()
+
+
+def test_sentencepiece_random_strings():
+    import sentencepiece
+
+    lib, own, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_codec.codec(PIECES), random.Random(2)
+    for alphabet in ("ab the in▁  \n\tétionré漢\x01", "theinanrtioes ", " "):
+        for _ in range(400):
+            s = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+            ids = lib.encode(s)
+            assert own.encode_decode(s) == (",".join(map(str, ids)), lib.decode(ids)), repr(s)
+
+
+def test_prefix_table_survives_forgetting(monkeypatch):
+    own = sentencepiece_codec.PieceCodec(PIECES)
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 2)
+    whole = own.encode_decode("one two three four one two")
+    assert whole == sentencepiece_codec.codec(PIECES).encode_decode("one two three four one two")
+
+
+def test_token_counts_are_the_librarys(docs, none):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    got = by_id(token_counts.token_counts(docs, WORDS, 100))
+    for k, t in enumerate(texts()):
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len((t or "").encode()), n > 100)
+    assert token_counts.token_counts(none, WORDS).count() == 0
+
+
+def test_token_counts_forgetting(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    c = token_counts.PieceCounter(WORDS)
+    assert c.counts(["a b c d e f", "a b"]) == [6, 2]
+
+
+def test_token_files(docs, none):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTES)
+    rows = token_files.write_and_read(docs, BYTES, 2).collect()
+    assert len(rows) == docs.count()
+    start = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == sorted((r.doc_id for r in rows), key=lambda d: (d is not None, d))
+    got = {r.doc_id: r for r in rows}
+    for k, t in enumerate(texts()):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[k].n_tokens, got[k].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert token_files.write_and_read(none, BYTES, 2).count() == 0
+
+
+def test_blocks_come_back():
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        n = int(rng.integers(1, 5000))
+        v = rng.integers(0, [1, 10, 2**16, 2**32][k % 4], n, np.uint32)
+        v[rng.integers(0, n, 3)] = 2**32 - 1
+        assert (token_files.unpack(token_files.pack(v), n) == v).all()
+
+
+def test_token_file_random_access(tmp_path):
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 50_000, n, np.uint32) for n in (0, 1, 5000, 3, 9000)]
+    with open(tmp_path / "x.tok", "wb") as f:
+        w = token_files.TokenFileWriter(f)
+        for k, x in enumerate(ids):
+            w.add(k, x.astype("<u4").tobytes())
+        w.close()
+    with open(tmp_path / "x.tok", "rb") as f:
+        r = token_files.TokenFileReader(f)
+        assert [d for d, _, _ in r.documents()] == [0, 1, 2, 3, 4]
+        assert all((a == b).all() for (_, _, a), b in zip(r.documents(), ids, strict=True))
+        assert (r.ids(4990, 30) == np.concatenate(ids)[4990:5020]).all()
+
+
+def brute_mix(rows):
+    sizes = {}
+    for source, n in rows:
+        sizes[source] = sizes.get(source, 0) + n
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    target, left, free = {}, float(sum(sizes.values())), set(order)
+    while free:
+        w = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / w > 3 * sizes[s]]
+        if not over:
+            target |= {s: left * weight[s] / w for s in free}
+            break
+        for s in over:
+            target[s] = 3 * sizes[s]
+            free.remove(s)
+            left -= target[s]
+    return sizes, target
+
+
+def test_mix(docs, none):
+    got = source_mix.mix(docs).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, target = brute_mix([(r.source, words(r.text)) for r in docs.collect()])
+    assert len(got) == docs.count()
+    for r in got:
+        assert r.taken <= 3 * r.size
+        assert r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(target[r.source], rel=1e-9)
+    assert {(r.doc_id, r.size, r.taken) for r in source_mix.mix(docs).collect()} == {(r.doc_id, r.size, r.taken) for r in got}
+    assert source_mix.mix(none).count() == 0
+
+
+def test_mix_hits_targets(spark):
+    rng = random.Random(9)
+    rows = [(k, "w " * int(rng.lognormvariate(4, 1)), rng.choice("aaaabc")) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in source_mix.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert r.taken == pytest.approx(r.target, rel=0.01)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body><header>Site name</header>
+<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class="cookie-notice">We use cookies.</div><article><h1>A title &amp; more</h1><p>First <b>bold</b>
+part of it.<p>Second one, with <a href=x>a link</a> in its middle &lt;here&gt;.</article><div class="ad">Buy now.</div><aside>Other things</aside>
+<div id="comments"><p>I liked this article very much, thank you for it.</p></div><form><p>Name</p></form><footer>&copy; us</footer>"""
+
+
+def test_html(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 3), (None, "v", "", 3), (4, "w", "<div><p", 3), (5, "w", "<div>" * 3000 + "deep words stand here, at the end.", 3), (5, "w", "<div>" * 3000 + "deep words stand here, at the end.", 3)], "page_id long, url string, html string, text int")
+    got = {r.page_id: r for r in html_mincut.extract(df).collect()}
+    assert got[1].text == "A title & more First bold part of it. Second one, with a link in its middle <here>."
+    assert got[1].n_chars == len(got[1].text)
+    assert got[2].text == got[None].text == ""
+    assert html_mincut.extract(df).count() == 6
+    assert html_mincut.extract(df.limit(0)).count() == 0
+
+
+def test_minimum_cut_is_minimal():
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        gain = [rng.uniform(-3, 3) for _ in range(n)]
+        edges = {(i, j): rng.uniform(0, 2) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
+
+        def cost(side, gain=gain, edges=edges):
+            return sum((g if g > 0 else 0) * (not s) + (-g if g < 0 else 0) * s for g, s in zip(gain, side, strict=True)) + sum(c for (i, j), c in edges.items() if side[i] != side[j])
+
+        best = min(cost([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
+        assert cost(html_mincut.minimum_cut(gain, edges)) == pytest.approx(best)
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "user", "Why?\nReally?"), (1, 2, "assistant", "Because.\nIt is so."), (4, 0, "user", "Twice."), (4, 0, "user", "Twice."), (2, None, "user", None), (3, 0, None, "hello"), (None, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_hmm.formatted(chat_hmm.transcripts(df)).collect()}
+    assert got[1].roles == "system,user,assistant"
+    assert got[1].rendered.startswith("<|system|>\nBe kind.\n<|end|>\n<|user|>\nWhy?\nReally?\n<|end|>\n")
+    assert got[2].n_turns == 1 and got[4].roles == "user,user" and got[3].rendered == "<|user|>\nhello\n<|end|>\n"
+    assert chat_hmm.formatted(chat_hmm.transcripts(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "roles"),
+    [
+        ("User: hi\nAssistant: hello\nthere\nUser: bye", ["user", "assistant", "user"]),
+        ("Human> what is it?\n\nIt is a thing that goes on.\n\nWho says so?", ["user", "assistant", "user"]),
+        ("### System\nRules\n### User\nhi\n### Assistant\nyes", ["system", "user", "assistant"]),
+        ("", []),
+        ("\n \n", []),
+    ],
+)
+def test_viterbi(text, roles):
+    assert [r for r, _ in chat_hmm.parse(text)] == roles
+    assert [r for r, _ in chat_hmm.parse(None)] == []
+
+
+def brute_groups(rows, percent=85):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {d: shingles(t) for d, t in rows}
+    top = {d: d for d in sets}
+
+    def root(d):
+        while top[d] != d:
+            d = top[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def test_near_duplicates(docs, none):
+    got = by_id(minhash_forest.groups(docs))
+    want = brute_groups(list(enumerate(texts())))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+    assert minhash_forest.groups(docs).count() == docs.count()
+    assert minhash_forest.groups(none).count() == 0
+    kept = minhash_forest.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c in want.values()})
+
+
+def test_near_duplicates_around_one_text(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(500, " ".join(base))]
+    for k in range(160):
+        words = list(base)
+        for at in rng.sample(range(400), 5):
+            words[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(words)))
+    got = by_id(minhash_forest.groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute_groups(rows)
+    assert {d: r.component_id for d, r in got.items()} == {d: c for d, (_, c) in want.items()}
+
+
+def test_rules(docs, none):
+    got = by_id(fertility_rules.verdicts(docs, PIECES))
+    for k, t in enumerate(texts()):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        covered = {i + j for i, x in enumerate(triples) if triples.count(x) > 1 for j in range(3)} if len(w) < 2000 else None
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert got[k].n_words == len(w) and got[k].word_chars == sum(map(len, w))
+        assert got[k].n_symbols == len(re.findall(r"[#*$%&|<>]", t or "")) and got[k].n_dup_lines == len(lines) - len(set(lines))
+        if covered is not None:
+            assert got[k].n_repeat_words == len(covered)
+        assert got[k].base_failed == (len(w) < 50 or 100 * got[k].n_repeat_words > 50 * len(w))
+        assert not (got[k].base_failed and got[k].kept)
+    assert got[2].kept
+    assert fertility_rules.verdicts(docs, PIECES).count() == docs.count()
+    assert fertility_rules.verdicts(none, PIECES).count() == 0
+
+
+def test_repeated_words():
+    m = fertility_rules.measures(PIECES)
+    assert m.base("a a a a")[4] == 4
+    assert m.base("a b c d a b c")[4] == 6
+    assert m.base("x\nx\n \n \ny")[3] == 1
+
+
+def test_classifier(spark, none):
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(["the", "house", "is", "old", "and", "small", "today"]) for _ in range(60)) + "."
+    rows = [(k, good() if k % 4 else re.sub(" ", "### ", good()), None, None, None, None, None, None) for k in range(400)] + [(900, None, None, None, None, None, None, None), (None, "x", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(400)] + [(None, 1), (5000, None)], "doc_id long, quality int")
+    net = byte_cnn.train(docs, labels)
+    got = by_id(byte_cnn.score(docs, net))
+    held = [k for k in range(400) if got[k].held_out]
+    assert set(held) == {k for k in range(400) if zlib.crc32(str(k).encode()) % 3 == 1}
+    assert sum(got[k].predicted == int(k % 4 > 0) for k in held) >= 0.97 * len(held)
+    assert 0 <= got[900].score <= 1
+    kept = byte_cnn.keep_good(docs, net)
+    assert kept.schema == docs.schema and kept.count() < docs.count()
+    assert byte_cnn.score(none, net).count() == 0
+    assert {r.score for r in byte_cnn.score(docs, byte_cnn.train(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_every_byte_counts():
+    net = byte_cnn.fit(["a" * 300, "b" * 300] * 20, [0, 1] * 20, epochs=2)
+    text = "a" * 10_000
+    assert net.scores([text]) != net.scores([text[:-4] + "bbbb"])
+    assert net.scores(["", "x", text]) == [net.scores([t])[0] for t in ("", "x", text)]
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(6):
+        c = rng.standard_normal(16)
+        rows += [(g * 100 + k, [float(x) for x in c + 0.12 * rng.standard_normal(16)], g % 2) for k in range([1, 2, 9, 40, 3, 700][g] if g < 5 else 90)]
+    rows += [(1000, rows[0][1], rows[0][2]), (1001, rows[0][1], 1 - rows[0][2]), (1002, None, 0), (1003, [0.0] * 16, 0), (1004, [float("nan")] * 16, 0), (1005, [1.0, None], 0), (1006, rows[0][1], None), (1007, [], 0), (1008, [1e300, 1e300], 1), (1009, [2e300, 2e300], 1), (None, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, id string")
+    got = embedding_passes.groups(df).collect()
+    assert len(got) == len(rows)
+    links = {}
+    for k, (a, v, x) in enumerate(rows):
+        for b, w, y in rows[:k]:
+            if v is None or w is None or x is None or x != y or len(v) != len(w) or not len(v):
+                continue
+            p, q = np.array(v, float), np.array(w, float)
+            if np.isfinite(p).all() and np.isfinite(q).all() and p.any() and q.any():
+                p, q = p / np.abs(p).max(), q / np.abs(q).max()
+                if p @ q / np.sqrt((p @ p) * (q @ q)) >= 0.93:
+                    links.setdefault(a, set()).add(b)
+                    links.setdefault(b, set()).add(a)
+    for r in got:
+        if r.vec_id is not None:
+            assert r.n_links == len(links.get(r.vec_id, ())), r
+            seen, todo = {r.vec_id}, [r.vec_id]
+            while todo:
+                for n in links.get(todo.pop(), ()):
+                    if n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+            assert r.component_id == min(s for s in seen if s is not None), r
+            assert r.kept == (r.vec_id == r.component_id)
+    assert embedding_passes.groups(df.limit(0)).count() == 0
+
+
+def test_wide_component_counts(spark, monkeypatch):
+    monkeypatch.setattr(embedding_passes, "BLOCK", 8)
+    v = [[1.0, 0.01 * k] for k in range(40)]
+    df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    assert {r.n_links for r in embedding_passes.groups(df).collect()} == {39}
+
+
+def test_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, BASE * 2 + t, "fr", "a", 1) if t and len(t) > 300 else (k, t, "fr", "b", 1) for k, t in enumerate(texts())], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 2)) for k in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= set(range(len(texts())))
+    rules = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    kept = by_id(fertility_rules.verdicts(docs, PIECES))
+    assert {r.doc_id for r in rules.collect()} == {d for d, r in kept.items() if r.kept}
+    mixed = corpus_pipeline.source_mixing(spark, docs, str(tmp_path))
+    copies = by_id(source_mix.mix(docs))
+    assert {(r.doc_id, r["count"]) for r in mixed.groupBy("doc_id").count().collect()} == {(d, r.copies) for d, r in copies.items() if r.copies}
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
