@@ -64,7 +64,8 @@ class ByteNet:
         counts = [-(-len(r) // CELL) for r in raws]
         got = []
         if any(counts):
-            data = np.frombuffer(b"".join(r.ljust(n * CELL, b"\0") for r, n in zip(raws, counts, strict=True)) + b"\0\0\0", np.uint8)
+            # a cell of zeros behind each text: no filter sees the next one
+            data = np.frombuffer(b"".join(r.ljust((n + 1) * CELL, b"\0") for r, n in zip(raws, counts, strict=True) if n) + b"\0\0\0", np.uint8)
             tops = self.cells(data)
         at = 0
         for n in counts:
@@ -74,7 +75,7 @@ class ByteNet:
             else:
                 logit = self.offset
             got.append(float(1 / (1 + np.exp(-np.clip(logit, -60, 60)))))
-            at += n
+            at += n + 1 if n else 0
         return got
 
 
