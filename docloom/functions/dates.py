@@ -47,18 +47,19 @@ def scan(text: Column, as_of: Column, first_year: int = 2000, ahead: int = 5) ->
     return F.filter(found, lambda d: d.isNotNull() & F.year(d).between(F.lit(first_year), F.year(as_of) + ahead))
 
 
-#: Digits that are read for one another.
-CONFUSED = {"0": "0689", "1": "17", "2": "27", "3": "38", "4": "49", "5": "56", "6": "0568", "7": "127", "8": "0368", "9": "0489"}
+#: Digits and what they may have been, and the window of each kind of document in months back and ahead.
+CONFUSED = {"0": "6", "6": "045", "8": "603", "1": "7", "7": "1", "5": "604", "4": "96", "9": "40", "3": "8", "2": "7"}
+WINDOWS = {"cheque": (12, 12), "traite": (6, 36)}
 
 
-def repair_year(date: Column, as_of: Column, back_months: int = 24, ahead_months: int = 12) -> Column:
-    """(date, corrected): a day outside the window gets the year nearest to as_of that differs from its own in the last two digits by digits often confused."""
-    inside = lambda d: d.between(F.add_months(as_of, -back_months), F.add_months(as_of, ahead_months))
+def repair_year(date: Column, as_of: Column, kind: str = "cheque") -> Column:
+    """(date, corrected): a day outside its window gets the nearest day inside it that differs in one digit of the year by a digit it may have been."""
+    back, ahead = WINDOWS[kind]
+    inside = lambda d: d.between(F.add_months(as_of, -back), F.add_months(as_of, ahead))
     table = F.create_map(*[F.lit(x) for kv in CONFUSED.items() for x in kv])
-    year = F.year(date).cast("string")
-    choices = lambda k: F.split(F.try_element_at(table, F.substring(year, k, 1)), "")
-    years = F.flatten(F.transform(choices(3), lambda a: F.transform(choices(4), lambda b: F.concat(F.substring(year, 1, 2), a, b).try_cast("int"))))
-    days = F.filter(F.transform(years, lambda y: date_of(y, F.month(date), F.dayofmonth(date))), lambda d: d.isNotNull() & inside(d))
+    year = F.lpad(F.year(date).cast("string"), 4, "0")
+    changed = lambda k: F.transform(F.split(F.try_element_at(table, F.substring(year, k, 1)), ""), lambda c: F.concat(F.substring(year, 1, k - 1), c, F.substring(year, k + 1, 4 - k)).try_cast("int"))
+    days = F.filter(F.transform(F.concat(*map(changed, (1, 2, 3, 4))), lambda y: date_of(y, F.month(date), F.dayofmonth(date))), lambda d: d.isNotNull() & inside(d))
     nearest = F.array_min(F.transform(days, lambda d: F.struct(F.abs(F.datediff(d, as_of)).alias("far"), d.alias("day"))))["day"]
     return F.when(date.isNull() | inside(date), F.struct(date.alias("date"), F.lit(False).alias("corrected"))).otherwise(F.struct(F.coalesce(nearest, date).alias("date"), nearest.isNotNull().alias("corrected")))
 

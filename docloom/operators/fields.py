@@ -104,7 +104,7 @@ def entities(text: Column) -> Column:
     amounts = F.regexp_extract_all(text, F.lit(rx(r"(\d[\d .,]*\d)\s*(?:DT|TND|€|EUR|dinars?)\b")), F.lit(1))
     refs = F.regexp_extract_all(text, F.lit("(?U)\\b([A-Z]{2,6}[-/]\\d[\\w\\-/]*)"), F.lit(1))
     firms = F.regexp_extract_all(text, F.lit("(?U)([A-ZÀ-Ü][\\w&'’.]*(?:[ ][\\w&'’.]+){0,5}[ ](?:SARL|SUARL|SA|SAS|EURL|SNC|LTD|LLC|INC))\\b"), F.lit(1))
-    capitals = F.filter(F.transform(F.slice(F.split(text, "\\r?\\n"), 1, 30), F.trim), lambda x: x.rlike("^[A-ZÀ-Ü][A-ZÀ-Ü&'’. ]{3,60}$"))
+    capitals = F.filter(F.transform(F.slice(F.split(text, "\\r?\\n"), 1, 30), lambda x: F.trim(x)), lambda x: x.rlike("^[A-ZÀ-Ü][A-ZÀ-Ü&'’. ]{3,60}$"))
     return F.struct(F.array_distinct(dates).alias("dates"), F.array_distinct(amounts).alias("amounts"), F.array_distinct(refs).alias("references"), F.array_distinct(F.when(F.size(firms) > 0, firms).otherwise(capitals)).alias("companies"))
 
 
@@ -153,7 +153,7 @@ def zone_of_line(top: Column, bottom: Column, height: Column) -> Column:
 
 def body_line(line: Column) -> Column:
     """Struct (reference, designation, quantity, price, total) of a line of columns."""
-    parts = F.filter(F.transform(F.split(line, "\\||;|\\t|\\s{2,}"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(line, "\\||;|\\t|\\s{2,}"), lambda x: F.trim(x)), lambda p: p != "")
     numbers = F.filter(F.transform(parts, lambda p: F.when(p.rlike("^[\\d ]+([.,]\\d+)?$"), F.replace(F.replace(p, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"))), lambda x: x.isNotNull())
     down = F.sort_array(numbers, False)
     at = lambda k: F.try_element_at(down, F.lit(k))
