@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import dates, numbers, text
 from docloom.functions import vocabulary as V
-from docloom.operators import checks, classify, documents, fields, fleet, grid, payments, resolve, sheets
+from docloom.operators import checks, classify, documents, fields, fleet, forms, grid, payments, resolve, sheets
 from docloom.plans import invoices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,6 +326,28 @@ def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.totals(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")))
 
 
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'low' WHEN c_custkey % 2 = 0 THEN 'mandatory' ELSE 'high' END AS mark, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS amount, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'A' || c_custkey END AS value FROM customer")
+def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    value = F.when(k % 2 != 0, F.lit("x"))
+    found = F.create_map(F.lit("alias"), F.when(k % 2 != 0, F.concat(F.lit("A"), k)).otherwise(""), F.lit("raw"), F.col("c_name"))
+    uncertain = F.when(k % 3 == 0, F.array(F.lit("raw"))).otherwise(F.array(F.lit("other")))
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), forms.mark(value, forms.is_uncertain(uncertain, "raw", ["alias"]), F.lit(1)).alias("mark"), forms.positive(F.col("c_acctbal")).alias("amount"), forms.form_value(found, ["alias"], "name", "raw").alias("value"))
+
+
+@query("SELECT s_suppkey AS site, CASE WHEN s_nationkey < 25 THEN n_name END AS warehouse FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 1")
+def warehouse_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    sites = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("site"), F.concat(F.lit("Magasin "), F.lower("n_name"), F.lit(".")).alias("label"), (F.col("s_suppkey") % 2).alias("reorder_level"), F.lit(0).alias("reorder_qty"))
+    return forms.warehouses(sites, n.select(F.col("n_name").alias("warehouse"), (-F.length("n_name") * 100 + F.col("n_nationkey")).alias("ord"))).select("site", "warehouse")
+
+
+@query("SELECT o_orderkey AS doc_id, 'ALPHA ' || o_custkey || ' SARL' AS supplier, 'FAC-' || o_orderkey AS number FROM orders")
+def invoice_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.concat(F.lit("Facture client\nALPHA "), "o_custkey", F.lit(" SARL\nFacture N° : FAC-"), "o_orderkey", F.lit("\nDésignation Quantité\n"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), forms.supplier(F.split(page, "\n")).alias("supplier"), forms.invoice_number(page).alias("number"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -190,3 +190,19 @@ def test_entry_has_sql_for_every_query():
     from docloom import queries
 
     assert set(queries.oracle_sql()) == set(queries.queries())
+
+
+def test_forms(spark):
+    from docloom.operators import forms
+
+    assert [one(spark, forms.client_amount(F.lit(x))) for x in ("(12,5)", "1.438", "12.438", "5 950,00 DT")] == [-12.5, 1438.0, 12.438, 5950.0]
+    assert one(spark, forms.may_save(F.array(F.struct(F.lit("x").alias("value"), F.lit(False).alias("resolved"))))) is False
+    assert one(spark, forms.item_value(F.lit("text"), F.lit("OLD"), F.lit("NEW"), F.lit(True))) == "OLD"
+    assert one(spark, forms.item_value(F.lit("number"), F.lit("0"), F.lit("0"), F.lit(False))) is None
+    docs = spark.createDataFrame([("d1", None, None)], "name string, linked_doctype string, linked_docname string")
+    saved = spark.createDataFrame([("d1", "PI", "e1")], "name string, doctype string, entry string")
+    assert forms.linked_back(docs, saved).first().linked_docname == "e1"
+    master = spark.createDataFrame([("Alpha SARL",), ("Alpha SA",), ("Beta",)], "id string")
+    df = spark.createDataFrame([("Beta",), ("alpha sa",), ("alp",), ("zzz",), (None,)], "value string")
+    assert {r.value: r.resolved for r in forms.link_value(df, master).collect()} == {"Beta": "Beta", "alpha sa": "Alpha SA", "alp": "Alpha SA", "zzz": None, None: None}
+    assert one(spark, forms.field_confidence(F.lit("date"), F.lit("01/02/2024"), F.lit("le 01/02/2024"))) == 0.8
