@@ -27,7 +27,7 @@ from docloom.llm.columns import WORD, pick
 from docloom.llm.storage import Scratch
 
 #: Documents of a cell, about, at most.
-CELL = 20_000
+CELL = 5_000
 #: Size classes for each doubling of the size.
 CLASSES = 4
 #: Sets of starts that are tried.
