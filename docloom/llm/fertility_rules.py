@@ -68,9 +68,8 @@ class Measures:
         if len(self.hashes) > REMEMBERED:
             self.hashes.clear()
         h = self.hashes
-        for w in words:
-            if w not in h:
-                h[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words).difference(h):
+            h[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(h.__getitem__, words), np.uint64, len(words))
 
     def base(self, text: str) -> tuple[int, int, int, int, int]:

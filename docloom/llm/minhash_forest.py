@@ -40,7 +40,7 @@ from docloom.llm.storage import Scratch
 SHINGLE, MINIMA, TREES, FIRST, DEPTH = 5, 64, 24, 4, 8
 #: Trees whose candidates are tested at once; those of the others only where components still differ.
 BEFORE = 8
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 _rng = np.random.default_rng(20)
 WEIGHTS = _rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,9 +58,8 @@ def shingles(text: str | None) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)] if n else [], np.uint64)
     if len(_words) > REMEMBERED:
         _words.clear()
-    for w in words:
-        if w not in _words:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words).difference(_words):
+        _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
     s = sum(h[k : n - SHINGLE + 1 + k] * WEIGHTS[k] for k in range(SHINGLE))
     s ^= s >> np.uint64(31)

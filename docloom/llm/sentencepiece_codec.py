@@ -32,6 +32,8 @@ SPACE = "▁"
 REMEMBERED = 500_000
 #: Between spaces and line feeds where the fast way of splitting isn't safe.
 PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
+#: Pair tests that a worker remembers at most.
+PAIRS = 600_000
 FAR = 1 << 60
 
 
@@ -132,7 +134,7 @@ class PieceCodec:
                 pair = (last[start][1], piece)
                 good = fits.get(pair)
                 if good is None:
-                    if len(fits) > 2_000_000:
+                    if len(fits) > PAIRS:
                         fits.clear()
                     good = fits[pair] = self.compatible(*pair)
                 if not good:
