@@ -160,9 +160,10 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """Fits on at most sample labelled rows outside the held-out third."""
     known = pick(labels, doc_id=key, y=label).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = pick(df, doc_id=key, text=text).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit([r.text or "" for r in rows[:sample]], [int(r.y) for r in rows[:sample]])
+    found = pick(df, doc_id=key, text=text).join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return fit([r.text or "" for r in rows], [int(r.y) for r in rows])
 
 
 def score(df: DataFrame, net: ByteNet, key: str = "doc_id", text: str = "text") -> DataFrame:
