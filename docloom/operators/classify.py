@@ -43,7 +43,7 @@ def by_substrings(text: Column) -> Column:
 
 def by_patterns(text: Column) -> Column:
     """C4: a sure pattern's type, first in order; else the type with most counted patterns; a sales invoice comes first."""
-    sales = count_patterns(text, V.COUNTED["facture_vente"]) > 0
+    sales = text.rlike(rx("|".join(f"(?:{p})" for p in V.COUNTED["facture_vente"]), True))
     sure = F.coalesce(*[F.when(text.rlike(rx("|".join(f"(?:{p})" for p in ps), True)), t) for t, ps in V.SURE.items()])
     top = best({t: count_patterns(text, ps) for t, ps in V.COUNTED.items()})
     return F.when(sales, "facture_vente").otherwise(F.coalesce(sure, F.when(top["score"] > 0, top["label"]).otherwise(UNKNOWN)))
