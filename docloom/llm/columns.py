@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,18 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def take_turns(owner: str, forget: Callable[[], None]) -> None:
+    """What a worker remembers for one operator goes when another one's task begins: stages of a pipeline share workers."""
+    for name, other in _held.items():
+        if name != owner:
+            other()
+    _held.clear()
+    _held[owner] = forget
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's names; all others go, so that no name can clash."""
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])

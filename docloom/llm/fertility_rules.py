@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.columns import pick
+from docloom.llm.columns import pick, take_turns
 from docloom.llm.sentencepiece_codec import PieceCodec, codec
 from docloom.llm.storage import Scratch
 
@@ -44,6 +44,10 @@ class Measures:
         self.ids: dict[str, tuple[bytes, int]] = {}
         self.hashes: dict[bytes, int] = {}
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.hashes.clear()
+
     def learn(self, chunk: str) -> tuple[bytes, int]:
         if len(self.ids) >= REMEMBERED:
             self.ids.clear()
@@ -116,6 +120,7 @@ def measured(df: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = measures(model_file)
+        take_turns("fertility", m.forget)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             bands = [y if y is not None else f"script {script(x)}" for x, y in zip(texts, b.column(2).to_pylist(), strict=True)]

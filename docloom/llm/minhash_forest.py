@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.columns import pick
+from docloom.llm.columns import pick, take_turns
 from docloom.llm.components import components
 from docloom.llm.storage import Scratch
 
@@ -80,6 +80,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     source = pick(df, doc_id=key, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turns("forest", _words.clear)
         for b in batches:
             n, keys, signs = [], [], []
             for x in b.column(1):

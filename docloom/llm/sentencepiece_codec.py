@@ -25,7 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.columns import pick
+from docloom.llm.columns import pick, take_turns
 
 SPACE = "▁"
 #: Chunks that a worker remembers at most; then it starts anew.
@@ -205,10 +205,13 @@ class PieceCodec:
             out.append(raw.decode(errors="replace"))
         return "".join(out).replace(SPACE, " ")
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.decoded.clear()
+
     def learn(self, chunk: str) -> str:
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-            self.decoded.clear()
+            self.forget()
         ids = self.chunk_ids(chunk)
         self.decoded[chunk] = self.decode(ids)
         self.known[chunk] = said = ",".join(map(str, ids))
@@ -254,6 +257,7 @@ def encode_decode(df: DataFrame, model_file: str, text: str = "text", key: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
+        take_turns("sentencepiece", c.forget)
         for b in batches:
             got = [c.encode_decode(x or "") for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x.count(",") + 1 if x else 0 for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
@@ -267,6 +271,7 @@ def digests(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(model_file), hashlib.sha256
+        take_turns("sentencepiece", c.forget)
         for b in batches:
             n, ids, back = [], [], []
             for x in b.column(1).to_pylist():
