@@ -15,6 +15,7 @@ corpus in order. A file is written under a name of its own for each attempt of a
 successful attempts are read. Files are reached by pyarrow's file systems, in the folder shared by all
 executors. Texts are encoded in stretches that begin before a space or line feed with no white space on
 either side, where the pre-tokenizer always splits; each worker keeps the ids of stretches, within a bound.
+A new stretch that ends in signs is put together from its word and its signs.
 
 Defined results: a null text counts as empty; an empty document has the end id alone.
 """
@@ -43,9 +44,12 @@ BLOCK = 4096
 #: Share of a block's values that its width must hold.
 PERCENTILE = 95
 #: Stretches of text that a worker remembers at most; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_300_000
 HEAD = struct.Struct("<IBI")
-RUNS = re.compile(r"\s\s")
+#: White space other than the space and the line feed.
+OTHER_BLANKS = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
+#: A letter, then signs to the end of a stretch: the pre-tokenizer always splits there.
+TAIL = re.compile(r"(.*[^\W\d_])([!-/:-@\[-^`{-~]+)", re.S)
 BORDER = re.compile(r"(?<!\s)(?=[ \n]\S)")
 
 
@@ -177,25 +181,42 @@ class StretchEncoder:
         self.known: dict[str, bytes] = {}
 
     def stretches(self, text: str) -> list[str]:
-        if RUNS.search(text) or "\x01" in text:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_BLANKS.search(text):
             return BORDER.split(text)
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts, known = [self.stretches(x) for x in texts], self.known
-        new = set()
-        for p in parts:
-            new.update([x for x in p if x not in known])
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*parts)
-        rest = list(new)
+    def learn(self, rest: list[str]) -> None:
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
             for x, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = e.ids
-                known[x] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+                self.known[x] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        out: list[bytes] = []
+        waiting, new = [], set()
+        for text in texts:
+            parts = self.stretches(text)
+            found = list(map(known.get, parts))
+            try:
+                out.append(b"".join(found))
+            except TypeError:
+                gaps = [k for k, x in enumerate(found) if x is None]
+                new.update([parts[k] for k in gaps])
+                waiting.append((len(out), parts, found, gaps))
+                out.append(b"")
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+        ended = {x: m.groups() for x in new if "|>" not in x and (m := TAIL.fullmatch(x))}
+        self.learn(list({y for x in new for y in ended.get(x, (x,)) if y not in known}))
+        for x, (word, signs) in ended.items():
+            known[x] = known[word] + known[signs]
+        for at, parts, found, gaps in waiting:
+            for k in gaps:
+                found[k] = known[parts[k]]
+            out[at] = b"".join(found)
+        return out
 
 
 _encoders: dict[str, StretchEncoder] = {}
