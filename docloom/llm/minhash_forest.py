@@ -12,10 +12,13 @@ trees that still stand in different components, and beside them the hubs of thes
 most links in each), until a round has nothing new to test or finds no link. A group around one text whose
 copies differ among themselves is so joined through that text.
 
-A pair of similarity 0.85 shares the first four values in a tree with probability 0.52, so that all 24 trees
-miss a lone pair with one in forty million.
+Trees and hubs find most links, but not surely all. What still stands apart is settled by an exact join: of
+each node's shingles, rarest first, so many are listed that two similar sets must share a listed one. Nodes of
+different components in one list are tested, first the WIDTHS most linked of each component there, at last
+all. Parities of the sets rule out most pairs; whole sets confirm the rest. How rare a shingle is comes from a
+sample; the order decides the cost only, as any order that is one for all nodes gives the same links.
 
-Only candidates' sets are made, from their texts; signatures and ids are all that is sorted.
+Only candidates' sets are made, from their texts; signatures, listed shingles and ids are all that is sorted.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, link with nothing, are
 their own component and are kept. Rows with equal sets are always linked. Rows that repeat a doc_id have its
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.columns import pick, take_turns
@@ -41,6 +44,12 @@ SHINGLE, MINIMA, TREES, FIRST, DEPTH = 5, 64, 24, 4, 8
 #: Trees whose candidates are tested at once; those of the others only where components still differ.
 BEFORE = 8
 REMEMBERED = 600_000
+#: Documents that shingles' frequencies are estimated from, and the frequent shingles that tasks know.
+SAMPLE, FREQUENT = 20_000, 200_000
+#: Bits of a set's parities.
+BITS = 1024
+#: Nodes of a component that a list tests in each round of the exact join; None for all.
+WIDTHS = (2, 16, None)
 
 _rng = np.random.default_rng(20)
 WEIGHTS = _rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,22 +84,50 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(">u4")
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, set_key (null without shingles), signature, for each row."""
+def frequent(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several sets of a sample share, sorted, and in how many."""
+    source = pick(df, id=key, text=text).withColumn("id", F.col("id").cast("long"))
+    every = max(1, source.count() // SAMPLE)
+    sets = shingle_sets(source, source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id").distinct(), "id", "text")
+    found = sets.dropDuplicates(["shingles"]).select(F.explode("shingles").alias("g")).groupBy("g").count().where("count > 1")
+    rows = found.orderBy(F.desc("count"), "g").limit(FREQUENT).toPandas()
+    keys = rows["g"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["count"].to_numpy(np.int64)[order]
+
+
+def listed(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """So many of a set's shingles, rarest first, that a similar set must share one of its own."""
+    keys, counts = known
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        s = s[np.argsort(np.where(keys[at] == s, counts[at], 0), kind="stable")]
+    return s[: len(s) + percent * -len(s) // 100 + 1]
+
+
+def parities(s: np.ndarray) -> bytes:
+    """Two sets' parities differ in no more bits than the sets in shingles."""
+    return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def fingerprints(df: DataFrame, percent: int, known: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n, set_key (null without shingles), signature, listed shingles, parities, for each row."""
     source = pick(df, doc_id=key, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turns("forest", _words.clear)
         for b in batches:
-            n, keys, signs = [], [], []
+            n, keys, signs, lists, bits = [], [], [], [], []
             for x in b.column(1):
                 s = shingles(x.as_py())
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n", "set_key", "signature"])
+                lists.append(listed(s, known, percent).view(np.int64) if len(s) else None)
+                bits.append(parities(s) if len(s) else None)
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "set_key", "signature", "listed", "bits"])
 
-    return source.mapInArrow(work, "doc_id long, n long, set_key binary, signature binary")
+    return source.mapInArrow(work, "doc_id long, n long, set_key binary, signature binary, listed array<long>, bits binary")
 
 
 def tree_rows(nodes: DataFrame) -> DataFrame:
@@ -184,18 +221,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")).where("linked").select("a", "b").distinct()
 
 
+def shared_lists(nodes: DataFrame) -> DataFrame:
+    """g, id, n, pos: each node's listed shingles with their places, where another node lists the same."""
+    rows = nodes.select("id", "n", F.posexplode("listed").alias("pos", "g")).select("g", "id", "n", "pos")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, same = None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
+            g = t.column(0).to_numpy()
+            equal = g[1:] == g[:-1]
+            before = np.append(same, equal)
+            yield from t.slice(0, len(g) - 1).filter(pa.array(before[:-1] | equal)).to_batches()
+            last, same = t.slice(len(g) - 1).to_batches()[0], bool(before[-1])
+        if same:
+            yield last
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(work, "g long, id long, n long, pos int")
+
+
+def apart_pairs(lists: DataFrame, labels: DataFrame, links: DataFrame, width: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a listed shingle early enough to be similar."""
+    at = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = at.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("g")
+    at = at.join(mixed, "g", "left_semi")
+    if width:
+        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+        first = Window.partitionBy("g", "c").orderBy(F.desc(F.coalesce("links", F.lit(0))), "id")
+        at = at.join(ends, "id", "left").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= width)
+    x, y = (at.select("g", *[F.col(n).alias(n + side) for n in ("c", "id", "n", "pos")]) for side in "xy")
+    left = F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
+    close = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny")))
+    return x.join(y, "g").where((F.col("cx") < F.col("cy")) & close).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities don't rule them out."""
+    bits = nodes.select("id", "n", "bits")
+    both = pairs.join(bits.toDF("a", "na", "x"), "a").join(bits.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
+            differing = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            both = b.column(2).to_numpy() + b.column(3).to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array((100 + percent) * differing <= (100 - percent) * both))
+
+    return both.mapInArrow(work, "a long, b long").distinct()
+
+
 def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     spark = df.sparkSession
     scratch = Scratch(spark, "forest")
-    prints = scratch.save(fingerprints(df, key, text), "prints")
+    prints = scratch.save(fingerprints(df, percent, frequent(df, key, text), key, text), "prints")
     firsts = scratch.save(prints.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "firsts")
     of = F.col("doc_id") == F.col("rep")
-    members = prints.join(firsts, "set_key", "left").select("doc_id", "n", F.coalesce("rep", F.when(F.col("n") == 0, F.col("doc_id"))).alias("rep"), F.when(of, F.col("signature")).alias("signature"))
+    members = prints.join(firsts, "set_key", "left").select("doc_id", "n", F.coalesce("rep", F.when(F.col("n") == 0, F.col("doc_id"))).alias("rep"), *[F.when(of, F.col(x)).alias(x) for x in ("signature", "listed", "bits")])
     members = scratch.save(members, "members")
     scratch.drop("prints", "firsts")
-    nodes = members.where("signature is not null").select(F.col("doc_id").alias("id"), "n", "signature").dropDuplicates(["id", "n"])
-    found = scratch.save(neighbours(tree_rows(scratch.save(nodes, "nodes")), percent), "found")
+    nodes = members.where("signature is not null").select(F.col("doc_id").alias("id"), "n", "signature", "listed", "bits").dropDuplicates(["id", "n"])
+    nodes = scratch.save(nodes, "nodes")
+    found = scratch.save(neighbours(tree_rows(nodes), percent), "found")
     edges = found.where("place is not null").collect()
     pairs = found.where("place is null").select("a", "b", "na", "nb", "tree")
     if more := across(edges, percent):
@@ -203,7 +292,7 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
     pairs = scratch.save(pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("tree").alias("tree")), "pairs")
     wanted = scratch.save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
     sets = scratch.save(shingle_sets(df, wanted, key, text), "sets")
-    scratch.drop("found", "nodes")
+    scratch.drop("found")
     tested = scratch.save(pairs.where(F.col("tree") < BEFORE).select("a", "b"), "tested0")
     links = scratch.save(confirmed(tested, sets, percent), "links0")
     labels = components(links)
@@ -237,6 +326,21 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
         links = scratch.save(links.unionByName(more), f"links{k}")
         labels = components(links)
     scratch.drop("sets")
+    lists = scratch.save(shared_lists(nodes), "lists")
+    for k, width in enumerate(WIDTHS):
+        new = apart_pairs(lists, labels, links, width, percent).join(tested, ["a", "b"], "left_anti")
+        new = scratch.save(new, f"listed{k}")
+        if new.isEmpty():
+            continue
+        tested = scratch.save(tested.unionByName(new), f"all_tested{k}")
+        close = scratch.save(possible(new, nodes, percent), f"close{k}")
+        if close.isEmpty():
+            continue
+        ids = scratch.save(close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct(), f"ids{k}")
+        more = scratch.save(confirmed(close, scratch.save(shingle_sets(df, ids, key, text), f"sets{k}"), percent), f"exact{k}")
+        links = scratch.save(links.unionByName(more), f"all_links{k}")
+        labels = scratch.save(components(links), f"all_labels{k}")
+    scratch.drop("lists", "nodes")
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -276,6 +276,35 @@ def test_near_duplicates_around_one_text(spark):
     assert {d: r.component_id for d, r in got.items()} == {d: c for d, (_, c) in want.items()}
 
 
+def variant(base, places, tag):
+    words = list(base)
+    for at in places:
+        words[at] = f"{tag}-{at}"
+    return words
+
+
+def test_near_duplicates_around_two_texts(spark):
+    rng = random.Random(9)
+    a = [f"w{k}" for k in range(304)]
+    b = variant(a, [40, 110, 180, 250], "b")
+    spots = range(4, 300, 6)
+    rows = [(900, " ".join(a)), (901, " ".join(b))]
+    rows += [(k, " ".join(variant([a, b][k % 2], rng.sample(spots, 4), f"x{k}"))) for k in range(200)]
+    got = by_id(minhash_forest.groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute_groups(rows)
+    assert len({c for _, c in want.values()}) == 1
+    assert {d: r.component_id for d, r in got.items()} == {d: c for d, (_, c) in want.items()}
+
+
+def test_near_duplicates_without_centre(spark):
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(304)]
+    rows = [(k, " ".join(variant(base, rng.sample(range(4, 300, 6), 5), "y"))) for k in range(160)]
+    got = by_id(minhash_forest.groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute_groups(rows)
+    assert {d: r.component_id for d, r in got.items()} == {d: c for d, (_, c) in want.items()}
+
+
 def test_rules(docs, none):
     got = by_id(fertility_rules.verdicts(docs, PIECES))
     for k, t in enumerate(texts()):
