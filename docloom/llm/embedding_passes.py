@@ -7,9 +7,10 @@ the wanted cosine are verified in double precision on the vectors. Verified pair
 into components. Orders are made by range partitioning on (pass, label, signs, id), so that a label with a
 third of all rows is spread over all tasks.
 
-A window bounds the pairs that a pass finds in a dense region, so links are counted in a second step, which
-has no bound: within each component all vectors are compared, in blocks of BLOCK, each pair of blocks a task
-of its own; only counts leave a task.
+A window bounds the pairs that a pass finds, so a second step without bound follows: within each label all
+vectors of a length are compared, in blocks of BLOCK, each pair of blocks a group of its own. Counts leave a
+group, and those links that join components which the passes left apart, a forest of them at most. So links and
+components are exact; the work grows with the square of a label's distinct vectors.
 
 Defined results: a null label, and a vector that is null, empty, zero or holds null or non-finite components,
 links with nothing; such a row is its own component and kept. Rows with equal labels and vectors are always
@@ -31,7 +32,7 @@ from docloom.llm.columns import pick
 from docloom.llm.components import components
 from docloom.llm.storage import Scratch
 
-SIGNS, PASSES, KEY, WINDOW, BLOCK = 256, 24, 64, 4, 512
+SIGNS, PASSES, KEY, WINDOW, BLOCK = 256, 24, 64, 4, 1024
 #: Standard deviations of the sketch that the wanted cosine may be missed by.
 SLACK = 6.0
 
@@ -155,29 +156,52 @@ def verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
-def link_counts(nodes: DataFrame, cosine: float) -> DataFrame:
-    """id, links (vectors of other nodes of the component at that cosine). nodes: id, component, vector, copies."""
+def bridges(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (left's rows, right's columns) so many as join all components that they join."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    found = []
+    for x, y in zip(*np.nonzero(near & (left[:, None] != right[None, :])), strict=True):
+        a, b = int(left[x]), int(right[y])
+        p, q = root(a), root(b)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            found.append((a, b))
+    return found
+
+
+def all_links(nodes: DataFrame, cosine: float) -> DataFrame:
+    """id, links (vectors of other nodes of the label at that cosine), other null; and, links null, components (id, other) that a link joins. nodes: id, label, component, vector, copies."""
     scratch = Scratch(nodes.sparkSession, "counts")
-    sizes = scratch.save(nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "of"), "sizes")
-    own = nodes.join(sizes, F.col("component") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    nodes = nodes.withColumn("size", F.size("vector"))
+    sizes = scratch.save(nodes.groupBy("label", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).toDF("of", "of_size", "blocks"), "sizes")
+    own = nodes.join(sizes, (F.col("label") == F.col("of")) & (F.col("size") == F.col("of_size"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vector", "copies")
+    dealt = dealt.select("label", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "vector", "copies")
 
     def work(key, t: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        out = []
-        for size, g in t.groupby(t["vector"].map(len)):
-            v, n, ids, of = unit(np.stack([np.asarray(x, float) for x in g["vector"]])), g["copies"].to_numpy(), g["id"].to_numpy(), g["own"].to_numpy()
-            if i == j:
-                near = v @ v.T >= cosine
-                np.fill_diagonal(near, False)
-                out.append((ids, near @ n))
-            else:
-                near = v[of == i] @ v[of == j].T >= cosine
-                out += [(ids[of == i], near @ n[of == j]), (ids[of == j], n[of == i] @ near)]
-        return pd.DataFrame({"id": np.concatenate([x for x, _ in out]), "links": np.concatenate([x for _, x in out]).astype(np.int64)})
-
-    return dealt.groupBy("component", "i", "j").applyInPandas(work, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+        _, _, i, j = key
+        v, n, ids, of, parts = unit(np.stack([np.asarray(x, float) for x in t["vector"]])), t["copies"].to_numpy(), t["id"].to_numpy(), t["own"].to_numpy(), t["component"].to_numpy()
+        x, y = of == i, of == j
+        near = v[x] @ v[y].T >= cosine
+        if i == j:
+            np.fill_diagonal(near, False)
+            counts = [(ids, near @ n)]
+        else:
+            counts = [(ids[x], near @ n[y]), (ids[y], n[x] @ near)]
+        joins = bridges(near, parts[x], parts[y])
+        return pd.DataFrame({
+            "id": np.concatenate([np.concatenate([a for a, _ in counts]), np.array([a for a, _ in joins], np.int64)]),
+            "links": pd.array([*np.concatenate([c for _, c in counts]).tolist(), *[None] * len(joins)], "Int64"),
+            "other": pd.array([*[None] * sum(len(a) for a, _ in counts), *[b for _, b in joins]], "Int64"),
+        })
+
+    return dealt.groupBy("label", "size", "i", "j").applyInPandas(work, "id long, links long, other long")
 
 
 def groups(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -197,9 +221,13 @@ def groups(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str
     links = scratch.save(verified(scratch.save(pairs.distinct(), "pairs"), nodes.select("id", "vector"), cosine), "links")
     scratch.drop("found")
     labels = scratch.save(components(links), "labels")
-    linked = nodes.join(labels, nodes.id == labels.node).select("id", "component", "vector", "copies")
-    counts = scratch.save(link_counts(scratch.save(linked, "linked"), cosine), "links_of")
-    known = nodes.join(labels, nodes.id == labels.node, "left").drop("node").join(counts, "id", "left")
+    placed = nodes.join(labels, nodes.id == labels.node, "left").select("id", "label", F.coalesce("component", "id").alias("component"), "vector", "copies")
+    placed = scratch.save(placed, "placed")
+    compared = scratch.save(all_links(placed, cosine), "compared")
+    counts = compared.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
+    # a component is named by its smallest id, and so is what its bridges join
+    joined = scratch.save(components(compared.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))), "joined")
+    known = placed.withColumnRenamed("component", "part").join(joined, F.col("part") == joined.node, "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "part"))
     known = known.select(F.col("label").alias("of_label"), F.col("vector").alias("of_vector"), F.coalesce("component", "id").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = scratch.save(known.withColumn("hash", F.xxhash64("of_label", "of_vector")), "known")
     at = rows.withColumn("hash", F.when(usable(F.col("vector"), F.col("label")), same))

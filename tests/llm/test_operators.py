@@ -397,6 +397,26 @@ def test_wide_component_counts(spark, monkeypatch):
     assert {r.n_links for r in embedding_passes.groups(df).collect()} == {39}
 
 
+def test_dense_region_of_embeddings(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    centre /= np.sqrt(centre @ centre)
+    v = np.repeat(np.sqrt(0.88) * centre + np.sqrt(0.12 / 64) * rng.standard_normal((400, 64)), 2, axis=0) + np.sqrt(0.06 / 64) * rng.standard_normal((800, 64))
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_passes.groups(df).collect()}
+    u = v / np.sqrt((v * v).sum(1, keepdims=True))
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = list(range(800))
+    for _ in want:
+        least = [min([want[k], *(want[n] for n in np.flatnonzero(near[k]))]) for k in range(800)]
+        if least == want:
+            break
+        want = least
+    assert near.any() and [got[k].n_links for k in range(800)] == near.sum(1).tolist()
+    assert [got[k].component_id for k in range(800)] == want
+
+
 def test_stages(spark, tmp_path):
     import corpus_pipeline
 
