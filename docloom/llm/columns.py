@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,21 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 _held: dict[str, Callable[[], None]] = {}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def take_turns(owner: str, forget: Callable[[], None]) -> None:
     """What a worker remembers for one operator goes when another one's task begins: stages of a pipeline share workers."""
     for name, other in _held.items():
         if name != owner:
             other()
+    if _held and owner not in _held:
+        give_back()
     _held.clear()
     _held[owner] = forget
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.columns import pick, take_turns
+from docloom.llm.columns import give_back, pick, take_turns
 from docloom.llm.components import components
 from docloom.llm.storage import Scratch
 
@@ -207,9 +207,13 @@ def shingle_sets(df: DataFrame, wanted: DataFrame, key: str = "doc_id", text: st
     source = pick(df, id=key, text=text).withColumn("id", F.col("id").cast("long")).join(wanted, "id", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turns("forest", _words.clear)
         for b in batches:
             sets = [shingles(x.as_py()).view(np.int64) for x in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+        # what follows in the JVM needs the room
+        _words.clear()
+        give_back()
 
     return source.mapInArrow(work, "id long, shingles array<long>")
 
@@ -346,7 +350,7 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def keep_one(df: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(df: DataFrame, percent: int = 80) -> DataFrame:
     """df with one row of each group, all columns as they were; rows without doc_id stay only where nothing stands for them."""
     found = groups(df, percent)
     scratch = Scratch(df.sparkSession, "keep")

@@ -36,7 +36,7 @@ def op6_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_forest.groups(documents(spark, sf_dir))
+    return minhash_forest.groups(documents(spark, sf_dir), 85)
 
 
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

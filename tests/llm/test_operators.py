@@ -417,6 +417,19 @@ def test_dense_region_of_embeddings(spark):
     assert [got[k].component_id for k in range(800)] == want
 
 
+def test_near_duplicate_stage_from_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(20):
+        base = [f"w{k}-{i}" for i in range(304)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(variant(base, rng.sample(range(4, 300, 6), 6 if k < 15 else 8), "z")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert kept == {c for _, c in brute_groups(rows, 80).values()} and len(kept) == 25
+
+
 def test_stages(spark, tmp_path):
     import corpus_pipeline
 
