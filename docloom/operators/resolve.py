@@ -1,7 +1,7 @@
 """Resolution of names and codes against master data.
 
-Fuzzy matches need a token in common, so candidates come from an equi-join on tokens and no pair of all
-documents and all names is formed.
+Fuzzy matches need a token in common, so candidates come from an equi-join on tokens; tokens that many names
+share are held back for what rarer ones leave open.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.fuzzy import token_set_ratio_of, token_sort_ratio_of
 from docloom.functions.numbers import amount_nlp
-from docloom.functions.text import fold, rx, squeeze
+from docloom.functions.text import fold, let, once, rx, squeeze
 
 
 def by_priority(df: DataFrame, master: DataFrame, rules: list[tuple[str, str]], out: str) -> DataFrame:
@@ -29,25 +29,79 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.upper(F.regexp_replace(text, "[^A-Za-zÀ-ÿ0-9 ]", " ")), " +"), lambda w: F.length(w) >= 3))
 
 
+#: A key that more names hold is common: it is joined only for the texts that rarer keys don't settle.
+COMMON = 50
+
+
+def pieces(name: Column, least: int = 3) -> Column:
+    """All stretches of a name, of at least so many characters, with and without its signs and blanks."""
+    every = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - least + 1, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.length(s) - i + 1, F.lit(least))), lambda n: F.substring(s, i, n))))
+    return F.array_distinct(F.filter(F.concat(let(name, every), let(bare(name), every)), lambda x: (F.length(x) >= least) & ~x.contains(" ")))
+
+
+def bare(name: Column) -> Column:
+    return F.regexp_replace(name, "[^A-ZÀ-Ü0-9]", "")
+
+
+def coverage(tokens: Column, upper: Column) -> Column:
+    """The share, in percent, of a name that the longest token inside it covers."""
+    inside = F.filter(tokens, lambda t: F.contains(upper, t) | F.contains(bare(upper), t))
+    return F.coalesce(F.array_max(F.transform(inside, F.length)), F.lit(0)) / F.length(bare(upper)) * 100
+
+
 def party_match(docs: DataFrame, parties: DataFrame, text: str = "text", name: str = "name", key: str = "doc_id") -> DataFrame:
-    """Key, party, token_score, fuzzy_score: the party with the best of 0.7 token coverage and 0.3 token-set ratio, if a token covers 40 % of its name, or the ratio is 70 or more with any shared token. A token counts if it is a word of the name."""
-    names = parties.select(F.col(name).alias("party")).distinct()
-    listed = names.select("party", F.upper("party").alias("upper"), F.length(F.regexp_replace(F.upper("party"), "[^A-ZÀ-Ü0-9]", "")).alias("size"), F.explode(words(F.col("party"))).alias("word")).where("size > 0")
-    tokens = docs.select(key, F.upper(squeeze(F.regexp_replace(text, "[^A-Za-zÀ-ÿ0-9 ]", " "))).alias("upper_text"), F.explode(words(F.col(text))).alias("word"))
-    found = tokens.join(listed, "word").groupBy(key, "upper_text", "party", "upper").agg(F.max(F.length("word") / F.col("size") * 100).alias("token_score"))
-    scored = found.withColumn("fuzzy_score", token_set_ratio_of("upper_text", "upper")).where("token_score >= 30 or fuzzy_score >= 60")
+    """Key, party, token_score, fuzzy_score: the party with the best of 0.7 token coverage and 0.3 token-set ratio, if a token of the text inside its name covers 40 % of it, or the ratio is 70 or more with any token inside.
+
+    Tokens meet names over the names' stretches, as an equi-join. Stretches of many names (COMMON) don't pair
+    texts and names at first: they only bound what a name that shares nothing rarer could reach, and are
+    joined for those texts whose best name so far lies below that bound. Bounds come from built-ins; the
+    similarity is computed for what is above the best lower bound.
+    """
+    names = parties.select(F.col(name).alias("party"), F.upper(name).alias("upper")).distinct().where(F.length(bare(F.col("upper"))) > 0)
+    said = docs.select(key, F.trim(squeeze(F.upper(F.regexp_replace(text, "[^A-Za-zÀ-ÿ0-9 ]", " ")))).alias("said"), words(F.col(text)).alias("tokens"))
+    tokens = said.select(key, F.explode("tokens").alias("token"))
+    listed = names.select("party", "upper", F.explode(pieces(F.col("upper"))).alias("token")).join(tokens.select("token").distinct(), "token", "left_semi")
+    share = F.max(F.length("token") / F.length(bare(F.col("upper"))) * 100)
+    per = listed.groupBy("token").agg(F.count("*").alias("n"), share.alias("reach"))
+    rare = listed.join(per.where(F.col("n") <= COMMON).select("token"), "token").select("token", F.struct("party", "upper").alias("name"), F.lit(None).cast("double").alias("reach"))
+    common = per.where(F.col("n") > COMMON).select("token", "reach")
+    look = rare.unionByName(common.select("token", F.lit(None).cast(rare.schema["name"].dataType).alias("name"), "reach"))
+    met = tokens.join(look, "token").groupBy(F.col(key).alias("_key")).agg(F.collect_set("name").alias("names"), F.max("reach").alias("reach"))
+    seen = said.join(met, said[key] == met["_key"]).drop("_key")
+    rated = F.transform("names", lambda n: F.struct(n["party"].alias("party"), n["upper"].alias("upper"), coverage(F.col("tokens"), n["upper"]).alias("token_score"), (F.size(F.array_except(F.split(n["upper"], " +"), F.split(F.col("said"), " +"))) == 0).alias("whole")))
+    seen = once(seen, {"rated": rated})
+    # a name whose words are all in the text has ratio 100
+    floor = lambda n: F.when(n["whole"] | (n["token_score"] >= 30), n["token_score"] * 0.7 + F.when(n["whole"], 30.0).otherwise(0.0))
+    seen = once(seen, {"floor": F.coalesce(F.array_max(F.transform("rated", floor)), F.lit(0.0))})
+    cut = (F.col("token_score") * 0.7 + 30 >= F.col("floor")) & (F.col("token_score") > 0)
+    pairs = seen.select(key, "said", "floor", F.inline("rated")).where(cut).select(key, "said", "party", "upper", "token_score")
+    unsettled = seen.where(F.col("reach") * 0.7 + 30 > F.col("floor")).select(key, "said", "tokens", "floor", F.explode("tokens").alias("token"))
+    wide = unsettled.join(listed.join(common.select("token"), "token"), "token").select(key, "said", "party", "upper", "floor", coverage(F.col("tokens"), F.col("upper")).alias("token_score")).where(cut)
+    pairs = pairs.unionByName(wide.select(key, "said", "party", "upper", "token_score")).distinct()
+    scored = pairs.withColumn("fuzzy_score", token_set_ratio_of("said", "upper")).where("token_score >= 30 or fuzzy_score >= 60")
     best = scored.groupBy(key).agg(F.max_by(F.struct("party", "token_score", "fuzzy_score"), F.struct((F.col("token_score") * 0.7 + F.col("fuzzy_score") * 0.3).alias("s"), "party")).alias("b")).select(key, "b.*")
     return best.where("token_score >= 40 or (fuzzy_score >= 70 and token_score > 0)")
 
 
 def item_match(lines: DataFrame, items: DataFrame, key: str = "line_id", reference: str = "reference", name: str = "name", least: float = 75) -> DataFrame:
-    """By the supplier's part number, then by name, then the most similar name (sorted tokens, least or more) among those that share a word. items: id, item_name, supplier_part_no."""
+    """By the supplier's part number, then by name, then the most similar name (sorted tokens, least or more) among those that share a word. Words of many names (COMMON) are tried only for lines that rarer words leave without an item. items: id, item_name, supplier_part_no."""
     exact = by_priority(lines, items, [(reference, "supplier_part_no"), (name, "item_name")], "item")
-    rest = exact.where("item is null").select(key, F.col(name).alias("said"), F.explode(words(F.col(name))).alias("word"))
+    rest = exact.where("item is null").select(key, F.col(name).alias("said"))
     side = items.select("id", "item_name", F.explode(words(F.col("item_name"))).alias("word"))
-    pairs = rest.join(side, "word").select(key, "said", "id", "item_name").distinct().withColumn("score", token_sort_ratio_of(F.upper("said"), F.upper("item_name")))
-    best = pairs.where(F.col("score") >= least).groupBy(key).agg(F.max_by("id", F.struct("score", "id")).alias("fuzzy_item"))
-    return exact.join(best, key, "left").withColumn("item", F.coalesce("item", "fuzzy_item")).drop("fuzzy_item")
+    often = side.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("word")
+
+    def found(rest: DataFrame, side: DataFrame) -> DataFrame:
+        said = rest.select(key, "said", F.explode(words(F.col("said"))).alias("word"))
+        # common characters are at most those of the shorter name
+        a, b = F.length("said"), F.length("item_name")
+        pairs = said.join(side, "word").where(200 * F.least(a, b) >= least * (a + b)).select(key, "said", "id", "item_name").distinct()
+        scored = pairs.withColumn("score", token_sort_ratio_of(F.upper("said"), F.upper("item_name"))).where(F.col("score") >= least)
+        return scored.groupBy(F.col(key).alias("_line")).agg(F.max_by("id", F.struct("score", "id")).alias("similar"))
+
+    first = found(rest, side.join(often, "word", "left_anti"))
+    second = found(rest.join(first, rest[key] == first["_line"], "left_anti"), side.join(often, "word", "left_semi"))
+    best = first.unionByName(second)
+    return exact.join(best, exact[key] == best["_line"], "left").withColumn("item", F.coalesce("item", "similar")).drop("similar", "_line")
 
 
 def zero_padding(codes: DataFrame, items: DataFrame, code: str = "code", item: str = "item_code") -> DataFrame:
