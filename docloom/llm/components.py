@@ -49,6 +49,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = scratch.save(links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")), "links")
     parts = -(-now.count() // LOCAL) or 1
     now = scratch.save(now.coalesce(parts).mapInArrow(forest, "u long, v long"), "forests")
+    scratch.drop("links")
     before, k = None, 0
     while parts > 1:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -65,5 +66,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         others = large.join(least, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = others.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
         now = scratch.save(small, f"round{k}")
+        scratch.drop(f"large{k}", f"between{k}", f"small{k}", *([f"round{k - 1}"] if k else ["forests"]))
         k += 1
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder
-below the working directory's system temp folder is set. Tables are written as Parquet, so that a lost
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local master (tests, a laptop) gets a
+temporary folder that goes at the end; any other master gets an error, as its executors share no local folder. Tables are written as Parquet, so that a lost
 executor costs a re-read and never a recomputation, and so that Spark knows their sizes.
 """
 
@@ -18,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors, without a trailing slash."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         at = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
