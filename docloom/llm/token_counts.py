@@ -1,27 +1,37 @@
 """Token counts without ids.
 
-Each document becomes frequencies of its pre-tokens (what stands between ASCII white space, which both kinds
-of vocabulary file treat as a border); the pieces of each distinct pre-token are counted once by the
-tokenizer itself and remembered by the worker, within a bound; the count of a document is the sum of
-frequency times pieces. No ids are kept and nothing is shuffled. Special strings inside a text stand within
-one pre-token, so the tokenizer handles them by its default.
-
-Defined results: a null or empty text has 0 bytes and 0 tokens.
+Texts are split into pre-tokens: what stands between ASCII white space, which both kinds of vocabulary file
+treat as a border; special strings inside a text stand within one pre-token, so that the tokenizer handles
+them by its default. A table of the distinct pre-tokens of all texts is made, and the tokenizer counts the pieces
+of each once. That table is joined to each document's pre-token frequencies, and frequency times pieces is
+summed by document. No ids are kept.
+
+Pre-tokens that stand in many documents (FREQUENT at most, chosen by the table's own counts) go with their
+pieces to every task, so that none of them makes a hot task and their frequencies, nine in ten, are summed
+where the text is. All others are shuffled by pre-token to the table, and their pieces summed by document.
+
+Defined results: a null or empty text has 0 bytes and 0 tokens; a row without doc_id is counted like any other, and
+repeated rows each on their own; an empty table gives an empty one. Very long texts are split into rows like
+short ones. Columns other than the two that are named play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.llm.columns import pick
+from docloom.llm.storage import Scratch
 
-#: Distinct pre-tokens that a worker remembers at most; then it starts anew.
-REMEMBERED = 1_000_000
+#: Pre-tokens whose pieces are broadcast, at most, and the most bytes of one.
+FREQUENT, LONGEST = 400_000, 64
+#: Classes of frequency for each doubling.
+CLASSES = 8
+BLANK = "[\\x20\\x09-\\x0D]+"
 
 
 class PieceCounter:
@@ -32,30 +42,9 @@ class PieceCounter:
         self.lib = Tokenizer.from_file(tokenizer_file)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.pieces: dict[bytes, int] = {}
-
-    def frequencies(self, text: str) -> Counter:
-        return Counter(text.encode().split())
-
-    def learn(self, pre_tokens: list[bytes]) -> None:
-        if len(self.pieces) + len(pre_tokens) > REMEMBERED:
-            self.pieces.clear()
-        for at in range(0, len(pre_tokens), 10_000):
-            part = pre_tokens[at : at + 10_000]
-            for p, e in zip(part, self.lib.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.pieces[p] = len(e)
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """Token counts of some texts; pre-tokens not met before are counted together first."""
-        tables = [self.frequencies(x) for x in texts]
-        new: set[bytes] = set()
-        for t in tables:
-            new.update([p for p in t if p not in self.pieces])
-        if len(self.pieces) + len(new) > REMEMBERED:
-            new = set().union(*tables)
-        self.learn(list(new))
-        pieces = self.pieces
-        return [sum(f * pieces[p] for p, f in t.items()) for t in tables]
+
+    def counts(self, pre_tokens: list[str]) -> list[int]:
+        return [len(e) for e in self.lib.encode_batch_fast(pre_tokens, add_special_tokens=False)]
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -80,17 +69,49 @@ def in_portions(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> It
     yield first, texts
 
 
-def token_counts(df: DataFrame, tokenizer_file: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row."""
-    source = pick(df, doc_id=key, text=text)
+def piece_table(pre_tokens: DataFrame, tokenizer_file: str) -> DataFrame:
+    """token, docs, pieces: each distinct pre-token, in how many rows it stands, and its pieces."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_file)
         for b in batches:
-            size, n = [], []
-            for _, texts in in_portions(b, 1):
-                size += [len(x.encode()) for x in texts]
-                n += c.counts(texts)
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for first in range(0, b.num_rows, 10_000):
+                part = b.slice(first, 10_000)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(c.counts(part.column(0).to_pylist()), pa.int64())], ["token", "docs", "pieces"])
+
+    distinct = pre_tokens.groupBy("token").agg(F.count("*").alias("docs"))
+    return distinct.mapInArrow(work, "token string, docs long, pieces long")
 
-    return source.mapInArrow(work, f"doc_id {source.dtypes[0][1]}, n_bytes long, n_tokens long, over_limit boolean")
+
+def least_docs(table: DataFrame) -> int:
+    """In how many documents a pre-token must stand so that FREQUENT at most do: from counts by class of frequency."""
+    found = table.where(F.octet_length("token") <= LONGEST).groupBy(F.ceil(F.log2("docs") * CLASSES).alias("class")).agg(F.count("*").alias("n"), F.min("docs").alias("docs")).collect()
+    left, least = FREQUENT, 1 << 62
+    for r in sorted(found, key=lambda r: -r["class"]):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["docs"]
+    return least
+
+
+def token_counts(df: DataFrame, tokenizer_file: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row."""
+    scratch = Scratch(df.sparkSession, "pieces")
+    source = pick(df, doc_id=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
+    split = lambda c: F.filter(F.split(c, BLANK), lambda w: w != "")
+    table = scratch.save(piece_table(source.select(F.explode(split(F.col("text"))).alias("token")), tokenizer_file), "table")
+    often = table.where((F.col("docs") >= least_docs(table)) & (F.octet_length("token") <= LONGEST)).select(F.col("token").alias("often"), F.col("pieces").alias("of_often"))
+    often = scratch.save(often, "often")
+    # equal rows share a key and a sum; the places of their first words tell how many they are
+    doc = ["doc_id", "hash"]
+    words = source.select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode_outer(split(F.col("text"))).alias("pos", "token"))
+    met = words.join(F.broadcast(often), F.col("token") == F.col("often"), "left")
+    known = met.groupBy(*doc).agg(F.first("n_bytes").alias("n_bytes"), F.sum("of_often").alias("n_often"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"))
+    rare = met.where("often is null and token is not null").select(*doc, "token").join(table.select("token", "pieces"), "token")
+    rare = rare.groupBy(*doc).agg(F.sum("pieces").alias("n_rare")).select(F.col("doc_id").alias("of"), F.col("hash").alias("of_hash"), "n_rare")
+    sums = known.join(rare, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    sums = sums.withColumn("n", ((F.coalesce("n_often", F.lit(0)) + F.coalesce("n_rare", F.lit(0))) / F.col("copies")).cast("long"))
+    sums = sums.select("doc_id", "n_bytes", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return sums.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
