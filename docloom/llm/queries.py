@@ -40,7 +40,7 @@ def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility_rules.verdicts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return fertility_rules.verdicts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

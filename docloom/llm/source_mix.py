@@ -93,7 +93,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most: float = MOST, toleranc
     scratch = Scratch(sizes.sparkSession, "newton")
     counts = scratch.save(sizes.where("size > 0").groupBy(F.col("source").alias("of"), "size").agg(F.count("*").alias("docs")), "counts")
     # the multiplier of a source lies between these: all documents tilted as the smallest is would be too little, or too much
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.try_divide("target", "source_size")
     end = F.when(ratio < 1, F.log(ratio)).otherwise(math.log(most)) / F.col("least")
     open_ones = (F.col("target") > 0) & (ratio < most * (1 - 1e-12))
     now = goals.select("source", "source_size", "target", F.when(open_ones, F.lit(0.0)).alias("multiplier"), F.least(end, F.lit(0.0)).alias("low"), F.greatest(end, F.lit(0.0)).alias("high"))
@@ -106,10 +106,10 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most: float = MOST, toleranc
         met = now.drop("off").join(sums, F.col("source").eqNullSafe(F.col("of")), "left")
         short = F.col("target") - F.col("tokens")
         met = met.withColumn("low", F.when(short > 0, at).otherwise(F.col("low"))).withColumn("high", F.when(short < 0, at).otherwise(F.col("high")))
-        jump = at + short / F.when(F.col("curvature") > 0, F.col("curvature"))
+        jump = at + F.try_divide(short, F.col("curvature"))
         within = (jump >= F.col("low")) & (jump <= F.col("high"))
         middle = (F.col("low") + F.col("high")) / 2
-        off = F.coalesce(F.abs(short) / F.col("target"), F.lit(0.0))
+        off = F.coalesce(F.try_divide(F.abs(short), F.col("target")), F.lit(0.0))
         moved = F.when(off < tolerance, at).when(at.isNotNull(), F.when(within, jump).otherwise(middle))
         now = scratch.save(met.select("source", "source_size", "target", moved.alias("multiplier"), "low", "high", off.alias("off")), f"step{step}")
         scratch.drop(f"step{step - 1}" if step else "start")
