@@ -1,4 +1,12 @@
-"""From raw documents to token ids: five stages, each over all that its predecessor kept."""
+"""From raw documents to token ids: five stages, each over all that its predecessor kept.
+
+Defined results: rows are judged each on their own by the first two stages, so that rows without doc_id, without
+text or with another row's doc_id stay or go by their text; the third keeps one row of each group of near
+duplicates and one of each repeated doc_id; the fourth repeats rows, a repeated row as often as its copies
+together are taken; documents without words are never taken, so that none reaches the last. An empty table
+gives an empty result, without labels every document passes the first stage, and columns other than those of
+documents stay through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +17,14 @@ from pyspark.sql import functions as F
 from docloom.llm import byte_cnn, fertility_rules, minhash_forest, sentencepiece_codec, source_mix
 from docloom.llm.storage import Scratch
 
-PIECES = "piece_bpe_32k.model"
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 #: No SQL: a trained classifier decides what the later stages get. The stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that also tells rows without doc_id apart, and rows that share one but differ in text."""
-    return docs.withColumn("row_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text", "source", "lang"))))
+    """docs with a key that only equal rows share."""
+    return docs.withColumn("row_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    verdicts = fertility_rules.verdicts(rows, public_tokenizers.path(PIECES), key="row_key")
+    verdicts = fertility_rules.verdicts(rows, public_tokenizers.path(PIECES), public_tokenizers.path(BYTES), key="row_key")
     rejected = Scratch(spark, "rejected").save(verdicts.where("not kept").select(F.col("doc_id").alias("row_key")).distinct(), "rows")
     return rows.join(rejected, "row_key", "left_anti").select(docs.columns)
 
@@ -38,9 +46,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     rows = keyed(docs)
-    taken = source_mix.mix(rows, key="row_key").where("copies > 0").groupBy(F.col("doc_id").alias("row_key")).agg(F.max("copies").cast("int").alias("copies"))
-    taken = Scratch(spark, "taken").save(taken, "rows")
-    return rows.join(taken, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    mixed = source_mix.mix(rows, key="row_key").groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    taken = Scratch(spark, "taken").save(mixed.where("copies > 0"), "rows")
+    met = rows.join(taken, "row_key")
+    once = met.where("rows = 1")
+    if not taken.where("rows > 1").isEmpty():
+        # equal rows are one row before they are repeated
+        of = F.struct(*[F.col(f"`{c}`") for c in docs.columns], "copies")
+        once = once.select(*docs.columns, "copies").unionByName(met.where("rows > 1").groupBy("row_key").agg(F.first(of).alias("r")).select("r.*"))
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
