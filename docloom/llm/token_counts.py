@@ -7,17 +7,19 @@ of each once. That table is joined to each document's pre-token frequencies, and
 summed by document. No ids are kept.
 
 Pre-tokens that stand in many documents (FREQUENT at most, chosen by the table's own counts) go with their
-pieces to every task, so that none of them makes a hot task and their frequencies, nine in ten, are summed
-where the text is. All others are shuffled by pre-token to the table, and their pieces summed by document.
+pieces to every task, so that none of them makes a hot task and their frequencies, nine in ten, are summed where
+the text is. Frequencies of all others by document and pre-token are shuffled to the table, and their pieces
+summed by document. Texts are read twice, and never shuffled or written.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; a row without doc_id is counted like any other, and
-repeated rows each on their own; an empty table gives an empty one. Very long texts are split into rows like
+repeated rows each on their own; an empty table gives an empty one. Very long texts are counted like
 short ones. Columns other than the two that are named play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +30,11 @@ from docloom.llm.columns import pick
 from docloom.llm.storage import Scratch
 
 #: Pre-tokens whose pieces are broadcast, at most, and the most bytes of one.
-FREQUENT, LONGEST = 400_000, 64
+FREQUENT, LONGEST = 250_000, 200
 #: Classes of frequency for each doubling.
 CLASSES = 8
-BLANK = "[\\x20\\x09-\\x0D]+"
+#: Distinct pre-tokens that a task holds before it passes them on.
+HELD = 400_000
 
 
 class PieceCounter:
@@ -69,8 +72,29 @@ def in_portions(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> It
     yield first, texts
 
 
-def piece_table(pre_tokens: DataFrame, tokenizer_file: str) -> DataFrame:
-    """token, docs, pieces: each distinct pre-token, in how many rows it stands, and its pieces."""
+def in_documents(source: DataFrame) -> DataFrame:
+    """token, docs: in how many texts a pre-token stands; several rows for one, from several tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            got = pa.record_batch([pa.array([x.decode() for x in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "docs"])
+            seen.clear()
+            return got
+
+        for b in batches:
+            for x in b.column(1):
+                seen.update(set((x.as_py() or "").encode().split()))
+                if len(seen) > HELD:
+                    yield out()
+        yield out()
+
+    return source.mapInArrow(work, "token string, docs long")
+
+
+def piece_table(found: DataFrame, tokenizer_file: str) -> DataFrame:
+    """token, docs, pieces: each distinct pre-token, in how many texts it stands, and its pieces."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_file)
@@ -79,8 +103,32 @@ def piece_table(pre_tokens: DataFrame, tokenizer_file: str) -> DataFrame:
                 part = b.slice(first, 10_000)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(c.counts(part.column(0).to_pylist()), pa.int64())], ["token", "docs", "pieces"])
 
-    distinct = pre_tokens.groupBy("token").agg(F.count("*").alias("docs"))
-    return distinct.mapInArrow(work, "token string, docs long, pieces long")
+    return found.groupBy("token").agg(F.sum("docs").alias("docs")).mapInArrow(work, "token string, docs long, pieces long")
+
+
+def frequencies(source: DataFrame, often) -> DataFrame:
+    """row, doc_id, n_bytes, n (pieces of the frequent pre-tokens), rare (the others) and times. often: a broadcast of pieces by pre-token."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pieces, row = often.value, TaskContext.get().partitionId() << 40
+        for b in batches:
+            for first, texts in in_portions(b, 1):
+                size, n, rare, times = [], [], [], []
+                for x in texts:
+                    raw = x.encode()
+                    found = Counter(raw.split())
+                    other = [w for w in found if w not in pieces]
+                    size.append(len(raw))
+                    rare.append([w.decode() for w in other])
+                    times.append([found.pop(w) for w in other])
+                    n.append(sum(k * pieces[w] for w, k in found.items()))
+                ids = pa.array(range(row, row + len(texts)), pa.int64())
+                row += len(texts)
+                yield pa.record_batch([ids, b.column(0).slice(first, len(texts)), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], ["row", "doc_id", "n_bytes", "n", "rare", "times"])
+
+    return source.mapInArrow(work, f"row long, doc_id {source.dtypes[0][1]}, n_bytes long, n long, rare array<string>, times array<long>")
 
 
 def least_docs(table: DataFrame) -> int:
@@ -97,21 +145,15 @@ def least_docs(table: DataFrame) -> int:
 
 def token_counts(df: DataFrame, tokenizer_file: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row."""
-    scratch = Scratch(df.sparkSession, "pieces")
-    source = pick(df, doc_id=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
-    split = lambda c: F.filter(F.split(c, BLANK), lambda w: w != "")
-    table = scratch.save(piece_table(source.select(F.explode(split(F.col("text"))).alias("token")), tokenizer_file), "table")
-    often = table.where((F.col("docs") >= least_docs(table)) & (F.octet_length("token") <= LONGEST)).select(F.col("token").alias("often"), F.col("pieces").alias("of_often"))
-    often = scratch.save(often, "often")
-    # equal rows share a key and a sum; the places of their first words tell how many they are
-    doc = ["doc_id", "hash"]
-    words = source.select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode_outer(split(F.col("text"))).alias("pos", "token"))
-    met = words.join(F.broadcast(often), F.col("token") == F.col("often"), "left")
-    known = met.groupBy(*doc).agg(F.first("n_bytes").alias("n_bytes"), F.sum("of_often").alias("n_often"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"))
-    rare = met.where("often is null and token is not null").select(*doc, "token").join(table.select("token", "pieces"), "token")
-    rare = rare.groupBy(*doc).agg(F.sum("pieces").alias("n_rare")).select(F.col("doc_id").alias("of"), F.col("hash").alias("of_hash"), "n_rare")
-    sums = known.join(rare, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
-    sums = sums.withColumn("n", ((F.coalesce("n_often", F.lit(0)) + F.coalesce("n_rare", F.lit(0))) / F.col("copies")).cast("long"))
-    sums = sums.select("doc_id", "n_bytes", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return sums.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    spark = df.sparkSession
+    scratch = Scratch(spark, "pieces")
+    source = pick(df, doc_id=key, text=text)
+    table = scratch.save(piece_table(in_documents(source), tokenizer_file), "table")
+    # FREQUENT rows at most
+    often = table.where((F.col("docs") >= least_docs(table)) & (F.octet_length("token") <= LONGEST)).select("token", "pieces").toArrow()
+    known = spark.sparkContext.broadcast({w.encode(): k for w, k in zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)})
+    rows = scratch.save(frequencies(source, known), "rows")
+    rare = rows.select("row", F.inline(F.arrays_zip("rare", "times"))).join(table.select(F.col("token").alias("rare"), "pieces"), "rare")
+    sums = rare.groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    n = F.col("n") + F.coalesce("more", F.lit(0))
+    return rows.drop("rare", "times").join(sums, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

@@ -398,13 +398,13 @@ def test_bands_by_brute_force(spark, docs):
             v = sorted(own[d][k] for d in good)
             if v:
                 low, high = (v[-(-len(v) * q // 4) - 1] for q in (1, 3))
-                reach = max((high - low) * fertility_rules.REACH, fertility_rules.LEAST[m])
+                reach = max((high - low) * fertility_rules.REACH[m], fertility_rules.LEAST[m])
                 inside[band, m] = (low - reach - 1e-9, high + reach + 1e-9)
     for d, (_, band) in rows.items():
         assert [getattr(got[d], m) for m in names] == pytest.approx(own[d], abs=1e-9), d
         want = not got[d].base_failed and all(a <= own[d][k] <= z for k, m in enumerate(names) for a, z in [inside[band, m]])
         assert got[d].kept == want, d
-    assert not got[2000].kept and not got[2001].kept and sum(got[1000 + k].kept for k in range(40)) > 30
+    assert {got[d].kept for d in rows if not got[d].base_failed} == {True, False}
 
 
 def test_repeated_words(monkeypatch):
