@@ -1,15 +1,21 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes text blocks with their places in the element tree. A linear classifier over tags, names of
-enclosing elements, link share and length gives each block a preference for content or boilerplate, which
-is the capacity of its edge to one of two terminals. Consecutive blocks, and consecutive blocks of one
-container, are joined by edges that weigh the more the nearer they are in the tree. A minimum cut labels
-the blocks at the least total cost. Blocks whose preference outweighs all of their edges are settled
-beforehand, which doesn't change the cut; what is left goes through augmenting paths.
+A page becomes text blocks with their places in the element tree. A classifier over tags, roles, names of enclosing
+elements, link share, length and ending gives each block the log-odds of content against boilerplate, which
+are the capacity of its edge to one of two terminals. Consecutive blocks, and consecutive blocks of one
+container, are joined by edges that cost what it takes to label them differently, by their distance in the tree.
+A minimum cut labels the blocks at the least total cost. Blocks whose log-odds outweigh all of their edges are
+settled beforehand, which doesn't change the cut; what is left goes through augmenting paths of least length.
+
+Terminal and edge costs are fitted on pages with known labels that ``html_training`` writes, by the likelihood of
+each block's label given its features, and given its neighbours' labels beside them, so both are log-odds. No
+single name decides: a name of which only a part speaks for boilerplate weighs less than one that does whole.
 
 Pages are handled one by one where they are read; nothing is shuffled.
 
-Defined results: a null or empty page, and a page without content, give an empty text.
+Defined results: a null or empty page, and a page without content, give an empty text. Repeated pages and pages
+without page_id or url are extracted each on its own; an empty table gives an empty one; pages of any length are
+read whole. Columns other than the three named play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +25,9 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -32,7 +40,7 @@ END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style",
 
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head svg math object applet audio video canvas select datalist button map".split())
+SILENT = frozenset("head svg audio video canvas select datalist button".split())
 #: An element that opens closes these at the top of the stack.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
 PAGE_PARTS = frozenset("nav footer aside form menu dialog fieldset".split())
@@ -41,10 +49,8 @@ APART = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register sidebar rail aside nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar header comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations widget widgets tags skip search form copyright legal disclaimer".split()
 )
 OWN = frozenset("article content post entry story main body text".split())
-#: The classifier's weights.
-APART_COST, ARTICLE, OWN_GAIN, BASE, PARAGRAPH, HEADING, ITEM, LENGTH, STOP, LINKS = 8.0, 3.0, 1.0, -0.8, 0.8, 0.4, -0.6, 1.6, 0.4, 4.0
-#: The weights of edges between neighbours in the page, and in a container.
-NEXT, CONTAINER = 1.2, 0.6
+#: Steps in the tree from which on two blocks count as equally far.
+FAR = 6
 
 
 @dataclass
@@ -52,7 +58,9 @@ class Element:
     tag: str
     parent: Element | None
     depth: int
-    apart: bool
+    part: bool  # in a part of the page by tag, role or style
+    whole: bool  # a name that speaks for boilerplate as a whole
+    half: bool  # a name of which a part does
     article: bool
     own: bool
 
@@ -64,15 +72,15 @@ class Block:
     linked: int
 
 
-def names(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
-    words, role, hidden = set(), "", False
+def names(attributes: str) -> tuple[list[set[str]], str, bool]:
+    """The words of each class and of the id, the role, and whether the element is hidden."""
+    words, role, hidden = [], "", False
     if "=" not in attributes and "hidden" not in attributes:
         return words, role, hidden
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            words.update(x.lower() for x in NAMES.findall(value))
+            words += [{x.lower() for x in NAMES.findall(name)} for name in value.split()]
         elif key == "role":
             role = value.lower()
         elif key == "style":
@@ -84,7 +92,7 @@ def names(attributes: str) -> tuple[set[str], str, bool]:
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; silent elements and comments are gone, references decoded."""
-    root = Element("", None, 0, False, False, False)
+    root = Element("", None, 0, False, False, False, False, False)
     stack, found, parts, at, links, linked, mute = [root], [], [], 0, 0, 0, 0
 
     def flush() -> None:
@@ -145,28 +153,31 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         up = stack[-1]
         seen, role, hidden = names(attributes)
-        apart = up.apart or hidden or tag in PAGE_PARTS or role in ROLES or tag == "header" and not up.article
+        part = up.part or hidden or tag in PAGE_PARTS or role in ROLES or tag == "header" and not up.article
+        whole, half = up.whole, up.half
         if tag not in ("body", "article", "main"):
-            apart = apart or bool(seen & APART) and not (up.article and "header" in seen)
-        stack.append(Element(tag, up, up.depth + 1, apart, up.article or tag in ("article", "main"), up.own or bool(seen & OWN)))
+            said = [x for x in seen if x & APART and not (up.article and "header" in x)]
+            whole |= any(x <= APART for x in said)
+            half |= any(not x <= APART for x in said)
+        stack.append(Element(tag, up, up.depth + 1, part, whole, half, up.article or tag in ("article", "main"), up.own or any(x & OWN for x in seen)))
     words(page[at:])
     flush()
     return found
 
 
-def preference(b: Block) -> float:
-    """Above zero: rather content."""
+def features(b: Block) -> list[float]:
     e, n = b.at, len(b.text)
-    s = BASE + LENGTH * min(1.0, n / 120) - LINKS * b.linked / n
-    s += ARTICLE * e.article + OWN_GAIN * e.own - APART_COST * e.apart
-    s += PARAGRAPH * (e.tag in ("p", "blockquote", "pre")) + HEADING * (e.tag[:1] == "h" and e.tag[1:].isdigit()) + ITEM * (e.tag in ("li", "td", "th"))
-    return s + STOP * (b.text[-1] in ".!?…。！？:;»\"”")
+    return [
+        1.0, min(1.0, n / 40), min(1.0, n / 150), b.linked / n, b.text[-1] in ".!?…。！？:;»\"”",
+        e.tag in ("p", "blockquote", "pre"), e.tag[:1] == "h" and e.tag[1:].isdigit(), e.tag in ("li", "td", "th", "dt", "dd"),
+        e.part, e.whole, e.half, e.article, e.own,
+    ]
 
 
-def steps(a: Element, b: Element, most: int = 6) -> int:
-    """Steps in the tree from one element to the other; most if there are more."""
+def steps(a: Element, b: Element) -> int:
+    """Steps in the tree from one element to the other; FAR if there are more."""
     n = 0
-    while a is not b and n < most:
+    while a is not b and n < FAR:
         if a.depth >= b.depth and a.parent is not None:
             a = a.parent
         elif b.parent is not None:
@@ -175,25 +186,65 @@ def steps(a: Element, b: Element, most: int = 6) -> int:
     return n
 
 
-def smoothness(page: list[Block]) -> dict[tuple[int, int], float]:
-    edges: dict[tuple[int, int], float] = {}
+def neighbours(page: list[Block]) -> list[tuple[int, int, int]]:
+    """Pairs of blocks with an edge, and its kind: the steps between consecutive blocks, or one more than FAR for consecutive blocks of a container."""
+    edges: list[tuple[int, int, int]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(page):
         if i:
-            edges[i - 1, i] = NEXT / (1 + steps(page[i - 1].at, b.at))
+            edges.append((i - 1, i, steps(page[i - 1].at, b.at)))
         box = id(b.at.parent)
-        if box in last:
-            j = last[box]
-            edges[j, i] = edges.get((j, i), 0.0) + CONTAINER
+        if box in last and last[box] != i - 1:
+            edges.append((last[box], i, FAR + 1))
         last[box] = i
     return edges
 
 
-def minimum_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
+@dataclass
+class Costs:
+    """Log-odds of content for each feature, and the costs of edges for each kind."""
+
+    weights: np.ndarray
+    edges: list[float]
+
+
+@cache
+def fitted() -> Costs:
+    """Costs from labelled pages: a logistic regression of each block's label on its features, then one on its neighbours' labels by kind of edge, beside what the features say. An edge that would cost less than nothing costs nothing."""
+    from docloom.llm.html_training import labelled_pages
+
+    rows, labels, near = [], [], []
+    for page, known in labelled_pages():
+        found = blocks(page)
+        side = [known[b.text[0]] for b in found]
+        beside = np.zeros((len(found), FAR + 2))
+        for i, j, kind in neighbours(found):
+            beside[i, kind] += 2 * side[j] - 1
+            beside[j, kind] += 2 * side[i] - 1
+        for b in found:
+            b.text = b.text[1:]
+        rows += [features(b) for b in found]
+        labels += side
+        near.append(beside)
+    x, beside, y = np.array(rows, float), np.concatenate(near), np.array(labels, float)
+    weights = logistic(x, y, np.zeros(len(y)))
+    return Costs(weights, np.maximum(logistic(beside, y, x @ weights), 0.0).tolist())
+
+
+def logistic(x: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Weights of x beside known log-odds, with a unit penalty; Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(known + x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
+    return w
+
+
+def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Whether each node is on the content side of a minimum cut; gain: capacity from the source if positive, to the sink if negative."""
     n = len(gain)
     near: list[dict[int, float]] = [{} for _ in range(n)]
-    for (i, j), c in edges.items():
+    for i, j, c in edges:
         near[i][j] = near[i].get(j, 0.0) + c
         near[j][i] = near[j].get(i, 0.0) + c
     gain, side = list(gain), [None] * n
@@ -211,51 +262,89 @@ def minimum_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[
         near[i] = {}
     rest = [i for i in range(n) if side[i] is None]
     if rest:
-        out = {i: max(gain[i], 0.0) for i in rest}
-        into = {i: max(-gain[i], 0.0) for i in rest}
-        while True:
-            seen = {i: -1 for i in rest if out[i] > 1e-12}
-            queue, end = deque(seen), None
-            while queue and end is None:
-                i = queue.popleft()
-                if into[i] > 1e-12:
-                    end = i
-                    break
-                for j, c in near[i].items():
-                    if c > 1e-12 and j not in seen:
-                        seen[j] = i
-                        queue.append(j)
-            if end is None:
-                break
-            path = [end]
-            while seen[path[-1]] >= 0:
-                path.append(seen[path[-1]])
-            flow = min([into[end], out[path[-1]], *(near[j][i] for i, j in zip(path, path[1:], strict=False))])
-            into[end] -= flow
-            out[path[-1]] -= flow
-            for i, j in zip(path, path[1:], strict=False):
-                near[j][i] -= flow
-                near[i][j] += flow
+        content = reached(rest, gain, near)
         for i in rest:
-            side[i] = i in seen
+            side[i] = i in content
     return side
 
 
-def main_text(page: str | None) -> str:
+LEAST = 1e-12
+
+
+def reached(nodes: list[int], gain: list[float], near: list[dict[int, float]]) -> set[int]:
+    """The nodes on the source's side after a maximum flow: each round floods the residual edges in levels, then fills shortest paths until none is left."""
+    out = {i: gain[i] for i in nodes if gain[i] > LEAST}
+    into = {i: -gain[i] for i in nodes if gain[i] < -LEAST}
+    while True:
+        level, queue, ends = dict.fromkeys(out, 0), deque(out), False
+        while queue:
+            i = queue.popleft()
+            ends |= i in into
+            for j, c in near[i].items():
+                if c > LEAST and j not in level:
+                    level[j] = level[i] + 1
+                    queue.append(j)
+        if not ends:
+            return set(level)
+        todo = {i: iter(list(near[i])) for i in level}
+        for start in list(out):
+            path = [start]
+            while path and start in out:
+                i = path[-1]
+                if i in into:
+                    flow = min([out[start], into[i], *(near[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    for spent, at in ((out, start), (into, i)):
+                        spent[at] -= flow
+                        if spent[at] <= LEAST:
+                            del spent[at]
+                    cut = len(path)
+                    for k in range(len(path) - 1, 0, -1):
+                        a, b = path[k - 1], path[k]
+                        near[a][b] -= flow
+                        near[b][a] = near[b].get(a, 0.0) + flow
+                        if near[a][b] <= LEAST:
+                            cut = k
+                    # go on from where the path is still open; a used-up sink or edge is passed over
+                    path = path[:cut]
+                    if cut > 1 and path[-1] == i and i not in into:
+                        continue
+                    continue
+                for j in todo[i]:
+                    if near[i].get(j, 0.0) > LEAST and level.get(j) == level[i] + 1:
+                        # the edge may carry more later
+                        todo[i] = _again(j, todo[i])
+                        path.append(j)
+                        break
+                else:
+                    path.pop()
+                    if path:
+                        next(todo[path[-1]], None)
+
+
+def _again(first: int, rest: Iterator[int]) -> Iterator[int]:
+    yield first
+    yield from rest
+
+
+def labels(found: list[Block], costs: Costs) -> list[bool]:
+    gain = np.array([features(b) for b in found], float) @ costs.weights
+    return minimum_cut(gain.tolist(), [(i, j, costs.edges[kind]) for i, j, kind in neighbours(found)])
+
+
+def main_text(page: str | None, costs: Costs) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    kept = minimum_cut([preference(b) for b in found], smoothness(found))
-    return " ".join(b.text for b, k in zip(found, kept, strict=True) if k)
+    return " ".join(b.text for b, k in zip(found, labels(found, costs), strict=True) if k)
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row."""
-    source = pick(df, page_id=key, url=url, html=page)
+    source, costs = pick(df, page_id=key, url=url, html=page), fitted()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column(2)]
+            texts = [main_text(x.as_py(), costs) for x in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(source.dtypes)
