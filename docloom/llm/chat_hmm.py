@@ -1,129 +1,195 @@
 """Chat transcripts to canonical turns by a hidden Markov model.
 
-The lines of a transcript are the observations: which role a speaker marker at their start names, if any;
-whether a blank line stands before; whether the line asks or is long. The states are, for each role, the first line of a turn and a later
-one. Viterbi finds the likeliest path, so that turns without a marker are found by blank lines and by who
-speaks after whom, and a marker-like start inside a turn needs more than itself. The turns are then rendered
-in one form.
-
-``transcripts`` writes the turns of a table of conversations as such transcripts, in several marker styles,
-some turns without a marker: the raw input for the operator, for which the table has none. Long
-conversations are cut into segments of SEGMENT turns, so that none is collected whole.
-
-Defined results: a null or empty transcript has no turns; lines before any marker are the likeliest role's;
-a null role is written without a marker; a null text is empty; a null turn counts as 0.
+The lines of a transcript are the observations: which role a speaker marker at their start names, if any, and
+whether it is written as the transcript's first one is; whether a blank line stands before; whether the line
+asks or is long. The states are, for each role, the first line of a turn and a later one. Viterbi finds the likeliest
+path, so that turns without a marker are found by blank lines and by who speaks after whom, and a quoted marker
+inside a turn needs more than itself. The turns are then rendered in one form, in which a text can't be
+mistaken for a marker: after each ``<|`` of a text one more ``|`` is put.
+
+A table may hold a transcript in each row (``formatted``), or its pieces in rows, in order (``turns_of_pieces``). Pieces
+are sorted by range, so a transcript of any length spreads over many tasks; each task keeps its stretch in
+a file of the shared folder. A stretch of a transcript that goes on in other tasks is summed up by the best score
+from each role before it to each role at its end; the chain of these small tables gives the roles at all
+borders (Viterbi over stretches), and each task then decodes its stretch between them. So the result is that of
+one run over the whole transcript, however it is spread.
+
+``pieces`` writes the turns of a table of conversations as such pieces, in several marker styles, some turns without a
+marker: the raw input for the operator, for which the table has none.
+
+Defined results: a null or empty transcript has no turns; lines before any marker are the likeliest role's; a name
+that is no known role stays the turn's role where signs mark it (not before a bare colon, which words in a text
+have too); a null role is written without a marker; a null text is empty; a null turn counts as 0; rows without
+conv_id are one conversation; repeated rows are turns each. Lines and transcripts may be of any length. An empty
+table gives an empty one, and other columns stay out, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.columns import pick
+from docloom.llm.storage import Scratch
 
-ROLES = ("system", "user", "assistant")
-NAMES = {
-    "system": "system|instructions?|context",
-    "user": "user|human|customer|question|prompt|you|q",
-    "assistant": "assistant|ai|bot|chatbot|model|agent|answer|response|a",
-}
-_ANY = "|".join(f"(?P<{r}>{n})" for r, n in NAMES.items())
-#: A marker: a name between signs, or before a colon or bracket.
-MARKER = re.compile(rf"[ \t]*(?:<\|(?:im_start\|>)?|\*\*|#{{1,4}} |\[|<)?(?:{_ANY})(?:\|>|:\*\*|\*\*:?|\]:?|>|:)(?:[ \t]|$)|[ \t]*#{{1,4}} (?:{_ANY.replace('?P<', '?P<x')}):?[ \t]*$", re.I)
+ROLES = ("system", "user", "assistant", "tool", "other")
+OTHER = len(ROLES) - 1
+#: Names that are little else, and names that are words of texts too.
+SURE = {"system": 0, "user": 1, "human": 1, "assistant": 2, "ai": 2, "bot": 2, "chatbot": 2, "tool": 3, "function": 3, "observation": 3}
+VAGUE = {"instruction": 0, "instructions": 0, "context": 0, "customer": 1, "question": 1, "prompt": 1, "you": 1, "q": 1, "model": 2, "agent": 2, "answer": 2, "response": 2, "a": 2}
+_NAME = "([A-Za-z][A-Za-z_-]{0,19})"
+#: Forms of a marker; the last is a bare colon.
+MARKER = re.compile(rf"[ \t]*(?:<\|(?:im_start\|>)?{_NAME}(?:\|>|(?=[ \t]*$))|\*\*{_NAME}(?::\*\*|\*\*:?)|#{{1,4}} {_NAME}:?(?=[ \t]*$)|\[{_NAME}\]:?|<{_NAME}>|{_NAME}>|{_NAME}:)(?:[ \t]|$)")
+COLON = 7
 STYLES = (("{}: ", "title"), ("**{}:** ", "title"), ("### {}\n", "title"), ("[{}] ", "upper"), ("<|{}|>\n", "lower"), ("{}> ", "lower"))
-SEGMENT = 64
 LONG = 200
 
 # who speaks first, and who after whom
-FIRST = {"system": 0.25, "user": 0.65, "assistant": 0.10}
-AFTER = {"system": {"system": 0.02, "user": 0.90, "assistant": 0.08}, "user": {"system": 0.01, "user": 0.04, "assistant": 0.95}, "assistant": {"system": 0.01, "user": 0.95, "assistant": 0.04}}
+FIRST = (0.25, 0.62, 0.10, 0.01, 0.02)
+AFTER = (
+    (0.02, 0.87, 0.08, 0.01, 0.02),
+    (0.01, 0.04, 0.92, 0.01, 0.02),
+    (0.01, 0.90, 0.04, 0.03, 0.02),
+    (0.01, 0.04, 0.88, 0.05, 0.02),
+    (0.01, 0.40, 0.40, 0.05, 0.14),
+)
 #: A turn goes on at a line's end.
 STAY = 0.7
-# what a first and a later line look like
-MARKED, OTHER, BARE = 0.88, 0.001, 0.118
-MARKED_INSIDE = 0.002
+# a first line has its role's marker in the transcript's way, another role's, none; a later line has one by chance
+MARKED, MISMARKED, BARE = 0.88, 0.0005, 0.118
+INSIDE = 0.01
+# a marker in another way than the transcript's: seldom a turn's
+ODD_FIRST, ODD_INSIDE = 0.01, 0.02
+# a name that is no role, between signs and before a colon
+UNKNOWN_SIGNS, UNKNOWN_COLON = 0.001, 0.2
 BLANK_FIRST, BLANK_INSIDE = 0.6, 0.005
-ASKS = {"system": 0.02, "user": 0.35, "assistant": 0.10}
-LONGER = {"system": 0.2, "user": 0.2, "assistant": 0.5}
+ASKS = (0.02, 0.35, 0.10, 0.02, 0.10)
+LONGER = (0.2, 0.2, 0.5, 0.3, 0.3)
 
-STATES = [(r, first) for r in ROLES for first in (True, False)]
+LOG_STAY, LOG_FIRST = math.log(STAY), [math.log(x) for x in FIRST]
+LOG_AFTER = [[math.log((1 - STAY) * x) for x in row] for row in AFTER]
+N = len(ROLES)
 
 
-def _step(a: tuple[str, bool], b: tuple[str, bool]) -> float:
-    (r, _), (s, first) = a, b
-    if first:
-        return math.log((1 - STAY) * AFTER[r][s])
-    return math.log(STAY) if r == s else -math.inf
+@dataclass
+class Line:
+    text: str
+    name: str | None  # a marker's name
+    form: int
+    end: int  # where the marker ends
+    blank: bool  # a blank line before
+    after: int = 0  # blank lines behind
 
+    def role(self) -> int | None:
+        return None if self.name is None else SURE.get(self.name, VAGUE.get(self.name, OTHER))
 
-STEPS = [[_step(a, b) for a in STATES] for b in STATES]
+    def way(self) -> tuple[int, bool] | None:
+        """How the marker is written; null for unknown names, which set no example."""
+        return (self.form, self.name in SURE) if self.name in SURE or self.name in VAGUE else None
 
 
-def marked(line: str) -> tuple[str | None, int]:
-    """The role that a marker at the line's start names, and where the marker ends."""
-    m = MARKER.match(line)
-    if not m:
-        return None, 0
-    return next(k.removeprefix("x") for k, v in m.groupdict().items() if v), m.end()
+def read(text: str, blank: bool = False) -> tuple[list[Line], bool]:
+    """Lines with something on them, and whether blank ones end the text. blank: whether one stands before it."""
+    lines: list[Line] = []
+    for raw in text.split("\n"):
+        if not raw.strip():
+            blank = True
+            if lines:
+                lines[-1].after += 1
+            continue
+        m = MARKER.match(raw)
+        lines.append(Line(raw, m[m.lastindex].lower(), m.lastindex, m.end(), blank) if m else Line(raw, None, 0, 0, blank))
+        blank = False
+    return lines, blank
 
 
-def seen(role: str | None, blank: bool, asks: bool, long: bool) -> list[float]:
-    """Log-probability of a line in each state."""
-    out = []
-    for r, first in STATES:
-        if first:
-            p = (BARE if role is None else MARKED if role == r else OTHER) * (BLANK_FIRST if blank else 1 - BLANK_FIRST)
+def seen(line: Line, way: tuple[int, bool] | None) -> tuple[list[float], list[float]]:
+    """Log-probabilities of a line as the first of each role's turns, and as a later one."""
+    role, asks, long = line.role(), line.text.rstrip().endswith("?"), len(line.text) > LONG
+    if role is None:
+        first, later = [BARE] * N, 1 - INSIDE - ODD_INSIDE
+    elif way is not None and line.form == way[0] and (role == OTHER or line.way() == way):
+        first, later = [MARKED if r == role else MISMARKED for r in range(N)], INSIDE
+        if role == OTHER:
+            later = UNKNOWN_COLON if line.form == COLON else UNKNOWN_SIGNS
+    else:
+        first, later = [ODD_FIRST if r == role else MISMARKED for r in range(N)], ODD_INSIDE
+    blank_first, blank_later = (BLANK_FIRST, BLANK_INSIDE) if line.blank else (1 - BLANK_FIRST, 1 - BLANK_INSIDE)
+    shape = [(ASKS[r] if asks else 1 - ASKS[r]) * (LONGER[r] if long else 1 - LONGER[r]) for r in range(N)]
+    return [math.log(p * blank_first * s) for p, s in zip(first, shape, strict=True)], [math.log(later * blank_later * s) for s in shape]
+
+
+def best_of(values: list[float]) -> int:
+    return max(range(len(values)), key=lambda k: (values[k], -k))
+
+
+def forward(lines: list[Line], way: tuple[int, bool] | None, before: list[float] | None) -> tuple[list[float], list[tuple[list[int], list[bool]]]]:
+    """Scores by role at the end, from scores by role before (null: the transcript begins), and how each line came about: for each role the one before it, and whether the line is a first one."""
+    now, back = before, []
+    for line in lines:
+        first, later = seen(line, way)
+        if now is None:
+            came, opens = list(range(N)), [True] * N
+            now = [a + b for a, b in zip(LOG_FIRST, first, strict=True)]
         else:
-            p = (1 - 2 * MARKED_INSIDE if role is None else MARKED_INSIDE) * (BLANK_INSIDE if blank else 1 - BLANK_INSIDE)
-        p *= (ASKS[r] if asks else 1 - ASKS[r]) * (LONGER[r] if long else 1 - LONGER[r])
-        out.append(math.log(p))
-    return out
+            came, opens, then = [], [], []
+            for s in range(N):
+                r = best_of([now[r] + LOG_AFTER[r][s] for r in range(N)])
+                opened, stayed = now[r] + LOG_AFTER[r][s] + first[s], now[s] + LOG_STAY + later[s]
+                opens.append(opened > stayed)
+                came.append(r if opened > stayed else s)
+                then.append(max(opened, stayed))
+            now = then
+        back.append((came, opens))
+    return now if now is not None else [0.0] * N, back
+
+
+def path(back: list[tuple[list[int], list[bool]]], end: int) -> list[tuple[int, bool]]:
+    """Role of each line, and whether it is a first one, from the role at the end."""
+    out = []
+    for came, opens in reversed(back):
+        out.append((end, opens[end]))
+        end = came[end]
+    return out[::-1]
+
+
+def example(lines: list[Line]) -> tuple[int, bool] | None:
+    """The way of the first marker."""
+    return next((w for x in lines if (w := x.way()) is not None), None)
+
+
+def said(line: Line, opens: bool) -> str:
+    return line.text[line.end if opens and line.name else 0 :] + "\n" * line.after
+
+
+def named(line: Line, role: int) -> str:
+    return line.name if role == OTHER and line.name else ROLES[role]
 
 
 def parse(text: str | None) -> list[tuple[str, str]]:
     """(role, content) of each turn."""
-    lines, blank = [], False
-    for line in (text or "").split("\n"):
-        if not line.strip():
-            blank = True
-            if lines:
-                lines[-1][1].append("")
-            continue
-        role, end = marked(line)
-        lines.append((seen(role, blank, line.rstrip().endswith("?"), len(line) > LONG), [line], end))
-        blank = False
+    lines, _ = read(text or "")
     if not lines:
         return []
-    best = [math.log(FIRST[r]) + p if first else -math.inf for (r, first), p in zip(STATES, lines[0][0], strict=True)]
-    back = []
-    for p, _, _ in lines[1:]:
-        came, now = [], []
-        for steps, q in zip(STEPS, p, strict=True):
-            x, k = max((b + s, -k) for k, (b, s) in enumerate(zip(best, steps, strict=True)))
-            came.append(-k)
-            now.append(x + q)
-        back.append(came)
-        best = now
-    path = [max(range(len(STATES)), key=lambda k: (best[k], -k))]
-    for came in reversed(back):
-        path.append(came[path[-1]])
+    now, back = forward(lines, example(lines), None)
     turns: list[tuple[str, list[str]]] = []
-    for state, (_, rows, end) in zip(reversed(path), lines, strict=True):
-        role, first = STATES[state]
-        if first:
-            turns.append((role, [rows[0][end:], *rows[1:]]))
-        else:
-            turns[-1][1].extend(rows)
+    for line, (role, opens) in zip(lines, path(back, best_of(now)), strict=True):
+        if opens:
+            turns.append((named(line, role), []))
+        turns[-1][1].append(said(line, opens))
     return [(r, "\n".join(rows).strip()) for r, rows in turns]
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{r}|>\n{text}\n<|end|>\n" for r, text in turns)
+    return "".join(f"<|{r}|>\n{text.replace('<|', '<||')}\n<|end|>\n" for r, text in turns)
 
 
 def formatted(df: DataFrame, transcript: str = "transcript") -> DataFrame:
@@ -140,20 +206,241 @@ def formatted(df: DataFrame, transcript: str = "transcript") -> DataFrame:
     return source.mapInArrow(work, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_turns long, roles string, rendered string"]))
 
 
-def transcripts(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, segment, transcript."""
+def runs(rows: Iterator[tuple]) -> Iterator[tuple[int | None, list[str]]]:
+    """Consecutive pieces of one transcript."""
+    held: list[str] = []
+    of, some = None, False
+    for conv, piece in rows:
+        if some and conv != of:
+            yield of, held
+            held = []
+        of, some = conv, True
+        held.append(piece or "")
+    if some:
+        yield of, held
+
+
+def kept(df: DataFrame, folder: str) -> DataFrame:
+    """Writes each task's stretch of the sorted pieces as a file; a row for each. To be run once: save it before reading it."""
+    ordered = df.withColumn("tie", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange("conv_id", "place", "tie").sortWithinPartitions("conv_id", "place", "tie").select("conv_id", "piece")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, out, ends, opened = TaskContext.get().partitionId(), None, {}, []
+
+        def note(conv, pieces: list[str]) -> dict:
+            # for the stretches at both ends: the first marker's way, whether lines or blank lines end it
+            lines, blank = read("\n".join(pieces))
+            way = example(lines)
+            return {"conv": conv, "form": way and way[0], "sure": way and way[1], "lines": len(lines), "blank": blank}
+
+        held: list[str] = []
+        of = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                at, base = fs.FileSystem.from_uri(folder)
+                at.create_dir(base, recursive=True)
+                name = f"part-{part:07d}-{uuid.uuid4().hex}.arrow"
+                opened.append(at.open_output_stream(f"{base}/{name}"))
+                out = pa.ipc.new_stream(opened[0], b.schema)
+                of = b.column(0)[0].as_py()
+            out.write_batch(b)
+            for conv, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if conv != of:
+                    ends.setdefault("first", note(of, held))
+                    of, held = conv, []
+                held.append(piece or "")
+        if out is not None:
+            out.close()
+            opened[0].close()
+            last = note(of, held)
+            first = ends.setdefault("first", last)
+            cols = [[part], [name], *[[x[k]] for x in (first, last) for k in ("conv", "form", "sure", "lines", "blank")], [len(ends) and first is last]]
+            kinds = [pa.int32(), pa.string(), *[pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_()] * 2, pa.bool_()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "file", *[f"{x}_{k}" for x in ("first", "last") for k in ("conv", "form", "sure", "lines", "blank")], "single"])
+
+    ends = ", ".join(f"{x}_conv long, {x}_form int, {x}_sure boolean, {x}_lines long, {x}_blank boolean" for x in ("first", "last"))
+    return ordered.mapInArrow(work, f"part int, file string, {ends}, single boolean")
+
+
+def stretches(folder: str, file: str, before: dict) -> Iterator[tuple[int | None, list[Line], tuple | None, bool, bool]]:
+    """Of a kept file: conv, lines, way, whether it is the first and the last stretch."""
+    at, base = fs.FileSystem.from_uri(folder)
+    with at.open_input_stream(f"{base}/{file}") as f:
+        found = runs((c, p) for b in pa.ipc.open_stream(f) for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        first, held = True, next(found)
+        while held is not None:
+            conv, pieces = held
+            held = next(found, None)
+            lines, _ = read("\n".join(pieces), first and before["blank"])
+            yield conv, lines, (first and before["way"]) or example(lines), first, held is None
+            first = False
+
+
+def carried(parts: list) -> dict[int, dict]:
+    """For each part: whether its first stretch goes on from the one before (goes_on), with what way of markers and whether after a blank line."""
+    out, last = {}, None
+    for p in parts:
+        on = last is not None and last["conv"] == p.first_conv
+        own = (p.first_form, p.first_sure) if p.first_form is not None else None
+        way = (last["way"] or own) if on else own
+        out[p.part] = {"goes_on": on, "way": way if on else None, "blank": on and last["blank"], "begun": on and last["begun"]}
+        if p.single:
+            begun = out[p.part]["begun"] or p.first_lines > 0
+            last = {"conv": p.last_conv, "way": way, "blank": p.last_blank if p.last_lines else (p.last_blank or out[p.part]["blank"]), "begun": begun}
+        else:
+            last = {"conv": p.last_conv, "way": (p.last_form, p.last_sure) if p.last_form is not None else None, "blank": p.last_blank, "begun": p.last_lines > 0}
+    return out
+
+
+def summed(listed: DataFrame, folder: str, before: dict[int, dict]) -> DataFrame:
+    """part, last (whether it is the part's last stretch), scores: by role before and role at the end (from a beginning, one row) for the stretches at both ends."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = []
+                for _, lines, way, first, last in stretches(folder, file, before[part]):
+                    if not (first or last):
+                        continue
+                    if first and before[part]["begun"]:
+                        scores = [forward(lines, way, [0.0 if r == s else -1e300 for s in range(N)])[0] for r in range(N)] if lines else [[0.0 if r == s else -1e300 for s in range(N)] for r in range(N)]
+                    else:
+                        scores = [forward(lines, way, None)[0] if lines else []]
+                    found.append((last, scores))
+                yield pa.record_batch([pa.array([part] * len(found), pa.int32()), pa.array([x for x, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.list_(pa.list_(pa.float64())))], ["part", "last", "scores"])
+
+    return listed.mapInArrow(work, "part int, last boolean, scores array<array<double>>")
+
+
+def borders(parts: list, before: dict[int, dict], sums: list) -> dict[int, int | None]:
+    """For each part the role at the end of its last stretch where the transcript goes on in the next part: Viterbi over the stretches of each transcript that spans parts."""
+    scores = {(s.part, s.last): s.scores for s in sums}
+    ends: dict[int, int | None] = {}
+    chain: list[tuple[int, list[int]]] = []
+    now: list[float] | None = None
+
+    def settle() -> None:
+        nonlocal now
+        if chain and now:
+            end = best_of(now)
+            for part, came in reversed(chain):
+                ends[part] = end
+                end = came[end]
+        chain.clear()
+        now = None
+
+    for p in parts:
+        first = scores.get((p.part, p.single))
+        if not before[p.part]["goes_on"]:
+            settle()
+        if p.single or before[p.part]["goes_on"]:
+            if before[p.part]["begun"] and now:
+                came = [best_of([now[r] + first[r][s] for r in range(N)]) for s in range(N)]
+                now = [now[r] + first[r][s] for s, r in enumerate(came)]
+                chain.append((p.part, came))
+            elif first and first[0]:
+                now = first[0]
+                chain.append((p.part, list(range(N))))
+        if not p.single:
+            settle()
+            own = scores[p.part, True]
+            if own and own[0]:
+                now = own[0]
+                chain.append((p.part, list(range(N))))
+    settle()
+    return ends
+
+
+def decoded(listed: DataFrame, folder: str, before: dict[int, dict], entry: dict[int, int | None], exits: dict[int, dict]) -> DataFrame:
+    """part, conv_id, first, last, turn (from 0 in the stretch, -1 for what goes on), role, text: the turns of each stretch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "conv_id", "first", "last", "turn", "role", "text"]
+        kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
+        for b in batches:
+            for part, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows: list[tuple] = []
+                for conv, lines, way, first, last in stretches(folder, file, before[part]):
+                    start = None
+                    if first and before[part]["begun"]:
+                        start = [0.0 if r == entry[part] else -1e300 for r in range(N)]
+                    if not lines:
+                        continue
+                    now, back = forward(lines, way, start)
+                    end = exits[part].get("first" if first and not last else "last") if first or last else None
+                    turn, role, held = -1, None, []
+                    for line, (r, opens) in zip(lines, path(back, best_of(now) if end is None else end), strict=True):
+                        if opens:
+                            if held:
+                                rows.append((part, conv, first, last, turn, role, "\n".join(held)))
+                            turn, role, held = turn + 1, named(line, r), []
+                        held.append(said(line, opens))
+                    rows.append((part, conv, first, last, turn, role, "\n".join(held)))
+                    if len(rows) > 20_000:
+                        yield pa.record_batch([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names)
+                        rows = []
+                yield pa.record_batch([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names)
+
+    return listed.mapInArrow(work, "part int, conv_id long, first boolean, last boolean, turn long, role string, text string")
+
+
+def turns_of_pieces(df: DataFrame) -> DataFrame:
+    """conv_id, turn_no (from 0), role, rendered: a row for each turn of the transcripts whose pieces are df: conv_id, place (in order), piece. What goes to the driver has a bounded number of rows for each partition."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "chat")
+    folder = scratch.path("files")
+    listed = scratch.save(kept(df, folder), "list")
+    parts = sorted(listed.collect(), key=lambda p: p.part)
+    before = carried(parts)
+    files = listed.select("part", "file").repartition(max(1, len(parts)))
+    sums = scratch.save(summed(files, folder, before), "sums").collect()
+    ends = borders(parts, before, sums)
+    entry, exits, previous = {}, {}, None
+    for k, p in enumerate(parts):
+        entry[p.part] = previous
+        on = k + 1 < len(parts) and before[parts[k + 1].part]["goes_on"]
+        exits[p.part] = {"last": ends.get(p.part) if on else None}
+        previous = ends.get(p.part, previous if p.single else None)
+    rows = scratch.save(decoded(files, folder, before, entry, exits), "turns")
+    # turns of a transcript are counted on from part to part
+    counts = {(r.part, r["first"], r["last"]): r.n for r in rows.where("first or last").groupBy("part", "first", "last").agg((F.max("turn") + 1).alias("n")).collect()}
+    base, total, known = [], 0, 0
+    for p in parts:
+        if not before[p.part]["goes_on"]:
+            total = 0
+        base.append((p.part, total))
+        total = total + counts.get((p.part, True, True), 0) if p.single else counts.get((p.part, False, True), 0)
+        known += 1
+    if not known:
+        return rows.select("conv_id", F.col("turn").alias("turn_no"), "role", F.col("text").alias("rendered"))
+    base = spark.createDataFrame(base, "part int, base long")
+    placed = rows.join(F.broadcast(base), "part").withColumn("turn_no", F.col("turn") + F.when(F.col("first"), F.col("base")).otherwise(0))
+    # only turns at the ends of parts can be in pieces
+    edge = F.col("turn") < 0
+    ended = placed.where("last").groupBy("part").agg(F.max("turn_no").alias("end")).withColumnRenamed("part", "of")
+    placed = placed.join(F.broadcast(ended), (F.col("part") == F.col("of")) & F.col("last") & (F.col("turn_no") == F.col("end")), "left").withColumn("split", edge | F.col("of").isNotNull())
+    parted = placed.where("split").groupBy("conv_id", "turn_no").agg(F.max("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    every = placed.where("not split").select("conv_id", "turn_no", "role", "text").unionByName(parted)
+    body = F.replace(F.btrim("text", F.lit(" \t\n\r\x0b\f")), F.lit("<|"), F.lit("<||"))
+    return every.select("conv_id", "turn_no", "role", F.concat(F.lit("<|"), "role", F.lit("|>\n"), body, F.lit("\n<|end|>\n")).alias("rendered"))
+
+
+def pieces(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, place, piece: each turn as it stands in a transcript; a fifth, and those without a role, have no marker."""
     rows = pick(df, conv_id=conversation, turn=turn, role=role, text=text)
     turn_no = F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    said = F.trim(F.coalesce("text", F.lit("")))
+    words = F.trim(F.coalesce("text", F.lit("")))
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     case = {"title": F.initcap("role"), "upper": F.upper("role"), "lower": F.lower("role")}
     written = F.lit(None).cast("string")
     for k, (form, kind) in enumerate(STYLES):
-        before, after = form.split("{}")
-        written = F.when(style == k, F.concat(F.lit(before), case[kind], F.lit(after))).otherwise(written)
-    place = F.pmod(turn_no, F.lit(SEGMENT))
-    bare = F.col("role").isNull() | (place > 0) & (F.pmod(F.xxhash64("conv_id") + turn_no, F.lit(5)) == 0) & (said != "")
-    piece = F.when(bare, F.concat(F.lit("\n"), said)).otherwise(F.concat(written, said))
-    rows = rows.select("conv_id", F.floor(turn_no / SEGMENT).cast("long").alias("segment"), F.struct(turn_no.alias("turn"), "role", piece.alias("piece")).alias("t"))
-    grouped = rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    return grouped.select("conv_id", "segment", F.array_join(F.transform("t", lambda t: t["piece"]), "\n").alias("transcript"))
+        start, end = form.split("{}")
+        written = F.when(style == k, F.concat(F.lit(start), case[kind], F.lit(end))).otherwise(written)
+    bare = F.col("role").isNull() | (turn_no > 0) & (F.pmod(F.xxhash64("conv_id") + turn_no, F.lit(5)) == 0) & (words != "")
+    piece = F.concat(F.lit("\n"), F.when(bare, words).otherwise(F.concat(written, words)))
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(turn_no.alias("turn"), "role", words.alias("text")).alias("place"), piece.alias("piece"))

@@ -35,7 +35,7 @@ FROM v LEFT JOIN d USING (vec_id) LEFT JOIN m USING (vec_id)
 
 #: What the transcripts' turns must be found to be, straight from the table.
 CHAT = """
-SELECT conv_id, (coalesce(turn, 0) // 64)::BIGINT AS segment, count(*)::BIGINT AS n_turns, string_agg(role, ',' ORDER BY turn, role, text) AS roles,
-       string_agg('<|' || role || '|>' || chr(10) || trim(coalesce(text, '')) || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-FROM conversations GROUP BY ALL
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, 0), role NULLS FIRST, trim(coalesce(text, ''))) - 1 AS turn_no, role,
+       '<|' || role || '|>' || chr(10) || replace(trim(coalesce(text, '')), '<|', '<||') || chr(10) || '<|end|>' || chr(10) AS rendered
+FROM conversations
 """

@@ -32,7 +32,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_hmm.formatted(chat_hmm.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return chat_hmm.turns_of_pieces(chat_hmm.pieces(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

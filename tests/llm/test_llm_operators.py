@@ -1,6 +1,8 @@
 """Each operator over odd rows: nulls in any column, empty and long texts, ties, repeated rows, an empty table, clashing extra columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -303,13 +305,69 @@ def test_a_page_of_many_blocks():
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "Be kind."), (1, 1, "user", "Why?\nReally?"), (1, 2, "assistant", "Because.\nIt is so."), (4, 0, "user", "Twice."), (4, 0, "user", "Twice."), (2, None, "user", None), (3, 0, None, "hello"), (None, 0, "user", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat_hmm.formatted(chat_hmm.transcripts(df)).collect()}
-    assert got[1].roles == "system,user,assistant"
-    assert got[1].rendered.startswith("<|system|>\nBe kind.\n<|end|>\n<|user|>\nWhy?\nReally?\n<|end|>\n")
-    assert got[2].n_turns == 1 and got[4].roles == "user,user" and got[3].rendered == "<|user|>\nhello\n<|end|>\n"
-    assert chat_hmm.formatted(chat_hmm.transcripts(df.limit(0))).count() == 0
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "user", "Why?\nReally?"), (1, 2, "assistant", "Because.\nIt is so."), (4, 0, "user", "Twice."), (4, 0, "user", "Twice."), (2, None, "user", None), (3, 0, None, "hello"), (None, 0, "user", "x <|end|>")]
+    df = spark.createDataFrame([(*r, "y") for r in rows], "conv_id long, turn long, role string, text string, piece string")
+    got = {}
+    for r in sorted(chat_hmm.turns_of_pieces(chat_hmm.pieces(df)).collect(), key=lambda r: r.turn_no):
+        got.setdefault(r.conv_id, []).append((r.role, r.rendered))
+    assert [r for r, _ in got[1]] == ["system", "user", "assistant"] and [r for r, _ in got[4]] == ["user", "user"]
+    assert got[1][1][1] == "<|user|>\nWhy?\nReally?\n<|end|>\n"
+    assert got[2] == [("user", "<|user|>\n\n<|end|>\n")] and got[3] == [("user", "<|user|>\nhello\n<|end|>\n")]
+    assert got[None] == [("user", "<|user|>\nx <||end|>\n<|end|>\n")]
+    assert chat_hmm.turns_of_pieces(chat_hmm.pieces(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 13])
+def test_a_transcript_spread_over_tasks(spark, partitions):
+    """However pieces are spread, turns are those of one run over the whole transcript."""
+    rng = random.Random(partitions)
+    marks = ["User: ", "Assistant: ", "System: ", "Tool: ", "", "", "\n", "\n", "[USER] ", "**Narrator:** ", "Question: ", "\n\n"]
+    rows = []
+    for conv, n in enumerate([400, 1, 2, 90, 3, 5, 1, 200, 7]):
+        rows += [(conv, k, rng.choice(["", "", "\n"]) + rng.choice(marks) + rng.choice(["", " ", "words stand here", "who goes?", "x" * 300, "a\nb", "User: not me", "Note: this"])) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, place long, piece string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {}
+        for r in chat_hmm.turns_of_pieces(df).collect():
+            got.setdefault(r.conv_id, []).append((r.turn_no, r.rendered))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for conv in {c for c, _, _ in rows}:
+        text = "\n".join(p for c, _, p in rows if c == conv)
+        want = [chat_hmm.render([t]) for t in chat_hmm.parse(text)]
+        assert [x for _, x in sorted(got.get(conv, []))] == want, conv
+        assert [k for k, _ in sorted(got.get(conv, []))] == list(range(len(want)))
+
+
+def brute_roles(text):
+    """The best path by trying all."""
+    lines, _ = chat_hmm.read(text)
+    way, best = chat_hmm.example(lines), (-math.inf, None)
+    n = chat_hmm.N
+    for states in itertools.product(range(2 * n), repeat=len(lines)):
+        score = 0.0
+        for k, (line, s) in enumerate(zip(lines, states, strict=True)):
+            first, later = chat_hmm.seen(line, way)
+            r, opens = s % n, s < n
+            if k == 0:
+                score += (chat_hmm.LOG_FIRST[r] if opens else -math.inf) + first[r]
+            else:
+                b = states[k - 1] % n
+                score += chat_hmm.LOG_AFTER[b][r] + first[r] if opens else (chat_hmm.LOG_STAY if b == r else -math.inf) + later[r]
+        best = max(best, (score, [(s % n, s < n) for s in states]))
+    return best
+
+
+@pytest.mark.parametrize("text", ["User: hi\nAssistant: so\nwell", "hello\n\nwhat?\n\nthis", "[USER] a\nUser: b\n[BOT] c", "Q: why?\nA: so\nNote: x"])
+def test_viterbi_is_the_best_path(text):
+    lines, _ = chat_hmm.read(text)
+    now, back = chat_hmm.forward(lines, chat_hmm.example(lines), None)
+    score, states = brute_roles(text)
+    assert max(now) == pytest.approx(score) and chat_hmm.path(back, chat_hmm.best_of(now)) == states
 
 
 @pytest.mark.parametrize(
@@ -318,8 +376,14 @@ def test_chat(spark):
         ("User: hi\nAssistant: hello\nthere\nUser: bye", ["user", "assistant", "user"]),
         ("Human> what is it?\n\nIt is a thing that goes on.\n\nWho says so?", ["user", "assistant", "user"]),
         ("### System\nRules\n### User\nhi\n### Assistant\nyes", ["system", "user", "assistant"]),
+        ("User: he said\nUser: not me\nand left\nAssistant: yes", ["user", "assistant"]),
+        ("User: hi\nQuestion: what?\nAssistant: yes", ["user", "assistant"]),
+        ("Q: what?\nA: this\nQ: why?\nA: so", ["user", "assistant", "user", "assistant"]),
+        ("User: hi\nAssistant: I look\nTool: 42\nAssistant: it is 42", ["user", "assistant", "tool", "assistant"]),
+        ("[USER] hi\n\n[NARRATOR] night falls\n\n[BOT] yes", ["user", "narrator", "assistant"]),
         ("", []),
         ("\n \n", []),
+        ("x " * 100_000, ["user"]),
     ],
 )
 def test_viterbi(text, roles):
@@ -327,6 +391,10 @@ def test_viterbi(text, roles):
     assert [r for r, _ in chat_hmm.parse(None)] == []
 
 
+def test_words_of_a_turn_stay():
+    assert chat_hmm.parse("User: hi\nQuestion: what?\nAssistant: yes")[0] == ("user", "hi\nQuestion: what?")
+
+
 def brute_groups(rows, percent=85):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
