@@ -1,16 +1,17 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Documents with the same set of five-word shingles become one node first. A node's signature has 64 minima.
-Each of 24 trees orders the nodes by eight of them, four and then four more; nodes that stand next to each
-other there and agree in the first four at least are candidates. So depth adapts to the region: where few
-agree, neighbours share four values, where many do, they share all eight. Orders are made by range
+Each of 24 trees orders the nodes by eight of them, and of each two neighbours there the longest common prefix is
+taken; those that share FIRST values at least are candidates, as deep as they share any. Orders are made by range
 partitioning on (values, id), so that even equal signatures are spread over all tasks; neighbours across two
 partitions are joined from the partitions' first and last rows.
 
-Candidates are confirmed on full shingle sets: first those of eight trees; then, round by round, those of all
-trees that still stand in different components, and beside them the hubs of these components (the node with
-most links in each), until a round has nothing new to test or finds no link. A group around one text whose
-copies differ among themselves is so joined through that text.
+Candidates are confirmed on full shingle sets. Depth adapts to the region: each node first meets those of its
+neighbours, over all trees, with which it shares the longest prefix, however long that is around it. Then, round by
+round, come the shallower ones that still stand in different components, and beside them the hubs of these
+components (the node with most links in each), until a round has nothing new to test or finds no link. A group
+around one text whose copies differ among themselves is so joined through that text. A node that many pairs
+name is salted: the other node's set travels, and its own is laid out once for each HOT pairs.
 
 Trees and hubs find most links, but not surely all. What still stands apart is settled by an exact join: of
 each node's shingles, rarest first, so many are listed that two similar sets must share a listed one. Nodes of
@@ -20,7 +21,8 @@ sample; the order decides the cost only, as any order that is one for all nodes
 
 Only candidates' sets are made, from their texts; signatures, listed shingles and ids are all that is sorted.
 
-Defined results: null and empty texts, and texts of white space, have no shingles, link with nothing, are
+Texts of any length count whole. Columns other than the two named play no part, whatever their names; an empty
+table gives an empty one. Defined results: null and empty texts, and texts of white space, have no shingles, link with nothing, are
 their own component and are kept. Rows with equal sets are always linked. Rows that repeat a doc_id have its
 component each. A row without doc_id takes the component of its set, null if no row has an id there; it is
 kept only in that last case.
@@ -41,8 +43,8 @@ from docloom.llm.components import components
 from docloom.llm.storage import Scratch
 
 SHINGLE, MINIMA, TREES, FIRST, DEPTH = 5, 64, 24, 4, 8
-#: Trees whose candidates are tested at once; those of the others only where components still differ.
-BEFORE = 8
+#: Pairs that one copy of a set serves at most.
+HOT = 200
 REMEMBERED = 600_000
 #: Documents that shingles' frequencies are estimated from, and the frequent shingles that tasks know.
 SAMPLE, FREQUENT = 20_000, 200_000
@@ -147,9 +149,14 @@ def tree_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "n", "signature").mapInArrow(work, "place binary, id long, n long")
 
 
-SHARED = 1 + 4 * FIRST
-#: A pair needs sizes no further apart than this share.
-PAIR = "a long, b long, na long, nb long, tree int, part int, place binary"
+PLACE = 1 + 4 * DEPTH
+PAIR = "a long, b long, na long, nb long, depth int, part int, place binary"
+
+
+def common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values the places (rows of bytes) share before the first that differs; 0 in different trees."""
+    same = (x[:, 1:] == y[:, 1:]).reshape(len(x), DEPTH, 4).all(2) & (x[:, :1] == y[:, :1])
+    return np.minimum.accumulate(same, axis=1).sum(1)
 
 
 def close_sizes(x, y, percent: int):
@@ -157,7 +164,7 @@ def close_sizes(x, y, percent: int):
 
 
 def neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """Neighbours in each tree's order that agree in the first values; and of each partition its first and last row (place not null; b null for the last)."""
+    """Neighbours in each tree's order that share FIRST values or more, and how many; and of each partition its first and last row (place not null; b null for the last)."""
     ordered = rows.repartitionByRange("place", "id").sortWithinPartitions("place", "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +173,7 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
         part, last = TaskContext.get().partitionId(), None
 
         def edge(row, first: bool) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([row[1]], pa.int64()), pa.array([row[1] if first else None], pa.int64()), pa.array([row[2]], pa.int64()), pa.array([row[2]], pa.int64()), pa.array([row[0][0]], pa.int32()), pa.array([part], pa.int32()), pa.array([row[0]], pa.binary())], ["a", "b", "na", "nb", "tree", "part", "place"])
+            return pa.record_batch([pa.array([row[1]], pa.int64()), pa.array([row[1] if first else None], pa.int64()), pa.array([row[2]], pa.int64()), pa.array([row[2]], pa.int64()), pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([row[0]], pa.binary())], ["a", "b", "na", "nb", "depth", "part", "place"])
 
         for b in batches:
             if not b.num_rows:
@@ -178,12 +185,13 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
             else:
                 places, ids, n = [last[0], *places], np.append(last[1], ids), np.append(last[2], n)
             last = (places[-1], int(ids[-1]), int(n[-1]))
-            heads = np.frombuffer(b"".join(p[:SHARED] for p in places), np.uint8).reshape(-1, SHARED)
-            at = np.flatnonzero((heads[1:] == heads[:-1]).all(1) & (ids[1:] != ids[:-1]) & close_sizes(n[1:], n[:-1], percent))
+            rows = np.frombuffer(b"".join(places), np.uint8).reshape(-1, PLACE)
+            depth = common_prefix(rows[1:], rows[:-1])
+            at = np.flatnonzero((depth >= FIRST) & (ids[1:] != ids[:-1]) & close_sizes(n[1:], n[:-1], percent))
             if len(at):
                 swap = ids[at] > ids[at + 1]
                 low, high = np.where(swap, at + 1, at), np.where(swap, at, at + 1)
-                yield pa.record_batch([pa.array(ids[low]), pa.array(ids[high]), pa.array(n[low]), pa.array(n[high]), pa.array(heads[at, 0].astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.nulls(len(at), pa.binary())], ["a", "b", "na", "nb", "tree", "part", "place"])
+                yield pa.record_batch([pa.array(ids[low]), pa.array(ids[high]), pa.array(n[low]), pa.array(n[high]), pa.array(depth[at].astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.nulls(len(at), pa.binary())], ["a", "b", "na", "nb", "depth", "part", "place"])
         if last is not None:
             yield edge(last, False)
 
@@ -194,9 +202,11 @@ def across(edges: list, percent: int) -> list[tuple]:
     """Pairs between the last row of a partition and the first of the next."""
     found, last = [], None
     for e in sorted(edges, key=lambda e: (e.part, e.b is None)):
-        if e.b is not None and last is not None and last.place[:SHARED] == e.place[:SHARED] and last.a != e.a and close_sizes(last.na, e.na, percent):
-            x, y = sorted([(last.a, last.na), (e.a, e.na)])
-            found.append((x[0], y[0], x[1], y[1], e.tree))
+        if e.b is not None and last is not None and last.a != e.a and close_sizes(last.na, e.na, percent):
+            depth = int(common_prefix(*(np.frombuffer(p, np.uint8).reshape(1, -1) for p in (last.place, e.place)))[0])
+            if depth >= FIRST:
+                x, y = sorted([(last.a, last.na), (e.a, e.na)])
+                found.append((x[0], y[0], x[1], y[1], depth))
         if e.b is None:
             last = e
     return found
@@ -219,12 +229,28 @@ def shingle_sets(df: DataFrame, wanted: DataFrame, key: str = "doc_id", text: st
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    """The pairs (a, b) whose whole sets are similar enough. The set of the less frequent node joins first and travels; the other's is laid out for every salt."""
+    scratch = Scratch(pairs.sparkSession, "confirm")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs")).where(F.col("pairs") > HOT)
+    often = scratch.save(ends.select("id", F.ceil(F.col("pairs") / HOT).cast("int").alias("salts")), "often")
+    named = pairs.select("a", "b")
+    for side in "ab":
+        named = named.join(often.toDF(side, f"salts_{side}"), side, "left").withColumn(f"salts_{side}", F.coalesce(f"salts_{side}", F.lit(1)))
+    swap = F.col("salts_a") > F.col("salts_b")
+    named = named.select("a", "b", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("many"), F.pmod(F.xxhash64("a", "b"), F.greatest("salts_a", "salts_b")).cast("int").alias("salt"))
+    laid = sets.join(often, "id", "left").select(F.col("id").alias("many"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    both = named.join(sets.select(F.col("id").alias("few"), F.col("shingles").alias("x")), "few").join(laid, ["many", "salt"])
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")).where("linked").select("a", "b").distinct()
 
 
+def deepest_first(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as long a prefix as one of the two shares with any node."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "depth").groupBy("id").agg(F.max("depth").alias("deepest"))
+    at = pairs.join(ends.toDF("a", "deepest_a"), "a").join(ends.toDF("b", "deepest_b"), "b")
+    return at.where((F.col("depth") == F.col("deepest_a")) | (F.col("depth") == F.col("deepest_b"))).select("a", "b")
+
+
 def shared_lists(nodes: DataFrame) -> DataFrame:
     """g, id, n, pos: each node's listed shingles with their places, where another node lists the same."""
     rows = nodes.select("id", "n", F.posexplode("listed").alias("pos", "g")).select("g", "id", "n", "pos")
@@ -290,14 +316,14 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
     nodes = scratch.save(nodes, "nodes")
     found = scratch.save(neighbours(tree_rows(nodes), percent), "found")
     edges = found.where("place is not null").collect()
-    pairs = found.where("place is null").select("a", "b", "na", "nb", "tree")
+    pairs = found.where("place is null").select("a", "b", "na", "nb", "depth")
     if more := across(edges, percent):
-        pairs = pairs.unionByName(spark.createDataFrame(more, "a long, b long, na long, nb long, tree int"))
-    pairs = scratch.save(pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("tree").alias("tree")), "pairs")
+        pairs = pairs.unionByName(spark.createDataFrame(more, "a long, b long, na long, nb long, depth int"))
+    pairs = scratch.save(pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("depth").alias("depth")), "pairs")
     wanted = scratch.save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
     sets = scratch.save(shingle_sets(df, wanted, key, text), "sets")
     scratch.drop("found")
-    tested = scratch.save(pairs.where(F.col("tree") < BEFORE).select("a", "b"), "tested0")
+    tested = scratch.save(deepest_first(pairs), "tested0")
     links = scratch.save(confirmed(tested, sets, percent), "links0")
     labels = components(links)
     k = 0
@@ -344,7 +370,7 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
         more = scratch.save(confirmed(close, scratch.save(shingle_sets(df, ids, key, text), f"sets{k}"), percent), f"exact{k}")
         links = scratch.save(links.unionByName(more), f"all_links{k}")
         labels = scratch.save(components(links), f"all_labels{k}")
-    scratch.drop("lists", "nodes")
+    scratch.drop("lists", "nodes", "pairs", "wanted")
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
