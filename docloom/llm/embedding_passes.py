@@ -1,21 +1,24 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Equal vectors of a label become one node first. A node's sketch has 256 signs of random projections. Each
-pass orders the nodes of every label lexicographically by 64 of the signs, in an order of its own, and
+pass orders the nodes of a label lexicographically by 64 of the signs, in an order of its own, and
 compares each node's sketch with those of the WINDOW nodes before it; pairs whose sketches don't rule out
 the wanted cosine are verified in double precision on the vectors. Verified pairs of all passes are united
-into components. Orders are made by range partitioning on (pass, label, signs, id), so that a label with a
-third of all rows is spread over all tasks.
+into components. A label gets as many passes as a lone pair at the wanted cosine needs to be met with a
+chance of MISS short of one, given how many nodes stand between the two by chance. Orders are made by range
+partitioning on (pass, label, signs, id), so that a label with a third of all rows is spread over all tasks.
 
-A window bounds the pairs that a pass finds, so a second step without bound follows: within each label all
-vectors of a length are compared, in blocks of BLOCK, each pair of blocks a group of its own. Counts leave a
-group, and those links that join components which the passes left apart, a forest of them at most. So links and
-components are exact; the work grows with the square of a label's distinct vectors.
+A window bounds the pairs that a pass finds, so an exact check without bound follows: within each label all vectors
+of a length are compared, in blocks, each pair of blocks a group of its own. A block is packed into one row, and
+is sent once for each block of its label. Counts leave a group, and those links that join components which
+the passes left apart, a forest of them at most. So links and components are exact; the work grows with the
+square of a label's distinct vectors, what is sent with that of its blocks.
 
 Defined results: a null label, and a vector that is null, empty, zero or holds null or non-finite components,
 links with nothing; such a row is its own component and kept. Rows with equal labels and vectors are always
 linked; vectors of different lengths never. A row without vec_id counts as a vector, has the component of
-its copies, and is kept only where there is none.
+its copies, and is kept only where there is none. Rows that repeat a vec_id count each. An empty table gives an empty
+one; columns other than the three named play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,11 @@ from docloom.llm.columns import pick
 from docloom.llm.components import components
 from docloom.llm.storage import Scratch
 
-SIGNS, PASSES, KEY, WINDOW, BLOCK = 256, 24, 64, 4, 1024
+SIGNS, KEY, WINDOW = 256, 64, 4
+#: A lone pair at the wanted cosine is missed with this chance, about; passes of a label, at least and at most.
+MISS, PASSES = 0.02, (4, 160)
+#: Bytes of a block of vectors, about, and rows of it that are compared at once.
+BLOCK, TILE = 4 << 20, 512
 #: Standard deviations of the sketch that the wanted cosine may be missed by.
 SLACK = 6.0
 
@@ -43,7 +50,7 @@ def projections(size: int) -> np.ndarray:
 
 def orders() -> np.ndarray:
     rng = np.random.default_rng(32)
-    return np.stack([rng.permutation(SIGNS)[:KEY] for _ in range(PASSES)])
+    return np.stack([rng.permutation(SIGNS)[:KEY] for _ in range(PASSES[1])])
 
 
 def most_differing(cosine: float) -> int:
@@ -51,8 +58,16 @@ def most_differing(cosine: float) -> int:
     return int(SIGNS * p + SLACK * np.sqrt(SIGNS * p * (1 - p)))
 
 
-def pass_rows(nodes: DataFrame) -> DataFrame:
-    """A row for each node and pass: pass, label, key (signs), id, sketch."""
+def passes_for(nodes: np.ndarray, cosine: float) -> np.ndarray:
+    """Passes for labels with so many nodes. The two of a pair agree in a sign with chance p, and stand within the window of each other about when they agree in so many first signs as leave WINDOW nodes of the label."""
+    p = 1 - np.arccos(min(cosine, 1.0)) / np.pi
+    hit = p ** np.maximum(np.log2(np.maximum(nodes, 1) / WINDOW), 0.0)
+    return np.clip(np.ceil(np.log(MISS) / np.log1p(-np.minimum(hit, 0.999))), *PASSES).astype(int)
+
+
+def pass_rows(nodes: DataFrame, cosine: float) -> DataFrame:
+    """A row for each node and pass of its label: pass, label, key (signs), id, sketch."""
+    sizes = Scratch(nodes.sparkSession, "sizes").save(nodes.groupBy("label").agg(F.count("*").alias("nodes")).withColumnRenamed("label", "of"), "labels")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -60,17 +75,20 @@ def pass_rows(nodes: DataFrame) -> DataFrame:
         for b in batches:
             ids, labels = b.column(0), b.column(1)
             vectors = [np.array(x, float) for x in b.column(2).to_pylist()]
+            passes = passes_for(b.column(3).to_numpy(), cosine)
             signs = np.zeros((len(vectors), SIGNS), np.uint8)
             for k, v in enumerate(vectors):
                 if len(v) not in planes:
                     planes[len(v)] = projections(len(v))
                 signs[k] = planes[len(v)] @ v > 0
             sketch = pa.array([x.tobytes() for x in np.packbits(signs, axis=1)], pa.binary())
-            for p in range(PASSES):
-                key = pa.array([x.tobytes() for x in np.packbits(signs[:, picks[p]], axis=1)], pa.binary())
-                yield pa.record_batch([pa.array(np.full(len(ids), p, np.int32)), labels, key, ids, sketch], ["pass", "label", "key", "id", "sketch"])
+            for p in range(int(passes.max(initial=0))):
+                at = pa.array(np.flatnonzero(passes > p))
+                key = pa.array([x.tobytes() for x in np.packbits(signs[passes > p][:, picks[p]], axis=1)], pa.binary())
+                yield pa.record_batch([pa.array(np.full(len(at), p, np.int32)), labels.take(at), key, ids.take(at), sketch.take(at)], ["pass", "label", "key", "id", "sketch"])
 
-    return nodes.select("id", "label", "vector").mapInArrow(work, f"pass int, label {dict(nodes.dtypes)['label']}, key binary, id long, sketch binary")
+    at = nodes.join(sizes, F.col("label") == F.col("of")).select("id", "label", "vector", "nodes")
+    return at.mapInArrow(work, f"pass int, label {dict(nodes.dtypes)['label']}, key binary, id long, sketch binary")
 
 
 def near_in(groups: list, ids: np.ndarray, sketches: np.ndarray, limit: int, fresh: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,51 +193,81 @@ def bridges(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return found
 
 
-def all_links(nodes: DataFrame, cosine: float) -> DataFrame:
-    """id, links (vectors of other nodes of the label at that cosine), other null; and, links null, components (id, other) that a link joins. nodes: id, label, component, vector, copies."""
-    scratch = Scratch(nodes.sparkSession, "counts")
+def blocks(nodes: DataFrame) -> DataFrame:
+    """label, size, own (number of the block), blocks (of its label and size), and packed: ids, components, copies, vectors."""
+    scratch = Scratch(nodes.sparkSession, "blocks")
     nodes = nodes.withColumn("size", F.size("vector"))
-    sizes = scratch.save(nodes.groupBy("label", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).toDF("of", "of_size", "blocks"), "sizes")
+    count = F.ceil(F.count("*") * F.col("size") * 8 / BLOCK).cast("int")
+    sizes = scratch.save(nodes.groupBy("label", "size").agg(count.alias("blocks")).toDF("of", "of_size", "blocks"), "sizes")
     own = nodes.join(sizes, (F.col("label") == F.col("of")) & (F.col("size") == F.col("of_size"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("label", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "vector", "copies")
+    kind = dict(nodes.dtypes)["label"]
+
+    def pack(t: pd.DataFrame) -> pd.DataFrame:
+        v = unit(np.stack([np.asarray(x, float) for x in t["vector"]]))
+        first = t.iloc[0]
+        return pd.DataFrame({"label": [first["label"]], "size": [first["size"]], "own": [first["own"]], "blocks": [first["blocks"]], "ids": [t["id"].to_numpy(np.int64).tobytes()], "components": [t["component"].to_numpy(np.int64).tobytes()], "copies": [t["copies"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()]})
+
+    packed = own.select("label", "size", "own", "blocks", "id", "component", "copies", "vector").groupBy("label", "size", "own")
+    return scratch.save(packed.applyInPandas(pack, f"label {kind}, size int, own int, blocks int, ids binary, components binary, copies binary, vectors binary"), "packed")
+
+
+def all_links(nodes: DataFrame, cosine: float) -> DataFrame:
+    """id, links (vectors of other nodes of the label at that cosine), other null; and, links null, components (id, other) that a link joins. nodes: id, label, component, vector, copies."""
+    packed = blocks(nodes)
+    dealt = packed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
 
     def work(key, t: pd.DataFrame) -> pd.DataFrame:
-        _, _, i, j = key
-        v, n, ids, of, parts = unit(np.stack([np.asarray(x, float) for x in t["vector"]])), t["copies"].to_numpy(), t["id"].to_numpy(), t["own"].to_numpy(), t["component"].to_numpy()
-        x, y = of == i, of == j
-        near = v[x] @ v[y].T >= cosine
-        if i == j:
-            np.fill_diagonal(near, False)
-            counts = [(ids, near @ n)]
-        else:
-            counts = [(ids[x], near @ n[y]), (ids[y], n[x] @ near)]
-        joins = bridges(near, parts[x], parts[y])
+        _, size, i, j = key
+        sides = {r.own: (np.frombuffer(r.ids, np.int64), np.frombuffer(r.components, np.int64), np.frombuffer(r.copies, np.int64), np.frombuffer(r.vectors, float).reshape(-1, size)) for r in t.itertuples()}
+        # a block of hash classes may be empty
+        if i not in sides or j not in sides:
+            return pd.DataFrame({"id": pd.array([], "Int64"), "links": pd.array([], "Int64"), "other": pd.array([], "Int64")})
+        (ids, parts, n, v), (ids2, parts2, n2, w) = sides[i], sides[j]
+        left, right, joins = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64), []
+        for at in range(0, len(ids), TILE):
+            near = v[at : at + TILE] @ w.T >= cosine
+            if i == j:
+                near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+            else:
+                right += n[at : at + TILE] @ near
+            left[at : at + TILE] = near @ n2
+            joins += bridges(near, parts[at : at + TILE], parts2)
+        known = ids if i == j else np.concatenate([ids, ids2])
+        counts = left if i == j else np.concatenate([left, right])
         return pd.DataFrame({
-            "id": np.concatenate([np.concatenate([a for a, _ in counts]), np.array([a for a, _ in joins], np.int64)]),
-            "links": pd.array([*np.concatenate([c for _, c in counts]).tolist(), *[None] * len(joins)], "Int64"),
-            "other": pd.array([*[None] * sum(len(a) for a, _ in counts), *[b for _, b in joins]], "Int64"),
+            "id": np.concatenate([known, np.array([a for a, _ in joins], np.int64)]),
+            "links": pd.array([*counts.tolist(), *[None] * len(joins)], "Int64"),
+            "other": pd.array([*[None] * len(known), *[b for _, b in joins]], "Int64"),
         })
 
     return dealt.groupBy("label", "size", "i", "j").applyInPandas(work, "id long, links long, other long")
 
 
+def pass_links(nodes: DataFrame, cosine: float) -> DataFrame:
+    """The links (a, b) that the passes find. nodes: id, label, vector. Partitions' first and last WINDOW rows come to the driver."""
+    spark = nodes.sparkSession
+    scratch = Scratch(spark, "passes")
+    found = scratch.save(candidates(pass_rows(nodes, cosine), cosine), "found")
+    pairs = found.where("sketch is null").select("a", "b")
+    if more := across(found.where("sketch is not null").collect(), cosine):
+        pairs = pairs.unionByName(spark.createDataFrame(more, "a long, b long"))
+    links = scratch.save(verified(scratch.save(pairs.distinct(), "pairs"), nodes.select("id", "vector"), cosine), "links")
+    scratch.drop("found", "pairs")
+    return links
+
+
 def groups(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     spark = df.sparkSession
-    scratch = Scratch(spark, "passes")
+    scratch = Scratch(spark, "vectors")
     rows = pick(df, vec_id=key, vector=vector, label=label).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"), "label")
     good = rows.where(usable(F.col("vector"), F.col("label")))
     # -0.0 and 0.0 are one number, as in the comparison
     same = F.xxhash64("label", F.transform("vector", lambda x: x + F.lit(0.0)))
     nodes = good.groupBy("label", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector")).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     nodes = scratch.save(nodes.where("id is not null"), "nodes")
-    found = scratch.save(candidates(pass_rows(nodes), cosine), "found")
-    pairs = found.where("sketch is null").select("a", "b")
-    if more := across(found.where("sketch is not null").collect(), cosine):
-        pairs = pairs.unionByName(spark.createDataFrame(more, "a long, b long"))
-    links = scratch.save(verified(scratch.save(pairs.distinct(), "pairs"), nodes.select("id", "vector"), cosine), "links")
-    scratch.drop("found")
+    links = pass_links(nodes, cosine)
     labels = scratch.save(components(links), "labels")
     placed = nodes.join(labels, nodes.id == labels.node, "left").select("id", "label", F.coalesce("component", "id").alias("component"), "vector", "copies")
     placed = scratch.save(placed, "placed")

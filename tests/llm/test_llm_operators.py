@@ -471,6 +471,20 @@ def test_near_duplicates_without_centre(spark):
     assert {d: r.component_id for d, r in got.items()} == {d: c for d, (_, c) in want.items()}
 
 
+def test_a_hub_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "HOT", 5)
+    sets = spark.createDataFrame([(k, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10 + k % 3]) for k in range(60)] + [(100, [50])], "id long, shingles array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(k, 100) for k in range(60)] + [(3, 4), (7, 8)], "a long, b long")
+    got = {(r.a, r.b) for r in minhash_forest.confirmed(pairs, sets, 85).collect()}
+    assert got == {(0, k) for k in range(3, 60, 3)}
+    assert {(r.a, r.b) for r in minhash_forest.confirmed(pairs, sets, 80).collect()} == {(0, k) for k in range(1, 60)} | {(3, 4), (7, 8)}
+
+
+def test_common_prefix():
+    rows = np.array([[1, *[0, 0, 0, 7] * 8], [1, *[0, 0, 0, 7] * 5, 0, 0, 0, 8, *[0, 0, 0, 7] * 2], [2, *[0, 0, 0, 7] * 8], [2, *[0, 0, 0, 7] * 8]], np.uint8)
+    assert minhash_forest.common_prefix(rows[1:], rows[:-1]).tolist() == [5, 0, 8]
+
+
 def test_rules(docs, none):
     got = by_id(fertility_rules.verdicts(docs, PIECES, BYTES))
     for k, t in enumerate(texts()):
@@ -603,12 +617,41 @@ def test_embeddings(spark):
 
 
 def test_wide_component_counts(spark, monkeypatch):
-    monkeypatch.setattr(embedding_passes, "BLOCK", 8)
+    monkeypatch.setattr(embedding_passes, "BLOCK", 8 * 2 * 8)
+    monkeypatch.setattr(embedding_passes, "TILE", 3)
     v = [[1.0, 0.01 * k] for k in range(40)]
     df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
     assert {r.n_links for r in embedding_passes.groups(df).collect()} == {39}
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_recall_of_the_passes(spark, n):
+    """Lone pairs just above the limit, among so many others of their label, by the passes alone."""
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64))
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    lone = n // 4
+    w = rng.standard_normal((lone, 64))
+    w -= (w * v[:lone]).sum(1, keepdims=True) * v[:lone]
+    w /= np.sqrt((w * w).sum(1, keepdims=True))
+    c = rng.uniform(0.9301, 0.95, (lone, 1))
+    v[lone : 2 * lone] = c * v[:lone] + np.sqrt(1 - c * c) * w
+    df = spark.createDataFrame([(k, 1, x) for k, x in enumerate(v.tolist())], "id long, label int, vector array<double>")
+    got = {(r.a, r.b) for r in embedding_passes.pass_links(df, 0.93).collect()}
+    want = {(k, lone + k) for k in range(lone)}
+    assert got == got & want and len(got) >= 0.9 * lone, len(got) / lone
+
+
+def test_nearly_tied_cosines(spark):
+    v = [[1.0, 0.0], [0.93, math.sqrt(1 - 0.93**2)], [0.9299, math.sqrt(1 - 0.9299**2)], [0.9301, math.sqrt(1 - 0.9301**2)]]
+    df = spark.createDataFrame([(k, x, "a") for k, x in enumerate(v)] + [(1, v[1], "a"), (9, v[0], "b")], "vec_id long, embedding array<double>, label string")
+    got = {(r.vec_id, r.n_links) for r in embedding_passes.groups(df).collect()}
+    u = np.array([x for x in v] + [v[1]])
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    want = {(int(k), int(n) - 1) for k, n in zip([0, 1, 2, 3, 1], (u @ u.T >= 0.93).sum(1), strict=True)}
+    assert got == want | {(9, 0)}
+
+
 def test_dense_region_of_embeddings(spark):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal(64)
