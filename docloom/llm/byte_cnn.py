@@ -6,10 +6,13 @@ over all chunks go into one logistic unit. A filter is a table for each of its f
 costs two look-ups of byte pairs a byte.
 
 Fitting runs on the driver over a bounded sample (SAMPLE rows at most, those with the lowest hash of their
-id); scoring runs where the texts are, without a shuffle.
+id, of texts of LENGTH characters at most); scoring runs where the texts are, over the whole of every text, without
+a shuffle.
 
 Defined results: a null text counts as empty; an empty text gets the score of no chunks at all. Without
-usable labels every score is 0.5.
+usable labels every score is 0.5. A label that a doc_id has twice counts as the greater; of several texts with one
+doc_id the least is learned. Repeated rows and rows without doc_id are scored each on their own (rows without are never
+learned from); an empty table gives an empty one; columns other than those named play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from docloom.llm.token_counts import in_portions
 WIDTH, FILTERS, CELL, CELLS, HOP = 4, 16, 64, 4, 2
 #: Labelled rows for fitting, at most.
 SAMPLE = 3000
+#: Characters of a text that may be learned from, so that what comes to the driver is bounded.
+LENGTH = 50_000
 #: Bytes whose answers are in memory at once.
 BLOCK = 1 << 18
 
@@ -160,7 +165,7 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """Fits on at most sample labelled rows outside the held-out third."""
     known = pick(labels, doc_id=key, y=label).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = pick(df, doc_id=key, text=text).join(F.broadcast(chosen), "doc_id")
+    found = pick(df, doc_id=key, text=text).where(F.coalesce(F.length("text"), F.lit(0)) <= LENGTH).join(F.broadcast(chosen), "doc_id")
     rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text or "" for r in rows], [int(r.y) for r in rows])

@@ -12,6 +12,8 @@ bound. Runs of spaces have pieces of one common score, for which no unique last
 merged by the ordinary agenda instead, after everything else, as their score is below all others.
 
 Defined results: a null text counts as empty; an empty text has no ids (the digest of the empty string).
+Repeated rows and rows without doc_id are encoded each on their own, texts of any length whole; an empty table
+gives an empty one; columns other than the two named play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,14 +10,16 @@ begin anywhere.
     block  = minimum u32, width u8, exceptions u32, planes, places u16 each, values u32 each
     footer = docs u64, ids u64, blocks u64, starts u64 each, doc ids i64 each, no id u8 each, lengths u64 each
 
-Documents go to files by ranges of doc_id (null first, equal ids by text), so that files in order are the
-corpus in order. A file is written under a name of its own for each attempt of a task; only names of
+Documents go to files by ranges of doc_id (null first, equal ids by a hash of their texts, so that they too are
+spread), so that files in order are the corpus in order. A file is written under a name of its own for each attempt of a task; only names of
 successful attempts are read. Files are reached by pyarrow's file systems, in the folder shared by all
 executors. Texts are encoded in stretches that begin before a space or line feed with no white space on
 either side, where the pre-tokenizer always splits; each worker keeps the ids of stretches, within a bound.
 A new stretch that ends in signs is put together from its word and its signs.
 
-Defined results: a null text counts as empty; an empty document has the end id alone.
+Defined results: a null text counts as empty; an empty document has the end id alone. Repeated rows, and rows
+without doc_id, are documents each. Texts of any length are encoded whole; an empty table gives no file and no row;
+columns other than the two named play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -231,7 +233,8 @@ def encoder(tokenizer_file: str) -> StretchEncoder:
 def write_token_files(df: DataFrame, tokenizer_file: str, folder: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encodes df and writes it below folder. Lazy; returns a row for each file: part, file, n_docs, n_ids. To be run once: save it before reading it."""
     source = pick(df, doc_id=key, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    source = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # equal ids, and rows without one, are spread by their texts
+    source = source.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     end = struct.pack("<I", end_id)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

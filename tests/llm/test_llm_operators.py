@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.llm.storage import Scratch
 from docloom.llm import byte_cnn, chat_hmm, embedding_passes, fertility_rules, html_mincut, minhash_forest, sentencepiece_codec, source_mix, token_counts, token_files
 
 PIECES, WORDS, BYTES = map(public_tokenizers.path, ("piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -98,6 +99,14 @@ def test_token_counts_by_either_way(docs, monkeypatch, frequent):
     assert got == sorted((r.doc_id is None, r.doc_id, len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
 
 
+def test_rows_that_share_an_id_are_spread(spark):
+    df = spark.createDataFrame([(None if k % 2 else 7, f"text number {k}") for k in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = token_files.write_token_files(df, BYTES, Scratch(spark, "spread").path("files"), 2).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) == 4 and max(r.n_docs for r in files) < 200
+
+
 def test_token_files(docs, none):
     from tokenizers import Tokenizer
 
@@ -574,6 +583,49 @@ def test_classifier(spark, none):
     assert {r.score for r in byte_cnn.score(docs, byte_cnn.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_classifier_on_odd_labels(spark):
+    """Repeated rows on both sides, ties, clashing columns and very long texts."""
+    rng = random.Random(7)
+    good = lambda n: " ".join(rng.choice(["the", "house", "is", "old"]) for _ in range(n)) + "."
+    rows = [(k, good(50) if k % 2 else "### " * 60, 1, "x") for k in range(120)]
+    rows += rows[:30] + [(3, "### " * 60, 1, "x"), (500, good(60_000), 1, "x"), (501, "### " * 60_000, 1, "x"), (None, good(9), 1, "x"), (500, None, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, lang string")
+    labels = spark.createDataFrame([(k, k % 2, "y") for k in range(120)] * 2 + [(0, 1, "y"), (500, 1, "y"), (None, 0, "y"), (7, None, "y")], "doc_id long, quality int, text string")
+    net = byte_cnn.train(docs, labels)
+    got = byte_cnn.score(docs, net).collect()
+    assert len(got) == len(rows)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(by_text[k]) == 1 for k in range(30) if k != 3) and len(by_text[500]) == 2
+    assert max(by_text[500]) > 0.9 and max(by_text[501]) < 0.1
+    assert byte_cnn.train(docs, labels, sample=1).scores(["x"]) == [0.5]
+
+
+def plain_score(net, text):
+    """The network byte by byte: filters over the text and the zeros behind it, chunks of places, means and maxima."""
+    raw = np.frombuffer(text.encode(), np.uint8).astype(int).tolist()
+    if not raw:
+        return 1 / (1 + math.exp(-net.offset))
+    cells = -(-len(raw) // byte_cnn.CELL)
+    padded = raw + [0] * (cells * byte_cnn.CELL - len(raw) + byte_cnn.WIDTH - 1)
+    answers = [[max(0.0, sum(float(net.tables[j][padded[i + j]][f]) for j in range(byte_cnn.WIDTH)) + float(net.bias[f])) for f in range(byte_cnn.FILTERS)] for i in range(cells * byte_cnn.CELL)]
+    width, hop = byte_cnn.CELLS * byte_cnn.CELL, byte_cnn.HOP * byte_cnn.CELL
+    starts = [0] if cells <= byte_cnn.CELLS else list(range(0, (cells - byte_cnn.CELLS + byte_cnn.HOP) * byte_cnn.CELL, hop))
+    chunks = [[max(row[f] for row in answers[s : s + width]) for f in range(byte_cnn.FILTERS)] for s in starts]
+    logit = net.offset
+    for f in range(byte_cnn.FILTERS):
+        column = [c[f] for c in chunks]
+        logit += float(net.mean_w[f]) * sum(column) / len(column) + float(net.max_w[f]) * max(column)
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_are_the_plain_networks():
+    net = byte_cnn.fit(["a b c " * 70, "d e f " * 90, "x"] * 20, [0, 1, 1] * 20, epochs=2)
+    texts = ["", "a", "d e", "a b c " * 40, "é" * 130, "d e f g h " * 61, "xyz " * 300]
+    assert net.scores(texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
+
+
 def test_every_byte_counts():
     net = byte_cnn.fit(["a" * 300, "b" * 300] * 20, [0, 1] * 20, epochs=2)
     text = "a" * 10_000
@@ -685,6 +737,50 @@ def test_near_duplicate_stage_from_80_percent(spark):
     assert kept == {c for _, c in brute_groups(rows, 80).values()} and len(kept) == 25
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """No rows at all; rows without doc_id, repeated doc_id, clashing columns."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies long, row_key string"
+    rows = [(k, t, "fr", "a", 1, 2, "r") for k, t in enumerate(texts()) if k < 14] + [(None, texts()[1], "fr", "a", 1, 2, "r"), (None, None, None, None, None, None, None), (3, texts()[4], "fr", "b", 1, 2, "r"), (3, texts()[3], "fr", "a", 1, 2, "r")]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for name, docs in (("some", spark.createDataFrame(rows, schema)), ("none", spark.createDataFrame([], schema))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            found = stage(spark, found, f"{tmp_path}/{name}")
+            if k < 4:
+                assert found.columns == docs.columns
+                found = Scratch(spark, "odd").save(found, f"{name}{k}")
+        assert (found.count() > 0) == (name == "some")
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """run() against its stages' brute force: scores, verdicts, groups, copies, the library's ids."""
+    import corpus_pipeline
+    import sentencepiece
+
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("aeioustrnlm") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    plain = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 140))) + "." for _ in range(60)]
+    rows = [(k, plain[k % 50] if k % 3 else plain[k % 50] + " fin", "fr", "abc"[k % 3], 9) for k in range(120)] + [(200 + k, "### $$ " * 40, "fr", "a", 9) for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 200)) for k, *_ in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    net = byte_cnn.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    left = [r for r, s in zip(rows, net.scores([r[1] for r in rows]), strict=True) if s >= 0.5]
+    kept = by_id(fertility_rules.verdicts(spark.createDataFrame(left, docs.schema), PIECES, BYTES))
+    left = [r for r in left if kept[r[0]].kept]
+    groups = brute_groups([(r[0], r[1]) for r in left], 80)
+    left = [r for r in left if groups[r[0]][1] == r[0]]
+    copies = by_id(source_mix.mix(spark.createDataFrame(left, docs.schema)))
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = sorted((r[0], len(lib.encode(r[1])), hashlib.sha256(",".join(map(str, lib.encode(r[1]))).encode()).hexdigest()) for r in left for _ in range(copies[r[0]].copies))
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len({d for d, _, _ in got}) > 20
+
+
 def test_stages(spark, tmp_path):
     import corpus_pipeline
 
