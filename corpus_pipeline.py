@@ -18,13 +18,15 @@ from docloom.llm import byte_cnn, fertility_rules, minhash_forest, sentencepiece
 from docloom.llm.storage import Scratch
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
+#: Columns that stages add for a while; a column of documents may have any other name.
+KEY, COPIES, ROWS, COPY = (f"__pipeline_{x}" for x in ("key", "copies", "rows", "copy"))
 #: No SQL: a trained classifier decides what the later stages get. The stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with a key that only equal rows share."""
-    return docs.withColumn("row_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+    return docs.withColumn(KEY, F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    verdicts = fertility_rules.verdicts(rows, public_tokenizers.path(PIECES), public_tokenizers.path(BYTES), key="row_key")
-    rejected = Scratch(spark, "rejected").save(verdicts.where("not kept").select(F.col("doc_id").alias("row_key")).distinct(), "rows")
-    return rows.join(rejected, "row_key", "left_anti").select(docs.columns)
+    verdicts = fertility_rules.verdicts(rows, public_tokenizers.path(PIECES), public_tokenizers.path(BYTES), key=KEY)
+    rejected = Scratch(spark, "rejected").save(verdicts.where("not kept").select(F.col("doc_id").alias(KEY)).distinct(), "rows")
+    return rows.join(rejected, KEY, "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +48,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     rows = keyed(docs)
-    mixed = source_mix.mix(rows, key="row_key").groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
-    taken = Scratch(spark, "taken").save(mixed.where("copies > 0"), "rows")
-    met = rows.join(taken, "row_key")
-    once = met.where("rows = 1")
-    if not taken.where("rows > 1").isEmpty():
+    mixed = source_mix.mix(rows, key=KEY).groupBy(F.col("doc_id").alias(KEY)).agg(F.sum("copies").cast("int").alias(COPIES), F.count("*").alias(ROWS))
+    taken = Scratch(spark, "taken").save(mixed.where(F.col(COPIES) > 0), "rows")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    met = rows.join(taken, KEY)
+    once = met.where(F.col(ROWS) == 1)
+    if not taken.where(F.col(ROWS) > 1).isEmpty():
         # equal rows are one row before they are repeated
-        of = F.struct(*[F.col(f"`{c}`") for c in docs.columns], "copies")
-        once = once.select(*docs.columns, "copies").unionByName(met.where("rows > 1").groupBy("row_key").agg(F.first(of).alias("r")).select("r.*"))
-    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+        of = F.struct(*names, COPIES)
+        once = once.select(*names, COPIES).unionByName(met.where(F.col(ROWS) > 1).groupBy(KEY).agg(F.first(of).alias("r")).select("r.*"))
+    return once.withColumn(COPY, F.explode(F.sequence(F.lit(1), COPIES))).select(names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
