@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
+from docloom.functions.phrases import sign, signs, words
 from docloom.functions.text import count_in, count_patterns, rx
 
 UNKNOWN = "inconnu"
@@ -31,73 +32,118 @@ def by_weighted_words(text: Column) -> Column:
     )
 
 
-#: Types by substrings, with cut-off spellings.
-SUBSTRINGS = {"facture": ["facture", "factur", "invoice", "فاتورة"], "bon_livraison": ["bon de livraison", "livraison", "delivery note"], "cheque": ["cheque", "chèque", "شيك"], "traite": ["traite", "lettre de change", "كمبيالة"]}
-
-
 def by_substrings(text: Column) -> Column:
-    """C3."""
-    top = best({t: count_in(F.lower(text), w) for t, w in SUBSTRINGS.items()})
+    """The type with most of its substrings in the text, first of equals; unknown without any."""
+    top = best({t: count_in(F.lower(text), w) for t, w in V.SUBSTRINGS.items()})
     return F.when(top["score"] > 0, top["label"]).otherwise(UNKNOWN)
 
 
+def counted(text: Column, kind: str) -> Column:
+    """How many of a type's phrases the text has; some count only where they begin a line."""
+    return count_patterns(text, [*map(sign, V.COUNTED[kind]), *[f"^\\s*{words(x)}\\b" for x in V.LINE_STARTS.get(kind, [])]])
+
+
 def by_patterns(text: Column) -> Column:
-    """C4: a sure pattern's type, first in order; else the type with most counted patterns; a sales invoice comes first."""
-    sales = text.rlike(rx("|".join(f"(?:{p})" for p in V.COUNTED["facture_vente"]), True))
-    sure = F.coalesce(*[F.when(text.rlike(rx("|".join(f"(?:{p})" for p in ps), True)), t) for t, ps in V.SURE.items()])
-    top = best({t: count_patterns(text, ps) for t, ps in V.COUNTED.items()})
+    """C4: the type of a sure phrase, first in order; else the type with most counted phrases; a sales invoice comes first."""
+    sales = counted(text, "facture_vente") > 0
+    sure = F.coalesce(*[F.when(text.rlike(rx(signs(ps), True)), t) for t, ps in V.SURE.items()])
+    top = best({t: counted(text, t) for t in V.COUNTED})
     return F.when(sales, "facture_vente").otherwise(F.coalesce(sure, F.when(top["score"] > 0, top["label"]).otherwise(UNKNOWN)))
 
 
 def cheque_or_draft(text: Column) -> Column:
     """Struct (doc_type, confidence): the share of the greater count; equal counts are unknown."""
-    a, b = count_patterns(text, V.COUNTED["cheque"]), count_patterns(text, V.COUNTED["traite"])
+    a, b = counted(text, "cheque"), counted(text, "traite")
     return F.struct(F.when(a > b, "cheque").when(b > a, "traite").otherwise(UNKNOWN).alias("doc_type"), F.when(a == b, 0.0).otherwise(F.round(F.greatest(a, b) / (a + b), 3)).alias("confidence"))
 
 
 def other_type(text: Column) -> Column:
-    """Among the types that are no payment; the first with most hits, null without any."""
-    top = best({t: count_patterns(text, V.COUNTED[t]) for t in ("facture", "bon_commande", "devis", "bon_livraison", "facture_vente")})
+    """Among the six types that are no payment, the first with most hits; null without any."""
+    top = best({t: count_patterns(text, list(map(sign, ps))) for t, ps in V.NO_PAYMENT.items()})
     return F.when(top["score"] > 0, top["label"])
 
 
-def payment_gate(text: Column, wanted: Column, duplicate: Column, relaxed: Column) -> Column:
-    """Struct (accepted, reason, doc_type); the first case that holds decides."""
-    cheques, drafts, other = count_patterns(text, V.COUNTED["cheque"]), count_patterns(text, V.COUNTED["traite"]), other_type(text)
-    kind = cheque_or_draft(text)["doc_type"]
-    say = lambda ok, why: F.struct(F.lit(ok).alias("accepted"), F.lit(why).alias("reason"), kind.alias("doc_type"))
+def payment_gate(text: Column, wanted: Column, duplicate: Column, draft_fields: Column, cheque_points: Column) -> Column:
+    """Struct (accepted, reason, doc_type); the first case that holds decides. wanted: cheque, traite or null.
+
+    draft_fields: how many fields of a draft were read; cheque_points: of a cheque, where the number counts two.
+    Both count only for a wanted cheque without any sign of its own: two fields of a draft refuse it, three points let it pass.
+    """
+    kind, other = cheque_or_draft(text)["doc_type"], other_type(text)
+    drafts_only, cheques_only = text.rlike(rx(signs(V.ONLY_DRAFTS))), text.rlike(rx(signs(V.ONLY_CHEQUES)))
+    strict = F.coalesce(wanted.isin("cheque", "traite"), F.lit(False))
+    opposite = F.when(wanted == "cheque", "traite").otherwise("cheque")
+    lost = strict & (kind == UNKNOWN) & (wanted == "cheque") & ~cheques_only
+    say = lambda ok, why, what: F.struct(F.lit(ok).alias("accepted"), F.lit(why).alias("reason"), what.alias("doc_type"))
     return (
-        F.when(duplicate, say(False, "duplicate"))
-        .when(other.isNotNull() & (cheques + drafts == 0), say(False, "other type"))
-        .when((wanted == "cheque") & relaxed & (drafts >= 2), say(False, "draft signals"))
-        .when((wanted == "cheque") & relaxed & (cheques >= 1), say(True, "relaxed"))
-        .when((wanted == "cheque") & (drafts > cheques), say(False, "is a draft"))
-        .when((wanted == "traite") & (cheques > drafts), say(False, "is a cheque"))
-        .when(kind == UNKNOWN, say(False, "unknown"))
-        .otherwise(say(True, "ok"))
+        F.when(strict & F.coalesce(duplicate, F.lit(False)), say(False, "duplicate", wanted))
+        .when(strict & other.isNotNull(), say(False, "other type", other))
+        .when((wanted == "cheque") & drafts_only, say(False, "words of a draft", F.lit("traite")))
+        .when((wanted == "traite") & cheques_only, say(False, "words of a cheque", F.lit("cheque")))
+        .when(strict & (kind == opposite), say(False, "is the other kind", kind))
+        .when(lost & (draft_fields >= 2), say(False, "fields of a draft", F.lit("traite")))
+        .when(lost & (cheque_points < 3), say(False, "no sign of a cheque", F.lit(UNKNOWN)))
+        .when(strict, say(True, "as wanted", wanted))
+        .when(kind != UNKNOWN, say(True, "as found", kind))
+        .when(other.isNotNull(), say(False, "other type", other))
+        .otherwise(say(False, "unknown", F.lit(UNKNOWN)))
     )
 
 
-#: Words of item sheets and of bills of materials.
-ITEM_WORDS = ["fiche article", "article :", "unité de stock", "unité d'achat", "code article", "poids de l'us", "stock site", "catégorie"]
-BOM_WORDS = ["nomenclature", "bill of materials", "composant", "gamme", "routing", "quantité par unité", "bom"]
-INVOICE_SIGNS = ["facture", "invoice", "ttc", "tva", "net à payer", "total ht", "échéance"]
+def refused(text: Column, phrases: dict[str, list[str]]) -> Column:
+    """The first type that one of its phrases speaks for; null without any."""
+    return F.coalesce(*[F.when(text.rlike(rx(signs(ps))), t) for t, ps in phrases.items()])
+
 
+def by_file_name(name: Column) -> Column:
+    """The type that a file's name tells, first in order; null without any."""
+    low = F.lower(name)
+    return F.coalesce(*[F.when(F.contains(low, F.lit(w)), t) for t, ws in V.FILE_WORDS.items() for w in ws])
 
-def sheet_gate(text: Column, wanted: str) -> Column:
-    """The type of an item sheet or bill of materials, or the type that speaks against it."""
+
+def item_gate(text: Column, file_name: Column, n_fields: Column) -> Column:
+    """Struct (accepted, doc_type): refused by the file's name, by a phrase of another type or the name BOM, by two words of a bill's build; an item sheet by a word of one or by any field that was read."""
     low = F.lower(text)
-    items, boms, other = count_in(low, ITEM_WORDS), count_in(low, BOM_WORDS), other_type(text)
-    if wanted == "bom":
-        return F.when((boms >= 2), "nomenclature").when(other.isNotNull(), other).when(items >= 2, "fiche_article").otherwise(UNKNOWN)
-    return F.when((items >= 2) & (items >= boms), "fiche_article").when(boms >= 2, "nomenclature").when(other.isNotNull(), other).when(items >= 1, "fiche_article").otherwise(UNKNOWN)
+    bill = F.coalesce(text.rlike("\\bBOM\\b") | (count_in(low, V.BILL_BUILD) >= 2), F.lit(False))
+    sheet = (count_in(low, V.ITEM_SIGNS) > 0) | (F.coalesce(n_fields, F.lit(0)) > 0)
+    phrase = refused(text, {t: ps for t, ps in V.ITEM_REFUSED.items() if t != UNKNOWN})
+    no = F.coalesce(by_file_name(file_name), phrase, F.when(bill, "nomenclature"), F.when(text.rlike(rx(signs(V.ITEM_REFUSED[UNKNOWN]))), UNKNOWN))
+    kind = F.coalesce(no, F.when(sheet, "fiche_article").otherwise(UNKNOWN))
+    return F.struct((no.isNull() & sheet).alias("accepted"), kind.alias("doc_type"))
+
 
+def bill_refusal(text: Column) -> Column:
+    """The type that speaks against a bill of materials; null if none does."""
+    return F.coalesce(refused(text, V.BILL_REFUSED), F.when(count_in(F.lower(text), V.SHEET_BUILD) >= 2, "fiche_article"))
 
-def invoice_gate(text: Column) -> Column:
-    """No sheet, no type that is rejected, and at least one sign of an invoice."""
+
+def bill_gate(text: Column, second: Column) -> Column:
+    """Struct (accepted, doc_type): any sure word lets a text pass; else it must have a word of a bill and nothing against it. Where it has neither, the text of a second reading is tried the same way."""
+
+    def judged(t: Column) -> Column:
+        low = F.lower(t)
+        sure, some = count_in(low, V.BILL_SURE) > 0, count_in(low, V.BILL_SIGNS) > 0
+        return F.when(sure, "nomenclature").otherwise(F.coalesce(bill_refusal(t), F.when(some, "nomenclature")))
+
+    kind = F.coalesce(judged(text), judged(second), F.lit(UNKNOWN))
+    return F.struct((kind == "nomenclature").alias("accepted"), kind.alias("doc_type"))
+
+
+def invoice_type(text: Column) -> Column:
+    """The type by patterns, overruled by what only exported sheets hold: a sure word or two others."""
     low = F.lower(text)
-    sheet = count_in(low, ITEM_WORDS) + count_in(low, BOM_WORDS) >= 2
-    return ~sheet & ~by_patterns(text).isin("cheque", "traite", "bon_livraison", "devis", "bon_commande", "facture_vente") & (count_in(low, INVOICE_SIGNS) >= 1)
+    bill = low.contains("fiche nomenclature") | low.contains("nomenclature (bom)") | (count_in(low, V.EXPORTED_BILL) >= 2)
+    item = low.contains("fiche article") | (count_in(low, V.EXPORTED_ITEM) >= 2)
+    return F.when(bill, "fiche_nomenclature").when(item, "fiche_article").otherwise(by_patterns(text))
+
+
+def invoice_gate(text: Column, second: Column | None = None) -> Column:
+    """Struct (accepted, doc_type): no refused type, and a word of an invoice in the text or in that of a second reading; a type that stays unknown is an invoice then."""
+    has = lambda t: F.coalesce(count_in(F.lower(t), V.INVOICE_SIGNS) > 0, F.lit(False))
+    some = has(text) if second is None else has(text) | has(second)
+    kind = invoice_type(text)
+    no = kind.isin(V.NO_INVOICE)
+    return F.struct((~no & some).alias("accepted"), F.when(no, kind).when(~some, UNKNOWN).when(kind == UNKNOWN, "facture").otherwise(kind).alias("doc_type"))
 
 
 def from_fields(fields: Column) -> Column:
@@ -133,4 +179,4 @@ def band(confidence: Column) -> Column:
 
 def image_quality(width: Column, contrast: Column, sharpness: Column) -> Column:
     """0 to 100 from measures of the image."""
-    return F.when(width >= 2000, 40).when(width >= 1200, 30).when(width >= 800, 15).otherwise(0) + F.when(contrast >= 50, 30).when(contrast >= 30, 20).otherwise(5) + F.when(sharpness >= 100, 30).when(sharpness >= 50, 20).otherwise(5)
+    return F.when(width >= 2000, 35).when(width >= 1200, 20).otherwise(5) + F.when(contrast > 80, 35).when(contrast > 40, 20).otherwise(5) + F.when(sharpness > 500, 30).when(sharpness > 100, 15).otherwise(0)

@@ -42,7 +42,7 @@ def field(text: Column, name: str) -> Column:
     if name == "date":
         text = F.regexp_replace(text, rx(f"^[^\\n]*(?:{V.DUE_LINE})[^\\n]*$", True), "")
     tries = []
-    for p in V.FIELD_PATTERNS[name]:
+    for p in V.field_patterns(name):
         if name == "tva":
             p += "(?![\\d.,]*\\s?[A-Z]{2,}(?<!DT)(?<!TND))"
             tries.append(guarded(first_group(text, "(?uUm)" + f"(?i:{p[: p.rindex('(?![')]})" + p[p.rindex("(?![") :]), name))

@@ -16,7 +16,7 @@ KINDS = {"montant": "number", "numero_cheque": "number", "rib": "number", "date_
 
 
 def read(text: Column, field: str) -> Column:
-    return most_confident(text, V.FIELD_PATTERNS[field], KINDS.get(field, "text"))
+    return most_confident(text, V.field_patterns(field), KINDS.get(field, "text"))
 
 
 def cheque_number(value: Column) -> Column:

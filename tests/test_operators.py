@@ -60,9 +60,73 @@ def test_classes(spark):
     assert one(spark, classify.text_quality(F.lit("quatre mots sont là"), F.lit(0))) == "too few words"
     assert one(spark, classify.text_quality(F.lit("un texte de bonne qualité ici"), F.lit(30))) == "low score"
     assert [one(spark, classify.band(F.lit(x))) for x in (80, 60, 59)] == ["green", "orange", "red"]
-    assert one(spark, classify.sheet_gate(F.lit("Nomenclature, composant 1, gamme"), "bom")) == "nomenclature"
-    assert one(spark, classify.invoice_gate(F.lit("Facture N° 1, total TTC"))) is True
-    assert one(spark, classify.payment_gate(F.lit("Chèque N° 1234567"), F.lit("traite"), F.lit(False), F.lit(False))).reason == "is a cheque"
+
+
+@pytest.mark.parametrize(
+    ("said", "kind"),
+    [("acture n 12, montant ttc", "facture"), ("Bon de commande", "bon_commande"), ("chque, rib", "cheque"), ("BL N° 4, bordereau", "bon_livraison"), ("فاتورة", "facture"), ("rien", "inconnu")],
+)
+def test_substring_classes(spark, said, kind):
+    assert one(spark, classify.by_substrings(F.lit(said))) == kind
+
+
+@pytest.mark.parametrize(
+    ("said", "kind"),
+    [("Fiche nomenclature, composants", "nomenclature"), ("Fiche article : A1", "fiche_article"), ("B.L. 12 livraison", "bon_livraison"), ("Purchase order", "bon_commande"), ("Proforma", "devis"), ("facture et devis", "facture"), ("chèque", None)],
+)
+def test_types_that_are_no_payment(spark, said, kind):
+    assert one(spark, classify.other_type(F.lit(said))) == kind
+
+
+@pytest.mark.parametrize(
+    ("said", "wanted", "duplicate", "drafts", "points", "result"),
+    [
+        ("Chèque N° 1234567", "cheque", True, 0, 0, (False, "duplicate", "cheque")),
+        ("Facture N° 1, chèque", "cheque", False, 0, 0, (False, "other type", "facture")),
+        ("Lettre de change", "cheque", False, 0, 0, (False, "words of a draft", "traite")),
+        ("Payez contre ce chèque", "traite", False, 0, 0, (False, "words of a cheque", "cheque")),
+        ("Chèque N° 1234567", "traite", False, 0, 0, (False, "is the other kind", "cheque")),
+        ("illisible", "cheque", False, 2, 9, (False, "fields of a draft", "traite")),
+        ("illisible", "cheque", False, 0, 2, (False, "no sign of a cheque", "inconnu")),
+        ("illisible", "cheque", False, 1, 3, (True, "as wanted", "cheque")),
+        ("illisible", "traite", False, 0, 0, (True, "as wanted", "traite")),
+        ("Chèque barré", None, True, 0, 0, (True, "as found", "cheque")),
+        ("Devis 3", None, False, 0, 0, (False, "other type", "devis")),
+        ("illisible", None, False, 0, 0, (False, "unknown", "inconnu")),
+    ],
+)
+def test_payment_gate(spark, said, wanted, duplicate, drafts, points, result):
+    got = one(spark, classify.payment_gate(F.lit(said), F.lit(wanted).cast("string"), F.lit(duplicate), F.lit(drafts), F.lit(points)))
+    assert tuple(got) == result
+
+
+@pytest.mark.parametrize(
+    ("said", "name", "fields", "result"),
+    [("Fiche article A1", "a.pdf", 0, (True, "fiche_article")), ("Fiche article A1", "cheque_1.pdf", 0, (False, "cheque")), ("Code article 1, échéance 01/01/2024", "a.pdf", 2, (False, "traite")), ("Total TTC 5", "a", 0, (False, "facture")), ("Liste BOM 3", "a", 0, (False, "nomenclature")), ("repère 1, niveau 2", "a", 0, (False, "nomenclature")), ("net à payer", "a", 0, (False, "inconnu")), ("rien", "a", 1, (True, "fiche_article")), ("rien", "a", 0, (False, "inconnu"))],
+)
+def test_item_gate(spark, said, name, fields, result):
+    assert tuple(one(spark, classify.item_gate(F.lit(said), F.lit(name), F.lit(fields)))) == result
+
+
+@pytest.mark.parametrize(
+    ("said", "second", "result"),
+    [("Nomenclature, facture", None, (True, "nomenclature")), ("facture de composant", None, (False, "facture")), ("taux de perte 3", None, (True, "nomenclature")), ("sku 1, part no 2", None, (False, "fiche_article")), ("flou", "bom 3", (True, "nomenclature")), ("flou", None, (False, "inconnu"))],
+)
+def test_bill_gate(spark, said, second, result):
+    assert tuple(one(spark, classify.bill_gate(F.lit(said), F.lit(second).cast("string")))) == result
+
+
+@pytest.mark.parametrize(
+    ("said", "second", "result"),
+    [("Facture N° 1, total TTC", None, (True, "facture")), ("Subtotal 5", None, (True, "facture")), ("Fiche article, facture", None, (False, "fiche_article")), ("Stock site, gestion lot, tva", None, (False, "fiche_article")), ("Devis N° 3, tva", None, (False, "devis")), ("flou", "net a payer", (True, "facture")), ("flou", None, (False, "inconnu"))],
+)
+def test_invoice_gate(spark, said, second, result):
+    assert tuple(one(spark, classify.invoice_gate(F.lit(said), F.lit(second).cast("string")))) == result
+
+
+@pytest.mark.parametrize(("width", "contrast", "sharpness", "score"), [(2000, 81.0, 501.0, 100), (1999, 80.0, 500.0, 55), (1199, 40.0, 100.0, 10)])
+def test_image_quality(spark, width, contrast, sharpness, score):
+    assert one(spark, classify.image_quality(F.lit(width), F.lit(contrast), F.lit(sharpness))) == score
 
 
 @pytest.mark.parametrize(
