@@ -53,15 +53,25 @@ WINDOWS = {"cheque": (12, 12), "traite": (6, 36)}
 
 
 def repair_year(date: Column, as_of: Column, kind: str = "cheque") -> Column:
-    """(date, corrected): a day outside its window gets the nearest day inside it that differs in one digit of the year by a digit it may have been."""
+    """(date, corrected): a day outside its window gets the nearest day inside it that differs in one digit of the year by a digit it may have been.
+
+    A draft's day 12 to 36 months ahead gives way to a nearer such day only; one 36 to 60 months ahead to the first
+    one inside, by digit and by what it may have been; any further one stays.
+    """
     back, ahead = WINDOWS[kind]
-    inside = lambda d: d.between(F.add_months(as_of, -back), F.add_months(as_of, ahead))
+    months = lambda d: F.datediff(d, as_of) / 30.44
+    inside = lambda d: months(d).between(-back, ahead)
     table = F.create_map(*[F.lit(x) for kv in CONFUSED.items() for x in kv])
     year = F.lpad(F.year(date).cast("string"), 4, "0")
     changed = lambda k: F.transform(F.split(F.try_element_at(table, F.substring(year, k, 1)), ""), lambda c: F.concat(F.substring(year, 1, k - 1), c, F.substring(year, k + 1, 4 - k)).try_cast("int"))
     days = F.filter(F.transform(F.concat(*map(changed, (1, 2, 3, 4))), lambda y: date_of(y, F.month(date), F.dayofmonth(date))), lambda d: d.isNotNull() & inside(d))
-    nearest = F.array_min(F.transform(days, lambda d: F.struct(F.abs(F.datediff(d, as_of)).alias("far"), d.alias("day"))))["day"]
-    return F.when(date.isNull() | inside(date), F.struct(date.alias("date"), F.lit(False).alias("corrected"))).otherwise(F.struct(F.coalesce(nearest, date).alias("date"), nearest.isNotNull().alias("corrected")))
+    nearest = F.array_min(F.transform(days, lambda d: F.struct(F.abs(F.datediff(d, as_of)).alias("far"), d.alias("day"))))
+    fixed = nearest["day"]
+    if kind == "traite":
+        closer = F.when(nearest["far"] < F.abs(F.datediff(date, as_of)), nearest["day"])
+        fixed = F.when(months(date).between(-back, 12), F.lit(None).cast("date")).when(inside(date), closer).when((months(date) > ahead) & (months(date) <= 60), F.try_element_at(days, F.lit(1)))
+        return F.struct(F.coalesce(fixed, date).alias("date"), F.coalesce(fixed.isNotNull(), F.lit(False)).alias("corrected"))
+    return F.when(date.isNull() | inside(date), F.struct(date.alias("date"), F.lit(False).alias("corrected"))).otherwise(F.struct(F.coalesce(fixed, date).alias("date"), fixed.isNotNull().alias("corrected")))
 
 
 def age_in_months(date: Column, as_of: Column) -> Column:
@@ -105,3 +115,24 @@ def reconcile_due(emitted: Column, due: Column, most_inverted: int = 7) -> Colum
     """(emitted, due): swapped if due lies more than so many days before; emitted two days earlier if both are equal."""
     swap = F.datediff(emitted, due) > most_inverted
     return F.struct(F.when(swap, due).when(emitted == due, F.date_sub(emitted, 2)).otherwise(emitted).alias("emitted"), F.when(swap, emitted).otherwise(due).alias("due"))
+
+
+def nearest_to(text: Column, label: str, as_of: Column) -> Column:
+    """The day whose place in the text is nearest to a match of the label, the earlier of two as near; null without one."""
+    whole = F.regexp_extract_all(text, F.lit(DAY_MONTH_YEAR), F.lit(0))
+    day = lambda x: date_of(year_of(F.regexp_extract(x, DAY_MONTH_YEAR, 3)), F.regexp_extract(x, DAY_MONTH_YEAR, 2).try_cast("int"), F.regexp_extract(x, DAY_MONTH_YEAR, 1).try_cast("int"))
+    heads, labels = F.split(text, FLAGS + label), F.regexp_extract_all(text, F.lit(FLAGS + "(" + label + ")"), F.lit(1))
+    length = lambda xs, i: F.aggregate(F.slice(xs, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+    # a label ends behind all parts and labels up to it
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.when(i <= F.size(labels), length(heads, i) + length(labels, i)))
+    far = lambda x: F.array_min(F.transform(ends, lambda e: F.abs(F.instr(text, x) - e)))
+    ranked = F.transform(F.array_distinct(whole), lambda x: F.struct(far(x).alias("far"), F.instr(text, x).alias("at"), day(x).alias("day")))
+    near = F.array_min(F.filter(ranked, lambda r: r["far"].isNotNull() & r["day"].isNotNull()))
+    return near["day"]
+
+
+def voted(text: Column, as_of: Column) -> Column:
+    """The day that a text names most often, the earliest of equals; null without any."""
+    found = scan(text, as_of)
+    counts = F.transform(F.array_distinct(found), lambda d: F.struct(F.size(F.filter(found, lambda x: x == d)).alias("n"), (-F.datediff(d, F.lit("1970-01-01").cast("date"))).alias("early"), d.alias("day")))
+    return F.array_max(counts)["day"]

@@ -59,6 +59,18 @@ def repair_payment(text: Column) -> Column:
     return F.regexp_replace(out, "(\\d) [Jl|I](\\d{3})(?!\\d)", "$1,$2")
 
 
+#: Names that recognition garbles, and what they are.
+GARBLED = {"OLEO TECHN0": "OLEO TECHNO", "TUNlSIE": "TUNISIE", "SOClETE": "SOCIETE", "BAN0UE": "BANQUE"}
+
+
+def repair_names(text: Column) -> Column:
+    """Digits and letters read for each other inside capital words, and days with a gap between their digits."""
+    out = text
+    for wrong, right in GARBLED.items():
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return F.regexp_replace(out, "(?<!\\d)([0-3]) (\\d)(?=[/.\\-]\\d{1,2}[/.\\-]\\d{2,4})", "$1$2")
+
+
 def repair_sheet(text: Column) -> Column:
     """Dashes, quotes, O and 0 beside digits, line ends, control characters, runs of blanks."""
     out = F.regexp_replace(text, "[‐-―−]", "-")
@@ -109,13 +121,26 @@ def before_label(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rx("\\s+[\\p{L}][\\p{L} .'/]{1,30}:.*$"), ""))
 
 
-#: Units of measure and their names, by kind of source.
-UNITS_ITEM = {"un": "Unité", "u": "Unité", "pc": "Unité", "pcs": "Unité", "kg": "Kg", "g": "Gramme", "m": "Mètre", "ml": "Mètre", "l": "Litre", "m2": "Mètre carré", "m3": "Mètre cube", "t": "Tonne"}
+#: Names of units of measure and the words for them, by kind of source; the first name that has the word counts.
+UNITS = {
+    "item": {
+        "Unité": ["unité", "unite", "unit", "un", "u", "ea", "each", "nos", "pce", "pcs", "pièce", "piece", "qté", "qte"],
+        "Kg": ["kg", "kilogramme", "kilo"], "g": ["g", "gramme", "gr"], "m": ["m", "mètre", "metre", "ml", "mètre linéaire"],
+        "m2": ["m²", "m2", "mètre carré", "metre carre"], "m3": ["m³", "m3", "mètre cube"], "L": ["l", "litre", "liter"], "Box": ["box", "boîte", "boite", "bte", "bt"],
+        "Pack": ["pack", "lot", "set"], "Pair": ["paire", "pair", "pr"], "Roll": ["rouleau", "roll", "rl"], "Doz": ["douzaine", "doz", "dozen"],
+    },
+    "bom": {"Kg": ["kg", "kilo", "kilogramme"], "g": ["g", "gramme"], "m": ["m", "mètre", "metre"], "m2": ["m2", "m²"], "L": ["l", "litre"], "Unité": ["unité", "unite", "u", "un", "nos", "pcs", "pce", "pièce", "piece"]},
+    "sheet": {"Kg": ["kg"], "g": ["g"], "m": ["m"], "L": ["l"], "Unité": ["unité", "unite", "u", "un", "pcs", "pièce", "piece"]},
+}
 
 
 def unit(text: Column, profile: str = "item") -> Column:
     """The unit's name; an unknown one is empty (item), short ones in capitals (bom) or as it stands (sheet)."""
-    table = F.create_map(*[F.lit(x) for kv in UNITS_ITEM.items() for x in kv])
+    names: dict[str, str] = {}
+    for name, words in UNITS[profile].items():
+        for w in words:
+            names.setdefault(w, name)
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     raw = F.trim(text)
     known = F.try_element_at(table, F.regexp_replace(F.lower(raw), "\\.$", ""))
     rest = {"item": F.lit(""), "bom": F.when(F.length(raw) <= 3, F.upper(raw)).otherwise(raw), "sheet": raw}[profile]
@@ -123,12 +148,14 @@ def unit(text: Column, profile: str = "item") -> Column:
 
 
 def payment_method(text: Column) -> Column:
-    """N12."""
-    return F.when(text.rlike(rx("ch[eè]que|check")), "cheque").when(text.rlike(rx("traite|lettre\\s+de\\s+change|effet")), "traite")
+    """Cheque or traite by what the text contains; null without either."""
+    low = F.lower(text)
+    has = lambda *words: F.coalesce(count_in(low, list(words)) > 0, F.lit(False))
+    return F.when(has("chèque", "cheque", "check", "chéque"), "cheque").when(has("traite", "lettre de change", "effet", "draft"), "traite")
 
 
 #: Banks, first match wins.
-BANKS = ["STB", "BNA", "BIAT", "UIB", "ATB", "BT", "BH", "Zitouna", "QNB", "UBCI", "ABC", "CIB", "BFT", "Attijari", "Wafa", "Amen"]
+BANKS = ["STB", "BNA", "BIAT", "UIB", "ATB", "BT", "BH", "Zitouna", "QNB", "UBCI", "ABC", "CIB", "BFT", "Attijari", "Wafa", "Amen", "Tunisie Leasing", "Arab Tunisian Bank", "Banque de Tunisie", "Société Tunisienne de Banque", "Banque Nationale Agricole", "Banque Internationale Arabe", "Banque B"]
 
 
 def bank(text: Column) -> Column:

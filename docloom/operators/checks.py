@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
+from docloom.functions.dates import typed
+from docloom.functions.numbers import amount_typed
 from docloom.functions.text import is_missing
 
 
@@ -68,9 +70,9 @@ def merged_totals(first: Column, second: Column) -> Column:
     return F.struct(net.alias("net"), tax.alias("tax"), gross.alias("gross"))
 
 
-def matched_share(matched: Column, total: Column) -> Column:
-    """V8: struct (confidence, applied): whole percent; below 30 nothing is applied."""
-    c = F.when(total > 0, F.floor(100 * matched / total)).otherwise(0).cast("int")
+def matched_share(matched: Column, total: Column, read_score: Column | None = None) -> Column:
+    """V8: struct (confidence, applied): whole percent, or the score of the reading where nothing is wanted; below 30 nothing is applied."""
+    c = F.when(total > 0, F.floor(100 * F.try_divide(matched, total))).otherwise(F.lit(0) if read_score is None else F.floor(F.coalesce(read_score, F.lit(0)))).cast("int")
     return F.struct(c.alias("confidence"), (c >= 30).alias("applied"))
 
 
@@ -93,9 +95,31 @@ def precedence(*values: Column) -> Column:
 
 
 def net_amount(net: Column, gross: Column, tax: Column) -> Column:
-    """V15."""
-    some = lambda c: F.when(c != 0, c)
-    return F.coalesce(some(net), some(gross) - some(tax), some(gross), F.lit(0.0))
+    """The net amount; else gross less tax where both are above zero, rounded to the thousandth; else a gross above zero; else 0."""
+    some = lambda c: F.coalesce(c > 0, F.lit(False))
+    return F.when(F.coalesce(net != 0, F.lit(False)), net).when(some(gross) & some(tax), F.round(gross - tax, 3)).when(some(gross), gross).otherwise(0.0)
+
+
+def derived_on_form(net: Column, tax: Column, gross: Column) -> Column:
+    """V6: struct (net, tax) as a form fills them in: what is missing of the two from the gross and the other, if above zero."""
+    some = lambda c: F.coalesce(c > 0, F.lit(False))
+    positive = lambda c: F.when(c > 0, c)
+    return F.struct(
+        F.when(~some(net) & some(gross) & some(tax), positive(F.round(gross - tax, 3))).otherwise(net).alias("net"),
+        F.when(~some(tax) & some(gross) & some(net), positive(F.round(gross - net, 3))).otherwise(tax).alias("tax"),
+    )
+
+
+def coerced(field_type: Column, value: Column) -> Column:
+    """V9: a text in the form of its field's type: amounts as numbers, dates as days, whole numbers without rest, flags as 0 or 1, else trimmed; null where that fails."""
+    v = F.trim(value)
+    return (
+        F.when(field_type.isin("Currency", "Float", "Percent"), amount_typed(v).cast("string"))
+        .when(field_type == "Int", amount_typed(v).cast("long").cast("string"))
+        .when(field_type == "Date", typed(v).cast("string"))
+        .when(field_type == "Check", F.lower(v).isin("1", "true", "oui", "yes", "vrai").cast("int").cast("string"))
+        .otherwise(F.nullif(v, F.lit("")))
+    )
 
 
 def final_status(n_filled: Column, least: int = 3) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
 from docloom.functions.fuzzy import partial_ratio_of
+from docloom.functions.phrases import LINK, any_of, signs
 from docloom.functions.text import fold, is_missing, rx, squeeze
-from docloom.operators.resolve import shape_score
+from docloom.operators.resolve import shape_score, words
 
 
 def form_value(fields: Column, aliases: list[str], name: str, raw: str) -> Column:
@@ -96,23 +97,83 @@ def field_confidence(field: Column, value: Column, text: Column) -> Column:
     return F.least(F.when(t.contains(v), 0.5).otherwise(F.least(partial_ratio_of(v, t) / 100, F.lit(0.9)) * 0.5) + shape_score(field, value), F.lit(1.0))
 
 
+#: Words of a table's head, of lines that name no supplier, of goods, and of what capitals often say.
+TABLE_WORDS = ["désignation", "designation", "description", "article", "qte", "qté", "prix", "total", "tva", "montant"]
+NO_NAME = ["rue", "avenue", "blvd", "boulevard", "tel", "tél", "fax", "mail", "@", "mf :", "matricule", "r.c.s", "siret", "rib", "iban", "page"]
+GOODS = ["souris", "clavier", "ecran", "imprimante", "chargeur", "cartes", "memoires", "boitier", "cables?"]
+CAPITALS = ["FACTURE", "INVOICE", "DATE", "TVA", "TOTAL", "MONTANT", "DESIGNATION", "QTE", "PRIX", "CLIENT", "ADRESSE", "TEL", "FAX", "PAGE", "TIMBRE", "FODEC"]
+FORMS = r"\b(?:SARL|SA\b|SUARL|SAS\b|EURL|SNC|GIE)\b"
+
+
 def supplier(lines: Column) -> Column:
-    """X27 without master data: the first of the first 30 lines with a legal form; else the first plausible one before a table begins; else the first in capitals."""
-    head = F.transform(F.slice(lines, 1, 30), squeeze)
-    table = F.array_position(F.transform(head, lambda x: x.rlike(rx(r"d[ée]signation|quantit[ée]|r[ée]f[ée]rence"))), True)
-    before = F.when(table > 0, F.slice(head, F.lit(1), F.greatest(table - 1, F.lit(1)).cast("int"))).otherwise(head)
-    name = lambda x: (F.regexp_count(x, F.lit("\\p{L}")) >= 4) & ~x.rlike("\\d{3}") & ~x.rlike(rx(r"facture|invoice|date|total|client|tel|fax|@"))
-    first = lambda xs, f: F.try_element_at(F.filter(xs, f), F.lit(1))
-    return F.coalesce(first(head, lambda x: x.rlike("(?U)" + V.LEGAL_FORMS)), first(before, name), first(head, lambda x: x.rlike("^[A-ZÀ-Ü&' ]{4,}$")))
+    """X27 without master data: the first of 20 lines up to its legal form; else the first of ten plausible lines before a table; else the capitals of the first line before it that has some."""
+    trimmed = F.transform(lines, lambda x: F.trim(x))
+    first = lambda xs: F.try_element_at(F.filter(xs, lambda x: x.isNotNull()), F.lit(1))
+    legal = F.transform(F.slice(trimmed, 1, 20), lambda x: squeeze(F.nullif(F.regexp_extract(x, f"(?U)^(.*?{FORMS})", 1), F.lit(""))))
+    some = F.filter(trimmed, lambda x: x != "")
+    is_table = lambda x: x.rlike(rx(signs(TABLE_WORDS)))
+
+    def before(xs: Column) -> Column:
+        at = F.array_position(F.transform(xs, is_table), True)
+        return F.when(at > 0, F.slice(xs, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(xs)
+
+    bad = lambda x: x.rlike(rx(any_of(NO_NAME) + r"|\d{8,}")) | x.rlike(rx(signs(GOODS))) | (F.length(x) < 3) | x.rlike(r"^[\d\s\-._|/]+$")
+    clean = lambda x: F.trim(F.regexp_replace(x, "^[^A-Za-zÀ-ÿ]+", ""))
+    label = lambda x: F.lower(x).rlike("^(facture|invoice|devis|bon\\s*de|n°|date|client|fournisseur)$")
+    plausible = F.transform(F.slice(before(some), 1, 10), lambda x: F.when(~bad(x) & (F.length(clean(x)) >= 2) & ~label(clean(x)), F.substring(clean(x), 1, 80)))
+    capitals = lambda x: F.array_join(F.regexp_extract_all(x, F.lit("\\b([A-ZÀ-Ü]{2,})\\b"), F.lit(1)), " ")
+    loud = F.transform(before(F.slice(trimmed, 1, 12)), lambda x: F.when((F.length(capitals(x)) >= 3) & ~capitals(x).rlike(r"\b(?:" + "|".join(CAPITALS) + r")\b"), capitals(x)))
+    good = lambda xs, n: first(F.transform(xs, lambda x: F.when(F.length(x) >= n, x)))
+    return F.coalesce(good(legal, 3), first(plausible), good(loud, 3))
+
+
+def known_supplier(docs: DataFrame, master: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name", least: float = 80) -> DataFrame:
+    """Docs with supplier: the first name of the master data (by ord) that the text holds, else the first that is as similar as that to a line of the first 30, else by heuristics. master: a dimension (name, ord).
+
+    A name in the text has its first word there, and one as similar has a word in common, so that names meet texts over words.
+    """
+    names = master.where(F.length(F.trim(name)) >= 3).select(F.trim(name).alias("_name"), "ord")
+    low = names.select("*", F.explode(words(F.col("_name"))).alias("_word"))
+    lines = F.slice(F.split(F.col(text), "\\r?\\n"), 1, 30)
+    said = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_text"), F.transform(lines, lambda x: F.lower(F.trim(x))).alias("_lines"), F.explode(words(F.col(text))).alias("_word"))
+    pairs = said.join(low, "_word").select("_key", "_text", "_lines", "_name", "ord").distinct()
+    pairs = pairs.withColumn("_whole", F.contains("_text", F.lower("_name")))
+    whole = pairs.where("_whole").groupBy("_key").agg(F.min_by("_name", "ord").alias("_known"))
+    near = pairs.join(whole, "_key", "left_anti").select("_key", "_name", "ord", F.explode("_lines").alias("_line")).where(F.col("_line") != "")
+    # a part that is as similar shares so many of the shorter text's characters that one of them can't be much the longer
+    near = near.withColumn("_score", partial_ratio_of(F.lower("_name"), F.col("_line"))).where(F.col("_score") >= least)
+    similar = near.groupBy("_key").agg(F.min_by("_name", "ord").alias("_known"))
+    found = whole.unionByName(similar)
+    out = docs.join(found, docs[key] == found["_key"], "left")
+    return out.withColumn("supplier", F.coalesce("_known", supplier(F.split(F.col(text), "\\r?\\n")))).drop("_key", "_known")
 
 
 def invoice_number(text: Column) -> Column:
-    """By five patterns; no year, at most 30 characters."""
-    patterns = [r"facture\s*n[°o]\s*[:\-]?\s*([A-Z0-9][\w\-/]*)", r"n[°o]\s*(?:de\s*)?facture\s*[:\-]?\s*([A-Z0-9][\w\-/]*)", r"\b((?:FAC|INV|FC|FT)[\-/]?\d[\w\-/]*)", r"n[°o]\s*[:\-]\s*([A-Z0-9][\w\-/]*)", r"invoice\s*#?\s*[:\-]?\s*([A-Z0-9][\w\-/]*\d[\w\-/]*)"]
-    tries = [F.nullif(F.regexp_extract(text, rx(p, True), 1), F.lit("")) for p in patterns]
+    """By a code of its own, behind labels, behind the sign for number; no year, at most 30 characters."""
+    label = r"(?:num[eé]ro\s*(?:de\s*)?facture|n[°o]\s*(?:de\s*)?facture)"
+    shapes = [V.VALUES["invoice code"], label + LINK + r"([A-Za-z0-9][A-Za-z0-9\-/]{1,25})", r"facture\s*n[°o]" + LINK + r"(\d{1,10})", r"\bn[°o]" + LINK + r"(\d{1,10})", r"\bfact[-\s]?(\d{2,})\b"]
+    tries = [F.nullif(F.trim(F.regexp_extract(text, rx(p), 1)), F.lit("")) for p in shapes]
     return F.coalesce(*[F.when(~t.rlike("^(19|20)\\d{2}$") & (F.length(t) <= 30), t) for t in tries])
 
 
+def missing_on_item(fields: Column, mandatory: list[str], spared: str) -> Column:
+    """The mandatory item fields that a map lacks or holds empty; one of them is spared."""
+    return F.array_compact(F.array(*[F.when(is_missing(F.try_element_at(fields, F.lit(f))), f) for f in mandatory if f != spared]))
+
+
+def item_amount(text: Column) -> Column:
+    """As the item form reads: unit and blanks dropped; with both separators the last one is decimal, a lone comma is."""
+    s = F.regexp_replace(text, "(?i)[\\s\u00a0€$]|DT|TND", "")
+    comma_last = F.length(F.substring_index(s, ",", -1)) < F.length(F.substring_index(s, ".", -1))
+    plain = F.when(s.contains(",") & s.contains("."), F.when(comma_last, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), F.lit(""))))
+    return F.coalesce(plain, F.replace(s, F.lit(","), F.lit("."))).try_cast("double")
+
+
+def bill_amount(text: Column) -> Column:
+    """As the bill's form reads: comma as dot, all else but digits dropped; 0 where that is no number."""
+    return F.coalesce(F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), "[^\\d.\\-]", "").try_cast("double"), F.lit(0.0))
+
+
 def final_sheet_type(text: Column, n_fields: Column, words: list[str], least: int) -> Column:
     """A sheet's type holds by a word or by enough filled fields."""
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w)) | (n_fields >= least)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions import dates
 from docloom.functions import vocabulary as V
 from docloom.functions.numbers import amount_in_words, amount_payment
-from docloom.functions.text import account_number, bank, let, once, repair_payment
+from docloom.functions.phrases import signs
+from docloom.functions.text import account_number, bank, before_label, let, once, repair_names, repair_payment, rx
 from docloom.operators.classify import accepted
 from docloom.operators.fields import most_confident, party_name
 
@@ -24,33 +25,85 @@ def cheque_number(value: Column) -> Column:
     return F.when(value.rlike("^9\\d{7}$"), F.concat(F.lit("0"), F.substring(value, 2, 7))).otherwise(value)
 
 
-def plausible_party(name: Column) -> Column:
-    """Null for what can't be a party's name: too long, brackets, few letters, many digits, signs or scattered capitals."""
-    letters, digits = F.regexp_count(name, F.lit("\\p{L}")), F.regexp_count(name, F.lit("\\d"))
-    words = F.filter(F.split(name, " +"), lambda w: w != "")
-    short = F.size(F.filter(words, lambda w: F.length(w) <= 2)) / F.size(words)
-    mixed = F.size(F.filter(words, lambda w: w.rlike("\\p{Ll}\\p{Lu}"))) / F.size(words)
-    good = (F.length(name) <= 80) & ~name.rlike("[\\[\\]{}<>]") & (letters >= 2) & (digits < 5) & (letters / F.length(name) >= 0.5) & (short <= 0.6) & (mixed <= 0.4)
-    return F.when(good, name)
+#: Words that are no party alone, and phrases of printed forms.
+NO_PARTY = ["signature", "cachet", "date", "montant", "banque", "agence", "adresse", "telephone", "fax", "sfax", "lieu", "le", "la", "nom", "raison", "sociale", "societe", "société", "tireur", "tiré", "beneficiaire", "bénéficiaire"]
+FORM_WORDS = ["lui-même", "fournisseur du", "fournisseur", "souscripteur", "vendeur", "acheteur", "le soussign", "présent", "ci-dessus", "ci-après", "pour acquit", "pour solde", "pour valeur", "contre cette", "contre la", "contre remise", "accepté par", "accepté le", "accepté", "payable à", "payable", "à payer", "à l'ordre", "bon pour", "valeur en", "valeur reçue", "en votre", "en notre", "émetteur", "créancier", "débiteur", "porteur", "au porteur", "ordre de", "order of", "bill of exchange", "lettre de change", "république tunisienne", "nom et adresse", "adresse du", "signature du", "cachet du", "non endossable", "bon pour aval", "pour aval", "sous aval", "domicilié", "à l'échéance", "à vue", "payer contre", "payez contre", "la somme de", "somme de", "maquette", "specimen", "modele", "formulaire", "protestable", "sans frais", "avec frais", "bénéfice de"]
+
+
+def plausible_party(name: Column, field: str = "beneficiaire") -> Column:
+    """A party's name, cleaned; null for what can't be one.
+
+    Refused: lone words and phrases of forms, more than 80 characters, brackets and bars, fewer than two letters, five digits or
+    more, letters under half of all signs, words of two letters or fewer in six of ten (eight of ten where letters
+    are capitals), and, but for account holders, mixed capitals in more than four words of ten. A drawee is the bank
+    that it names. Stray small letters go, and a stray short word before two long ones in capitals.
+    """
+    letters_of = lambda c: F.regexp_replace(c, "[^A-Za-zÀ-ÿ]", "")
+
+    def judged(v: Column) -> Column:
+        letters = F.length(letters_of(v))
+        parts = F.filter(F.split(v, "\\s+"), lambda w: w != "")
+        share = lambda f: F.size(F.filter(parts, f)) / F.greatest(F.size(parts), F.lit(1))
+        short = share(lambda w: F.length(letters_of(w)) <= 2)
+        loud = (letters >= 3) & (F.regexp_count(v, F.lit("[A-ZÀ-Ü]")) / F.greatest(letters, F.lit(1)) >= 0.70)
+        scattered = F.when(F.size(parts) >= 2, F.when(loud, short >= 0.80).otherwise(short >= 0.60)).otherwise(False)
+        odd = lambda w: (F.length(letters_of(w)) >= 3) & ~letters_of(w).rlike("^([A-ZÀ-Ü]+|[A-ZÀ-Ü][a-zà-ÿ]+)$")
+        bad = F.lower(v).isin(NO_PARTY) | v.rlike(rx(signs(FORM_WORDS))) | (F.length(v) > 80) | v.rlike("[()\\[\\]|\\\\<>{}]") | (letters < 2) | (F.regexp_count(v, F.lit("\\d")) >= 5)
+        bad |= (letters / F.greatest(F.length(F.regexp_replace(v, "\\s", "")), F.lit(1)) < 0.50) | scattered
+        if field == "tire":
+            return F.when(~bad, F.coalesce(bank(v), F.when((F.length(v) >= 3) & (v != F.lower(v)), F.trim(F.substring(v, 1, 50)))))
+        if field in ("tireur", "beneficiaire"):
+            bad |= share(odd) > 0.40
+        bare = F.trim(F.regexp_replace(F.regexp_replace(v, "(?<![A-Za-zÀ-ÿ])[a-z](?![A-Za-zÀ-ÿ])", ""), "\\s{2,}", " "))
+        out = F.when(F.length(letters_of(bare)) >= 2, bare).otherwise(v)
+        if field in ("tireur", "beneficiaire"):
+            out = F.regexp_replace(out, "^[A-ZÀ-Ü]{2,3} (?=[A-ZÀ-Ü]{4,} [A-ZÀ-Ü]{4,}(?: |$))", "")
+        return F.when(~bad, F.trim(F.substring(F.regexp_replace(out, "\\s+", " "), 1, 70)))
+
+    return let(F.nullif(F.trim(before_label(F.trim(name))), F.lit("")), judged)
+
+
+def company_name(name: Column) -> Column:
+    """Whether a company may be called so: three characters or more, none of the words that no party is called, not digits and signs only."""
+    low = F.lower(F.trim(name))
+    return F.coalesce((F.length(low) >= 3) & ~F.exists(F.array(*map(F.lit, V.NO_PARTY)), lambda w: F.contains(low, w)) & ~low.rlike("^[\\d\\s\\W_]+$"), F.lit(False))
 
 
 def cheques(df: DataFrame, as_of: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fields of cheques, whether they are stale, and whether the beneficiary looks wrong."""
-    t = repair_payment(F.col(text))
+    """Fields of cheques, whether they are stale, and whether the beneficiary looks wrong. Where df has them, signature_present (a cheque without one is suspicious) and image_date (taken where the text has no date) count."""
+    df = once(df, {"_t": repair_names(repair_payment(F.col(text)))})
+    t = F.col("_t")
     amount = F.coalesce(amount_payment(read(t, "montant")["value"], False), amount_in_words(t, 10.0))
     day = dates.normalised(read(t, "date_cheque")["value"])
+    if "image_date" in df.columns:
+        day = F.coalesce(day, F.col("image_date"))
     fixed = let(day, lambda d: dates.repair_year(d, as_of))
     who = let(party_name(read(t, "beneficiaire")["value"]), plausible_party)
-    got = once(df, {"_number": cheque_number(read(t, "numero_cheque")["value"]), "_amount": amount, "_date": fixed, "_bank": F.coalesce(bank(t), read(t, "banque")["value"]), "_holder": party_name(read(t, "titulaire_compte")["value"]), "_account": account_number(read(t, "rib")["value"]), "_who": who})
-    return got.select(key, F.col("_number").alias("number"), F.col("_amount").alias("amount"), F.col("_date.date").alias("date"), F.col("_date.corrected").alias("date_corrected"), F.col("_bank").alias("bank"), F.col("_holder").alias("holder"), F.col("_account").alias("account"), F.col("_who").alias("beneficiary"), dates.stale_hard(F.col("_date.date"), as_of).alias("stale"), F.col("_who").isNull().alias("suspicious"))
+    signed = F.coalesce(F.col("signature_present"), F.lit(False)) if "signature_present" in df.columns else F.lit(True)
+    got = once(df, {"_number": cheque_number(read(t, "numero_cheque")["value"]), "_amount": amount, "_date": fixed, "_bank": F.coalesce(bank(t), read(t, "banque")["value"]), "_holder": let(party_name(read(t, "titulaire_compte")["value"]), lambda v: plausible_party(v, "titulaire_compte")), "_account": account_number(read(t, "rib")["value"]), "_who": who})
+    return got.select(key, F.col("_number").alias("number"), F.col("_amount").alias("amount"), F.col("_date.date").alias("date"), F.col("_date.corrected").alias("date_corrected"), F.col("_bank").alias("bank"), F.col("_holder").alias("holder"), F.col("_account").alias("account"), F.col("_who").alias("beneficiary"), dates.stale_hard(F.col("_date.date"), as_of).alias("stale"), (F.col("_who").isNull() | ~signed).alias("suspicious"))
+
+
+#: Banks by the first two digits of an account number, and towns.
+ACCOUNT_BANKS = {"01": "ATB", "03": "BNA", "04": "Attijari", "05": "BT", "07": "Amen", "08": "BIAT", "10": "STB", "11": "UBCI", "12": "UIB", "14": "BH", "20": "BTK", "25": "Zitouna"}
+TOWNS = ["Tunis", "Sfax", "Sousse", "Bizerte", "Nabeul", "Monastir", "Mahdia", "Kasserine", "Kairouan", "Gafsa", "Gabes", "Medenine", "Beja", "Jendouba", "Ariana", "Ben Arous", "Zaghouan", "Hammamet", "Kélibia", "Zarzis", "Jerba", "Djerba", "Mateur", "Menzel Bourguiba"]
+EMITTED, DUE = r"(?:[eé]mission|[eé]mise?\s+le|fait\s+le)", r"[eé]ch[eé]ance"
 
 
 def drafts(df: DataFrame, as_of: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fields of drafts; where digits and words differ by more than 5 %, the words count."""
-    t = repair_payment(F.col(text))
-    digits, words = amount_payment(read(t, "montant")["value"], False), amount_in_words(t, 10.0)
-    amount = F.when(digits.isNull() | (F.abs(digits - words) > 0.05 * words), F.coalesce(words, digits)).otherwise(digits)
-    emitted = dates.normalised(read(t, "date_emission")["value"])
-    due = F.coalesce(dates.normalised(read(t, "date_echeance")["value"]), dates.due_after(t, emitted))
-    both = dates.reconcile_due(emitted, due)
-    return df.select(key, read(t, "numero_traite")["value"].alias("number"), amount.alias("amount"), both["emitted"].alias("emitted"), both["due"].alias("due"), party_name(read(t, "tireur")["value"]).alias("drawer"), party_name(read(t, "tire")["value"]).alias("drawee"), bank(t).alias("bank"), accepted(t).alias("accepted"))
+    """Fields of drafts. Where digits and words differ by more than 5 %, the words count. Days are those behind their labels, else the nearest to a label, else so many days after emission; days in the wrong order trade places. A bank is named, or told by the account number; a drawer without a label is the first line in capitals."""
+    df = once(df, {"_t": repair_names(repair_payment(F.col(text)))})
+    t = F.col("_t")
+    df = once(df, {"_digits": amount_payment(read(t, "montant")["value"], False), "_words": amount_in_words(t, 10.0), "_account": account_number(read(t, "rib")["value"])})
+    apart = F.coalesce(F.abs(F.col("_digits") - F.col("_words")) > 0.05 * F.col("_words"), F.lit(False))
+    amount = F.when(F.col("_digits").isNull() | apart, F.coalesce("_words", "_digits")).otherwise(F.col("_digits"))
+    emitted = F.coalesce(dates.normalised(read(t, "date_emission")["value"]), dates.nearest_to(t, EMITTED, as_of))
+    df = once(df, {"_emitted": emitted})
+    due = F.coalesce(dates.normalised(read(t, "date_echeance")["value"]), dates.nearest_to(t, DUE, as_of), dates.due_after(t, F.col("_emitted")))
+    df = once(df, {"_due": let(due, lambda d: dates.repair_year(d, as_of, "traite"))["date"]})
+    both = dates.reconcile_due(F.col("_emitted"), F.col("_due"))
+    by_account = F.try_element_at(F.create_map(*[F.lit(x) for kv in ACCOUNT_BANKS.items() for x in kv]), F.substring("_account", 1, 2))
+    capitals = F.try_element_at(F.filter(F.transform(F.split(t, "\\r?\\n"), F.trim), lambda x: x.rlike("^[A-ZÀ-Ü][A-ZÀ-Ü&'’. ]{5,60}$") & ~x.rlike("LETTRE|CHANGE|BANQUE|TRAITE")), F.lit(1))
+    drawer = F.coalesce(let(party_name(read(t, "tireur")["value"]), lambda v: plausible_party(v, "tireur")), capitals)
+    town = F.coalesce(*[F.when(t.rlike(rx(rf"\b{x}\b")), x) for x in TOWNS])
+    return df.select(key, read(t, "numero_traite")["value"].alias("number"), amount.alias("amount"), both["emitted"].alias("emitted"), both["due"].alias("due"), drawer.alias("drawer"), let(party_name(read(t, "tire")["value"]), lambda v: plausible_party(v, "tire")).alias("drawee"), F.coalesce(bank(t), by_account).alias("bank"), F.col("_account").alias("account"), town.alias("town"), accepted(t).alias("accepted"))

@@ -9,45 +9,221 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.numbers import amount_bom, amount_pipeline
-from docloom.functions.text import first_group, part_code, rx, squeeze, unit
-
-#: Fields of an item sheet, patterns and the confidence of each.
-ITEM_FIELDS = [
-    ("item_code", r"article\s*:\s*([A-Z0-9][\w\-]{1,39})", "text", 0.9),
-    ("item_name", r"article\s*:\s*[A-Z0-9][\w\-]{1,39}[ \t]{2,}([^\n]{2,80})", "text", 0.85),
-    ("stock_uom", r"unit[ée]\s*(?:de\s*)?stock\s*:?\s*(\w{1,10})", "unit", 0.8),
-    ("purchase_uom", r"unit[ée]\s*d['’]?\s*achat\s*:?\s*(\w{1,10})", "unit", 0.8),
-    ("weight_per_unit", r"poids\s*(?:de\s*l['’]?\s*us|net|unitaire)?\s*:\s*([\d.,]+)", "number", 0.8),
-    ("item_group", r"cat[ée]gorie\s*:\s*([^\n]{2,40})", "text", 0.7),
-    ("description", r"d[ée]signation\s*:\s*([^\n]{2,120})", "text", 0.7),
-    ("barcode", r"code\s*(?:barre|ean)s?\s*:?\s*(\d{8,14})", "text", 0.85),
-    ("lead_time_days", r"d[ée]lai\s*(?:de\s*)?(?:r[ée]appro\w*|livraison)?\s*:\s*(\d{1,4})", "number", 0.7),
-    ("safety_stock", r"stock\s*(?:de\s*)?s[ée]curit[ée]\s*:\s*([\d.,]+)", "number", 0.75),
-    ("min_order_qty", r"quantit[ée]\s*mini\w*\s*:\s*([\d.,]+)", "number", 0.7),
-    ("standard_rate", r"prix\s*(?:de\s*)?(?:base|vente|standard)\s*:\s*([\d .,]+)", "number", 0.7),
-]
+from docloom.functions.phrases import signs, words
+from docloom.functions.text import before_label, chain, first_group, part_code, rx, squeeze, unit
+
+#: Shapes of values, by kind: up to a comma, bar, tab or line end for words.
+_WORDS, _NUMBER, _CODE, _UNIT = r"([^\n\t,|]{2,80})", r"(\d[\d.,]*)", r"([A-Z0-9][\w\-]{0,39})", r"([A-Za-z]\w{0,9})"
+KINDS = {"words": _WORDS, "line": r"([^\n\t]{2,140})", "number": _NUMBER, "code": _CODE, "unit": _UNIT, "digits": r"(\d{8,14})", "count": r"(\d{1,4})", "yes": r"(oui|non|yes|no|1|0)"}
+#: Fields of an item sheet: name, labels (phrases), kind of the value, confidence. A flag holds where its label stands.
+ITEM_LABELS = [
+    ("item_code", ["article :", "code article :", "référence article :"], "code", 0.9),
+    ("barcode", ["code ean :", "ean :", "code barres? :"], "digits", 0.9),
+    ("custom_designation2", ["désignation 2 :"], "line", 0.85),
+    ("custom_designation3", ["désignation 3 :"], "line", 0.85),
+    ("description", ["désignation :", "description :"], "line", 0.8),
+    ("custom_cle_recherche", ["clé recherche :"], "line", 0.85),
+    ("custom_ligne_produit", ["ligne de produit :", "ligne produit :"], "line", 0.85),
+    ("custom_norme", ["norme :"], "words", 0.85),
+    ("custom_ref_douaniere", ["référence douanière :", "réf. douanière :"], "code", 0.85),
+    ("custom_acces_gestionnaire", ["accès gestionnaire :"], "words", 0.8),
+    ("custom_statut_article", ["statut :"], "words", 0.9),
+    ("custom_gestion_stock", ["gestion stock :"], "words", 0.88),
+    ("custom_gestion_lot_mode", ["gestion lot :"], "words", 0.85),
+    ("custom_gestion_serie_mode", ["gestion série :"], "words", 0.85),
+    ("custom_gestion_peremption", ["gestion de péremption :", "gestion péremption :"], "words", 0.82),
+    ("custom_mode_gestion", ["mode gestion :"], "words", 0.85),
+    ("custom_tracabilite", ["traçabilité :"], "words", 0.82),
+    ("custom_nature", ["nature :"], "words", 0.8),
+    ("custom_carac_technique", ["caractéristique technique :", "carac technique :"], "words", 0.8),
+    ("stock_uom", ["unité de stock :", "unité stock :"], "unit", 0.85),
+    ("purchase_uom", ["unité d'achat :", "unité achat :"], "unit", 0.85),
+    ("sales_uom", ["unité de vente :", "unité vente :"], "unit", 0.85),
+    ("weight_uom", ["unité poids :"], "unit", 0.85),
+    ("custom_uom_conditionnement", ["unité de conditionnement :", "unité conditionnement :"], "unit", 0.85),
+    ("custom_uom_stat", ["unité statistique :"], "unit", 0.82),
+    ("custom_uom_cee", ["unité cee :"], "unit", 0.82),
+    ("custom_unite_volume", ["unité volume :"], "unit", 0.82),
+    ("custom_unite_jours", ["unité pour les jours :"], "unit", 0.78),
+    ("custom_unite_heures", ["unité pour les heures :"], "unit", 0.78),
+    ("custom_unite_minutes", ["unité pour les minutes :"], "unit", 0.78),
+    ("weight_per_unit", ["poids de l'us :"], "number", 0.82),
+    ("custom_volume_us", ["volume de l'us :"], "number", 0.82),
+    ("custom_densite", ["densité :"], "number", 0.82),
+    ("custom_format_etiquette_us", ["format étiquette us :"], "words", 0.78),
+    ("custom_long_barre", ["long barre :", "long barre/cor :"], "number", 0.8),
+    ("custom_epaisseur", ["épaisseur :"], "number", 0.8),
+    ("custom_dim_long", ["longueur :"], "number", 0.8),
+    ("custom_dim_larg", ["largeur :"], "number", 0.8),
+    ("custom_forme", ["forme :"], "words", 0.78),
+    ("custom_type_tole", ["type tôle :"], "words", 0.78),
+    ("custom_film", ["film :"], "words", 0.78),
+    ("custom_couleur_sup", ["couleur sup. :"], "words", 0.78),
+    ("custom_couleur_inf", ["couleur inf. :"], "words", 0.78),
+    ("custom_coef_ua_us", ["coefficient ua-us :", "coef ua-us :"], "number", 0.85),
+    ("custom_coef_uv_us", ["coefficient uv-us :", "coef uv-us :"], "number", 0.85),
+    ("custom_coef_ustat_us", ["coefficient ustat-us :", "coef ustat-us :"], "number", 0.82),
+    ("custom_coef_ucee_us", ["coefficient ucee-us :", "coef ucee-us :"], "number", 0.82),
+    ("custom_coef_uc_ua", ["coefficient uc-ua :", "coef uc-ua :"], "number", 0.82),
+    ("custom_coef_jour_heures", ["coefficient jour-heures? :", "coef jour-heures? :"], "number", 0.78),
+    ("custom_coef_frais_approche", ["coefficient frais approche :", "coef frais approche :"], "number", 0.8),
+    ("custom_coef_dlu", ["coefficient dlu :"], "number", 0.8),
+    ("custom_titre_pct", ["titre (en %) :", "titre :"], "number", 0.8),
+    ("custom_delai_peremption", ["délai péremption :", "délai de péremption :"], "number", 0.8),
+    ("custom_delai_recontrol", ["délai recontrôle :"], "number", 0.8),
+    ("custom_statut_peremption", ["statut péremption :"], "words", 0.78),
+    ("custom_statut_recontrol", ["statut recontrôle :"], "words", 0.78),
+    ("custom_compteur_lot", ["compteur lot :"], "code", 0.82),
+    ("custom_compteur_serie", ["compteur série :"], "code", 0.82),
+    ("custom_article_remplacement", ["article remplacement :"], "code", 0.82),
+    ("custom_article_substitution", ["article substitution :"], "code", 0.82),
+    ("custom_date_substitution", ["date substitution :"], "words", 0.78),
+    ("custom_code_comptable", ["code comptable :"], "code", 0.85),
+    ("custom_libelle_comptable", ["libellé comptable :"], "words", 0.8),
+    ("custom_niveau_taxe", ["niveau taxe :", "niveau de taxe :"], "words", 0.82),
+    ("custom_libelle_taxe", ["libellé taxe :"], "words", 0.8),
+    ("custom_famille_cout", ["famille de coût :", "famille coût :"], "words", 0.8),
+    ("valuation_method", ["méthode valorisation :", "méthode de valorisation :"], "words", 0.82),
+    ("standard_rate", ["prix de base :", "prix base :", "prix de vente ht :", "prix unitaire ht :"], "number", 0.85),
+    ("last_purchase_rate", ["prix achat ht :", "dernier prix achat :"], "number", 0.82),
+    ("valuation_rate", ["prix de revient :", "coût standard :"], "number", 0.8),
+    ("custom_prix_theorique", ["prix théorique :"], "number", 0.82),
+    ("custom_prix_plancher", ["prix plancher :"], "number", 0.82),
+    ("custom_marge_minimale", ["marge minimale :"], "number", 0.82),
+    ("min_order_qty", ["quantité minimale :", "qté minimum achat :", "qté min. achat :"], "number", 0.8),
+    ("custom_qte_max_vente", ["quantité maximale :"], "number", 0.8),
+    ("custom_qte_directe", ["qté directe :"], "number", 0.78),
+    ("custom_tolerance_reliquat", ["tolérance reliquat % :", "tolérance reliquat :"], "number", 0.8),
+    ("warranty_period", ["garantie en mois :"], "count", 0.82),
+    ("safety_stock", ["stock sécurité :", "stock de sécurité :"], "number", 0.85),
+    ("custom_stock_max", ["stock maximum :"], "number", 0.85),
+    ("custom_seuil_reappro", ["seuil de réapprovisionnement :", "seuil de réappro :"], "number", 0.85),
+    ("custom_qte_mini_reappro", ["qté mini réapprovisionnement :", "qté mini réappro :"], "number", 0.85),
+    ("custom_taille_lot", ["taille du lot :"], "number", 0.82),
+    ("custom_categorie_abc", ["catégorie abc :"], "words", 0.82),
+    ("custom_mode_inventaire", ["mode inventaire :"], "words", 0.82),
+    ("custom_mode_retrait", ["mode retrait de stock :", "mode retrait :"], "words", 0.82),
+    ("custom_gestion_emplacement", ["gestion emplacement :"], "yes", 0.82),
+    ("custom_acheteur_approv", ["acheteur/approv. :", "acheteur / approv. :"], "words", 0.8),
+    ("custom_sites_appro", ["sites? d'approvisionnement :", "sites? appro :"], "words", 0.78),
+    ("custom_fournisseur_principal", ["fournisseur principal :", "fournisseur :"], "words", 0.82),
+    ("custom_ref_fournisseur", ["article fournisseur :", "réf. fournisseur :"], "code", 0.82),
+    ("custom_ean_fournisseur", ["code ean fournisseur :"], "digits", 0.82),
+    ("custom_majoration_cee", ["majoration cee :"], "number", 0.78),
+    ("custom_delai_sous_traitance", ["délai sous-traitance :"], "number", 0.78),
+    ("custom_alt_sous_traitance", ["alternative sous-traitance :", "alt sous-traitance :"], "words", 0.78),
+    ("custom_blocage_fournisseur", ["blocage :"], "words", 0.78),
+    ("custom_three_way_match", ["three-way match :"], "yes", 0.78),
+    ("custom_conditionnement_achat", ["conditionnement :"], "words", 0.78),
+    ("custom_priorite_fournisseur", ["priorité :"], "count", 0.78),
+    ("custom_note_qualite", ["note qualité :"], "number", 0.78),
+    ("custom_soumis_controle", ["soumis à contrôle :"], "words", 0.78),
+    ("custom_frequence_controle", ["fréquence :"], "number", 0.78),
+    ("custom_numero_controle", ["numéro contrôle :"], "number", 0.78),
+    ("custom_fiche_qualite", ["fiche qualité :"], "words", 0.78),
+    ("custom_categorie_coupon", ["catégorie de coupon :"], "words", 0.78),
+    ("custom_contrat_pret", ["contrat de prêt :"], "words", 0.78),
+    ("custom_contrat_garantie", ["contrat de garantie :"], "words", 0.78),
+    ("custom_contrat_service", ["contrat de service :"], "words", 0.78),
+    ("custom_debit_points", ["débit de points :"], "number", 0.78),
+    ("custom_jetons_crediter", ["jetons? à créditer :"], "number", 0.78),
+    ("custom_frequence_points", ["toutes les"], "words", 0.75),
+    ("custom_type_article_sav", ["type d'article :"], "words", 0.78),
+    ("custom_article_client", ["article-client :"], "code", 0.82),
+    ("custom_designation_client", ["désignation client :"], "words", 0.82),
+    ("custom_designation_remplacement", ["désignation remplacement :"], "words", 0.78),
+    ("custom_soumis_deb", ["soumis deb", "soumis à la deb"], "flag", 0.78),
+    ("custom_modifiable_uv", ["modifiable"], "flag", 0.75),
+    ("custom_immobilisable", ["immobilisable"], "flag", 0.8),
+    ("custom_autorisation_pret", ["autorisation prêt"], "flag", 0.78),
+    ("custom_contremarque_vente", ["contremarque"], "flag", 0.78),
+    ("custom_texte_vente", ["texte vente"], "flag", 0.78),
+    ("custom_texte_production", ["texte production"], "flag", 0.78),
+    ("custom_texte_preparation", ["texte préparation"], "flag", 0.78),
+    ("custom_creation_parc_client", ["création de parc client"], "flag", 0.78),
+    ("custom_valeur_nulle_points", ["valeur nulle prise en compte"], "flag", 0.75),
+    ("custom_sortie_stock_defaut", ["sortie de stock par défaut"], "flag", 0.78),
+    ("custom_inter_sites_client", ["inter-sites?"], "flag", 0.78),
+    ("custom_infos_produit", ["informations produit"], "flag", 0.78),
+    ("custom_stock_negatif", ["stock négatif"], "flag", 0.78),
+]
 #: The head of a bill of materials.
-BOM_FIELDS = [
-    ("bom_name", r"\b(BOM-[\w\-]+)", "text", 0.95),
-    ("item", r"article\s+([A-Z0-9][\w\-]*)\s*[—–\-]", "text", 0.85),
-    ("item_name", r"article\s+[A-Z0-9][\w\-]*\s*[—–\-]\s*([^\n]{2,80})", "text", 0.8),
-    ("quantity", r"quantit[ée]\s*:\s*([\d.,]+)", "number", 0.8),
-    ("uom", r"unit[ée]\s*:\s*(\w{1,10})", "unit", 0.75),
-    ("routing", r"gamme\s*(?:\(routing\))?\s*:?\s*([A-Z]{2}[\w\-]+)", "text", 0.85),
-    ("currency", r"devise\s*:\s*([A-Z]{3})\b", "text", 0.8),
+BOM_LABELS = [
+    ("quantity", ["quantité produite", "quantité :", "qty produite"], "number", 0.85),
+    ("uom", ["udm de l'article :", "udm de l'article", "unité de mesure", "unité :", "uom", "udm"], "unit", 0.8),
+    ("conversion_rate", ["taux de change", "conversion rate", "taux conversion"], "number", 0.8),
+    ("scrap_percentage", ["taux de perte processus (%)", "taux de perte processus", "scrap %", "scrap", "rebut", "perte"], "number", 0.8),
+    ("raw_material_cost", ["coût matière :", "coût des matières premières", "coût matière"], "number", 0.8),
+    ("operating_cost", ["coût opération :", "coût des opérations", "coût opération"], "number", 0.8),
+    ("total_cost", ["coût total :", "coût total"], "number", 0.8),
 ]
+#: What a bill's prices are based on, and what its material is transferred for, by words.
+COST_BASIS = {"valorisation": "Valuation Rate", "valuation": "Valuation Rate", "dernier": "Last Purchase Rate", "last": "Last Purchase Rate", "liste": "Price List", "price list": "Price List"}
+TRANSFERRED = {"ordre": "Work Order", "work order": "Work Order", "carte": "Job Card", "job card": "Job Card"}
+CURRENCIES, NO_CURRENCY = ["TND", "EUR", "USD", "MAD", "GBP"], ["NOM", "UDM", "QTE", "BOM", "OCR"]
 
 
-def typed_fields(text: Column, rules: list[tuple], profile: str = "item") -> Column:
-    """Map of field to struct (value, confidence), by rules kept as data."""
+def by_labels(text: Column, rules: list[tuple], profile: str = "item") -> Column:
+    """Map of field to struct (value, confidence): of each field the value behind the first of its labels that has one. A line that names another label ends a value."""
     rows = []
-    for name, pattern, kind, confidence in rules:
-        v = squeeze(first_group(text, rx(pattern, True)))
-        v = {"text": v, "unit": unit(v, profile), "number": amount_bom(v).cast("string")}[kind]
+    for name, labels, kind, confidence in rules:
+        if kind == "flag":
+            v = F.when(text.rlike(rx(signs(labels))), "1")
+        else:
+            tries = []
+            for label in labels:
+                end = "" if label.endswith(":") else "\\s*[:\\-]?"
+                tries.append(first_group(text, "(?iuUm)" + r"(?<![\p{L}\d])" + words(label) + end + r"[ \t]*" + KINDS[kind]))
+            v = squeeze(F.coalesce(*tries))
+            if kind == "words" or kind == "line":
+                v = chain(before_label(v))
+            v = {"unit": unit(v, profile), "number": amount_bom(v).cast("string"), "yes": F.lower(v).isin("oui", "yes", "1").cast("int").cast("string")}.get(kind, v)
         rows.append(F.struct(F.lit(name).alias("k"), F.struct(F.nullif(v, F.lit("")).alias("value"), F.lit(confidence).alias("confidence")).alias("v")))
     return F.map_from_entries(F.filter(F.array(*rows), lambda e: e["v"]["value"].isNotNull()))
 
 
+def _found(name: str, value: Column, confidence: float) -> Column:
+    return F.struct(F.lit(name).alias("k"), F.struct(F.nullif(value, F.lit("")).alias("value"), F.lit(confidence).alias("confidence")).alias("v"))
+
+
+def _of(table: dict[str, str], said: Column) -> Column:
+    return F.coalesce(*[F.when(F.contains(F.lower(said), F.lit(w)), name) for w, name in table.items()])
+
+
+def bill_head(text: Column) -> Column:
+    """Map of field to struct (value, confidence): the bill's number, its item, company, quantity, unit, currency, routing, basis of costs, transfer, rates, losses, costs and flags."""
+    g = lambda p, k=1: first_group(text, rx(p, True), k)
+    item = r"(?:article|item)\s*[:\-]?\s+([A-Z0-9]+)\s*[—\-–]+\s*(\S[^\n]{0,79})"
+    company = chain(F.regexp_replace(g(r"(?:soci[eé]t[eé]\s*[:\-]?|company\s*[:\-]?)\s*((?:groupe\s+)?[^\n:]{3,80})"), rx(r"\s*(?:est\s+(?:actif|d[eé]faut)|udm|unit[eé]|quantit[eé]|devise|taux|routing|gamme|transfert|statut|nomenclature|bom).*$"), ""))
+    said_currency = F.upper(g(r"devise\s*[:\-]?\s*([A-Z]{2,4})\b"))
+    listed = F.coalesce(*[F.when(F.upper(text).rlike(rf"\b{c}\b"), c) for c in CURRENCIES])
+    flag = lambda p: F.lower(g(p)).isin("oui", "yes").cast("int").cast("string")
+    rows = [
+        _found("name", F.upper(g(r"\b(BOM-\d{4}-\d{3,})\b")), 0.95), _found("name", F.upper(g(r"nomenclature\s+([A-Z0-9\-]*\d[A-Z0-9\-]{3,19})")), 0.70),
+        _found("item", g(item), 0.85), _found("item", g(r"^article\s*[:\-]\s*([A-Z0-9]{2,12})"), 0.60), _found("item_name", chain(g(item, 2)), 0.80), _found("company", company, 0.80),
+        _found("currency", F.when(~said_currency.isin(NO_CURRENCY), said_currency), 0.90), _found("currency", listed, 0.65),
+        _found("routing", g(r"(?:gamme\s*\(routing\)|routing\s*[:\-]?|route\s*[:\-]?|gamme\s*[:\-]?)\s+([\w\-]{3,})"), 0.75),
+        _found("rm_cost_as_per", _of(COST_BASIS, g(r"(?:prix\s+bas[eé]\s+sur|(?:rm\s+)?cost\s+as\s+per)\s+([^\n]+)")), 0.85),
+        _found("transfer_material_against", _of(TRANSFERRED, g(r"(?:transfert\s+mat[eé]riel|transfer\s+material)\s*[:\-]?\s*([^\n]+)")), 0.80),
+        _found("is_active", flag(r"est\s+actif\s+(oui|non|yes|no)"), 0.90), _found("is_active", F.when(text.rlike(rx(r"statut\s*[:|]\s*actif")), "1"), 0.85), _found("is_active", F.when(text.rlike(rx(r"\bactif\b")), "1"), 0.60),
+        _found("is_default", flag(r"est\s+d[eé]faut\s+(oui|non|yes|no)"), 0.90), _found("is_default", F.when(text.rlike(rx(r"par\s+d[eé]faut")), "1"), 0.75),
+    ]
+    some = F.filter(F.array(*rows), lambda e: e["v"]["value"].isNotNull())
+    # the first of several ways to a field counts
+    firsts = F.filter(some, lambda e, i: ~F.exists(F.slice(some, F.lit(1), i), lambda b: b["k"] == e["k"]))
+    return F.map_concat(F.map_from_entries(firsts), by_labels(text, BOM_LABELS, "bom"))
+
+
+def basic_item(text: Column) -> Column:
+    """Map of the fields that a plain reading finds where the sheet's own labels fail, at a confidence of 0.6."""
+    rules = [
+        ("item_code", ["référence :", "réf. :", "code :", "sku :", "part number :"], "code", 0.6), ("item_name", ["désignation :", "nom :", "name :"], "line", 0.6), ("description", ["description :"], "line", 0.6),
+        ("stock_uom", ["unité :", "uom :", "udm :"], "unit", 0.6), ("standard_rate", ["prix ht :", "prix unitaire :", "prix :", "price :"], "number", 0.6), ("item_group", ["catégorie :", "groupe :", "group :"], "words", 0.6),
+        ("brand", ["marque :", "brand :"], "words", 0.6), ("barcode", ["ean :", "code barres? :", "barcode :"], "digits", 0.6),
+    ]
+    return by_labels(text, rules)
+
+
 COMPONENT = r"^\s*(\d{1,3})\s+([A-Za-z]*[A-Z0-9][\w\-]{2,})\s+(.+?)\s+(\d+(?:[.,]\d+)?)\s+([A-Za-z]{1,10}\d?)(?:\s+(\d+(?:[.,]\d+)?))?\s*$"
 
 
@@ -65,15 +241,37 @@ def site_blocks(text: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(first_group(b, rx(r"^stock\s+site\s*[:\-]\s*(\S+)")).alias("code"), n(b, r"stock\s*(?:de\s*)?s[ée]curit[ée]").alias("safety_stock"), n(b, r"stock\s*maxi\w*").alias("stock_max"), n(b, r"seuil\s*(?:de\s*)?r[ée]appro\w*").alias("reorder_level"), n(b, r"quantit[ée]\s*[ée]co\w*").alias("reorder_qty")))
 
 
-#: Item groups by words, longest first.
-GROUPS = {"matière première": "Matière première", "semi-fini": "Semi-fini", "produit fini": "Produit fini", "emballage": "Emballage", "visserie": "Visserie", "service": "Service", "outil": "Outillage"}
+#: Codes of item groups, groups by name, and words that speak for a group.
+GROUP_CODES = {"CONS": "Consommables", "ACCP": "Accessoires", "AACP": "Accessoires", "PIEC": "Pièces détachées", "MATO": "Matières premières", "EMBA": "Emballage", "OUTL": "Outillage", "EQUI": "Équipement", "PROD": "Produits finis", "ELEC": "Électricité", "INFO": "Informatique", "RESEAU": "Réseau"}
+GROUPS = ["Informatique", "Bureautique", "Électronique", "Mobilier", "Fournitures de bureau", "Consommables", "Pièces détachées", "Outillage", "Matières premières", "Produits finis", "Emballage", "Équipement", "Accessoires", "Câblage", "Réseau", "Sécurité", "Électricité", "Plomberie", "Mécanique", "Chimie", "Hygiène", "Alimentaire", "All Item Groups"]
+GROUP_WORDS = {
+    "Informatique": ["ordinateur", "pc ", "laptop", "notebook", "processeur", "cpu", "ram", "disque dur", "ssd", "nvme", "carte mère", "gpu", "carte graphique", "écran", "moniteur", "clavier", "souris", "imprimante", "scanner", "usb", "hdmi", "vga"],
+    "Réseau": ["switch", "routeur", "router", "wifi", "ethernet", "rj45", "fibre", "sfp", "access point", "borne wifi", "modem"],
+    "Électronique": ["arduino", "raspberry", "capteur", "sensor", "module", "transistor", "condensateur", "résistance", "diode", "led", "alimentation", "transformateur", "onduleur", "ups"],
+    "Mobilier": ["bureau", "chaise", "armoire", "étagère", "table", "caisson", "classeur", "meuble"],
+    "Fournitures de bureau": ["stylo", "crayon", "ramette", "papier", "agrafeuse", "classeur", "pochette", "reliure", "enveloppe", "toner", "cartouche", "ruban"],
+    "Outillage": ["perceuse", "visseuse", "meuleuse", "scie", "marteau", "tournevis", "clé", "pince", "niveau", "mètre"],
+    "Câblage": ["câble", "cable", "fil", "gaine", "conduit", "prise", "connecteur", "fiche", "cordon"],
+    "Sécurité": ["caméra", "alarme", "détecteur", "badge", "lecteur", "contrôle d'accès", "surveillance", "dvr", "nvr"],
+    "Consommables": ["encre", "toner", "cartouche", "ruban", "étiquette", "papier thermique", "film", "colle", "lubrifiant"],
+    "Électricité": ["disjoncteur", "fusible", "tableau", "câble électrique", "prise électrique", "interrupteur", "contacteur", "relais"],
+}
 
 
-def item_group(label: Column, text: Column) -> Column:
-    """C14: the label's group if known, else by words of the text."""
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    by = lambda c: F.coalesce(*[F.when(low(c).contains(w), g) for w, g in sorted(GROUPS.items(), key=lambda x: -len(x[0]))])
-    return F.coalesce(by(label), by(text))
+def item_group(text: Column) -> Column:
+    """C14: struct (group, confidence): the code behind a category's label, the name behind a group's label (on the next line first), a group named in the text, the longest first, or the first group that a word speaks for. Data sheets tell by labels only. Null without any."""
+    code = F.upper(first_group(text, rx(r"cat[eé]gorie\s*:\s*([A-Z0-9]{2,10})\b")))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in GROUP_CODES.items() for x in kv]), code)
+    cut = lambda v: F.substring(chain(F.split(v, r"\s*\(|\s{2,}|\t")[0]), 1, 80)
+    label = r"(?:groupe\s*d['’ ]article|item\s*group)\s*\*?"
+    below, beside = cut(first_group(text, rx(label + r"[^\n]*\n\s*([^\n]+)"))), cut(first_group(text, rx(label + r"\s*[:\-]?[ \t]*([^\n]+)")))
+    fits = lambda v: F.when((F.length(v) >= 5) & ~F.upper(v).isin(*GROUP_CODES), v)
+    low = F.lower(text)
+    named = F.coalesce(*[F.when(F.contains(low, F.lit(g.lower())), g) for g in sorted(GROUPS, key=len, reverse=True)])
+    spoken = F.coalesce(*[F.when(low.rlike(rx("|".join(rf"\b{w}\b" for w in ws))), g) for g, ws in GROUP_WORDS.items()])
+    data_sheet = text.rlike(rx(r"\btechnical\s+data\s+sheet\b|\bfiche\s+technique\b")) | (text.rlike(rx(r"\bcharacteristics\b")) & text.rlike(rx(r"\bproperties\b")))
+    say = lambda v, c: F.when(v.isNotNull(), F.struct(v.alias("group"), F.lit(c).alias("confidence")))
+    return F.coalesce(say(known, 0.88), say(code, 0.80), say(fits(below), 0.90), say(fits(beside), 0.85), F.when(~data_sheet, F.coalesce(say(named, 0.75), say(spoken, 0.65))))
 
 
 def totals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -198,11 +198,38 @@ def test_availability(spark):
     assert [r.name for r in fleet.available(cars, booked, F.lit(at(11)), F.lit(at(13)), limit_first=True, n=1).collect()] == []
 
 
-def test_sheets(spark):
-    got = one(spark, sheets.typed_fields(F.lit("Article  0004 — Châssis Soudé\nBOM-0002-001\nGamme (Routing) RT-CHASSIS-001"), sheets.BOM_FIELDS, "bom"))
-    assert {k: v.value for k, v in got.items()} == {"bom_name": "BOM-0002-001", "item": "0004", "item_name": "Châssis Soudé", "routing": "RT-CHASSIS-001"}
-    got = one(spark, sheets.typed_fields(F.lit("Article :   ACP0011   EMBOUT GAUCHE PLTSX100\nPoids de l'US : 1,250"), sheets.ITEM_FIELDS))
-    assert {k: v.value for k, v in got.items()} == {"item_code": "ACP0011", "item_name": "EMBOUT GAUCHE PLTSX100", "weight_per_unit": "1.25"}
+def told(spark, column):
+    return {k: v.value for k, v in one(spark, column).items()}
+
+
+def test_bill_head(spark):
+    said = "Article  0004 — Châssis Soudé\nBOM-0002-001\nGamme (Routing) RT-CHASSIS-001\nSociété : Groupe Alpha est actif Oui\nQuantité produite 2,5\nUDM de l'article : pcs\nDevise : TND\nPrix basé sur dernier achat\nTransfert matériel ordre de fabrication\nTaux de change 3,2\nTaux de perte processus 4 %\nCoût total : 1.234,5\nPar défaut"
+    got = told(spark, sheets.bill_head(F.lit(said)))
+    assert got == {"name": "BOM-0002-001", "item": "0004", "item_name": "Châssis Soudé", "routing": "RT-CHASSIS-001", "company": "Groupe Alpha", "quantity": "2.5", "uom": "Unité", "currency": "TND", "rm_cost_as_per": "Last Purchase Rate", "transfer_material_against": "Work Order", "conversion_rate": "3.2", "scrap_percentage": "4.0", "total_cost": "1234.5", "is_active": "1", "is_default": "1"}
+    assert one(spark, sheets.bill_head(F.lit("devise NOM, EUR"))) ["currency"].confidence == 0.65
+
+
+def test_item_labels(spark):
+    said = "Article : ACP0011\nDésignation : Embout gauche\nPoids de l'US : 1,250\nUnité de stock : pcs\nCode EAN : 61912345678\nStock sécurité : 5\nGestion lot : Non géré, Gestion série : Sortie\nImmobilisable\nGestion emplacement : Oui\nGarantie en mois : 24\nCoefficient UA-US : 1.5\nCatégorie ABC : Classe A"
+    got = told(spark, sheets.by_labels(F.lit(said), sheets.ITEM_LABELS))
+    assert got == {"item_code": "ACP0011", "description": "Embout gauche", "weight_per_unit": "1.25", "stock_uom": "Unité", "barcode": "61912345678", "safety_stock": "5.0", "custom_gestion_lot_mode": "Non géré", "custom_gestion_serie_mode": "Sortie", "custom_immobilisable": "1", "custom_gestion_emplacement": "1", "warranty_period": "24", "custom_coef_ua_us": "1.5", "custom_categorie_abc": "Classe A"}
+    assert len({n for n, *_ in sheets.ITEM_LABELS}) > 120
+    assert told(spark, sheets.basic_item(F.lit("Réf. : A-12\nPrix : 12,5\nMarque : Bêta"))) == {"item_code": "A-12", "standard_rate": "12.5", "brand": "Bêta"}
+
+
+@pytest.mark.parametrize(
+    ("said", "group"),
+    [
+        ("Catégorie : CONS", ("Consommables", 0.88)), ("Catégorie : ZZ9", ("ZZ9", 0.8)), ("Groupe d'article *\nPeintures  x", ("Peintures", 0.9)), ("Item Group : Peintures (bleu)", ("Peintures", 0.85)),
+        ("fournitures de bureau et mobilier", ("Fournitures de bureau", 0.75)), ("une perceuse", ("Outillage", 0.65)), ("Fiche technique : perceuse", None), ("rien", None),
+    ],
+)
+def test_item_group(spark, said, group):
+    got = one(spark, sheets.item_group(F.lit(said)))
+    assert (None if got is None else tuple(got)) == group
+
+
+def test_sites(spark):
     sites = one(spark, sheets.site_blocks(F.lit("x\nStock site : A1\nStock sécurité : 5\nStock site : B2\nSeuil réappro : 7")))
     assert [(s.code, s.safety_stock, s.reorder_level) for s in sites] == [("A1", 5.0, None), ("B2", None, 7.0)]
 
@@ -269,4 +296,118 @@ def test_forms(spark):
     master = spark.createDataFrame([("Alpha SARL",), ("Alpha SA",), ("Beta",)], "id string")
     df = spark.createDataFrame([("Beta",), ("alpha sa",), ("alp",), ("zzz",), (None,)], "value string")
     assert {r.value: r.resolved for r in forms.link_value(df, master).collect()} == {"Beta": "Beta", "alpha sa": "Alpha SA", "alp": "Alpha SA", "zzz": None, None: None}
+    assert [one(spark, forms.item_amount(F.lit(x))) for x in ("1.234,5", "1,234.5", "12,5 DT")] == [1234.5, 1234.5, 12.5]
+    assert [one(spark, forms.bill_amount(F.lit(x))) for x in ("12,5 kg", "x")] == [12.5, 0.0]
+    assert one(spark, forms.missing_on_item(F.create_map(F.lit("item_code"), F.lit("A")), ["item_code", "item_name", "item_group", "stock_uom"], "item_group")) == ["item_name", "stock_uom"]
     assert one(spark, forms.field_confidence(F.lit("date"), F.lit("01/02/2024"), F.lit("le 01/02/2024"))) == 0.8
+
+
+@pytest.mark.parametrize(
+    ("said", "number"),
+    [("Facture N° : FAC-2024-01", "FAC-2024-01"), ("N° facture : A/12", "A/12"), ("Facture N° 812", "812"), ("N° 2024 et N° 77", None), ("N° : 77", "77"), ("FACT 2024001", "2024001"), ("rien", None)],
+)
+def test_invoice_number(spark, said, number):
+    from docloom.operators import forms
+
+    assert one(spark, forms.invoice_number(F.lit(said))) == number
+
+
+@pytest.mark.parametrize(
+    ("said", "name"),
+    [("Facture\nAlpha Métal SARL rue 3\nTotal", "Alpha Métal SARL"), ("Facture\n12 rue X\nBeta Négoce\nDésignation\nx", "Beta Négoce"), ("Désignation\nTRUC", None), ("Tel 71\nDésignation", None), ("  \n", None)],
+)
+def test_supplier(spark, said, name):
+    from docloom.operators import forms
+
+    assert one(spark, forms.supplier(F.split(F.lit(said), "\n"))) == name
+
+
+def test_known_supplier(spark):
+    from docloom.operators import forms
+
+    master = spark.createDataFrame([("Gamma Industrie", 1), ("Delta Chimie", 0), ("Ab", 2)], "name string, ord int")
+    docs = spark.createDataFrame([(1, "Facture\nGAMMA INDUSTRIE et Delta Chimie"), (2, "Delta Chimle\nx"), (3, "Alpha SARL"), (4, "")], "doc_id int, text string")
+    assert {r.doc_id: r.supplier for r in forms.known_supplier(docs, master).collect()} == {1: "Delta Chimie", 2: "Delta Chimie", 3: "Alpha SARL", 4: None}
+
+
+@pytest.mark.parametrize(
+    ("said", "field", "name"),
+    [
+        ("Acier Tunisie SARL", "tireur", "Acier Tunisie SARL"), ("signature", "tireur", None), ("Bon pour aval", "tireur", None), ("Acier (Tunis)", "tireur", None), ("A 12345 B", "tireur", None), ("- - A1 - . .", "tireur", None), ("ab cd ef gh", "tireur", None),
+        ("aCieR tUnIs", "tireur", None), ("aCieR tUnIs", "titulaire_compte", "aCieR tUnIs"), ("OT OLEO TECHNO", "tireur", "OLEO TECHNO"), ("Acier x Tunisie", "beneficiaire", "Acier Tunisie"), ("agence BIAT Tunis", "tire", "BIAT"), ("xy", "tire", None), ("x" * 81, "tireur", None),
+    ],
+)
+def test_parties(spark, said, field, name):
+    assert one(spark, payments.plausible_party(F.lit(said), field)) == name
+    assert [one(spark, payments.company_name(F.lit(x))) for x in ("Alpha", "TVA 19", "12 34", "ab", None)] == [True, False, False, False, False]
+
+
+def test_draft_days(spark):
+    from docloom.functions import dates
+
+    day, as_of = datetime.date, F.lit("2024-06-01").cast("date")
+    said = F.lit("Emission 01/01/2024 puis 15/03/2024 échéance\n01/01/2024")
+    assert one(spark, dates.nearest_to(said, "[eé]ch[eé]ance", as_of)) == day(2024, 3, 15)
+    assert one(spark, dates.nearest_to(said, "livraison", as_of)) is None
+    assert one(spark, dates.voted(said, as_of)) == day(2024, 1, 1)
+    fixed = lambda d: tuple(one(spark, dates.repair_year(F.lit(d).cast("date"), as_of, "traite")))
+    assert fixed("2025-01-01") == (day(2025, 1, 1), False)
+    assert fixed("2026-07-01") == (day(2024, 7, 1), True)
+    assert fixed("2028-07-01")[1] is True
+    assert fixed("2035-01-01") == (day(2035, 1, 1), False)
+
+
+def test_amounts_of_forms(spark):
+    assert one(spark, checks.net_amount(F.lit(0.0), F.lit(119.0), F.lit(19.0))) == 100.0
+    assert one(spark, checks.net_amount(F.lit(0.0), F.lit(1.1), F.lit(0.1))) == 1.0
+    assert one(spark, checks.net_amount(F.lit(None).cast("double"), F.lit(-5.0), F.lit(1.0))) == 0.0
+    assert tuple(one(spark, checks.derived_on_form(F.lit(0.0), F.lit(19.0), F.lit(119.0)))) == (100.0, 19.0)
+    assert tuple(one(spark, checks.matched_share(F.lit(1), F.lit(3)))) == (33, True)
+    assert tuple(one(spark, checks.matched_share(F.lit(0), F.lit(0), F.lit(55.5)))) == (55, True)
+    cases = [("Currency", "1.234,50", "1234.5"), ("Int", "12,00", "12"), ("Date", "05/04/2024", "2024-04-05"), ("Check", "Oui", "1"), ("Data", " x ", "x"), ("Int", "abc", None)]
+    assert [one(spark, checks.coerced(F.lit(k), F.lit(v))) for k, v, _ in cases] == [w for *_, w in cases]
+
+
+@pytest.mark.parametrize(("said", "method"), [("Chéque", "cheque"), ("check", "cheque"), ("Draft", "traite"), ("effet", "traite"), ("virement", None)])
+def test_payment_methods(spark, said, method):
+    from docloom.functions import text
+
+    assert one(spark, text.payment_method(F.lit(said))) == method
+    assert [one(spark, text.unit(F.lit(x), p)) for x, p in (("Boîte", "item"), ("zz", "item"), ("zz", "bom"), ("Zz long", "bom"), (" Zz", "sheet"), ("pcs.", "item"))] == ["Box", "", "ZZ", "Zz long", "Zz", "Unité"]
+
+
+def test_one_word_common_to_all_names(spark):
+    """Names that share a word are told apart by the rest; texts without it meet none."""
+    names = spark.createDataFrame([(f"CUSTOMER {k:09d}",) for k in range(200)] + [("Acier Tunisie",)], "name string")
+    docs = spark.createDataFrame([(k, f"Vendu à : Customer {k:09d}") for k in range(40)] + [(900, "customer 0000001I7"), (901, "acier de Tunisie"), (902, "rien du tout"), (903, "")], "doc_id int, text string")
+    got = {r.doc_id: r.party for r in resolve.party_match(docs, names).collect()}
+    assert {k: got[k] for k in range(40)} == {k: f"CUSTOMER {k:09d}" for k in range(40)}
+    assert got[900].startswith("CUSTOMER") and got[901] == "Acier Tunisie" and 902 not in got and 903 not in got
+
+
+def brute_party(text, names):
+    import re
+
+    from docloom.functions.fuzzy import token_set_ratio
+
+    said = " ".join(re.sub(r"[^A-Za-zÀ-ÿ0-9 ]", " ", text).upper().split())
+    tokens, best = [t for t in said.split() if len(t) >= 3], None
+    for n in names:
+        up, alpha = n.upper(), re.sub(r"[^A-ZÀ-Ü0-9]", "", n.upper())
+        cover = max([len(t) / len(alpha) * 100 for t in tokens if t in up or t in alpha], default=0.0)
+        alike = token_set_ratio(said, up)
+        if cover > 0 and (cover >= 30 or alike >= 60):
+            best = max(best or (0, ""), (cover * 0.7 + alike * 0.3, n, cover, alike))
+    return best[1] if best and (best[2] >= 40 or best[3] >= 70) else None
+
+
+def test_parties_by_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(resolve, "COMMON", 4)
+    rng = random.Random(3)
+    parts = ["ALPHA", "BETA", "METAL", "ACIER", "SARL", "TUNISIE", "NEGOCE", "SUD", "INDUSTRIE", "TRANS"]
+    names = sorted({" ".join(rng.sample(parts, rng.randint(1, 3))) for _ in range(60)})
+    docs = [(k, " ".join(rng.choice(["acier", "Alpha", "metal", "sud", "tunis", "METALSUD", "nego", "beta", "ind", "facture", "sarl"]) for _ in range(rng.randint(1, 5)))) for k in range(60)]
+    got = {r.doc_id: r.party for r in resolve.party_match(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {k: w for k, t in docs if (w := brute_party(t, names)) is not None}
