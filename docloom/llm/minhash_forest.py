@@ -1,7 +1,7 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Documents with the same set of five-word shingles become one node first. A node's signature has 64 minima.
-Each of 24 trees orders the nodes by eight of them, and of each two neighbours there the longest common prefix is
+Each of 16 trees orders the nodes by eight of them, and of each two neighbours there the longest common prefix is
 taken; those that share FIRST values at least are candidates, as deep as they share any. Orders are made by range
 partitioning on (values, id), so that even equal signatures are spread over all tasks; neighbours across two
 partitions are joined from the partitions' first and last rows.
@@ -42,12 +42,12 @@ from docloom.llm.columns import give_back, pick, take_turns
 from docloom.llm.components import components
 from docloom.llm.storage import Scratch
 
-SHINGLE, MINIMA, TREES, FIRST, DEPTH = 5, 64, 24, 4, 8
+SHINGLE, MINIMA, TREES, FIRST, DEPTH = 5, 64, 16, 4, 8
 #: Pairs that one copy of a set serves at most.
 HOT = 200
 REMEMBERED = 600_000
 #: Documents that shingles' frequencies are estimated from, and the frequent shingles that tasks know.
-SAMPLE, FREQUENT = 20_000, 200_000
+SAMPLE, FREQUENT = 8_000, 200_000
 #: Bits of a set's parities.
 BITS = 1024
 #: Nodes of a component that a list tests in each round of the exact join; None for all.
@@ -238,8 +238,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         named = named.join(often.toDF(side, f"salts_{side}"), side, "left").withColumn(f"salts_{side}", F.coalesce(f"salts_{side}", F.lit(1)))
     swap = F.col("salts_a") > F.col("salts_b")
     named = named.select("a", "b", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("many"), F.pmod(F.xxhash64("a", "b"), F.greatest("salts_a", "salts_b")).cast("int").alias("salt"))
-    laid = sets.join(often, "id", "left").select(F.col("id").alias("many"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    both = named.join(sets.select(F.col("id").alias("few"), F.col("shingles").alias("x")), "few").join(laid, ["many", "salt"])
+    # pairs are few beside sets: once written, Spark knows their size, and sets that no pair names stay where they are
+    named = scratch.save(named, "named")
+    first = named.join(sets.select(F.col("id").alias("few"), F.col("shingles").alias("x")), "few")
+    other = sets.join(named.select(F.col("many").alias("id")).distinct(), "id", "left_semi").join(often, "id", "left")
+    laid = other.select(F.col("id").alias("many"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    both = first.join(laid, ["many", "salt"])
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")).where("linked").select("a", "b").distinct()
 
@@ -307,13 +311,20 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
     spark = df.sparkSession
     scratch = Scratch(spark, "forest")
     prints = scratch.save(fingerprints(df, percent, frequent(df, key, text), key, text), "prints")
-    firsts = scratch.save(prints.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "firsts")
-    of = F.col("doc_id") == F.col("rep")
-    members = prints.join(firsts, "set_key", "left").select("doc_id", "n", F.coalesce("rep", F.when(F.col("n") == 0, F.col("doc_id"))).alias("rep"), *[F.when(of, F.col(x)).alias(x) for x in ("signature", "listed", "bits")])
+    light = prints.select("doc_id", "n", "set_key")
+    firsts = scratch.save(light.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "firsts")
+    members = light.join(firsts, "set_key", "left").select("doc_id", "n", "set_key", F.coalesce("rep", F.when(F.col("n") == 0, F.col("doc_id"))).alias("rep"))
     members = scratch.save(members, "members")
-    scratch.drop("prints", "firsts")
-    nodes = members.where("signature is not null").select(F.col("doc_id").alias("id"), "n", "signature", "listed", "bits").dropDuplicates(["id", "n"])
+    # what stands for a set keeps its signature and lists, and these move only if the rest is too much to know everywhere
+    copies = scratch.save(members.where("doc_id is null or doc_id <> rep").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("lost"), "set_key").distinct(), "copies")
+    nodes = prints.where("set_key is not null").withColumn("lost", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    nodes = nodes.join(copies, ["doc_id", "lost", "set_key"], "left_anti").select(F.col("doc_id").alias("id"), "n", "signature", "listed", "bits")
+    again = scratch.save(members.where("doc_id = rep and n > 0").groupBy(F.col("doc_id").alias("id"), "n").count().where("count > 1").select("id", "n"), "again")
+    if not again.isEmpty():
+        nodes = nodes.join(again, ["id", "n"], "left_anti").unionByName(nodes.join(again, ["id", "n"], "left_semi").dropDuplicates(["id", "n"]))
     nodes = scratch.save(nodes, "nodes")
+    members = members.drop("set_key")
+    scratch.drop("prints", "firsts", "copies")
     found = scratch.save(neighbours(tree_rows(nodes), percent), "found")
     edges = found.where("place is not null").collect()
     pairs = found.where("place is null").select("a", "b", "na", "nb", "depth")
@@ -332,7 +343,7 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
         labels = scratch.save(labels, f"labels{k}")
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
         hubs = ends.join(labels, "node").groupBy("component").agg(F.max_by("node", F.struct("links", -F.col("node"))).alias("hub"))
-        sizes = members.where("signature is not null").select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")).dropDuplicates(["hub"])
+        sizes = nodes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")).dropDuplicates(["hub"])
         hubs = scratch.save(hubs.join(sizes, "hub"), f"hubs{k}")
         at = scratch.save(labels.join(hubs, "component").select("node", "component", "hub", "hub_n"), f"at{k}")
 
