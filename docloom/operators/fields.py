@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
 from docloom.functions.numbers import UNIT
+from docloom.functions.phrases import LINK, any_of
 from docloom.functions.text import first_group, let, rx, squeeze
 
 AMOUNT_FIELDS = {"montant_ht", "tva", "montant_ttc", "montant", "prix_unitaire"}
@@ -95,7 +96,18 @@ TAX_ID = r"\b(\d{7}[ /]?[A-Z][ /]?[A-Z][ /]?[A-Z][ /]?\d{3})\b"
 
 def contacts(text: Column) -> Column:
     """Struct of the first e-mail address, phone number, tax id and postcode."""
-    return F.struct(first_group(text, rx(EMAIL)).alias("email"), first_group(text, rx(PHONE)).alias("phone"), first_group(text, "(?U)" + TAX_ID).alias("tax_id"), first_group(text, rx(r"\b(\d{4})\s+(?=[A-ZÀ-Ü][a-zà-ü]+)")).alias("postcode"))
+    return F.struct(first_group(text, rx(EMAIL)).alias("email"), first_group(text, rx(PHONE)).alias("phone"), first_group(text, "(?U)" + TAX_ID).alias("tax_id"), first_group(text, r"(?U)\b(\d{4})\s+(?=[A-ZÀ-Ü][a-zà-ü]+)").alias("postcode"))
+
+
+def tunisian_fields(text: Column) -> Column:
+    """Struct of the first invoice number, date, total, tax, company and address, by their labels."""
+    g = lambda p: F.trim(first_group(text, rx(p, True)))
+    return F.struct(
+        g(any_of(["facture n°", "n° facture", "invoice n°"]) + LINK + r"([A-Z0-9][\w\-/]{1,25})").alias("invoice"), g(r"\b(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4})\b").alias("date"),
+        g(any_of(["total t.t.c.", "net à payer", "montant t.t.c."]) + LINK + r"(\d[\d .,]*\d)").alias("total"), g(any_of(["montant tva", "t.v.a.", "tva"]) + r"\s*(?:\(?\d+\s*%\)?)?" + LINK + r"(\d[\d .,]*\d)").alias("tax"),
+        F.coalesce(g(any_of(["société", "raison sociale"]) + LINK + r"([^\n]{3,60})"), g(r"(?U)^\s*([^\n]*?" + V.LEGAL_FORMS + ")")).alias("company"),
+        g(r"((?:\d+\s*,?\s*)?" + any_of(["rue", "avenue", "boulevard", "route", "zone"]) + r"[^\n]{3,80})").alias("address"),
+    )
 
 
 def entities(text: Column) -> Column:

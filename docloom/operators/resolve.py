@@ -113,6 +113,33 @@ def zero_padding(codes: DataFrame, items: DataFrame, code: str = "code", item: s
     return codes.join(found, codes[code] == found["_c"], "left").drop("_c")
 
 
+def contained_match(df: DataFrame, names: DataFrame, value: str = "value", name: str = "name", least: int = 5, share: float = 0.6) -> DataFrame:
+    """Df with found: the name that equals the value, else the one that equals it without accents, case and signs, else the longest name that holds it or is held by it, if the shorter has least characters and that share of the longer. names: a dimension; those that are held share a word with the value."""
+    plain = lambda c: F.regexp_replace(fold(squeeze(c)), "[^a-z0-9]", "")
+    side = names.select(F.col(name).alias("_name")).distinct().withColumn("_plain", plain(F.col("_name")))
+    want = df.select(F.col(value).alias("_value")).where(F.trim(value) != "").distinct().withColumn("_said", plain(F.col("_value")))
+    equal = want.join(side, F.col("_said") == F.col("_plain")).groupBy("_value").agg(F.max_by("_name", F.struct((F.col("_name") == F.col("_value")).alias("same"), "_name")).alias("_equal"))
+    near = want.select("*", F.explode(words(F.col("_value"))).alias("_word")).join(side.select("*", F.explode(words(F.col("_name"))).alias("_word")), "_word")
+    short, long = F.least(F.length("_said"), F.length("_plain")), F.greatest(F.length("_said"), F.length("_plain"))
+    near = near.where((F.contains("_said", "_plain") | F.contains("_plain", "_said")) & (short >= F.greatest(F.lit(float(least)), share * long)))
+    held = near.groupBy("_value").agg(F.max_by("_name", F.struct(F.length("_plain"), "_name")).alias("_held"))
+    found = want.join(equal, "_value", "left").join(held, "_value", "left").select("_value", F.coalesce("_equal", "_held").alias("found"))
+    return df.join(found, df[value] == found["_value"], "left").drop("_value")
+
+
+def item_or_like(df: DataFrame, items: DataFrame, code: str = "code") -> DataFrame:
+    """Df with item and exists: the item of that code, else the first in order whose name holds it as a word; null where neither is. items: id, item_name."""
+    exact = items.select(F.col("id").alias("_id")).distinct()
+    like = items.select("id", F.explode(words(F.col("item_name"))).alias("_word")).groupBy("_word").agg(F.min("id").alias("_like"))
+    out = df.join(exact, df[code] == exact["_id"], "left").join(like, F.upper(df[code]) == like["_word"], "left")
+    return out.withColumn("item", F.coalesce("_id", "_like")).withColumn("exists", F.col("item").isNotNull()).drop("_id", "_word", "_like")
+
+
+def to_create(df: DataFrame, master: DataFrame, column: str, id_column: str) -> DataFrame:
+    """The values that the master data lacks, once each."""
+    return df.select(column).where(F.trim(column) != "").distinct().join(master.select(F.col(id_column).alias(column)), column, "left_anti")
+
+
 def with_existence(df: DataFrame, master: DataFrame, column: str, id_column: str, flag: str = "exists") -> DataFrame:
     """Df with whether the key exists in the master data."""
     side = master.select(F.col(id_column).alias("_id")).distinct().withColumn("_there", F.lit(True))

@@ -173,7 +173,7 @@ def by_labels(text: Column, rules: list[tuple], profile: str = "item") -> Column
             tries = []
             for label in labels:
                 end = "" if label.endswith(":") else "\\s*[:\\-]?"
-                tries.append(first_group(text, "(?iuUm)" + r"(?<![\p{L}\d])" + words(label) + end + r"[ \t]*" + KINDS[kind]))
+                tries.append(first_group(text, "(?iuUm)" + r"(?:^|[\t,|;]|\s{2,})\s*" + words(label) + end + r"[ \t]*" + KINDS[kind]))
             v = squeeze(F.coalesce(*tries))
             if kind == "words" or kind == "line":
                 v = chain(before_label(v))

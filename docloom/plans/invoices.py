@@ -26,7 +26,7 @@ def render(orders: DataFrame, customers: DataFrame) -> DataFrame:
     gross = net + tax + F.when(F.col("o_orderkey") % 7 == 0, F.lit("0.6").cast("decimal(18,3)")).otherwise(F.lit("0").cast("decimal(18,3)"))
     style = F.col("o_orderkey") % 3
     text = F.concat(
-        F.lit("Facture N° : FAC-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 5, "0"), F.lit("\nDate : "), F.date_format("o_orderdate", "dd/MM/yyyy"),
+        F.lit("Facture N° : FAC-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), F.greatest(F.length(F.col("o_orderkey").cast("string")), F.lit(5)), F.lit("0")), F.lit("\nDate : "), F.date_format("o_orderdate", "dd/MM/yyyy"),
         F.lit("\nDate Échéance : "), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 30), "dd/MM/yyyy"), F.lit("\nFournisseur : "), F.col("c_name"), F.lit(" SARL\nMontant HT : "), money(net, style), F.lit(" DT\nTVA (19%) : "), money(tax, style), F.lit(" DT\nMontant TTC : "), money(gross, style), F.lit(" DT\n"),
     )
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))

@@ -40,7 +40,7 @@ TAX = f"({NET} * 0.19::DECIMAL(3,2))::DECIMAL(18,3)"
 
 
 @query(f"""
-SELECT o_orderkey AS doc_id, 'facture' AS doc_type, 'FAC-' || strftime(o_orderdate, '%Y') || '-' || CASE WHEN o_orderkey < 100000 THEN lpad(o_orderkey::VARCHAR, 5, '0') ELSE substr(o_orderkey::VARCHAR, 1, 5) END AS bill_no,
+SELECT o_orderkey AS doc_id, 'facture' AS doc_type, 'FAC-' || strftime(o_orderdate, '%Y') || '-' || lpad(o_orderkey::VARCHAR, greatest(5, length(o_orderkey::VARCHAR))::INT, '0') AS bill_no,
   o_orderdate::DATE AS bill_date, o_orderdate::DATE + 30 AS due_date, c_name || ' SARL' AS supplier, ({NET})::DOUBLE AS net,
   (CASE WHEN o_orderkey % 7 = 0 AND {TAX} < 0.98 * ({TAX} + 0.6) THEN {TAX} + 0.6 ELSE {TAX} END)::DOUBLE AS tax,
   ({NET} + {TAX} + CASE WHEN o_orderkey % 7 = 0 THEN 0.6 ELSE 0 END)::DOUBLE AS gross,
@@ -164,11 +164,12 @@ def duplicate_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(STORED + """
-SELECT name, status AS old, n AS new FROM (SELECT name, status, CASE k % 3 WHEN 0 THEN 'Validé' ELSE ['En attente', 'Validé', 'Rejeté'][1 + k % 3] END AS n FROM d WHERE k % 2 = 0) WHERE n <> status
+SELECT name, status AS old, n AS new FROM (SELECT name, status, CASE WHEN k % 2 = 1 THEN NULL WHEN k % 3 = 0 THEN 'Validé' ELSE ['En attente', 'Validé', 'Rejeté'][1 + k % 3] END AS n FROM d) WHERE n <> status
 """)
 def linked_status_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = stored(spark, sf_dir).withColumns({"linked_doctype": F.lit("Purchase Invoice"), "linked_docname": F.col("k")})
-    entries = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.lit("Purchase Invoice").alias("doctype"), F.col("o_orderkey").alias("entry"), F.when(F.col("o_orderkey") % 3 == 0, "Approved").alias("workflow_state"), (F.col("o_orderkey") % 3).cast("int").alias("docstatus"))
+    k = F.col("k")
+    docs = stored(spark, sf_dir).withColumns({"linked_doctype": F.when(k % 2 == 0, "Purchase Invoice"), "linked_docname": F.when(k % 2 == 0, k)})
+    entries = table(spark, sf_dir, "orders").select(F.lit("Purchase Invoice").alias("doctype"), F.col("o_orderkey").alias("entry"), F.when(F.col("o_orderkey") % 3 == 0, "Approved").alias("workflow_state"), (F.col("o_orderkey") % 3).cast("int").alias("docstatus"))
     return documents.synced(docs, entries)
 
 
@@ -234,7 +235,7 @@ def grid_bom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT l_orderkey::VARCHAR AS file, 'bom_name' AS field, 'BOM-' || l_orderkey AS value FROM lineitem")
 def grid_label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.createDataFrame([("référence", "bom_name", 0)], "label string, field string, ord int")
-    return grid.label_values(order_cells(spark, sf_dir).where("r < 3"), labels).select("file", "field", "value")
+    return grid.label_values(order_cells(spark, sf_dir), labels).select("file", "field", "value")
 
 
 @query("SELECT l_orderkey::VARCHAR AS file, 3 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, round(l_extendedprice, 2) AS amount, 'Part ' || l_partkey AS label FROM lineitem")
@@ -263,11 +264,11 @@ def party_resolve_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.party_match(docs, c.select(F.translate("c_name", "#", " ").alias("name"))).select("doc_id", F.replace("party", F.lit(" "), F.lit("#")).alias("party"))
 
 
-@query("SELECT p_partkey AS doc_id, 'PX' || lpad(p_partkey::VARCHAR, 6, '0') AS resolved FROM part WHERE p_partkey BETWEEN 1 AND 999999")
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey = 0 THEN NULL ELSE 'PX' || lpad(p_partkey::VARCHAR, 12, '0') END AS resolved FROM part")
 def zero_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 999999")
+    p = table(spark, sf_dir, "part")
     code = lambda n: F.concat(F.lit("PX"), F.lpad(F.col("p_partkey").cast("string"), n, "0"))
-    found = resolve.zero_padding(p.select(F.col("p_partkey").alias("doc_id"), code(9).alias("code")), p.select(code(6).alias("item_code")))
+    found = resolve.zero_padding(p.select(F.col("p_partkey").alias("doc_id"), code(16).alias("code")), p.select(code(12).alias("item_code")))
     return found.select("doc_id", "resolved")
 
 
@@ -279,11 +280,11 @@ def field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.renamed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("facture").alias("doc_type"), F.inline(rows)), mapping)
 
 
-@query(STORED + ", f AS (SELECT document_name, min(name) AS name FROM d GROUP BY 1) SELECT d.name, d.document_name, CASE WHEN f.name IS NOT NULL AND c % 2 = 0 THEN 'Validation requise' ELSE status END AS status FROM d LEFT JOIN f ON d.name = f.name UNION ALL SELECT NULL, 'new_' || c_custkey || '.pdf', 'Validation requise' FROM customer WHERE c_custkey % 10 = 1")
+@query(STORED + ", f AS (SELECT document_name, min(name) AS name FROM d GROUP BY 1), n AS (SELECT DISTINCT o_custkey AS c FROM orders) SELECT d.name, d.document_name, CASE WHEN f.name IS NOT NULL THEN 'Validation requise' ELSE status END AS status FROM d LEFT JOIN f ON d.name = f.name UNION ALL SELECT NULL, 'new_' || c_custkey || '.pdf', 'Validation requise' FROM customer")
 def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = stored(spark, sf_dir).select("name", "document_name", "status")
-    c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c")).distinct().where("c % 2 = 0").select(F.concat(F.lit("facture_"), "c", F.lit("_a1b2c3d4.pdf")).alias("document_name"))
-    new = table(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.concat(F.lit("new_"), "c_custkey", F.lit(".pdf")).alias("document_name"))
+    c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c")).distinct().select(F.concat(F.lit("facture_"), "c", F.lit("_a1b2c3d4.pdf")).alias("document_name"))
+    new = table(spark, sf_dir, "customer").select(F.concat(F.lit("new_"), "c_custkey", F.lit(".pdf")).alias("document_name"))
     return documents.upserted(old, c.unionByName(new).withColumn("status", F.lit(V.TO_CHECK)), ["status"])
 
 
@@ -293,11 +294,11 @@ def zone_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), fields.zones(page).alias("z")).select("doc_id", "z.*")
 
 
-@query("SELECT o_orderkey AS doc_id, 'f' || o_orderkey || '_a1b2c3d4.pdf' AS name, 'f' || o_orderkey || '.pdf' AS clean, 'f' || o_orderkey || '_a1b2c3d4' AS base, 'f' || o_orderkey AS clean_base FROM orders WHERE o_orderkey < 100000")
+@query("SELECT o_orderkey AS doc_id, 'f' || o_orderkey || 'x_a1b2c3d4.pdf' AS name, 'f' || o_orderkey || 'x.pdf' AS clean, 'f' || o_orderkey || 'x_a1b2c3d4' AS base, 'f' || o_orderkey || 'x' AS clean_base FROM orders")
 def file_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = text.file_variants(F.concat(F.lit("f"), "o_orderkey", F.lit("_a1b2c3d4.pdf")))
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 100000")
-    return o.select(F.col("o_orderkey").alias("doc_id"), *[v[k].alias(n) for k, n in enumerate(("name", "clean", "base", "clean_base"))])
+    # a letter that no hash has stands behind the key, so that keys of any length are none
+    v = text.file_variants(F.concat(F.lit("f"), "o_orderkey", F.lit("x_a1b2c3d4.pdf")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), *[v[k].alias(n) for k, n in enumerate(("name", "clean", "base", "clean_base"))])
 
 
 @query("SELECT o_orderkey AS doc_id, lpad((10000000 + o_orderkey)::VARCHAR, 8, '0') AS number, round(o_totalprice, 2) AS amount, DATE '2000-01-01' - (o_orderkey % 700)::INT AS date, 'BIAT' AS bank, 'Société Alpha SARL' AS beneficiary, o_orderkey % 700 > 365 AS stale FROM orders")
@@ -342,10 +343,15 @@ def warehouse_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.warehouses(sites, n.select(F.col("n_name").alias("warehouse"), (-F.length("n_name") * 100 + F.col("n_nationkey")).alias("ord"))).select("site", "warehouse")
 
 
-@query("SELECT o_orderkey AS doc_id, 'ALPHA ' || o_custkey || ' SARL' AS supplier, 'FAC-' || o_orderkey AS number FROM orders")
+@query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'ALPHA ' || o_custkey || ' SARL' WHEN 1 THEN 'Beta Negoce' ELSE 'GAMMA' END AS supplier, CASE o_orderkey % 3 WHEN 0 THEN 'FAC-24-' || (o_orderkey % 1000) WHEN 1 THEN 'A' || o_orderkey ELSE o_orderkey::VARCHAR END AS number FROM orders WHERE NOT (o_orderkey % 3 = 2 AND o_orderkey BETWEEN 1900 AND 2099) UNION ALL SELECT o_orderkey, 'GAMMA', NULL FROM orders WHERE o_orderkey % 3 = 2 AND o_orderkey BETWEEN 1900 AND 2099")
 def invoice_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit("Facture client\nALPHA "), "o_custkey", F.lit(" SARL\nFacture N° : FAC-"), "o_orderkey", F.lit("\nDésignation Quantité\n"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), forms.supplier(F.split(page, "\n")).alias("supplier"), forms.invoice_number(page).alias("number"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    page = F.when(k % 3 == 0, F.concat(F.lit("Facture\nALPHA "), c, F.lit(" SARL rue 5\nFacture FAC-24-"), k % 1000, F.lit("\nDésignation Quantité\n")))
+    page = page.when(k % 3 == 1, F.concat(F.lit("Facture\n12 rue du port\nBeta Negoce\nTotal\nN° facture : A"), k)).otherwise(F.concat(F.lit("Tel fax GAMMA\nDésignation\nN° : "), k))
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), forms.supplier(F.split(page, "\n")).alias("supplier"), forms.invoice_number(page).alias("number"))
+
+
+from docloom import rule_queries  # noqa: E402, F401  (registers its queries here)
 
 
 def queries() -> dict[str, Query]:
