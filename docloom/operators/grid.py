@@ -30,6 +30,34 @@ def label_values(cells: DataFrame, labels: DataFrame, rows: int = 30, reach: int
     return per_cell.groupBy(*SHEET, "field").agg(F.min_by("value", F.struct("r", "c")).alias("value"))
 
 
+def label_pairs(cells: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(file, sheet, field, value): on a sheet of four columns, labels in the first and third with their values behind them; of equal labels the last row counts, of a field's aliases the first that has a value. aliases: a small dimension (alias, field, ord)."""
+    key = F.lower(F.btrim(squeeze(F.col("v")), F.lit(": ")))
+    pairs = None
+    for left in (0, 2):
+        label = cells.where(F.col("c") == left).select(*ROW, key.alias("label")).where("label <> ''")
+        said = cells.where(F.col("c") == left + 1).select(*ROW, F.trim("v").alias("value"))
+        both = label.join(said, ROW, "left").withColumn("side", F.lit(left))
+        pairs = both if pairs is None else pairs.unionByName(both)
+    last = pairs.groupBy(*SHEET, "label").agg(F.max_by(F.struct("value"), F.struct("r", "side"))["value"].alias("value")).where("value <> ''")
+    return last.join(aliases, F.col("label") == F.lower("alias")).groupBy(*SHEET, "field").agg(F.min_by("value", "ord").alias("value"))
+
+
+def site_table(cells: DataFrame, columns: list[tuple[str, list[str]]]) -> DataFrame:
+    """X11: (file, sheet, r, values): rows below the first one with a cell that is site or code, by the columns whose heading holds one of a field's words (the first word, then the first column); rows need a code. columns: field and its words, in order."""
+    low = F.lower(F.trim("v"))
+    head = cells.where(low.isin("site", "code")).groupBy(*SHEET).agg(F.min("r").alias("header"))
+    headings = cells.join(head, SHEET).where("r = header").select(*SHEET, "header", "c", low.alias("heading"))
+    named = None
+    for field, words in columns:
+        rank = F.coalesce(*[F.when(F.contains("heading", F.lit(w)), F.lit(k)) for k, w in enumerate(words)])
+        one = headings.withColumn("rank", rank).where("rank is not null").groupBy(*SHEET, "header").agg(F.min_by("c", F.struct("rank", "c")).alias("c")).withColumn("field", F.lit(field))
+        named = one if named is None else named.unionByName(one)
+    inside = cells.join(named, [*SHEET, "c"]).where((F.col("r") > F.col("header")) & (F.trim("v") != ""))
+    rows = inside.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("field", F.trim("v").alias("v")))).alias("values"))
+    return rows.where(F.array_contains(F.map_keys("values"), "code"))
+
+
 def header_row(cells: DataFrame, columns: DataFrame, wanted: list[str], rows: int = 50, least: int = 3, of_wanted: int = 2) -> DataFrame:
     """(file, sheet, header, mapping from c to field) of the first row with enough known headings."""
     named = cells.where(F.col("r") < rows).withColumn("heading", fold(squeeze(F.col("v")))).join(columns.select(fold("heading").alias("heading"), "field"), "heading")

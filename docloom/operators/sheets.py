@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.numbers import amount_bom, amount_pipeline
-from docloom.functions.phrases import signs, words
-from docloom.functions.text import before_label, chain, first_group, part_code, rx, squeeze, unit
+from docloom.functions.numbers import amount_bom, amount_pipeline, scan_amounts
+from docloom.functions.phrases import any_of, signs, words
+from docloom.functions.text import before_label, chain, first_group, once, part_code, rx, squeeze, unit
 
 #: Shapes of values, by kind: up to a comma, bar, tab or line end for words.
 _WORDS, _NUMBER, _CODE, _UNIT = r"([^\n\t,|]{2,80})", r"(\d[\d.,]*)", r"([A-Z0-9][\w\-]{0,39})", r"([A-Za-z]\w{0,9})"
@@ -224,14 +224,40 @@ def basic_item(text: Column) -> Column:
     return by_labels(text, rules)
 
 
-COMPONENT = r"^\s*(\d{1,3})\s+([A-Za-z]*[A-Z0-9][\w\-]{2,})\s+(.+?)\s+(\d+(?:[.,]\d+)?)\s+([A-Za-z]{1,10}\d?)(?:\s+(\d+(?:[.,]\d+)?))?\s*$"
+#: Shapes of a component's line: place, code, name, quantity, unit; then another quantity and unit, a factor, a price, where they stand.
+_START, _AMOUNT, _IN = r"(\d{1,3})\s+([A-Za-z]*[A-Z0-9][\w\-]{1,})\s+(\S.*?)\s+", r"(\d+(?:[.,]\d+)?)", r"([\p{L}²³°/%]{1,10}\d?)"
+COMPONENT = rf"^\s*{_START}{_AMOUNT}\s+{_IN}(?:\s+{_AMOUNT}\s+{_IN}\s+{_AMOUNT})?(?:\s+{_AMOUNT})?\s*$"
+#: The same eight values where a text has lost its lines.
+RUNNING = rf"\b(\d{{1,3}})\s+([A-Za-z]*[0-9][\w\-]{{0,14}})\s+([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9\-/,.]*(?:\s+[A-Za-zÀ-ÿ0-9\-/,.]+)*?)\s+{_AMOUNT}\s+(Unité|Unite|Kg|m²|m³|[A-Z]{{1,6}})\s+{_AMOUNT}\s+(Unité|Unite|Kg|m²|m³|[A-Z]{{1,6}})\s+{_AMOUNT}"
+#: Phrases that begin the list of components, and that end it.
+LIST_BEGINS, LIST_ENDS = ["composants?", "bom items?", "bill of materials?"], ["paramètres de fabrication", "résumé des coûts", "manufacturing parameters", "cost summary", "opérations", "gamme de fabrication"]
+
+
+def component_section(text: Column) -> Column:
+    """The part of a text between the phrases that begin and end a list of components; all of it where none begins one."""
+    behind = F.nullif(F.regexp_extract(text, "(?s)" + rx(any_of(LIST_BEGINS) + "(.*)$"), 1), F.lit(""))
+    return F.regexp_replace(F.coalesce(behind, text), "(?s)" + rx(any_of(LIST_ENDS) + ".*$"), "")
 
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, idx, item_code, item_name, qty, uom, rate): a row for each line of a component list."""
-    lines = df.select(key, F.explode(F.split(text, "\\r?\\n")).alias("line")).where(F.col("line").rlike(rx(COMPONENT)))
-    g = lambda k: F.regexp_extract("line", rx(COMPONENT), k)
-    return lines.select(key, g(1).cast("int").alias("idx"), part_code(g(2)).alias("item_code"), F.trim(g(3)).alias("item_name"), amount_bom(g(4)).alias("qty"), unit(g(5), "bom").alias("uom"), F.coalesce(amount_bom(F.nullif(g(6), F.lit(""))), F.lit(0.0)).alias("rate"))
+    """(key, idx, item_code, item_name, qty, uom, qty_per_unit, stock_uom, conversion_factor, rate): a row for each line of a component list; where lines are lost, for each run of eight values in the joined text, which counts first."""
+    part = once(df, {"_part": component_section(F.col(text))})
+    joined = F.trim(F.regexp_replace("_part", "\\s+", " "))
+    runs = F.regexp_extract_all(joined, F.lit(rx(RUNNING)), F.lit(0))
+    part = once(part, {"_runs": F.when(F.size(F.filter(F.split("_part", "\\r?\\n"), lambda x: x.rlike(rx(COMPONENT)))) == 0, runs).otherwise(F.array().cast("array<string>"))})
+    amount = lambda c, default: F.coalesce(amount_bom(F.nullif(c, F.lit(""))), default)
+
+    def typed(rows: DataFrame, pattern: str, has_rate: bool) -> DataFrame:
+        g = lambda k: F.regexp_extract("_line", rx(pattern), k)
+        qty, own = amount(g(4), F.lit(1.0)), unit(g(5), "bom")
+        return rows.select(
+            key, g(1).cast("int").alias("idx"), part_code(g(2)).alias("item_code"), F.trim(g(3)).alias("item_name"), qty.alias("qty"), own.alias("uom"), amount(g(6), qty).alias("qty_per_unit"), F.when(g(7) != "", unit(g(7), "bom")).otherwise(own).alias("stock_uom"),
+            amount(g(8), F.lit(1.0)).alias("conversion_factor"), (amount(g(9), F.lit(0.0)) if has_rate else F.lit(0.0)).alias("rate"),
+        )
+
+    lines = part.select(key, F.explode(F.split("_part", "\\r?\\n")).alias("_line")).where(F.col("_line").rlike(rx(COMPONENT)))
+    running = part.select(key, F.explode("_runs").alias("_line"))
+    return typed(lines, COMPONENT, True).unionByName(typed(running, RUNNING, False))
 
 
 def site_blocks(text: Column) -> Column:
@@ -274,64 +300,111 @@ def item_group(text: Column) -> Column:
     return F.coalesce(say(known, 0.88), say(code, 0.80), say(fits(below), 0.90), say(fits(beside), 0.85), F.when(~data_sheet, F.coalesce(say(named, 0.75), say(spoken, 0.65))))
 
 
-def totals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, net, tax, gross): amounts beside their labels, else on the nearest of the lines around them (next before previous); taxes of several rates are added, equal ones once; the gross from net and tax where it lacks. The lines of a text stay in its row."""
-    lines = F.split(text, "\\r?\\n")
-    sum_of = "(\\d[\\d . ]*(?:[.,]\\d{1,3})?)\\s*(?:DT|TND|€)?\\s*$"
+#: Lines that hold no total: accounts, addresses, signatures, long numbers.
+NO_TOTAL = r"t[ée]l|fax|adress|mail|@|www\.|au\s+capital|r\.?i\.?b|scann|cachet|\d{10,}|tva\s*:\s*\d{5,}"
 
-    def read(label: str) -> Column:
+
+def totals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, net, tax, gross): amounts beside their labels, else on the nearest of the lines around them (next before previous); taxes of several rates are added, equal ones once.
+
+    Where the gross lacks, or is no more than the base of the tax, it is base, tax and stamp together, else the largest
+    amount above 100; where the net lacks, the largest amount between 40 and 99 % of the gross that isn't the base, else
+    a hundred times the one-percent levy; the third of net, tax and gross follows from the other two. The lines of a text
+    stay in its row.
+    """
+    lines = F.filter(F.split(text, "\\r?\\n"), lambda x: ~x.rlike(rx(NO_TOTAL)))
+    df = once(df, {"_lines": lines, "_all": F.filter(F.flatten(F.transform(lines, scan_amounts)), lambda x: x > 100)})
+    lines = F.col("_lines")
+    sum_of = "(\\d[\\d . ]*(?:[.,]\\d{1,3})?)\\s*(?:DT|TND|€)?\\s*$"
+
+    def read(label: str, but: str | None = None, most: float = 9_999_999.0) -> Column:
         def at(line: Column, i: Column) -> Column:
             own = amount_pipeline(first_group(line, rx(sum_of)))
             alone = lambda j: F.when((j >= 0) & (j < F.size(lines)), amount_pipeline(first_group(F.get(lines, j), rx("^\\s*" + sum_of))))
-            around = F.coalesce(*[alone(i + s * d) for d in range(1, 6) for s in (1, -1)])
-            return F.when(line.rlike(rx(label)), F.coalesce(F.when(F.regexp_replace(line, rx(label), "").rlike("\\d"), own), around))
+            around = F.coalesce(*[F.when(alone(i + s * d) < most, alone(i + s * d)) for d in range(1, 6) for s in (1, -1)])
+            said = line.rlike(rx(label)) if but is None else line.rlike(rx(label)) & ~line.rlike(rx(but))
+            return F.when(said, F.coalesce(F.when(F.regexp_replace(line, rx(label), "").rlike("\\d"), own), around))
 
-        return F.filter(F.transform(lines, at), lambda x: x.isNotNull())
+        return F.filter(F.transform(lines, at), lambda x: x.isNotNull() & (x < most))
 
-    net, tax, gross = read("total\\s*h\\.?t|montant\\s*h\\.?t|hors\\s*taxe"), read("(?<!\\p{L})t\\.?v\\.?a(?!\\p{L})[^\\d\\n]*(?:\\d+\\s*%\\)?)?"), read("t\\.?t\\.?c|net\\s*à\\s*payer")
+    net = read("total\\s*h\\.?t|montant\\s*h\\.?t|hors\\s*taxe|net\\s*commercial", "brut")
+    tax = read("(?<!\\p{L})t\\.?v\\.?a(?!\\p{L})[^\\d\\n]*(?:\\d+\\s*%\\)?)?", "bas[ae]")
+    gross = read("t\\.?t\\.?c|net\\s*à\\s*payer|total\\s*g[ée]n[ée]ral|amount\\s*due")
+    base, stamp, levy = read("bas[ae]\\s*tva"), read("timbre", most=5000.0), read("fodec")
     added = F.round(F.aggregate(F.array_distinct(F.transform(tax, lambda x: F.round(x, 3))), F.lit(0.0), lambda a, x: a + x), 3)
-    out = df.select(key, F.array_max(net).alias("net"), F.when(F.size(tax) > 0, added).alias("tax"), F.array_max(gross).alias("gross"))
-    return out.withColumn("gross", F.coalesce("gross", F.round(F.col("net") + F.col("tax"), 3))).withColumn("net", F.coalesce("net", F.round(F.col("gross") - F.col("tax"), 3)))
+    rows = once(df, {"net": F.array_max(net), "tax": F.when(F.size(tax) > 0, added), "gross": F.array_max(gross), "_base": F.array_max(base), "_stamp": F.array_max(stamp), "_levy": F.array_max(levy)})
+    summed = F.round(F.col("_base") + F.col("tax") + F.coalesce("_stamp", F.lit(0.0)), 3)
+    near_base = F.coalesce(F.abs(F.col("gross") - F.col("_base")) < 0.02 * F.col("_base"), F.lit(False))
+    rows = once(rows, {"_gross": F.coalesce(F.when(near_base, summed), "gross", summed, F.round(F.col("net") + F.col("tax"), 3), F.array_max("_all"))})
+    between = F.array_max(F.filter("_all", lambda x: (x < 0.99 * F.col("_gross")) & (x >= 0.40 * F.col("_gross")) & F.coalesce(F.abs(x - F.col("_base")) > 0.001 * F.col("_base"), F.lit(True))))
+    rows = once(rows, {"_net": F.coalesce("net", F.when(F.col("tax").isNotNull(), F.round(F.col("_gross") - F.col("tax"), 3)), between, F.when(F.col("_levy") > 1, F.round(F.col("_levy") / 0.01, 3)))})
+    rest = F.round(F.col("_gross") - F.col("_net"), 3)
+    return rows.select(key, F.col("_net").alias("net"), F.coalesce("tax", F.when(rest > 0, rest)).alias("tax"), F.col("_gross").alias("gross"))
+
+
+#: What no reference begins with, and words of lines below a table.
+NO_REFERENCE = ["FACT", "FACTURE", "BL", "BC", "INV", "TVA", "FODEC", "MF", "CIN", "TEL", "REF"]
+BELOW_TABLE = ["total", "tva", "remise", "fodec", "timbre", "montant ht", "net à payer", "cachet", "signature"]
 
 
 def invoice_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, reference, designation, qty, rate, amount, estimated): a line that begins with a reference takes its numbers from it and the two below it; reading goes on three lines further. What comes next depends on what was taken, so each text is read in one go, in Arrow batches."""
+    """(key, reference, designation, qty, rate, amount, estimated): a line that begins with a reference takes its numbers from it and the two below it; reading goes on behind them.
+
+    Percentages and measures (2x3) are no numbers. The largest number is the amount, the first whole one the quantity, the price
+    the one whose product with it is the amount, else another one (an amount a thousand times off is set right by
+    it), else an estimate. Lines below the table and references that are none are passed over. What comes next depends
+    on what was taken, so each text is read in one go, in Arrow batches.
+    """
     import re
 
     ref = re.compile(r"^\s*((?=[A-Z0-9\-/]*\d)[A-Z]{2,}[A-Z0-9\-/]{2,})\b\s*(.*)$")
-    number = re.compile(r"(?<![\w.,])\d{1,3}(?: \d{3})*(?:[.,]\d{1,3})?(?![\w%.,]| ?%)|(?<![\w.,])\d+(?:[.,]\d{1,3})?(?![\w%.,]| ?%)")
+    no_ref, below = re.compile("^(?:" + "|".join(NO_REFERENCE) + r")\b"), re.compile(any_of(BELOW_TABLE), re.I)
+    aside = re.compile(r"\d{1,3}(?:[.,]\d{1,2})?\s*%|\b\d{1,4}\s*[xX]\s*\d{1,4}\b(?![.,]\d)")
+    number = re.compile(r"(?<![\w.,])\d{1,3}(?: \d{3})*(?:[.,]\d{1,3})?(?![\w%.,])|(?<![\w.,])\d+(?:[.,]\d{1,3})?(?![\w%.,])")
 
     def value(s: str) -> float:
         return float(s.replace(" ", "").replace(",", "."))
 
+    def priced(numbers: list[float]) -> tuple[float | None, float | None, float | None, bool]:
+        amount = max(numbers, default=None)
+        qty = next((x for x in numbers if x == int(x) and 0 < x <= 100_000), None)
+        if amount is None or not qty:
+            return qty, None, amount, False
+        rate = next((x for x in numbers if abs(x * qty - amount) < 0.01), None)
+        if rate is not None:
+            return qty, rate, amount, False
+        rate = next((x for x in numbers if x not in (qty, amount)), None)
+        if rate:
+            off = amount / (rate * qty)
+            if off > 500 or off < 0.002:
+                return qty, rate, round(amount / 1000 if off > 500 else amount * 1000, 3), False
+        return qty, round(amount / qty, 3), amount, True
+
     def one(page: str) -> list[tuple]:
         rows, lines, k = [], page.split("\n"), 0
         while k < len(lines):
             m = ref.match(lines[k])
-            if not m:
+            if not m or no_ref.match(m[1]) or below.search(lines[k]):
                 k += 1
                 continue
             window = [m[2]]
             for nxt in lines[k + 1 : k + 3]:
-                if ref.match(nxt):
+                if ref.match(nxt) or below.search(nxt):
                     break
                 window.append(nxt)
-            numbers = [value(x) for w in window for x in number.findall(w)]
-            name = re.split(r"\s{2,}|\s\d", m[2].strip())[0].strip()
-            amount = max(numbers, default=None)
-            qty = next((x for x in numbers if x == int(x) and 0 < x < 10_000), None)
-            rate, estimated = None, False
-            if amount is not None and qty:
-                rate = next((x for x in numbers if abs(x * qty - amount) < 0.01), None)
-                if rate is None:
-                    rate, estimated = round(amount / qty, 3), True
-            rows.append((m[1], name, qty, rate, amount, estimated))
+            numbers = [value(x) for w in window for x in number.findall(aside.sub(" ", w))]
+            name = re.split(r"\s{2,}|\s\d|\|", m[2].strip())[0].strip(" .|")
+            rows.append((m[1], name, *priced(numbers)))
             k += len(window)
         return rows
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [("reference", pa.string()), ("designation", pa.string()), ("qty", pa.float64()), ("rate", pa.float64()), ("amount", pa.float64()), ("estimated", pa.bool_())]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(d, *row) for d, t in zip(b[key], b[text], strict=True) for row in one(t or "")]
-            yield pd.DataFrame(found, columns=[key, "reference", "designation", "qty", "rate", "amount", "estimated"])
+            found = [one(t.as_py() or "") for t in b.column(1)]
+            at = pa.array([k for k, rows in enumerate(found) for _ in rows], pa.int64())
+            flat = [r for rows in found for r in rows]
+            yield pa.record_batch([b.column(0).take(at), *[pa.array([r[k] for r in flat], t) for k, (_, t) in enumerate(kinds)]], [key, *[n for n, _ in kinds]])
 
-    return df.select(key, text).mapInPandas(work, f"{key} {dict(df.dtypes)[key]}, reference string, designation string, qty double, rate double, amount double, estimated boolean")
+    return df.select(key, text).mapInArrow(work, f"{key} {dict(df.dtypes)[key]}, reference string, designation string, qty double, rate double, amount double, estimated boolean")

@@ -247,7 +247,7 @@ def grid_number_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws("  ", F.col("l_linenumber"), F.concat(F.lit("PX-"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")), F.concat(F.lit("Tube "), "l_suppkey"), F.col("l_quantity").cast("int"), F.lit("kg"), F.replace(F.replace(F.format_number("l_extendedprice", 2), F.lit(","), F.lit("")), F.lit("."), F.lit(",")))
     docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
-    return sheets.components(docs)
+    return sheets.components(docs).select("doc_id", "idx", "item_code", "item_name", "qty", "uom", "rate")
 
 
 @query("SELECT c_custkey AS doc_id, c_custkey AS party FROM customer")

@@ -461,3 +461,48 @@ def cell_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     of = lambda name, v: grid.cell_value(F.lit(name), v, ["qty"], ["active"])
     return table(spark, sf_dir, "part").select(k.alias("id"), of("qty", F.concat(k.cast("string"), F.lit(",5"))).alias("number"), of("active", F.when(k % 2 == 0, "Oui").otherwise("non")).alias("flag"), of("name", F.concat(F.lit(" x "), k, F.lit(" "))).alias("words"))
+
+
+@query("SELECT o_orderkey AS doc_id, idx::INT AS idx, 'P' || (o_custkey + idx) AS item_code, 'Tube acier' AS item_name, 2.5::DOUBLE AS qty, 'Kg' AS uom, 3.0::DOUBLE AS qty_per_unit, 'Unité' AS stock_uom, 1.5::DOUBLE AS conversion_factor, CASE WHEN o_orderkey % 2 = 0 THEN 9.0 ELSE 0.0 END::DOUBLE AS rate FROM orders, (SELECT unnest([1, 2]) AS idx)")
+def component_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    row = lambda i, end: F.concat(F.lit(f"{i} P"), c + i, F.lit(f" Tube acier 2,5 Kg 3 Unité 1,5{end}"))
+    page = F.when(k % 2 == 0, F.concat(F.lit("Nomenclature\nComposants\n"), row(1, " 9"), F.lit("\n"), row(2, " 9"), F.lit("\nRésumé des coûts\n1 X9 Fin 1 Kg 1 Kg 1 1")))
+    page = page.otherwise(F.concat(F.lit("Composants\n1\nP"), c + 1, F.lit("\nTube acier\n2,5 Kg\n3 Unité\n1,5 "), row(2, "")))
+    return sheets.components(table(spark, sf_dir, "orders").select(k.alias("doc_id"), page.alias("text")))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, 1000.0 + o_orderkey % 500 AS n FROM orders)
+SELECT doc_id, n AS net, CASE doc_id % 4 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 2 THEN 200.0 ELSE 50.0 END::DOUBLE AS tax, CASE doc_id % 4 WHEN 0 THEN n + 100.6 WHEN 1 THEN n + 100.0 WHEN 2 THEN n + 200.0 ELSE n + 50.0 END AS gross FROM o
+""")
+def total_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("o_orderkey"), 1000 + F.col("o_orderkey") % 500
+    num = lambda c: F.replace(F.format_string("%.3f", c.cast("double")), F.lit("."), F.lit(","))
+    stamped = F.concat(F.lit("Total HT "), num(n), F.lit("\nBase TVA "), num(n), F.lit("\nTVA 100,000\nTimbre 0,600\nTél 71 999 999"))
+    beside = F.concat(F.lit("Total HT\n"), num(n), F.lit("\nTVA\n100,000"))
+    spaced = lambda c: F.translate(F.format_number(c.cast("double"), 2), ",.", " ,")
+    largest = F.concat(F.lit("articles "), spaced(n), F.lit("\nfin "), spaced(n + 200))
+    levied = F.concat(F.lit("Total TTC "), num(n + 50), F.lit("\nTVA 50,000\nRIB 12345678901234567890"))
+    page = F.when(k % 4 == 0, stamped).when(k % 4 == 1, beside).when(k % 4 == 2, largest).otherwise(levied)
+    return sheets.totals(table(spark, sf_dir, "orders").select(k.alias("doc_id"), page.alias("text")))
+
+
+@query("SELECT p_partkey::VARCHAR AS file, 'item_code' AS field, 'A' || p_partkey AS value FROM part UNION ALL SELECT p_partkey::VARCHAR, 'item_name', 'Nom ' || p_partkey FROM part UNION ALL SELECT p_partkey::VARCHAR, 'item_group', 'CONS' FROM part")
+def item_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    rows = [["Article :", F.concat(F.lit("old"), k), "Désignation", F.concat(F.lit("Nom "), k)], ["Article :", F.concat(F.lit("A"), k), "Code", F.lit("B")], ["Catégorie", F.lit("CONS"), "Famille", F.lit("")]]
+    cells = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), (F.lit(v) if isinstance(v, str) else v).alias("v")) for r, row in enumerate(rows) for c, v in enumerate(row)])
+    sheet = table(spark, sf_dir, "part").select(k.alias("file"), F.lit("Fiche").alias("sheet"), F.inline(cells))
+    aliases = spark.createDataFrame([("article", "item_code", 0), ("code", "item_code", 1), ("désignation", "item_name", 0), ("famille", "item_group", 0), ("catégorie", "item_group", 1)], "alias string, field string, ord int")
+    return grid.label_pairs(sheet, aliases).select("file", "field", "value")
+
+
+@query("SELECT p_partkey::VARCHAR AS file, 'S' || n AS code, 'Site ' || n AS label, (p_partkey % 7 + n)::VARCHAR AS safety_stock FROM part, (SELECT unnest([1, 2]) AS n)")
+def site_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = [["Stock par site", "", ""], ["Site", "Nom site", "Stock sécurité"], ["S1", "Site 1", (k % 7 + 1).cast("string")], ["", "x", "9"], ["S2", "Site 2", (k % 7 + 2).cast("string")]]
+    cells = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), (F.lit(v) if isinstance(v, str) else v).alias("v")) for r, row in enumerate(rows) for c, v in enumerate(row)])
+    sheet = table(spark, sf_dir, "part").select(k.cast("string").alias("file"), F.lit("Sites").alias("sheet"), F.inline(cells))
+    found = grid.site_table(sheet, [("code", ["site", "code"]), ("label", ["nom site", "nom", "label"]), ("safety_stock", ["sécurité", "securite"])])
+    return found.select("file", *[F.try_element_at("values", F.lit(f)).alias(f) for f in ("code", "label", "safety_stock")])
