@@ -16,7 +16,7 @@ name is salted: the other node's set travels, and its own is laid out once for e
 Trees and hubs find most links, but not surely all. What still stands apart is settled by an exact join: of
 each node's shingles, rarest first, so many are listed that two similar sets must share a listed one. Nodes of
 different components in one list are tested, first the WIDTHS most linked of each component there, at last
-all. Parities of the sets rule out most pairs; whole sets confirm the rest. How rare a shingle is comes from a
+all. Parities of the sets rule out most pairs, here as before; whole sets confirm the rest. How rare a shingle is comes from a
 sample; the order decides the cost only, as any order that is one for all nodes gives the same links.
 
 Only candidates' sets are made, from their texts; signatures, listed shingles and ids are all that is sorted.
@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -46,10 +47,10 @@ SHINGLE, MINIMA, TREES, FIRST, DEPTH = 5, 64, 16, 4, 8
 #: Pairs that one copy of a set serves at most.
 HOT = 200
 REMEMBERED = 600_000
-#: Documents that shingles' frequencies are estimated from, and the frequent shingles that tasks know.
-SAMPLE, FREQUENT = 8_000, 200_000
-#: Bits of a set's parities.
-BITS = 1024
+#: Documents that shingles' frequencies are estimated from, the frequent shingles that tasks know, and the tasks that count them.
+SAMPLE, FREQUENT, SHARES = 20_000, 200_000, 16
+#: Bits of a set's parities, at least and at most; larger sets have more, about two for each shingle.
+BITS = (1024, 1 << 16)
 #: Nodes of a component that a list tests in each round of the exact join; None for all.
 WIDTHS = (2, 16, None)
 
@@ -87,11 +88,26 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def frequent(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several sets of a sample share, sorted, and in how many."""
+    """Shingles that several different sets of a sample share, sorted, and in how many: FREQUENT at most. Shingles travel packed, by their last bits."""
     source = pick(df, id=key, text=text).withColumn("id", F.col("id").cast("long"))
     every = max(1, source.count() // SAMPLE)
-    sets = shingle_sets(source, source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id").distinct(), "id", "text")
-    found = sets.dropDuplicates(["shingles"]).select(F.explode("shingles").alias("g")).groupBy("g").count().where("count > 1")
+    sample = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[int, int, bytes]] = []
+            for x in b.column(1):
+                s = shingles(x.as_py())
+                own = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+                rows += [(k, own, part.tobytes()) for k in range(SHARES) if len(part := s[s % np.uint64(SHARES) == k])]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["share", "own", "packed"])
+
+    def counted(t: pd.DataFrame) -> pd.DataFrame:
+        parts = t.drop_duplicates("own")["packed"]
+        g, n = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_counts=True)
+        return pd.DataFrame({"g": g[n > 1].view(np.int64), "count": n[n > 1].astype(np.int64)})
+
+    found = sample.mapInArrow(dealt, "share int, own long, packed binary").groupBy("share").applyInPandas(counted, "g long, count long")
     rows = found.orderBy(F.desc("count"), "g").limit(FREQUENT).toPandas()
     keys = rows["g"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -109,7 +125,17 @@ def listed(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], percent: int) ->
 
 def parities(s: np.ndarray) -> bytes:
     """Two sets' parities differ in no more bits than the sets in shingles."""
-    return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    bits = min(max(BITS[0], 1 << int(2 * len(s)).bit_length()), BITS[1])
+    return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two parities differ; longer ones are folded first."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def fingerprints(df: DataFrame, percent: int, known: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,16 +318,17 @@ def apart_pairs(lists: DataFrame, labels: DataFrame, links: DataFrame, width: in
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose parities don't rule them out."""
-    bits = nodes.select("id", "n", "bits")
-    both = pairs.join(bits.toDF("a", "na", "x"), "a").join(bits.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+    """The pairs whose parities don't rule them out. pairs: a written table; parities of the nodes that it names move, no others."""
+    scratch = Scratch(pairs.sparkSession, "possible")
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    bits = scratch.save(nodes.select("id", "n", "bits").join(ids, "id", "left_semi"), "bits")
+    both = pairs.select("a", "b").join(bits.toDF("a", "na", "x"), "a").join(bits.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
-            differing = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            apart = np.array([differing(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5), strict=True)], np.int64)
             both = b.column(2).to_numpy() + b.column(3).to_numpy()
-            yield b.select(["a", "b"]).filter(pa.array((100 + percent) * differing <= (100 - percent) * both))
+            yield b.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both, pa.bool_()))
 
     return both.mapInArrow(work, "a long, b long").distinct()
 
@@ -335,7 +362,7 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
     sets = scratch.save(shingle_sets(df, wanted, key, text), "sets")
     scratch.drop("found")
     tested = scratch.save(deepest_first(pairs), "tested0")
-    links = scratch.save(confirmed(tested, sets, percent), "links0")
+    links = scratch.save(confirmed(scratch.save(possible(tested, nodes, percent), "possible0"), sets, percent), "links0")
     labels = components(links)
     k = 0
     while True:
@@ -360,7 +387,7 @@ def groups(df: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
         new = scratch.save(new, f"new{k}")
         if new.isEmpty():
             break
-        more = scratch.save(confirmed(new, sets, percent), f"more{k}")
+        more = scratch.save(confirmed(scratch.save(possible(new, nodes, percent), f"possible{k}"), sets, percent), f"more{k}")
         if more.isEmpty():
             break
         tested = scratch.save(tested.unionByName(new), f"tested{k}")

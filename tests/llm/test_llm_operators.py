@@ -489,6 +489,16 @@ def test_a_hub_is_salted(spark, monkeypatch):
     assert {(r.a, r.b) for r in minhash_forest.confirmed(pairs, sets, 80).collect()} == {(0, k) for k in range(1, 60)} | {(3, 4), (7, 8)}
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(9)
+    for n, m in ((5, 7), (400, 420), (900, 700), (5000, 300), (9000, 9000)):
+        pool = rng.integers(0, 1 << 63, n + m, np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(pool[n // 2 : n // 2 + m])
+        apart = len(np.setxor1d(x, y))
+        got = minhash_forest.differing(minhash_forest.parities(x), minhash_forest.parities(y))
+        assert got <= apart and got % 2 == apart % 2 and (got > 0.6 * apart or n > 4 * m)
+
+
 def test_common_prefix():
     rows = np.array([[1, *[0, 0, 0, 7] * 8], [1, *[0, 0, 0, 7] * 5, 0, 0, 0, 8, *[0, 0, 0, 7] * 2], [2, *[0, 0, 0, 7] * 8], [2, *[0, 0, 0, 7] * 8]], np.uint8)
     assert minhash_forest.common_prefix(rows[1:], rows[:-1]).tolist() == [5, 0, 8]
