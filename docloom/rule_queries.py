@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from docloom.functions import dates, fuzzy, numbers, text
 from docloom.functions import vocabulary as V
 from docloom.operators import checks, classify, documents, fields, fleet, forms, grid, payments, resolve, sheets
+from docloom.plans import invoices, worker
 from docloom.queries import order_cells, query, table
+from docloom.sources import files
 
 
 def literal(v) -> str:
@@ -506,3 +508,47 @@ def site_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = table(spark, sf_dir, "part").select(k.cast("string").alias("file"), F.lit("Sites").alias("sheet"), F.inline(cells))
     found = grid.site_table(sheet, [("code", ["site", "code"]), ("label", ["nom site", "nom", "label"]), ("safety_stock", ["sécurité", "securite"])])
     return found.select("file", *[F.try_element_at("values", F.lit(f)).alias(f) for f in ("code", "label", "safety_stock")])
+
+
+@query("""
+SELECT o_orderkey AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'Rejeté' WHEN o_orderkey % 7 = 0 THEN 'Validation requise' ELSE 'Validé' END AS status FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'
+""")
+def worker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    pages = invoices.render(o, table(spark, sf_dir, "customer"))
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "O", V.PENDING).when(F.col("o_orderstatus") == "P", V.RUNNING).otherwise(V.VALID).alias("status")).join(pages, "doc_id")
+    docs = docs.select(F.col("doc_id").alias("name"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"), "status")
+    return worker.worked(docs).select("name", "status")
+
+
+MAGIC = [("pdf", "255044462D312E34", "pdf"), ("bin", "89504E470D0A1A0A", "png"), ("tmp", "FFD8FFE000104A46", "jpg"), ("XLSX", "0000000000000000", "xlsx"), ("doc", "0000000000000000", None)]
+
+
+@query(f"""
+SELECT o_orderkey AS id, {one_of("o_orderkey", [m[2] for m in MAGIC])} AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'too small' WHEN o_orderkey % 5 = 4 THEN 'unknown type' END AS refused, CASE o_orderkey % 4 WHEN 0 THEN 'pdf_text' WHEN 1 THEN 'fast' WHEN 2 THEN 'paddle' ELSE 'slow' END AS engine,
+  CASE o_orderkey % 4 WHEN 0 THEN 95 WHEN 1 THEN 75 WHEN 2 THEN 85 ELSE 65 END AS score FROM orders
+""")
+def upload_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.concat(F.lit("/in/f"), k, F.lit("."), each("o_orderkey", [m[0] for m in MAGIC])).alias("path"), F.unhex(each("o_orderkey", [m[1] for m in MAGIC])).alias("content"), F.when(k % 3 == 0, 100).otherwise(5000).cast("long").alias("length"),
+        F.when(k % 4 == 0, F.repeat(F.lit("x"), F.lit(51))).alias("pdf_text"), F.repeat(F.lit("mot "), F.when(k % 4 == 1, 21).otherwise(3)).alias("fast_text"), F.lit(None).cast("string").alias("sharp_text"), F.repeat(F.lit("mot "), F.when(k % 4 == 2, 9).otherwise(1)).alias("other_text"),
+    )
+    return files.chosen_text(files.intake(rows)).select("id", "kind", "refused", "engine", F.col("ocr_score").alias("score"))
+
+
+@query("SELECT md5('c' || (o_custkey % 50)) AS file_hash FROM orders WHERE o_custkey % 50 >= 10 GROUP BY 1")
+def unseen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("n"))
+    found = o.select(F.concat(F.lit("c"), "n").cast("binary").alias("content"))
+    seen = o.where("n < 10").select(F.md5(F.concat(F.lit("c"), "n").cast("binary")).alias("file_hash"))
+    return files.unseen(found, seen).select("file_hash")
+
+
+@query("SELECT s_suppkey AS id, CASE s_nationkey % 3 WHEN 0 THEN 'own' WHEN 1 THEN 'group' ELSE 'company' END || (s_nationkey % 5) AS account FROM supplier")
+def cascaded_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.col("s_nationkey") % 5, F.col("s_nationkey") % 3
+    key = lambda on, name: F.when(on, F.concat(F.lit(name), n))
+    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id_"), key(k == 0, "own").alias("own"), key(k == 1, "group").alias("grp"), F.concat(F.lit("company"), n).alias("company"))
+    accounts = spark.range(5).select(F.explode(F.array(*[F.concat(F.lit(x), F.col("id")) for x in ("own", "group", "company")])).alias("id")).withColumn("key", F.col("id"))
+    return resolve.by_priority(docs, accounts, [("own", "key"), ("grp", "key"), ("company", "key")], "account").select(F.col("id_").alias("id"), "account")
