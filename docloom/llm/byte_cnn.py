@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.columns import pick
+from docloom.llm.columns import give_back, pick, take_turns
 from docloom.llm.token_counts import in_portions
 
 WIDTH, FILTERS, CELL, CELLS, HOP = 4, 16, 64, 4, 2
@@ -176,6 +176,7 @@ def score(df: DataFrame, net: ByteNet, key: str = "doc_id", text: str = "text")
     source = pick(df, doc_id=key, text=text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turns("cnn", lambda: None)
         for b in batches:
             s = [x for _, texts in in_portions(b, 1, 1_000_000) for x in net.scores(texts)]
             yield pa.record_batch([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
@@ -190,8 +191,10 @@ def keep_good(df: DataFrame, net: ByteNet, below: float = 0.5, text: str = "text
     place = names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turns("cnn", lambda: None)
         for b in batches:
             s = [x >= below for _, texts in in_portions(b, place, 1_000_000) for x in net.scores(texts)]
             yield b.filter(pa.array(s, pa.bool_()))
+        give_back()
 
     return df.mapInArrow(work, df.schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.columns import pick, take_turns
+from docloom.llm.columns import give_back, pick, take_turns
 from docloom.llm.storage import Scratch
 from docloom.llm.token_counts import in_portions
 
@@ -39,7 +39,7 @@ MIN_WORDS = 50
 #: For each measure, the quartile distances that a band reaches beyond the quartiles, and its least reach. Chosen on labelled rows outside the held-out third (195 texts of quality 0 that pass the base rules, 2,144 of quality 1): characters per token reject 95 for 12, those per byte token 79 for 10, entropy 6 for none, fall-backs none, as the junk there has none.
 REACH = {"chars_per_token": 3.0, "chars_per_byte_token": 3.0, "byte_share": 3.0, "entropy": 1.5}
 LEAST = {"chars_per_token": 0.1, "chars_per_byte_token": 0.1, "byte_share": 0.005, "entropy": 0.02}
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 ENDS = np.zeros(0, np.int64)
 
 
@@ -64,7 +64,7 @@ class Words:
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.size, self.room = 0, 1 << 12
-        self.chars, self.tokens, self.fallen, self.byte_tokens = (np.zeros(self.room, np.int64) for _ in range(4))
+        self.chars, self.tokens, self.fallen, self.byte_tokens = (np.zeros(self.room, np.int32) for _ in range(4))
         self.hash, self.start = np.zeros(self.room, np.uint64), np.zeros(self.room + 1, np.int64)
         self.flat = np.zeros(1 << 14, np.uint16)
 
@@ -118,7 +118,7 @@ class Words:
 
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of consecutive parts that end there."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return np.diff(total[np.concatenate([[0], ends])])
 
 
@@ -161,7 +161,7 @@ class Measures:
         n = np.fromiter(map(len, split), np.int64, len(split))
         number = w.numbers(split)
         ends, doc = np.cumsum(n), np.repeat(np.arange(len(n)), n)
-        chars, tokens = sums(w.chars[number], ends), w.tokens[number]
+        chars, tokens = sums(w.chars[number], ends), w.tokens[number].astype(np.int64)
         n_tokens, fallen, by_byte = sums(tokens, ends), sums(w.fallen[number], ends), sums(w.byte_tokens[number], ends)
         # ids of all pieces, text by text; equal ones of a text are counted
         place = np.repeat(w.start[number] - (np.cumsum(tokens) - tokens), tokens) + np.arange(int(tokens.sum()))
@@ -209,12 +209,13 @@ def measured(df: DataFrame, piece_file: str, byte_file: str, key: str = "doc_id"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = measures(piece_file, byte_file)
-        take_turns("fertility", m.forget)
+        take_turns("fertility", _measures.clear)
         for b in batches:
             for first, texts in in_portions(b, 1, 2_000_000):
                 part = b.slice(first, len(texts))
                 band = [y if y is not None else f"script {script(x)}" for x, y in zip(texts, part.column(2).to_pylist(), strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(band, pa.string()), *map(pa.array, m.all(texts))], ["doc_id", "band", *[n for n, _ in COLUMNS]])
+        give_back()
 
     return source.mapInArrow(work, f"doc_id {source.dtypes[0][1]}, band string, " + ", ".join(f"{n} {k}" for n, k in COLUMNS))
 

@@ -33,7 +33,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -46,7 +45,7 @@ from docloom.llm.storage import Scratch
 SHINGLE, MINIMA, TREES, FIRST, DEPTH = 5, 64, 16, 4, 8
 #: Pairs that one copy of a set serves at most.
 HOT = 200
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Documents that shingles' frequencies are estimated from, the frequent shingles that tasks know, and the tasks that count them.
 SAMPLE, FREQUENT, SHARES = 20_000, 200_000, 16
 #: Bits of a set's parities, at least and at most; larger sets have more, about two for each shingle.
@@ -94,6 +93,7 @@ def frequent(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np
     sample = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turns("forest", _words.clear)
         for b in batches:
             rows: list[tuple[int, int, bytes]] = []
             for x in b.column(1):
@@ -101,14 +101,29 @@ def frequent(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np
                 own = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
                 rows += [(k, own, part.tobytes()) for k in range(SHARES) if len(part := s[s % np.uint64(SHARES) == k])]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["share", "own", "packed"])
+        _words.clear()
+        give_back()
 
-    def counted(t: pd.DataFrame) -> pd.DataFrame:
-        parts = t.drop_duplicates("own")["packed"]
-        g, n = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_counts=True)
-        return pd.DataFrame({"g": g[n > 1].view(np.int64), "count": n[n > 1].astype(np.int64)})
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, own, parts = None, set(), []
+
+        def out() -> pa.RecordBatch:
+            g, n = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_counts=True)
+            return pa.record_batch([pa.array(g[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["g", "count"])
+
+        for b in batches:
+            for k, x, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != share:
+                    yield out()
+                    share, own, parts = k, set(), []
+                if x not in own:
+                    own.add(x)
+                    parts.append(packed)
+        yield out()
+        give_back()
 
-    found = sample.mapInArrow(dealt, "share int, own long, packed binary").groupBy("share").applyInPandas(counted, "g long, count long")
-    rows = found.orderBy(F.desc("count"), "g").limit(FREQUENT).toPandas()
+    found = sample.mapInArrow(dealt, "share int, own long, packed binary").repartition(SHARES, "share").sortWithinPartitions("share").mapInArrow(counted, "g long, count long")
+    rows = Scratch(df.sparkSession, "frequent").save(found, "counts").orderBy(F.desc("count"), "g").limit(FREQUENT).toPandas()
     keys = rows["g"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows["count"].to_numpy(np.int64)[order]
@@ -154,6 +169,8 @@ def fingerprints(df: DataFrame, percent: int, known: tuple[np.ndarray, np.ndarra
                 lists.append(listed(s, known, percent).view(np.int64) if len(s) else None)
                 bits.append(parities(s) if len(s) else None)
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "set_key", "signature", "listed", "bits"])
+        _words.clear()
+        give_back()
 
     return source.mapInArrow(work, "doc_id long, n long, set_key binary, signature binary, listed array<long>, bits binary")
 
@@ -220,6 +237,7 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([pa.array(ids[low]), pa.array(ids[high]), pa.array(n[low]), pa.array(n[high]), pa.array(depth[at].astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.nulls(len(at), pa.binary())], ["a", "b", "na", "nb", "depth", "part", "place"])
         if last is not None:
             yield edge(last, False)
+        give_back()
 
     return ordered.mapInArrow(work, PAIR)
 
@@ -298,6 +316,7 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
             last, same = t.slice(len(g) - 1).to_batches()[0], bool(before[-1])
         if same:
             yield last
+        give_back()
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(work, "g long, id long, n long, pos int")
 
@@ -329,6 +348,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             apart = np.array([differing(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5), strict=True)], np.int64)
             both = b.column(2).to_numpy() + b.column(3).to_numpy()
             yield b.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both, pa.bool_()))
+        give_back()
 
     return both.mapInArrow(work, "a long, b long").distinct()
 

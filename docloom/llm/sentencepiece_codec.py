@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.columns import pick, take_turns
+from docloom.llm.columns import give_back, pick, take_turns
 
 SPACE = "▁"
 #: Chunks that a worker remembers at most; then it starts anew.
@@ -35,7 +35,7 @@ REMEMBERED = 500_000
 #: Between spaces and line feeds where the fast way of splitting isn't safe.
 PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 #: Pair tests that a worker remembers at most.
-PAIRS = 600_000
+PAIRS = 400_000
 FAR = 1 << 60
 
 
@@ -70,7 +70,7 @@ class PieceCodec:
             if piece in self.right:
                 self.automaton.add_word(piece, (len(piece), piece, i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.run_ids: dict[int, list[int]] = {}
         self.known: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
@@ -133,12 +133,13 @@ class PieceCodec:
             if start:
                 if last[start] is None:
                     continue
-                pair = (last[start][1], piece)
+                _, before, left = last[start]
+                pair = left << 32 | number
                 good = fits.get(pair)
                 if good is None:
                     if len(fits) > PAIRS:
                         fits.clear()
-                    good = fits[pair] = self.compatible(*pair)
+                    good = fits[pair] = self.compatible(before, piece)
                 if not good:
                     continue
             last[end] = (start, piece, number)
@@ -210,12 +211,17 @@ class PieceCodec:
     def forget(self) -> None:
         self.known.clear()
         self.decoded.clear()
+        self.fits.clear()
 
     def learn(self, chunk: str) -> str:
         if len(self.known) >= REMEMBERED:
-            self.forget()
+            self.known.clear()
+            self.decoded.clear()
         ids = self.chunk_ids(chunk)
-        self.decoded[chunk] = self.decode(ids)
+        # most chunks come back as they were
+        back = self.decode(ids)
+        if back != chunk:
+            self.decoded[chunk] = back
         self.known[chunk] = said = ",".join(map(str, ids))
         return said
 
@@ -230,13 +236,13 @@ class PieceCodec:
 
     def encode_decode(self, text: str) -> tuple[str, str]:
         """The ids as decimals joined by commas, and the decoded text."""
-        known, ids, back = self.known, [], []
+        known, decoded, ids, back = self.known, self.decoded, [], []
         for c in self.chunks(text):
             said = known.get(c)
             if said is None:
                 said = self.learn(c)
             ids.append(said)
-            back.append(self.decoded[c])
+            back.append(decoded.get(c, c))
         return ",".join(ids), "".join(back)[1:]
 
     def encode(self, text: str) -> list[int]:
@@ -259,7 +265,7 @@ def encode_decode(df: DataFrame, model_file: str, text: str = "text", key: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        take_turns("sentencepiece", c.forget)
+        take_turns("sentencepiece", _codecs.clear)
         for b in batches:
             got = [c.encode_decode(x or "") for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x.count(",") + 1 if x else 0 for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
@@ -273,14 +279,15 @@ def digests(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(model_file), hashlib.sha256
-        take_turns("sentencepiece", c.forget)
+        take_turns("sentencepiece", _codecs.clear)
         for b in batches:
             n, ids, back = [], [], []
-            for x in b.column(1).to_pylist():
-                said, text = c.encode_decode(x or "")
+            for x in b.column(1):
+                said, text = c.encode_decode(x.as_py() or "")
                 n.append(said.count(",") + 1 if said else 0)
                 ids.append(sha(said.encode()).hexdigest())
                 back.append(sha(text.encode()).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     return source.mapInArrow(work, f"doc_id {source.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

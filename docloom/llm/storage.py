@@ -3,6 +3,9 @@
 The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local master (tests, a laptop) gets a
 temporary folder that goes at the end; any other master gets an error, as its executors share no local folder. Tables are written as Parquet, so that a lost
 executor costs a re-read and never a recomputation, and so that Spark knows their sizes.
+
+What an operator returns may read its tables, so they stay until its caller has written the result and calls
+``release``; what is left at the end of the driver's process goes then, if the session still stands.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors, without a trailing slash."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own: list[str] = []
+_roots: list[str] = []
+
+
+def made() -> int:
+    """How many folders of tables there have been so far, for release."""
+    return len(_roots)
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Deletes the tables of all operator calls since then, but for one folder; nothing may read them any more."""
+    for k in range(since, len(_roots)):
+        if _roots[k] and _roots[k] != keep:
+            _delete(spark, _roots[k])
+            _roots[k] = ""
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @atexit.register
@@ -37,6 +62,9 @@ def _drop_own() -> None:
 
     for at in _own:
         shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
 
 
 class Scratch:
@@ -45,18 +73,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Writes df and reads it back: lineage ends here."""
-        df.write.mode("overwrite").parquet(self.path(table))
+        """Writes df and reads it back: lineage ends here. Python gets ROWS rows at a time meanwhile, so that long texts fill little memory on either side."""
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(int(before), ROWS) if int(before) > 0 else ROWS))
+        try:
+            df.write.mode("overwrite").parquet(self.path(table))
+        finally:
+            self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
         """Deletes tables that nothing reads any more; without names, all of them."""
-        jvm = self.spark.sparkContext._jvm
         for at in [self.path(t) for t in tables] or [self.root]:
-            p = jvm.org.apache.hadoop.fs.Path(at)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, at)

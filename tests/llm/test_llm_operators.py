@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -99,6 +100,32 @@ def test_token_counts_by_either_way(docs, monkeypatch, frequent):
     assert got == sorted((r.doc_id is None, r.doc_id, len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
 
 
+def test_tables_are_released(spark, tmp_path):
+    from docloom.llm import storage
+
+    before = storage.made()
+    one = Scratch(spark, "one")
+    other = Scratch(spark, "other")
+    for s in (one, other):
+        s.save(spark.range(3).toDF("id"), "t")
+    at = [s.root.removeprefix("file://") for s in (one, other)]
+    assert all(os.path.isdir(x) for x in at)
+    storage.release(spark, before, keep=other.root)
+    assert [os.path.isdir(x) for x in at] == [False, True]
+    storage.release(spark, before)
+    assert not os.path.isdir(at[1])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from docloom.llm import storage
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(far)
+
+
 def test_rows_that_share_an_id_are_spread(spark):
     df = spark.createDataFrame([(None if k % 2 else 7, f"text number {k}") for k in range(400)], "doc_id long, text string")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
