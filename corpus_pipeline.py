@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_cnn, fertility_rules, minhash_forest, sentencepiece_codec, source_mix
+from docloom.llm import byte_cnn, fertility_rules, minhash_forest, sentencepiece_codec, source_mix, storage
 from docloom.llm.storage import Scratch
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -24,24 +24,45 @@ KEY, COPIES, ROWS, COPY = (f"__pipeline_{x}" for x in ("key", "copies", "rows",
 ORACLE_SQL = None
 
 
+#: Keys of a table up to which every task gets it; beyond that texts and keys are shuffled.
+KNOWN = 200_000
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that only equal rows share."""
-    return docs.withColumn(KEY, F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+    """docs with a key that only equal rows share: their id and a hash of all columns."""
+    return docs.withColumn(KEY, F.struct(F.col("doc_id").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash")))
+
+
+def by_key(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """rows joined to a written table of keys: id (null safe) and hash. The table goes to every task only where its counted rows are few."""
+    side = table.withColumnRenamed(KEY, "__pipeline_of")
+    if side.count() <= KNOWN:
+        side = F.broadcast(side)
+    same = (F.col(f"{KEY}.hash") == F.col("__pipeline_of.hash")) & F.col(f"{KEY}.id").eqNullSafe(F.col("__pipeline_of.id"))
+    return rows.join(side, same, how)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python and back; few rows at a time keep what both sides hold of them small. Holds for the session, as a stage runs after its function has returned."""
+    spark.conf.set(storage.BATCH, str(storage.ROWS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     net = byte_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return byte_cnn.keep_good(docs, net)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows = keyed(docs)
     verdicts = fertility_rules.verdicts(rows, public_tokenizers.path(PIECES), public_tokenizers.path(BYTES), key=KEY)
     rejected = Scratch(spark, "rejected").save(verdicts.where("not kept").select(F.col("doc_id").alias(KEY)).distinct(), "rows")
-    return rows.join(rejected, KEY, "left_anti").select(docs.columns)
+    return by_key(rows, rejected, "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash_forest.keep_one(docs, 80).select(docs.columns)
 
 
@@ -51,7 +72,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     mixed = source_mix.mix(rows, key=KEY).groupBy(F.col("doc_id").alias(KEY)).agg(F.sum("copies").cast("int").alias(COPIES), F.count("*").alias(ROWS))
     taken = Scratch(spark, "taken").save(mixed.where(F.col(COPIES) > 0), "rows")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    met = rows.join(taken, KEY)
+    met = by_key(rows, taken, "inner")
     once = met.where(F.col(ROWS) == 1)
     if not taken.where(F.col(ROWS) > 1).isEmpty():
         # equal rows are one row before they are repeated
@@ -61,6 +82,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sentencepiece_codec.digests(docs, public_tokenizers.path(PIECES))
 
 
@@ -76,7 +98,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
+        before = storage.made()
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        # a stage's tables go with the stage before it
+        storage.release(spark, before)
         if k:
             scratch.drop(f"stage{k - 1}")
     return docs
