@@ -8,9 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.text import FLAGS, fold, let, squeeze
+from docloom.functions.vocabulary import MONTHS
 
-#: Months by name, without accents.
-MONTHS = {"janvier": 1, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12}
 DAY_MONTH_YEAR = "(\\d{1,2})\\s*[/.\\-]\\s*(\\d{1,2})\\s*[/.\\-]\\s*(\\d{2,4})"
 
 

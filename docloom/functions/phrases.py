@@ -54,3 +54,34 @@ class Labelled:
             return value
         said = any_of(list(self.labels), "\\s*")
         return said + (STRICT if self.strict else LINK) + value if self.behind else value + "\\s*" + said
+
+
+def loose(word: str) -> str:
+    """A word whose letters may carry any accent."""
+    plain = {c: cls for cls in LETTERS.values() for c in cls.strip("[]")}
+    return "".join(plain.get(c) or re.escape(c) for c in word)
+
+
+def times(least: int, most: int | None) -> str:
+    return f"{{{least},{'' if most is None else most}}}"
+
+
+def code(least: int, most: int, first: str = "A-Za-z0-9", whole: bool = False) -> str:
+    """The one shape of a code: letters, digits and the joiners - / _, beginning with a letter or digit. whole: nothing of that kind follows."""
+    inside = "[A-Za-z0-9_/\\-]"
+    return f"([{first}]{inside}{times(least - 1, most - 1)})" + (f"(?!{inside})" if whole else "")
+
+
+def coded(heads: list[str], *groups: tuple[int, int], joiner: str = "-/") -> str:
+    """A code of its own: one of the words, then groups of so many digits, each behind a joiner or none."""
+    return "\\b(" + any_of(heads, "") + "".join(f"[{joiner}]?\\d{times(*g)}" for g in groups) + ")\\b"
+
+
+def digits(least: int, most: int | None, gaps: bool = False) -> str:
+    """A number of so many digits, with blanks between them or not."""
+    return f"(\\d{times(least, most)})" if not gaps else f"(\\d(?:\\s*\\d){times(least - 1, None if most is None else most - 1)})"
+
+
+def line(least: int, most: int, first: str = "") -> str:
+    """What stands on a line, of so many characters; first: which one begins it."""
+    return f"({first}[^\\n]{times(least - bool(first), most - bool(first))})"

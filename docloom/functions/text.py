@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.vocabulary import BANKS
+
 FLAGS = "(?iuU)"
 #: Accented letters and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăąćčďęěğńňőřśšşťţůűźżž"
@@ -51,24 +53,29 @@ def squeeze(text: Column) -> Column:
 
 
 def repair_payment(text: Column) -> Column:
-    """Dashes, slashes, letters read for digits between digits, split decimals."""
+    """Dashes, slashes, letters read for digits between digits and the signs of days and numbers, split decimals."""
     out = F.regexp_replace(text, "[‐-―−]", "-")
     out = F.regexp_replace(out, "[⁄∕／]", "/")
-    out = F.regexp_replace(out, "(?<=\\d)[Oo](?=\\d)", "0")
-    out = F.regexp_replace(out, "(?<=\\d)[lI](?=\\d)", "1")
-    return F.regexp_replace(out, "(\\d) [Jl|I](\\d{3})(?!\\d)", "$1,$2")
+    out = F.regexp_replace(out, "(?<=[0-9/.\\-])O(?=[0-9/.\\-])", "0")
+    out = F.regexp_replace(out, "(?<=[0-9/.\\-])[lI](?=[0-9/.\\-])", "1")
+    return F.regexp_replace(out, "(?U)(\\d)\\s+[Jl|I](\\d{3})\\b", "$1,$2")
 
 
-#: Names that recognition garbles, and what they are.
-GARBLED = {"OLEO TECHN0": "OLEO TECHNO", "TUNlSIE": "TUNISIE", "SOClETE": "SOCIETE", "BAN0UE": "BANQUE"}
+#: How recognition garbles names, as patterns, whether capitals count, and what the names are.
+GARBLED = [
+    (r"PANNEA(?:[\\|/IX'’])?(?!\w)", True, "PANNEAUX"),
+    (r"TUN[I][G][I][A]", False, "TUNISIA"),
+    (r"TU+W?N[I1][B8][T7]A[T7]", False, "TUNISIA"),
+    (r"OLEO\s*TEC[A-Z]{0,4}(?:ING|N[GDQ0O])(?!\w)", False, "OLEO TECHNO"),
+]
 
 
 def repair_names(text: Column) -> Column:
-    """Digits and letters read for each other inside capital words, and days with a gap between their digits."""
-    out = text
-    for wrong, right in GARBLED.items():
-        out = F.replace(out, F.lit(wrong), F.lit(right))
-    return F.regexp_replace(out, "(?<!\\d)([0-3]) (\\d)(?=[/.\\-]\\d{1,2}[/.\\-]\\d{2,4})", "$1$2")
+    """Days with a gap between their digits, and names that recognition garbles."""
+    out = F.regexp_replace(text, "(?U)\\b(\\d)\\s(\\d)(/\\d{1,2}/\\d{2,4})\\b", "$1$2$3")
+    for garbled, capitals, name in GARBLED:
+        out = F.regexp_replace(out, ("(?U)" if capitals else FLAGS) + garbled, name)
+    return out
 
 
 def repair_sheet(text: Column) -> Column:
@@ -99,6 +106,11 @@ def file_variants(name: Column) -> Column:
     return F.array_distinct(F.array(name, clean, base(name), base(clean)))
 
 
+def bare_name(name: Column) -> Column:
+    """The part of a file's name that all of its variants share: up to the first dot, without hash suffixes."""
+    return F.regexp_replace(F.regexp_extract(name, "^[^.]*", 0), "([_-]?[a-f0-9]{6,10})+$", "")
+
+
 def item_code(text: Column) -> Column:
     """First word without closing signs, of 2 to 40 characters and with a letter or digit; else null."""
     code = F.regexp_replace(F.split(F.trim(text), "\\s+")[0], "[.,;:/\\-]+$", "")
@@ -121,6 +133,30 @@ def before_label(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rx("\\s+[\\p{L}][\\p{L} .'/]{1,30}:.*$"), ""))
 
 
+#: Words that belong to a company's name though labels are like them.
+COMPANY_WORDS = ["TUNISIA", "TUNISIE", "INTERNATIONAL", "INDUSTRIES", "PANNEAUX", "ACCESSORIES", "EQUIPEMENTS", "SERVICES", "REPARATION", "TECHNOLOGY", "TECHNO", "TRADING", "GROUP", "HOLDING", "LEASING"]
+
+
+def before_field(text: Column, labels: list[str]) -> Column:
+    """Cut before the first word of another field that stands behind the last word of a company's name; two to five capitals stay as they are."""
+    words = "\\b(?:" + "|".join(COMPANY_WORDS) + ")\\b"
+    any_label = "\\b(?:" + "|".join(labels) + ")\\b"
+
+    def cut(v: Column) -> Column:
+        name = F.regexp_extract(v, rx(f"(?s)^.*{words}"), 0)
+        rest = F.substring(v, F.length(name) + 1, F.length(v))
+        # a label at the very beginning is no other field's
+        short = F.regexp_replace(rest, rx(f"(?s)(?<=.){any_label}.*$"), "")
+        return F.when(v.rlike("^[A-Z]{2,5}$"), v).otherwise(F.trim(F.concat(name, F.when((name != "") & rest.rlike(rx(f"^\\s*{any_label}")), F.lit("")).otherwise(short))))
+
+    return let(F.trim(text), cut)
+
+
+def before_word_label(text: Column, most: int = 40) -> Column:
+    """Cut before words, the first with a capital, that end with a colon or hyphen; at most so many characters."""
+    return F.substring(F.trim(F.regexp_replace(text, "(?U)\\s+[A-ZÀ-Ÿ][^\\s]+(?:\\s+[^\\s:]+)*\\s*[:\\-](?s:.*)$", "")), 1, most)
+
+
 #: Names of units of measure and the words for them, by kind of source; the first name that has the word counts.
 UNITS = {
     "item": {
@@ -154,10 +190,6 @@ def payment_method(text: Column) -> Column:
     return F.when(has("chèque", "cheque", "check", "chéque"), "cheque").when(has("traite", "lettre de change", "effet", "draft"), "traite")
 
 
-#: Banks, first match wins.
-BANKS = ["STB", "BNA", "BIAT", "UIB", "ATB", "BT", "BH", "Zitouna", "QNB", "UBCI", "ABC", "CIB", "BFT", "Attijari", "Wafa", "Amen", "Tunisie Leasing", "Arab Tunisian Bank", "Banque de Tunisie", "Société Tunisienne de Banque", "Banque Nationale Agricole", "Banque Internationale Arabe", "Banque B"]
-
-
 def bank(text: Column) -> Column:
     """The first bank of the list that the text names."""
     return F.coalesce(*[F.when(text.rlike(rx(f"\\b{b}\\b")), b) for b in BANKS])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
-from docloom.functions.phrases import sign, signs, words
-from docloom.functions.text import count_in, count_patterns, rx
+from docloom.functions.phrases import sign, signs
+from docloom.functions.text import count_in, let, rx
+from docloom.operators.labels import Signs, counts
 
 UNKNOWN = "inconnu"
 
@@ -38,29 +41,52 @@ def by_substrings(text: Column) -> Column:
     return F.when(top["score"] > 0, top["label"]).otherwise(UNKNOWN)
 
 
-def counted(text: Column, kind: str) -> Column:
-    """How many of a type's phrases the text has; some count only where they begin a line."""
-    return count_patterns(text, [*map(sign, V.COUNTED[kind]), *[f"^\\s*{words(x)}\\b" for x in V.LINE_STARTS.get(kind, [])]])
+def _index(phrases: dict[str, list], shapes: dict[str, list[str]]) -> Signs:
+    """Phrases as words of their own; spellings in one tuple count once."""
+    spelled = {n: [p if isinstance(p, tuple) else (p,) for p in ps] for n, ps in phrases.items()}
+    return Signs({n: [[(s, sign(s)) for s in p] for p in ps] for n, ps in spelled.items()}, shapes)
+
+
+@cache
+def _types() -> Signs:
+    return _index({f"sure_{t}": ps for t, ps in V.SURE.items()} | {f"some_{t}": ps for t, ps in V.COUNTED.items()}, {f"sure_{t}": ps for t, ps in V.SURE_SHAPES.items()} | {f"some_{t}": ps for t, ps in V.COUNTED_SHAPES.items()})
+
+
+@cache
+def _payments() -> Signs:
+    return _index({"cheque": V.CHEQUE_SIGNS, "traite": V.DRAFT_SIGNS}, {"cheque": V.CHEQUE_SHAPES, "traite": V.DRAFT_SHAPES})
+
+
+@cache
+def _others() -> Signs:
+    return _index(V.NO_PAYMENT, {"facture": [r"\btva\b[^\n]*\bht\b"]})
 
 
 def by_patterns(text: Column) -> Column:
-    """C4: the type of a sure phrase, first in order; else the type with most counted phrases; a sales invoice comes first."""
-    sales = counted(text, "facture_vente") > 0
-    sure = F.coalesce(*[F.when(text.rlike(rx(signs(ps), True)), t) for t, ps in V.SURE.items()])
-    top = best({t: counted(text, t) for t in V.COUNTED})
-    return F.when(sales, "facture_vente").otherwise(F.coalesce(sure, F.when(top["score"] > 0, top["label"]).otherwise(UNKNOWN)))
+    """C4: the type of a sure sign, first in order; else a sales invoice if any sign of one is there, else the type with most counted signs. All signs are found in one pass."""
+    n = counts(_types, [*[f"sure_{t}" for t in V.SURE], *[f"some_{t}" for t in V.COUNTED]])(text)
+
+    def typed(n: Column) -> Column:
+        sure = F.coalesce(*[F.when(n[f"sure_{t}"] > 0, t) for t in V.SURE])
+        top = best({t: n[f"some_{t}"] for t in V.COUNTED})
+        return F.coalesce(sure, F.when(n["some_facture_vente"] > 0, "facture_vente").when(top["score"] > 0, top["label"]).otherwise(UNKNOWN))
+
+    return let(n, typed)
 
 
 def cheque_or_draft(text: Column) -> Column:
-    """Struct (doc_type, confidence): the share of the greater count; equal counts are unknown."""
-    a, b = counted(text, "cheque"), counted(text, "traite")
-    return F.struct(F.when(a > b, "cheque").when(b > a, "traite").otherwise(UNKNOWN).alias("doc_type"), F.when(a == b, 0.0).otherwise(F.round(F.greatest(a, b) / (a + b), 3)).alias("confidence"))
+    """Struct (doc_type, confidence): the share of the greater count among the payment rules' own signs; equal counts are unknown."""
+
+    def told(n: Column) -> Column:
+        a, b = n["cheque"], n["traite"]
+        return F.struct(F.when(a > b, "cheque").when(b > a, "traite").otherwise(UNKNOWN).alias("doc_type"), F.when(a == b, 0.0).otherwise(F.round(F.greatest(a, b) / (a + b), 3)).alias("confidence"))
+
+    return let(counts(_payments, ["cheque", "traite"])(text), told)
 
 
 def other_type(text: Column) -> Column:
     """Among the six types that are no payment, the first with most hits; null without any."""
-    top = best({t: count_patterns(text, list(map(sign, ps))) for t, ps in V.NO_PAYMENT.items()})
-    return F.when(top["score"] > 0, top["label"])
+    return let(counts(_others, list(V.NO_PAYMENT))(text), lambda n: let(best({t: n[t] for t in V.NO_PAYMENT}), lambda top: F.when(top["score"] > 0, top["label"])))
 
 
 def payment_gate(text: Column, wanted: Column, duplicate: Column, draft_fields: Column, cheque_points: Column) -> Column:

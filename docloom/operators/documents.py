@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
 from docloom.functions.text import file_variants
+from docloom.operators.contains import held
 
 
 def status_counts(docs: DataFrame, status: str = "status") -> DataFrame:
@@ -69,12 +70,15 @@ def duplicates(new: DataFrame, books: DataFrame, key: str, id_column: str = "nam
     return new.join(live, new[key] == live["_key"], "left").drop("_key").withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
 
 
-def linked(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Documents and the entries they link to; for entries that nothing links to, documents whose fields name the entry's number. That fall-back joins on the values of the documents' field maps, so it is an equi-join too. docs: name, linked_doctype, linked_docname, fields (map); entries: doctype, entry, bill_no."""
+def linked(docs: DataFrame, entries: DataFrame, most: int = 5) -> DataFrame:
+    """Documents and the entries they link to; for entries that nothing links to, the first documents by name whose extracted fields hold the entry's number anywhere in their text, as many as most. Numbers meet texts by docloom.operators.contains. docs: name, linked_doctype, linked_docname, fields (map); entries: doctype, entry, bill_no."""
     direct = docs.join(entries, (F.col("linked_doctype") == F.col("doctype")) & (F.col("linked_docname") == F.col("entry"))).select("name", "doctype", "entry", F.lit(False).alias("by_number"))
-    rest = entries.join(direct.select("doctype", "entry").distinct(), ["doctype", "entry"], "left_anti").where("bill_no is not null")
-    said = docs.select("name", F.explode(F.array_distinct(F.map_values("fields"))).alias("bill_no"))
-    return direct.unionByName(rest.join(said, "bill_no").select("name", "doctype", "entry", F.lit(True).alias("by_number")).distinct())
+    rest = entries.join(direct.select("doctype", "entry").distinct(), ["doctype", "entry"], "left_anti").where("bill_no <> ''")
+    said = docs.select("name", F.to_json("fields").alias("_said"))
+    pairs = held(said, rest, "_said", "bill_no").select(F.col("text").alias("_said"), F.col("phrase").alias("bill_no"))
+    met = rest.join(pairs, "bill_no").join(said, "_said").select("name", "doctype", "entry").distinct()
+    first = Window.partitionBy("doctype", "entry").orderBy("name")
+    return direct.unionByName(met.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most).select("name", "doctype", "entry", F.lit(True).alias("by_number")))
 
 
 def status_of(workflow: Column, docstatus: Column) -> Column:
@@ -107,11 +111,17 @@ def upserted(stored: DataFrame, incoming: DataFrame, columns: list[str], key: st
 
 
 def posted_invoice(docs: DataFrame) -> DataFrame:
-    """K2: an entry of one line at the net amount, and its tax. docs: name, supplier, bill_no, bill_date, net_total, tax, grand_total."""
+    """K2: an entry of one line at the net amount and its tax as an actual one, posted on the bill's day and due on its own; refused says why there is none: no supplier, or no amount. docs: name, supplier, bill_no, bill_date, net_total, tax, grand_total, and due_date where there is one."""
     from docloom.operators.checks import net_amount
 
     net = net_amount(F.col("net_total"), F.col("grand_total"), F.col("tax"))
-    return docs.select("name", "supplier", "bill_no", "bill_date", F.array(F.struct(F.lit(1).alias("qty"), net.alias("rate"))).alias("items"), F.when(F.col("tax") > 0, F.array(F.struct(F.lit("Actual").alias("charge_type"), F.col("tax").alias("tax_amount")))).alias("taxes"))
+    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    some = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    refused = F.when(~has("supplier"), "no supplier").when(~(net > 0) & ~some("grand_total"), "no amount")
+    line = F.struct(F.when(has("bill_no"), F.concat(F.lit("Facture "), "bill_no")).otherwise("Facture fournisseur").alias("item_name"), F.lit(1).alias("qty"), net.alias("rate"), F.lit("Nos").alias("uom"))
+    tax = F.struct(F.lit("Actual").alias("charge_type"), F.col("tax").alias("tax_amount"))
+    due = F.col("due_date") if "due_date" in docs.columns else F.lit(None).cast(docs.schema["bill_date"].dataType)
+    return docs.select("name", "supplier", "bill_no", "bill_date", F.col("bill_date").alias("posting_date"), due.alias("due_date"), F.when(refused.isNull(), F.array(line)).alias("items"), F.when(refused.isNull() & some("tax"), F.array(tax)).alias("taxes"), refused.alias("refused"))
 
 
 def payment_amount(read: Column, outstanding: Column, total: Column) -> Column:

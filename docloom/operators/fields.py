@@ -1,22 +1,44 @@
-"""Fields from text by ordered patterns. A guard is put to each pattern's match before the first is chosen."""
+"""Fields from text by labels and the values behind them.
+
+All labels of all wanted fields are found in one pass (docloom.operators.labels); guards are put to each way's value, as Column
+expressions, before the first one counts.
+"""
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
 from docloom.functions.numbers import UNIT
-from docloom.functions.phrases import LINK, any_of
-from docloom.functions.text import first_group, let, rx, squeeze
+from docloom.functions.phrases import LINK, Labelled, any_of
+from docloom.functions.text import first_group, fold, let, rx, squeeze
+from docloom.operators.labels import Ways, spans
 
 AMOUNT_FIELDS = {"montant_ht", "tva", "montant_ttc", "montant", "prix_unitaire"}
 PARTY_FIELDS = {"fournisseur", "client"}
 
 
 def party_name(value: Column) -> Column:
-    """A name up to what follows it: an address, a date, another label; or the legal form that ends it."""
-    cut = F.regexp_replace(value, rx(f"(?:{V.PARTY_END}).*$"), "")
+    """A name up to the word that no name goes on with: a day, one that begins an address, a town behind a comma, a whole word of another label; up to a bar or slash; and up to the legal form that ends it."""
+    letters = lambda w: F.regexp_replace(fold(w), "[^a-z0-9]", "")
+
+    def whole(words: Column) -> Column:
+        def ends(w: Column, i: Column) -> Column:
+            before = F.get(words, i - 1)
+            behind_comma = F.coalesce(before.endswith(","), F.lit(False)) | w.startswith(",")
+            two = F.concat_ws(" ", letters(w), letters(F.get(words, i + 1)))
+            town = F.exists(F.array(*map(F.lit, V.TOWNS)), lambda t: two.startswith(t))
+            address = F.exists(F.array(*map(F.lit, V.ADDRESS_HEADS)), lambda h: letters(w).startswith(h))
+            day = w.rlike("^\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{2,4}")
+            return (i > 0) & (address | letters(w).isin(V.ADDRESS_WORDS) | day | behind_comma & town)
+
+        stop = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(ends(w, i), i)), lambda i: i.isNotNull()))
+        return F.array_join(F.when(stop.isNotNull(), F.slice(words, F.lit(1), F.coalesce(stop, F.lit(1)))).otherwise(words), " ")
+
+    cut = F.regexp_replace(let(F.split(value, " "), whole), "\\s*[|/\\\\].*$", "")
     named = lambda c: F.coalesce(first_group(c, rx(f"^(.*?{V.LEGAL_FORMS})")), c)
     return F.regexp_replace(let(cut, named), "^[ .,;:|]+|[ .,;:|]+$", "")
 
@@ -38,55 +60,69 @@ def guarded(value: Column, field: str) -> Column:
     return let(F.regexp_replace(squeeze(value), "^[ .,;:]+|[ .,;:]+$", ""), put)
 
 
+@cache
+def ways(names: tuple[str, ...]) -> Ways:
+    """The index of some fields' labels; a worker builds it once."""
+    return Ways({n: V.LABELS[n] for n in names}, V.VALUES, {"date": V.DUE_LINE}, {"tva": V.TAX_NUMBER})
+
+
+def found(text: Column, names: list[str], every: bool = False) -> Column:
+    """Struct with an array of (way, value) for each field, from one pass over the text: of each way its first match, or every one."""
+    wanted = tuple(names)
+    return spans(lambda: ways(wanted), names, every)(text)
+
+
+def chosen(values: Column, name: str) -> Column:
+    """The first of a field's values that its guard lets through."""
+    return F.get(F.filter(F.transform(values, lambda s: guarded(s["value"], name)), lambda v: v.isNotNull()), F.lit(0))
+
+
 def field(text: Column, name: str) -> Column:
-    """X1."""
-    if name == "date":
-        text = F.regexp_replace(text, rx(f"^[^\\n]*(?:{V.DUE_LINE})[^\\n]*$", True), "")
-    tries = []
-    for p in V.field_patterns(name):
-        if name == "tva":
-            p += "(?![\\d.,]*\\s?[A-Z]{2,}(?<!DT)(?<!TND))"
-            tries.append(guarded(first_group(text, "(?uUm)" + f"(?i:{p[: p.rindex('(?![')]})" + p[p.rindex("(?![") :]), name))
-        else:
-            tries.append(guarded(first_group(text, rx(p, True)), name))
-    return F.coalesce(*tries)
+    """X1 for one field."""
+    return chosen(found(text, [name])[name], name)
+
+
+def with_fields(df: DataFrame, names: list[str], text: str = "text") -> DataFrame:
+    """Df with a column for each field."""
+    return df.withColumn("_found", found(F.col(text), names)).withColumns({n: chosen(F.col(f"_found.{n}"), n) for n in names}).drop("_found")
 
 
 def by_type(df: DataFrame, doc_type: str, text: str = "text") -> DataFrame:
     """Df with a column for each field of the type, and arrays of what was found and what is missing."""
     names = V.FIELDS[doc_type]
-    out = df.withColumns({n: field(F.col(text), n) for n in names})
     have = F.array(*[F.struct(F.lit(n).alias("n"), F.col(n).isNotNull().alias("ok")) for n in names])
-    return out.withColumns({"found": F.transform(F.filter(have, lambda x: x["ok"]), lambda x: x["n"]), "missing": F.transform(F.filter(have, lambda x: ~x["ok"]), lambda x: x["n"])})
+    return with_fields(df, names, text).withColumns({"found": F.transform(F.filter(have, lambda x: x["ok"]), lambda x: x["n"]), "missing": F.transform(F.filter(have, lambda x: ~x["ok"]), lambda x: x["n"])})
 
 
 def long_form(df: DataFrame, doc_type: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, field, ord, value): one row for each field found."""
     names = V.FIELDS[doc_type]
-    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("ord"), field(F.col(text), n).alias("value")) for k, n in enumerate(names)])
-    return df.select(key, F.inline(F.filter(pairs, lambda x: x["value"].isNotNull())))
+    rows = df.select(key, found(F.col(text), names).alias("_found"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("ord"), chosen(F.col(f"_found.{n}"), n).alias("value")) for k, n in enumerate(names)])
+    return rows.select(key, F.inline(F.filter(pairs, lambda x: x["value"].isNotNull())))
 
 
-def _each(values: Column, grade, early: float) -> Column:
-    return F.transform(values, lambda v: grade(v, early))
+def best_of(values: Column, kind: str = "text") -> Column:
+    """Of (way, value) the struct (value, confidence, uncertain) of the best: 0.6, more for digits, a date's shape or two words, for early ways and for length, at most 0.99; the earliest of equals; null without any."""
 
+    def graded(s: Column, i: Column) -> Column:
+        v = squeeze(s["value"])
 
-def most_confident(text: Column, patterns: list[str], kind: str = "text") -> Column:
-    """Struct (value, confidence) of the best of all matches of all patterns: 0.6, more for digits, a date's shape or two words, for early patterns and for length, at most 0.99; the earliest of equals; null without a match."""
-    lists = []
-    for k, p in enumerate(patterns):
-        matches = F.regexp_extract_all(text, F.lit(rx(p, True)), F.lit(1))
-
-        def graded(v: Column, early: float) -> Column:
+        def score(v: Column) -> Column:
             bonus = {"number": F.when(v.rlike("\\d"), 0.3).otherwise(0.0), "date": F.when(v.rlike("\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{2,4}"), 0.35).otherwise(0.0), "text": F.when(F.size(F.split(v, " ")) >= 2, 0.25).otherwise(0.0)}[kind]
-            score = F.lit(0.6) + bonus + F.lit(early) + F.when(F.length(v) > 6, 0.1).otherwise(0.0)
-            return F.struct(F.least(score, F.lit(0.99)).alias("confidence"), v.alias("value"))
+            early = F.greatest(F.lit(0.0), F.lit(0.10) - 0.02 * s["way"])
+            return F.struct(F.least(F.round(F.lit(0.6) + bonus + early + F.when(F.length(v) > 6, 0.1).otherwise(0.0), 6), F.lit(0.99)).alias("confidence"), (-i).alias("place"), v.alias("value"))
 
-        early = max(0.0, 0.10 - 0.02 * k)
-        lists.append(_each(F.transform(matches, squeeze), graded, early))
-    every = F.filter(F.concat(*lists), lambda x: x["value"] != "")
-    placed = F.transform(every, lambda x, i: F.struct(x["confidence"].alias("confidence"), (-i).alias("place"), x["value"].alias("value")))
-    return let(F.array_max(placed), lambda top: F.when(top.isNotNull(), F.struct(top["value"].alias("value"), F.round(top["confidence"], 2).alias("confidence"), (top["confidence"] < 0.65).alias("uncertain"))))
+        return let(v, score)
+
+    every = F.filter(F.transform(values, graded), lambda x: x["value"] != "")
+    return let(F.array_max(every), lambda top: F.when(top.isNotNull(), F.struct(top["value"].alias("value"), F.round(top["confidence"], 2).alias("confidence"), (top["confidence"] < 0.65).alias("uncertain"))))
+
+
+def most_confident(text: Column, patterns: list[str], kind: str = "text") -> Column:
+    """X3 by patterns of the caller's own."""
+    kinds = {str(k): p for k, p in enumerate(patterns)}
+    return best_of(spans(lambda: Ways({"v": [Labelled((), k) for k in kinds]}, kinds), ["v"], True)(text)["v"], kind)
 
 
 EMAIL = r"([A-Za-z0-9._+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]*[A-Za-z0-9])"
@@ -121,21 +157,21 @@ def entities(text: Column) -> Column:
 
 
 #: Words before a value that tell its role.
-ROLES = {
+BEFORE = {
     "date": [("echeance", r"[eé]ch[eé]ance|due|limite"), ("livraison", r"livraison|livr[eé]"), ("commande", r"commande"), ("date", r"date|facture|le")],
     "amount": [("montant_ttc", r"t\.?t\.?c|net\s*à\s*payer|à\s*payer"), ("montant_tva", r"t\.?v\.?a|taxe"), ("montant_ht", r"\bh\.?t\b|hors\s*taxe"), ("montant", r"montant|total|somme")],
 }
-VALUES = {"date": r"\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}", "amount": r"\d[\d ]*[.,]\d{2,3}"}
+SHAPES = {"date": r"\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}", "amount": r"\d[\d ]*[.,]\d{2,3}"}
 
 
 def roles(text: Column, kind: str) -> Column:
-    """Map from role to the first value whose 60 characters before name that role."""
-    pieces = F.regexp_extract_all(text, F.lit(rx("([^\\n]{0,60}?)(" + VALUES[kind] + ")")), F.lit(0))
+    """Map from role to the first value whose 60 characters before name that role, without leaving the JVM; see docloom.operators.roles for the full scan."""
+    pieces = F.regexp_extract_all(text, F.lit(rx("([^\\n]{0,60}?)(" + SHAPES[kind] + ")")), F.lit(0))
     told = F.transform(
         pieces,
         lambda p: F.struct(
-            F.coalesce(*[F.when(F.regexp_replace(p, VALUES[kind] + "$", "").rlike(rx(r)), n) for n, r in ROLES[kind]]).alias("role"),
-            F.regexp_extract(p, "(" + VALUES[kind] + ")$", 1).alias("value"),
+            F.coalesce(*[F.when(F.regexp_replace(p, SHAPES[kind] + "$", "").rlike(rx(r)), n) for n, r in BEFORE[kind]]).alias("role"),
+            F.regexp_extract(p, "(" + SHAPES[kind] + ")$", 1).alias("value"),
         ),
     )
     told = F.filter(told, lambda x: x["role"].isNotNull())

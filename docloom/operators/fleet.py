@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
@@ -25,6 +25,44 @@ def available(vehicles: DataFrame, reservations: DataFrame, start: Column, end:
     return free.limit(n) if n else free
 
 
+def overlaps(requests: DataFrame, reservations: DataFrame, keys: list[str], bucket_s: int = 86_400) -> DataFrame:
+    """R2 for a table of requests: (request, reservation, and the keys) of the pairs that agree in the keys and whose half-open intervals overlap.
+
+    Intervals are cut into buckets of time; those that share one meet by an equi-join, and a pair counts only in the first
+    bucket that both have, so that it comes once without a distinct. A bucket should be about as long as most
+    intervals are. Empty intervals, and those without a start or end, overlap with nothing. requests: request, start, end, keys; reservations:
+    reservation, start, end, keys.
+    """
+    number = lambda c: F.floor(F.unix_micros(c) / (bucket_s * 1_000_000))
+
+    def cut(df: DataFrame, name: str, side: str) -> DataFrame:
+        start, end = F.col("start").cast("timestamp"), F.col("end").cast("timestamp")
+        some = df.where(start < end).select(name, *keys, start.alias(f"_s{side}"), end.alias(f"_e{side}"), number(start).alias(f"_b{side}"), F.floor((F.unix_micros(end) - 1) / (bucket_s * 1_000_000)).alias("_last"))
+        return some.withColumn("_bucket", F.explode(F.sequence(F.col(f"_b{side}"), F.col("_last")))).drop("_last")
+
+    both = cut(requests, "request", "q").join(cut(reservations, "reservation", "r"), [*keys, "_bucket"])
+    return both.where((F.col("_sq") < F.col("_er")) & (F.col("_sr") < F.col("_eq")) & (F.col("_bucket") == F.greatest("_bq", "_br"))).select("request", "reservation", *keys)
+
+
+def available_for(requests: DataFrame, vehicles: DataFrame, reservations: DataFrame, keys: list[str], bucket_s: int = 86_400) -> DataFrame:
+    """R1-R3 for a table of requests: (request, n_free, plate): how many vehicles in service that agree in the keys are free for it, and the first of them by plate.
+
+    Vehicles of equal keys are numbered by plate. A request's taken vehicles are numbers too; the first number that lacks
+    among them is that of the first free one, so that no request is paired with the vehicles that are free.
+    requests: request, start, end, keys; vehicles: name, plate, status, keys; reservations: name, vehicle, start, end, status.
+    """
+    fit = vehicles.where(~F.col("status").isin(V.OUT_OF_SERVICE))
+    numbered = fit.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("plate", "name")) - 1).select(F.col("name").alias("vehicle"), "plate", *keys, "_n")
+    still_open = reservations.where(~F.col("status").isin(V.CLOSED_RESERVATIONS)).join(numbered.select("vehicle", *keys, "_n"), "vehicle").select(F.col("_n").alias("reservation"), "start", "end", *keys)
+    taken = overlaps(requests, still_open, keys, bucket_s).select("request", F.col("reservation").alias("_n")).distinct()
+    # taken numbers that are as small as their place have none free before them
+    placed = taken.withColumn("_place", F.row_number().over(Window.partitionBy("request").orderBy("_n")) - 1)
+    per = placed.groupBy("request").agg(F.count("*").alias("_taken"), F.count_if(F.col("_n") == F.col("_place")).alias("_first"))
+    size = numbered.groupBy(*keys).agg(F.count("*").alias("_size"))
+    found = requests.select("request", *keys).join(size, keys, "left").join(per, "request", "left").select("request", *keys, (F.coalesce("_size", F.lit(0)) - F.coalesce("_taken", F.lit(0))).alias("n_free"), F.coalesce("_first", F.lit(0)).cast("int").alias("_n"))
+    return found.join(numbered.select(*keys, "_n", "plate"), [*keys, "_n"], "left").select("request", "n_free", "plate")
+
+
 def status_after(events: DataFrame) -> DataFrame:
     """(vehicle, status): on duty after the last submitted reservation, free after a cancelled one. events: vehicle, at, kind."""
     last = events.where(F.col("kind").isin("submit", "cancel")).groupBy("vehicle").agg(F.max_by("kind", "at").alias("kind"))

@@ -9,6 +9,7 @@ from docloom.functions import vocabulary as V
 from docloom.functions.fuzzy import partial_ratio_of
 from docloom.functions.phrases import LINK, any_of, signs
 from docloom.functions.text import fold, is_missing, rx, squeeze
+from docloom.operators.contains import either_holds
 from docloom.operators.resolve import shape_score, words
 
 
@@ -71,12 +72,11 @@ def completed(status: Column, n_empty: Column) -> Column:
 
 
 def warehouses(sites: DataFrame, houses: DataFrame) -> DataFrame:
-    """Sites with reorder data and the first warehouse whose name holds the site's label or is held by it. houses: a dimension (warehouse, ord), which Spark broadcasts by its size."""
-    some = sites.where("coalesce(reorder_level, 0) <> 0 or coalesce(reorder_qty, 0) <> 0")
-    a, b = fold(squeeze(F.col("label"))), fold(squeeze(F.col("warehouse")))
-    hit = some.join(houses, (F.col("label") != "") & (a.contains(b) | b.contains(a)))
-    best = hit.groupBy("site").agg(F.min_by("warehouse", "ord").alias("warehouse"))
-    return some.join(best, "site", "left")
+    """Sites with reorder data and the first warehouse whose name holds the site's label or is held by it. houses: (warehouse, ord). Labels meet names by docloom.operators.contains."""
+    some = sites.where("coalesce(reorder_level, 0) <> 0 or coalesce(reorder_qty, 0) <> 0").withColumn("_a", fold(squeeze(F.col("label"))))
+    known = houses.withColumn("_b", fold(squeeze(F.col("warehouse"))))
+    best = either_holds(some, known, "_a", "_b").join(known, "_b").groupBy("_a").agg(F.min_by("warehouse", "ord").alias("warehouse"))
+    return some.join(best, "_a", "left").drop("_a")
 
 
 def link_value(df: DataFrame, master: DataFrame, value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.numbers import amount_cell
 from docloom.functions.text import fold, rx, squeeze
+from docloom.operators.contains import either_holds
 
 SHEET = ["file", "sheet"]
 ROW = [*SHEET, "r"]
@@ -20,14 +21,14 @@ def label_of_numbers(cells: DataFrame) -> DataFrame:
 
 
 def label_values(cells: DataFrame, labels: DataFrame, rows: int = 30, reach: int = 3) -> DataFrame:
-    """(file, sheet, field, value): in the first rows, the next filled cell within reach of a label. labels: a small dimension (label, field, ord); the first in order that a cell's text contains, or that contains it, counts."""
+    """(file, sheet, field, value): in the first rows, the next filled cell within reach of a label. labels: (label, field, ord); the first in order that a cell's text contains, or that contains it (of three characters or more), counts. Cells meet labels by docloom.operators.contains, each distinct text once."""
     head = cells.where(F.col("r") < rows).withColumn("key", fold(squeeze(F.col("v"))))
     ahead = Window.partitionBy(*ROW).orderBy("c").rangeBetween(1, reach)
     near = head.withColumn("value", F.first(F.when(F.trim("v") != "", F.trim("v")), True).over(ahead)).where("key <> '' and value is not null")
-    key = fold(squeeze(F.col("label")))
-    hit = near.join(labels, F.col("key").contains(key) | (F.length("key") >= 3) & key.contains(F.col("key")))
-    per_cell = hit.groupBy(*ROW, "c", "value").agg(F.min_by("field", "ord").alias("field"))
-    return per_cell.groupBy(*SHEET, "field").agg(F.min_by("value", F.struct("r", "c")).alias("value"))
+    known = labels.withColumn("_label", fold(squeeze(F.col("label"))))
+    pairs = either_holds(near.select("key"), known, "key", "_label").where(F.contains("key", "_label") | (F.length("key") >= 3))
+    first = pairs.join(known, "_label").groupBy("key").agg(F.min_by("field", "ord").alias("field"))
+    return near.join(first, "key").groupBy(*SHEET, "field").agg(F.min_by("value", F.struct("r", "c")).alias("value"))
 
 
 def label_pairs(cells: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -58,6 +59,22 @@ def site_table(cells: DataFrame, columns: list[tuple[str, list[str]]]) -> DataFr
     return rows.where(F.array_contains(F.map_keys("values"), "code"))
 
 
+#: The columns of a sites' table: field and the words that its heading holds, in order.
+SITE_COLUMNS = [
+    ("code", ["site", "code"]), ("label", ["nom site", "nom", "label", "désignation"]), ("abc", ["abc", "catégorie abc"]), ("counting", ["inventaire", "mode inventaire"]), ("picking", ["retrait", "mode retrait"]), ("buyer", ["acheteur", "approv"]),
+    ("safety_stock", ["sécurité", "securite", "sécu"]), ("stock_max", ["maximum", "max"]), ("reorder_level", ["seuil", "réappro", "reappro"]), ("reorder_qty", ["qté mini", "qte mini", "quantité mini", "quantite mini"]),
+]
+SITE_LEVELS, SITE_WORDS = ["safety_stock", "stock_max", "reorder_level", "reorder_qty"], ["abc", "counting", "picking", "buyer"]
+
+
+def site_levels(cells: DataFrame) -> DataFrame:
+    """Of each sheet (file, sheet, n_sites, the greatest of each level that isn't zero, the first of each attribute that isn't empty) from its sites' table."""
+    rows = site_table(cells, SITE_COLUMNS)
+    v = lambda n: F.nullif(F.try_element_at("values", F.lit(n)), F.lit(""))
+    whole = lambda n: F.coalesce(F.floor(amount_cell(v(n))).cast("long"), F.lit(0))
+    return rows.groupBy(*SHEET).agg(F.count("*").alias("n_sites"), *[F.max(F.when(whole(n) != 0, whole(n))).alias(n) for n in SITE_LEVELS], *[F.min_by(v(n), F.when(v(n).isNotNull(), F.col("r"))).alias(n) for n in SITE_WORDS])
+
+
 def header_row(cells: DataFrame, columns: DataFrame, wanted: list[str], rows: int = 50, least: int = 3, of_wanted: int = 2) -> DataFrame:
     """(file, sheet, header, mapping from c to field) of the first row with enough known headings."""
     named = cells.where(F.col("r") < rows).withColumn("heading", fold(squeeze(F.col("v")))).join(columns.select(fold("heading").alias("heading"), "field"), "heading")
@@ -73,6 +90,27 @@ def table_rows(cells: DataFrame, header: DataFrame, key: str, end: str = "^(tota
     return inside.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("field", F.trim("v").alias("v")))).alias("values")).where(F.array_contains(F.map_keys("values"), key))
 
 
+def table(cells: DataFrame, columns: list[tuple[str, str]], wanted: list[str], key: str, first_rows: int = 50, least: int = 3, of_wanted: int = 2, end: str = "^(total|notes?|remarques?|observations?)\\b") -> DataFrame:
+    """(file, sheet, r, values): what header_row and table_rows give, from one shuffle of the cells by sheet: rows are put together, then headings, the first header and the first closing row below it are found by windows over a sheet's rows. columns: heading and field.
+
+    A sheet is one task's work; the format bounds its rows.
+    """
+    field_of = F.create_map(*[fold(F.lit(h)) if k == 0 else F.lit(f) for h, f in columns for k in (0, 1)])
+    rows = cells.repartition(*SHEET).groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("_v"))
+    named = F.map_filter(F.transform_values("_v", lambda c, v: F.try_element_at(field_of, fold(squeeze(v)))), lambda c, f: f.isNotNull())
+    rows = rows.withColumn("_named", F.when(F.col("r") < first_rows, named))
+    fields = F.array_distinct(F.map_values("_named"))
+    is_header = (F.size(fields) >= least) & (F.size(F.array_intersect(fields, F.array(*map(F.lit, wanted)))) >= of_wanted)
+    rows = rows.withColumn("_header", F.when(is_header, F.col("r")))
+    sheet = Window.partitionBy(*SHEET)
+    rows = rows.withColumns({"header": F.min("_header").over(sheet), "_columns": F.min_by("_named", "_header").over(sheet)})
+    closes = F.exists(F.map_entries("_v"), lambda e: (e["key"] < 3) & e["value"].rlike(rx(end)))
+    rows = rows.withColumn("_stop", F.min(F.when((F.col("r") > F.col("header")) & closes, F.col("r"))).over(sheet))
+    inside = rows.where((F.col("r") > F.col("header")) & (F.col("_stop").isNull() | (F.col("r") < F.col("_stop"))))
+    pairs = F.filter(F.transform(F.map_entries("_v"), lambda e: F.struct(F.try_element_at("_columns", e["key"]).alias("field"), F.trim(e["value"]).alias("v"))), lambda e: e["field"].isNotNull() & (e["v"] != ""))
+    return inside.select(*ROW, F.map_from_entries(pairs).alias("values")).where(F.array_contains(F.map_keys("values"), key))
+
+
 def component_defaults(rows: DataFrame) -> DataFrame:
     """Typed component columns; quantity 1, rate 0, factor 1, quantity per unit as the quantity."""
     v = lambda n: F.try_element_at("values", F.lit(n))
@@ -89,3 +127,49 @@ def sheet_text(cells: DataFrame) -> DataFrame:
     """The text cells of each file in order, one to a line. A file's cells are one spreadsheet."""
     words = cells.where(amount_cell(F.col("v")).isNull() & (F.trim("v") != ""))
     return words.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sheet", "r", "c", "v"))), lambda x: x["v"]), "\n").alias("text"))
+
+
+def separators(positions: Column, tolerance: int = 10) -> Column:
+    """Of the places of drawn pixels those that begin a line: each that lies more than the tolerance behind the last one taken. positions: whole pixels, so a page's height or width bounds them."""
+    return F.aggregate(F.array_sort(F.array_distinct(positions)), F.array().cast("array<int>"), lambda kept, p: F.when((F.size(kept) == 0) | (p - F.element_at(kept, F.when(F.size(kept) == 0, 1).otherwise(-1)) > tolerance), F.concat(kept, F.array(p.cast("int")))).otherwise(kept))
+
+
+def sessions(df: DataFrame, keys: list[str], start: Column, end: Column, tolerance: float, name: str) -> DataFrame:
+    """df with the number, from 0, of the run that a row's stretch lies in: a gap of more than the tolerance behind all stretches before it begins a new one. Equal stretches are one before the windows, so that a page's rows are never one list."""
+    rows = df.withColumns({"_a": start, "_z": end})
+    ahead = Window.partitionBy(*keys).orderBy("_a", "_z")
+    reach = F.max("_z").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    once = rows.select(*keys, "_a", "_z").distinct()
+    cut = once.withColumn("_new", F.coalesce((F.col("_a") - reach > tolerance).cast("int"), F.lit(0)))
+    numbered = cut.withColumn(name, F.sum("_new").over(ahead.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+    return rows.join(numbered, [*keys, "_a", "_z"]).drop("_a", "_z")
+
+
+def cells_of_boxes(words: DataFrame, page: str = "page", line_gap: float = 4, column_gap: float = 14) -> DataFrame:
+    """(page, r, c, v) from words with their boxes (page, x0, y0, x1, y1, word): rows are runs of words by height, columns are runs of the whole page by width, so that a gap that all lines leave parts two columns; a cell's words stand from left to right."""
+    lined = sessions(words, [page], F.col("y0"), F.col("y1"), line_gap, "r")
+    placed = sessions(lined, [page], F.col("x0"), F.col("x1"), column_gap, "c")
+    said = placed.groupBy(page, "r", "c").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", "word"))).alias("_w"))
+    return said.select(page, "r", "c", F.array_join(F.transform("_w", lambda w: w["word"]), " ").alias("v"))
+
+
+#: What the columns of an invoice's table are, by how many there are.
+TABLE_COLUMNS = {7: ["reference", "designation", "qty", "rate", "tax", "discount", "amount"], 6: ["reference", "designation", "qty", "rate", "discount", "amount"], 5: ["reference", "designation", "qty", "rate", "amount"], 4: ["reference", "designation", "qty", "amount"], 3: ["reference", "designation", "amount"]}
+
+
+def invoice_table(cells: DataFrame, page: str = "page") -> DataFrame:
+    """(page, r, reference, designation, qty, rate, amount) of the rows of an invoice's table, its columns named by their number. Rows need an amount and a reference of two characters or a designation of three, and are no headings. A quantity that lacks is the amount by the rate, else one; a rate that lacks is the amount by the quantity."""
+    width = cells.groupBy(page).agg((F.max("c") + 1).alias("_width"))
+    names = F.create_map(*[x for n, ns in TABLE_COLUMNS.items() for x in (F.lit(n), F.array(*map(F.lit, ns)))])
+    named = cells.join(width.where("_width >= 3"), page).withColumn("field", F.get(F.try_element_at(names, F.least("_width", F.lit(7))), F.col("c"))).where("field is not null")
+    rows = named.groupBy(page, "r").agg(F.map_from_entries(F.collect_list(F.struct("field", F.trim("v").alias("v")))).alias("_v"))
+    v = lambda n: F.coalesce(F.try_element_at("_v", F.lit(n)), F.lit(""))
+    heading = F.concat_ws(" ", v("reference"), v("designation")).rlike(rx("r[ée]f[ée]rence|d[ée]signation|qt[ée]|p\\.?ht"))
+    kept = rows.where(~heading & ((F.length(v("designation")) >= 3) | (F.length(v("reference")) >= 2)))
+    number = lambda n: F.when(amount_cell(v(n)) > 0, amount_cell(v(n)))
+    kept = kept.select(page, "r", v("reference").alias("reference"), v("designation").alias("designation"), number("qty").alias("_qty"), number("rate").alias("_rate"), number("amount").alias("amount")).where("amount is not null")
+    qty = F.coalesce("_qty", F.when(F.col("_rate").isNotNull(), F.round(F.col("amount") / F.col("_rate"))), F.lit(1.0))
+    kept = kept.withColumn("_q", qty)
+    rate = F.coalesce("_rate", F.when(F.col("_q") > 0, F.round(F.col("amount") / F.col("_q"), 3)), "amount")
+    said = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    return kept.select(page, "r", said("reference", F.lit("N/A")).alias("reference"), said("designation", said("reference", F.lit("Article"))).alias("designation"), F.round("_q").cast("int").alias("qty"), rate.alias("rate"), "amount")

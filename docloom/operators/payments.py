@@ -9,15 +9,21 @@ from docloom.functions import dates
 from docloom.functions import vocabulary as V
 from docloom.functions.numbers import amount_in_words, amount_payment
 from docloom.functions.phrases import signs
-from docloom.functions.text import account_number, bank, before_label, let, once, repair_names, repair_payment, rx
+from docloom.functions.text import account_number, bank, before_label, first_group, let, once, repair_names, repair_payment, rx
 from docloom.operators.classify import accepted
-from docloom.operators.fields import most_confident, party_name
+from docloom.operators.fields import best_of, found, party_name
 
 KINDS = {"montant": "number", "numero_cheque": "number", "rib": "number", "date_cheque": "date", "date_emission": "date", "date_echeance": "date", "numero_traite": "number"}
 
 
-def read(text: Column, field: str) -> Column:
-    return most_confident(text, V.field_patterns(field), KINDS.get(field, "text"))
+def read(field: str) -> Column:
+    """X3 of a field whose values are in the column _found."""
+    return best_of(F.col(f"_found.{field}"), KINDS.get(field, "text"))
+
+
+def with_found(df: DataFrame, text: str, fields: list[str]) -> DataFrame:
+    """df with the repaired text _t and the values _found of all its fields, from one pass."""
+    return once(df, {"_t": repair_names(repair_payment(F.col(text)))}).withColumn("_found", found(F.col("_t"), fields, True))
 
 
 def cheque_number(value: Column) -> Column:
@@ -71,19 +77,49 @@ def company_name(name: Column) -> Column:
 
 def cheques(df: DataFrame, as_of: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fields of cheques, whether they are stale, and whether the beneficiary looks wrong. Where df has them, signature_present (a cheque without one is suspicious) and image_date (taken where the text has no date) count."""
-    df = once(df, {"_t": repair_names(repair_payment(F.col(text)))})
+    df = with_found(df, text, V.FIELDS["cheque"])
     t = F.col("_t")
-    amount = F.coalesce(amount_payment(read(t, "montant")["value"], False), amount_in_words(t, 10.0))
-    day = dates.normalised(read(t, "date_cheque")["value"])
+    amount = F.coalesce(amount_payment(read("montant")["value"], False), amount_in_words(t, 10.0))
+    day = dates.normalised(read("date_cheque")["value"])
     if "image_date" in df.columns:
         day = F.coalesce(day, F.col("image_date"))
     fixed = let(day, lambda d: dates.repair_year(d, as_of))
-    who = let(party_name(read(t, "beneficiaire")["value"]), plausible_party)
+    who = let(party_name(read("beneficiaire")["value"]), plausible_party)
     signed = F.coalesce(F.col("signature_present"), F.lit(False)) if "signature_present" in df.columns else F.lit(True)
-    got = once(df, {"_number": cheque_number(read(t, "numero_cheque")["value"]), "_amount": amount, "_date": fixed, "_bank": F.coalesce(bank(t), read(t, "banque")["value"]), "_holder": let(party_name(read(t, "titulaire_compte")["value"]), lambda v: plausible_party(v, "titulaire_compte")), "_account": account_number(read(t, "rib")["value"]), "_who": who})
+    got = once(df, {"_number": cheque_number(read("numero_cheque")["value"]), "_amount": amount, "_date": fixed, "_bank": F.coalesce(bank(t), read("banque")["value"]), "_holder": let(party_name(read("titulaire_compte")["value"]), lambda v: plausible_party(v, "titulaire_compte")), "_account": account_number(read("rib")["value"]), "_who": who})
     return got.select(key, F.col("_number").alias("number"), F.col("_amount").alias("amount"), F.col("_date.date").alias("date"), F.col("_date.corrected").alias("date_corrected"), F.col("_bank").alias("bank"), F.col("_holder").alias("holder"), F.col("_account").alias("account"), F.col("_who").alias("beneficiary"), dates.stale_hard(F.col("_date.date"), as_of).alias("stale"), (F.col("_who").isNull() | ~signed).alias("suspicious"))
 
 
+def _lines(text: Column, n: int) -> Column:
+    return F.slice(F.filter(F.transform(F.split(text, "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, n)
+
+
+def draft_number(text: Column) -> Column:
+    """A draft's number where no label tells it: 8 to 14 digits on a line with the order to pay or the one below; a code behind LC or CNP; else the first line of 80 without account or day whose first 9 to 14 digits begin with no year."""
+    whole = lambda least, most: f"\\b(\\d{{{least},{most}}})\\b"
+
+    def found(lines: Column) -> Column:
+        told = F.transform(lines, lambda x, i: F.when(x.rlike(rx("ordre\\s+de\\s+paiement")), F.coalesce(first_group(x, whole(8, 14)), first_group(F.get(lines, i + 1), whole(8, 14)))))
+        plain = F.transform(lines, lambda x: F.when(~F.lower(x).rlike("rib|iban") & ~x.rlike("\\b\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{2,4}\\b"), first_group(x, whole(9, 14))))
+        first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), F.lit(0))
+        named = F.coalesce(first_group(text, rx("\\bLC\\s*N[°o]?\\s*[:\\-]?\\s*([A-Z0-9]{4,20})")), first_group(text, rx("\\bCNP\\s*[:\\-]?\\s*(\\d{8,14})")))
+        return F.coalesce(first(told), named, first(F.transform(plain, lambda x: F.when(~x.rlike("^(19|20)\\d{2}"), x))))
+
+    return let(_lines(text, 80), found)
+
+
+#: Legal forms, and words of a printed draft.
+LEGAL, PRINTED = ["SARL", "SA", "SUARL", "SAS", "EURL", "SNC", "GIE"], ["LETTRE", "CHANGE", "EFFET", "DATE", "ECHEANCE", "MONTANT", "VALEUR", "ACCEPTE", "SIGNATURE", "REPUBLIQUE", "BILL", "EXCHANGE"]
+
+
+def drawer_company(text: Column) -> Column:
+    """The first of 30 lines with a legal form, as letters, that is no printed word alone."""
+    lines = F.slice(F.transform(F.split(text, "\\r?\\n"), lambda x: F.trim(x)), 1, 30)
+    some = F.filter(lines, lambda x: (F.length(x) >= 4) & x.rlike(rx("\\b(?:" + "|".join(LEGAL) + ")\\b")) & ~F.upper(x).isin(PRINTED))
+    names = F.transform(some, lambda x: F.trim(F.regexp_replace(x, "[^A-Za-zÀ-ÿ\\s.]", "")))
+    return F.get(F.filter(names, lambda n: F.length(n) > 3), F.lit(0))
+
+
 #: Banks by the first two digits of an account number, and towns.
 ACCOUNT_BANKS = {"01": "ATB", "03": "BNA", "04": "Attijari", "05": "BT", "07": "Amen", "08": "BIAT", "10": "STB", "11": "UBCI", "12": "UIB", "14": "BH", "20": "BTK", "25": "Zitouna"}
 TOWNS = ["Tunis", "Sfax", "Sousse", "Bizerte", "Nabeul", "Monastir", "Mahdia", "Kasserine", "Kairouan", "Gafsa", "Gabes", "Medenine", "Beja", "Jendouba", "Ariana", "Ben Arous", "Zaghouan", "Hammamet", "Kélibia", "Zarzis", "Jerba", "Djerba", "Mateur", "Menzel Bourguiba"]
@@ -91,19 +127,22 @@ EMITTED, DUE = r"(?:[eé]mission|[eé]mise?\s+le|fait\s+le)", r"[eé]ch[eé]ance
 
 
 def drafts(df: DataFrame, as_of: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fields of drafts. Where digits and words differ by more than 5 %, the words count. Days are those behind their labels, else the nearest to a label, else so many days after emission; days in the wrong order trade places. A bank is named, or told by the account number; a drawer without a label is the first line in capitals."""
-    df = once(df, {"_t": repair_names(repair_payment(F.col(text)))})
+    """Fields of drafts. Where digits and words differ by more than 5 %, the words count. Days are those behind their labels, else the nearest to a label, else so many days after emission; days in the wrong order trade places. A bank is named, or told by the account number; a drawer without a label is the company of the first lines, else the first line in capitals; a number without one see draft_number."""
+    df = with_found(df, text, [*V.FIELDS["traite"], "rib"])
     t = F.col("_t")
-    df = once(df, {"_digits": amount_payment(read(t, "montant")["value"], False), "_words": amount_in_words(t, 10.0), "_account": account_number(read(t, "rib")["value"])})
+    df = once(df, {"_digits": amount_payment(read("montant")["value"], False), "_words": amount_in_words(t, 10.0), "_account": account_number(read("rib")["value"])})
     apart = F.coalesce(F.abs(F.col("_digits") - F.col("_words")) > 0.05 * F.col("_words"), F.lit(False))
     amount = F.when(F.col("_digits").isNull() | apart, F.coalesce("_words", "_digits")).otherwise(F.col("_digits"))
-    emitted = F.coalesce(dates.normalised(read(t, "date_emission")["value"]), dates.nearest_to(t, EMITTED, as_of))
+    emitted = F.coalesce(dates.normalised(read("date_emission")["value"]), dates.nearest_to(t, EMITTED, as_of))
     df = once(df, {"_emitted": emitted})
-    due = F.coalesce(dates.normalised(read(t, "date_echeance")["value"]), dates.nearest_to(t, DUE, as_of), dates.due_after(t, F.col("_emitted")))
+    due = F.coalesce(dates.normalised(read("date_echeance")["value"]), dates.nearest_to(t, DUE, as_of), dates.due_after(t, F.col("_emitted")))
     df = once(df, {"_due": let(due, lambda d: dates.repair_year(d, as_of, "traite"))["date"]})
     both = dates.reconcile_due(F.col("_emitted"), F.col("_due"))
     by_account = F.try_element_at(F.create_map(*[F.lit(x) for kv in ACCOUNT_BANKS.items() for x in kv]), F.substring("_account", 1, 2))
-    capitals = F.try_element_at(F.filter(F.transform(F.split(t, "\\r?\\n"), F.trim), lambda x: x.rlike("^[A-ZÀ-Ü][A-ZÀ-Ü&'’. ]{5,60}$") & ~x.rlike("LETTRE|CHANGE|BANQUE|TRAITE")), F.lit(1))
-    drawer = F.coalesce(let(party_name(read(t, "tireur")["value"]), lambda v: plausible_party(v, "tireur")), capitals)
+    capitals = F.try_element_at(F.filter(F.transform(F.split(t, "\\r?\\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[A-ZÀ-Ü][A-ZÀ-Ü&'’. ]{5,60}$") & ~x.rlike("LETTRE|CHANGE|BANQUE|TRAITE")), F.lit(1))
+    drawer = F.coalesce(let(party_name(read("tireur")["value"]), lambda v: plausible_party(v, "tireur")), let(drawer_company(t), lambda v: plausible_party(v, "tireur")), capitals)
+    number = F.coalesce(let(read("numero_traite")["value"], lambda v: F.when(v.rlike("\\d"), v)), draft_number(t))
+    # what looks like an account is no draft's number
+    number = let(F.regexp_replace(number, "\\s+", ""), lambda v: F.when(~v.rlike("^10500"), v))
     town = F.coalesce(*[F.when(t.rlike(rx(rf"\b{x}\b")), x) for x in TOWNS])
-    return df.select(key, read(t, "numero_traite")["value"].alias("number"), amount.alias("amount"), both["emitted"].alias("emitted"), both["due"].alias("due"), drawer.alias("drawer"), let(party_name(read(t, "tire")["value"]), lambda v: plausible_party(v, "tire")).alias("drawee"), F.coalesce(bank(t), by_account).alias("bank"), F.col("_account").alias("account"), town.alias("town"), accepted(t).alias("accepted"))
+    return df.select(key, number.alias("number"), amount.alias("amount"), both["emitted"].alias("emitted"), both["due"].alias("due"), drawer.alias("drawer"), let(party_name(read("tire")["value"]), lambda v: plausible_party(v, "tire")).alias("drawee"), F.coalesce(bank(t), by_account).alias("bank"), F.col("_account").alias("account"), town.alias("town"), accepted(t).alias("accepted"))

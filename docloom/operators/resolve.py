@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions.fuzzy import token_set_ratio_of, token_sort_ratio_of
 from docloom.functions.numbers import amount_nlp
 from docloom.functions.text import fold, let, once, rx, squeeze
+from docloom.operators.contains import either_holds
 
 
 def by_priority(df: DataFrame, master: DataFrame, rules: list[tuple[str, str]], out: str) -> DataFrame:
@@ -33,9 +34,9 @@ def words(text: Column) -> Column:
 COMMON = 50
 
 
-def pieces(name: Column, least: int = 3) -> Column:
-    """All stretches of a name, of at least so many characters, with and without its signs and blanks."""
-    every = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - least + 1, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.length(s) - i + 1, F.lit(least))), lambda n: F.substring(s, i, n))))
+def pieces(name: Column, most: Column, least: int = 3) -> Column:
+    """All stretches of a name, of at least and at most so many characters, with and without its signs and blanks."""
+    every = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - least + 1, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.least(F.length(s) - i + 1, most), F.lit(least))), lambda n: F.substring(s, i, n))))
     return F.array_distinct(F.filter(F.concat(let(name, every), let(bare(name), every)), lambda x: (F.length(x) >= least) & ~x.contains(" ")))
 
 
@@ -60,7 +61,9 @@ def party_match(docs: DataFrame, parties: DataFrame, text: str = "text", name: s
     names = parties.select(F.col(name).alias("party"), F.upper(name).alias("upper")).distinct().where(F.length(bare(F.col("upper"))) > 0)
     said = docs.select(key, F.trim(squeeze(F.upper(F.regexp_replace(text, "[^A-Za-zÀ-ÿ0-9 ]", " ")))).alias("said"), words(F.col(text)).alias("tokens"))
     tokens = said.select(key, F.explode("tokens").alias("token"))
-    listed = names.select("party", "upper", F.explode(pieces(F.col("upper"))).alias("token")).join(tokens.select("token").distinct(), "token", "left_semi")
+    # no stretch is longer than the longest token
+    longest = tokens.agg(F.coalesce(F.max(F.length("token")), F.lit(3)).alias("most")).scalar()
+    listed = names.withColumn("_most", longest).select("party", "upper", F.explode(pieces(F.col("upper"), F.col("_most"))).alias("token")).join(tokens.select("token").distinct(), "token", "left_semi")
     share = F.max(F.length("token") / F.length(bare(F.col("upper"))) * 100)
     per = listed.groupBy("token").agg(F.count("*").alias("n"), share.alias("reach"))
     rare = listed.join(per.where(F.col("n") <= COMMON).select("token"), "token").select("token", F.struct("party", "upper").alias("name"), F.lit(None).cast("double").alias("reach"))
@@ -147,10 +150,11 @@ def with_existence(df: DataFrame, master: DataFrame, column: str, id_column: str
 
 
 def label_match(labels: DataFrame, fields: DataFrame) -> DataFrame:
-    """Labels with the field of equal name, else the last in order that contains the label or is contained in it. fields: a small dimension (field, ord), which Spark broadcasts by its size."""
-    a, b = fold(squeeze(F.col("label"))), fold(squeeze(F.col("field")))
-    near = labels.join(fields, (F.col("label") != "") & (a.contains(b) | b.contains(a)))
-    best = near.groupBy("label").agg(F.max_by("field", F.struct((a == b).cast("int").alias("same"), F.col("ord"))).alias("field"))
+    """Labels with the field of equal name, else the last in order that contains the label or is contained in it. fields: (field, ord). Labels meet fields by docloom.operators.contains."""
+    said = labels.select("label", fold(squeeze(F.col("label"))).alias("_a")).distinct()
+    known = fields.withColumn("_b", fold(squeeze(F.col("field"))))
+    near = either_holds(said, known, "_a", "_b").join(said, "_a").join(known, "_b")
+    best = near.groupBy("label").agg(F.max_by("field", F.struct((F.col("_a") == F.col("_b")).cast("int").alias("same"), F.col("ord"))).alias("field"))
     return labels.join(best, "label", "left")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.numbers import amount_bom, amount_pipeline, scan_amounts
 from docloom.functions.phrases import any_of, signs, words
-from docloom.functions.text import before_label, chain, first_group, once, part_code, rx, squeeze, unit
+from docloom.functions.text import before_label, chain, first_group, let, once, part_code, rx, squeeze, unit
+from docloom.operators.labels import Sheet, sheet
 
 #: Shapes of values, by kind: up to a comma, bar, tab or line end for words.
 _WORDS, _NUMBER, _CODE, _UNIT = r"([^\n\t,|]{2,80})", r"(\d[\d.,]*)", r"([A-Z0-9][\w\-]{0,39})", r"([A-Za-z]\w{0,9})"
@@ -164,22 +165,42 @@ CURRENCIES, NO_CURRENCY = ["TND", "EUR", "USD", "MAD", "GBP"], ["NOM", "UDM", "Q
 
 
 def by_labels(text: Column, rules: list[tuple], profile: str = "item") -> Column:
-    """Map of field to struct (value, confidence): of each field the value behind the first of its labels that has one. A line that names another label ends a value."""
-    rows = []
-    for name, labels, kind, confidence in rules:
-        if kind == "flag":
-            v = F.when(text.rlike(rx(signs(labels))), "1")
-        else:
-            tries = []
-            for label in labels:
-                end = "" if label.endswith(":") else "\\s*[:\\-]?"
-                tries.append(first_group(text, "(?iuUm)" + r"(?:^|[\t,|;]|\s{2,})\s*" + words(label) + end + r"[ \t]*" + KINDS[kind]))
-            v = squeeze(F.coalesce(*tries))
-            if kind == "words" or kind == "line":
-                v = chain(before_label(v))
-            v = {"unit": unit(v, profile), "number": amount_bom(v).cast("string"), "yes": F.lower(v).isin("oui", "yes", "1").cast("int").cast("string")}.get(kind, v)
-        rows.append(F.struct(F.lit(name).alias("k"), F.struct(F.nullif(v, F.lit("")).alias("value"), F.lit(confidence).alias("confidence")).alias("v")))
-    return F.map_from_entries(F.filter(F.array(*rows), lambda e: e["v"]["value"].isNotNull()))
+    """Map of field to struct (value, confidence): of each field the value behind the first of its labels that has one. A line that names another label ends a value. All labels are found in one pass; only what stands behind them is worked on."""
+
+    def typed(e: Column) -> Column:
+        v, kind = squeeze(e["value"]), e["kind"]
+        value = F.when(kind.isin("words", "line"), chain(before_label(v))).when(kind == "unit", unit(v, profile)).when(kind == "number", amount_bom(v).cast("string")).when(kind == "yes", F.lower(v).isin("oui", "yes", "1").cast("int").cast("string")).otherwise(v)
+        return F.struct(e["k"].alias("k"), F.struct(F.nullif(value, F.lit("")).alias("value"), e["confidence"].alias("confidence")).alias("v"))
+
+    return F.map_from_entries(F.filter(F.transform(sheet(lambda: Sheet(rules, KINDS))(text), typed), lambda e: e["v"]["value"].isNotNull()))
+
+
+#: Further labels of an item sheet.
+MORE_LABELS = [
+    ("item_name", ["désignation 1 :", "nom article :", "nom de l'article :"], "line", 0.85), ("item_group", ["groupe d'article :", "item group :"], "words", 0.85), ("custom_type_composition", ["type de composition :", "type composition :"], "words", 0.78),
+    ("custom_alt_nomenclature_sav", ["alternative nomenclature sav :", "alt nomenclature sav :"], "words", 0.78), ("custom_contremarque_fournisseur", ["contremarque fournisseur :"], "yes", 0.78), ("custom_methode_valorisation", ["méthode valorisation :", "méthode de valorisation :"], "words", 0.82),
+]
+
+
+def item_fields(text: Column) -> Column:
+    """X14 with its rules across fields: the labelled fields; a status tells whether the item is disabled, and the other way round; whether stock, lots and series are kept from the ways they are managed; name and description stand in for each other; levels of sites (site_blocks) overrule those of the sheet, the last that isn't zero."""
+
+    def whole(f: Column, sites: Column) -> Column:
+        v = lambda n: F.try_element_at(f, F.lit(n))["value"]
+        conf = lambda n, other: F.coalesce(F.try_element_at(f, F.lit(n))["confidence"], F.lit(other))
+        low = lambda n: F.lower(v(n))
+        off = low("custom_statut_article").rlike("inactif|non actif|désactivé|desactive|bloqué|obsolète")
+        kept = lambda n: F.when(v(n).isNotNull(), F.when(low(n).rlike("^(non|aucun|pas)"), "0").otherwise("1"))
+        last = lambda n: F.try_element_at(F.filter(F.transform(sites, lambda s: s[n]), lambda x: x != 0), F.lit(-1)).cast("string")
+        more = [
+            ("disabled", F.when(v("custom_statut_article").isNotNull(), F.when(off, "1").otherwise("0")), conf("custom_statut_article", 0.8)), ("is_stock_item", kept("custom_gestion_stock"), conf("custom_gestion_stock", 0.8)), ("has_batch_no", kept("custom_gestion_lot_mode"), conf("custom_gestion_lot_mode", 0.8)),
+            ("has_serial_no", kept("custom_gestion_serie_mode"), conf("custom_gestion_serie_mode", 0.8)), ("item_name", F.when(v("item_name").isNull(), v("description")), F.lit(0.75)), ("description", F.when(v("description").isNull(), v("item_name")), F.lit(0.7)),
+            *[(name, last(of), F.lit(0.85)) for name, of in (("safety_stock", "safety_stock"), ("custom_stock_max", "stock_max"), ("custom_seuil_reappro", "reorder_level"), ("custom_qte_mini_reappro", "reorder_qty"))],
+        ]
+        added = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.struct(x.alias("value"), c.alias("confidence")).alias("v")) for k, x, c in more]), lambda e: e["v"]["value"].isNotNull())
+        return F.map_concat(F.map_filter(f, lambda k, _: ~F.exists(added, lambda e: e["k"] == k)), F.map_from_entries(added))
+
+    return let(F.struct(by_labels(text, [*ITEM_LABELS, *MORE_LABELS]).alias("f"), site_blocks(text).alias("s")), lambda x: whole(x["f"], x["s"]))
 
 
 def _found(name: str, value: Column, confidence: float) -> Column:
@@ -241,23 +262,21 @@ def component_section(text: Column) -> Column:
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, idx, item_code, item_name, qty, uom, qty_per_unit, stock_uom, conversion_factor, rate): a row for each line of a component list; where lines are lost, for each run of eight values in the joined text, which counts first."""
-    part = once(df, {"_part": component_section(F.col(text))})
-    joined = F.trim(F.regexp_replace("_part", "\\s+", " "))
-    runs = F.regexp_extract_all(joined, F.lit(rx(RUNNING)), F.lit(0))
-    part = once(part, {"_runs": F.when(F.size(F.filter(F.split("_part", "\\r?\\n"), lambda x: x.rlike(rx(COMPONENT)))) == 0, runs).otherwise(F.array().cast("array<string>"))})
-    amount = lambda c, default: F.coalesce(amount_bom(F.nullif(c, F.lit(""))), default)
-
-    def typed(rows: DataFrame, pattern: str, has_rate: bool) -> DataFrame:
-        g = lambda k: F.regexp_extract("_line", rx(pattern), k)
-        qty, own = amount(g(4), F.lit(1.0)), unit(g(5), "bom")
-        return rows.select(
-            key, g(1).cast("int").alias("idx"), part_code(g(2)).alias("item_code"), F.trim(g(3)).alias("item_name"), qty.alias("qty"), own.alias("uom"), amount(g(6), qty).alias("qty_per_unit"), F.when(g(7) != "", unit(g(7), "bom")).otherwise(own).alias("stock_uom"),
-            amount(g(8), F.lit(1.0)).alias("conversion_factor"), (amount(g(9), F.lit(0.0)) if has_rate else F.lit(0.0)).alias("rate"),
-        )
-
-    lines = part.select(key, F.explode(F.split("_part", "\\r?\\n")).alias("_line")).where(F.col("_line").rlike(rx(COMPONENT)))
-    running = part.select(key, F.explode("_runs").alias("_line"))
-    return typed(lines, COMPONENT, True).unionByName(typed(running, RUNNING, False))
+    mark = "\u0001"
+    parted = lambda c, pattern, n: F.regexp_replace(c, rx(pattern), mark.join(["", *[f"${k}" for k in range(1, n + 1)]]))
+    df = once(df, {"_part": component_section(F.col(text))})
+    lines = F.filter(F.transform(F.split("_part", "\\r?\\n"), lambda x: parted(x, COMPONENT, 9)), lambda x: x.startswith(mark))
+    df = once(df, {"_hits": lines})
+    runs = F.transform(F.regexp_extract_all(F.trim(F.regexp_replace("_part", "\\s+", " ")), F.lit(rx(RUNNING)), F.lit(0)), lambda x: parted(x, RUNNING, 8))
+    rows = df.select(key, F.explode(F.when(F.size("_hits") == 0, runs).otherwise(F.col("_hits"))).alias("_line"))
+    rows = once(rows, {"_v": F.split("_line", mark)})
+    g = lambda k: F.nullif(F.get("_v", F.lit(k)), F.lit(""))
+    amount = lambda k, default: F.coalesce(amount_bom(g(k)), default)
+    rows = once(rows, {"qty": amount(4, F.lit(1.0)), "uom": unit(F.get("_v", F.lit(5)), "bom")})
+    return rows.select(
+        key, g(1).cast("int").alias("idx"), part_code(g(2)).alias("item_code"), F.trim(g(3)).alias("item_name"), "qty", "uom", amount(6, F.col("qty")).alias("qty_per_unit"), F.when(g(7).isNotNull(), unit(g(7), "bom")).otherwise(F.col("uom")).alias("stock_uom"),
+        amount(8, F.lit(1.0)).alias("conversion_factor"), amount(9, F.lit(0.0)).alias("rate"),
+    )
 
 
 def site_blocks(text: Column) -> Column:
@@ -304,33 +323,47 @@ def item_group(text: Column) -> Column:
 NO_TOTAL = r"t[ée]l|fax|adress|mail|@|www\.|au\s+capital|r\.?i\.?b|scann|cachet|\d{10,}|tva\s*:\s*\d{5,}"
 
 
+#: What a line of each total says, and what it mustn't.
+TOTAL_LABELS = {
+    "net": ("total\\s*h\\.?t|montant\\s*h\\.?t|hors\\s*taxe|net\\s*commercial", "brut"),
+    "tax": ("(?<!\\p{L})t\\.?v\\.?a(?!\\p{L})[^\\d\\n]*(?:\\d+\\s*%\\)?)?", "bas[ae]"),
+    "gross": ("t\\.?t\\.?c|net\\s*à\\s*payer|total\\s*g[ée]n[ée]ral|amount\\s*due", None),
+    "base": ("bas[ae]\\s*tva", None),
+    "stamp": ("timbre", None),
+    "levy": ("fodec", None),
+}
+
+
 def totals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, net, tax, gross): amounts beside their labels, else on the nearest of the lines around them (next before previous); taxes of several rates are added, equal ones once.
 
     Where the gross lacks, or is no more than the base of the tax, it is base, tax and stamp together, else the largest
     amount above 100; where the net lacks, the largest amount between 40 and 99 % of the gross that isn't the base, else
     a hundred times the one-percent levy; the third of net, tax and gross follows from the other two. The lines of a text
-    stay in its row.
+    stay in its row, and each is parsed once, for all labels.
     """
+    sum_of = "(\\d[\\d . ]*(?:[.,]\\d{1,3})?)\\s*(?:DT|TND|€)?\\s*$"
+
+    def parsed(line: Column) -> Column:
+        own, alone = (amount_pipeline(first_group(line, rx(p + sum_of))) for p in ("", "^\\s*"))
+        # 0: the label isn't there, 1: without digits beside it, 2: with some
+        said = {n: F.when(line.rlike(rx(label)) & (~line.rlike(rx(but)) if but else F.lit(True)), F.when(F.regexp_replace(line, rx(label), "").rlike("\\d"), 2).otherwise(1)).otherwise(0) for n, (label, but) in TOTAL_LABELS.items()}
+        return F.struct(own.alias("own"), alone.alias("alone"), *[c.alias(n) for n, c in said.items()])
+
     lines = F.filter(F.split(text, "\\r?\\n"), lambda x: ~x.rlike(rx(NO_TOTAL)))
-    df = once(df, {"_lines": lines, "_all": F.filter(F.flatten(F.transform(lines, scan_amounts)), lambda x: x > 100)})
+    df = once(df, {"_text": lines})
+    df = once(df, {"_lines": F.transform("_text", parsed), "_all": F.filter(F.flatten(F.transform("_text", scan_amounts)), lambda x: x > 100)}).drop("_text")
     lines = F.col("_lines")
-    sum_of = "(\\d[\\d . ]*(?:[.,]\\d{1,3})?)\\s*(?:DT|TND|€)?\\s*$"
 
-    def read(label: str, but: str | None = None, most: float = 9_999_999.0) -> Column:
+    def read(name: str, most: float = 9_999_999.0) -> Column:
         def at(line: Column, i: Column) -> Column:
-            own = amount_pipeline(first_group(line, rx(sum_of)))
-            alone = lambda j: F.when((j >= 0) & (j < F.size(lines)), amount_pipeline(first_group(F.get(lines, j), rx("^\\s*" + sum_of))))
+            alone = lambda j: F.when(j >= 0, F.get(lines, j)["alone"])
             around = F.coalesce(*[F.when(alone(i + s * d) < most, alone(i + s * d)) for d in range(1, 6) for s in (1, -1)])
-            said = line.rlike(rx(label)) if but is None else line.rlike(rx(label)) & ~line.rlike(rx(but))
-            return F.when(said, F.coalesce(F.when(F.regexp_replace(line, rx(label), "").rlike("\\d"), own), around))
+            return F.when(line[name] > 0, F.coalesce(F.when(line[name] == 2, line["own"]), around))
 
         return F.filter(F.transform(lines, at), lambda x: x.isNotNull() & (x < most))
 
-    net = read("total\\s*h\\.?t|montant\\s*h\\.?t|hors\\s*taxe|net\\s*commercial", "brut")
-    tax = read("(?<!\\p{L})t\\.?v\\.?a(?!\\p{L})[^\\d\\n]*(?:\\d+\\s*%\\)?)?", "bas[ae]")
-    gross = read("t\\.?t\\.?c|net\\s*à\\s*payer|total\\s*g[ée]n[ée]ral|amount\\s*due")
-    base, stamp, levy = read("bas[ae]\\s*tva"), read("timbre", most=5000.0), read("fodec")
+    net, tax, gross, base, stamp, levy = (read(n, 5000.0 if n == "stamp" else 9_999_999.0) for n in TOTAL_LABELS)
     added = F.round(F.aggregate(F.array_distinct(F.transform(tax, lambda x: F.round(x, 3))), F.lit(0.0), lambda a, x: a + x), 3)
     rows = once(df, {"net": F.array_max(net), "tax": F.when(F.size(tax) > 0, added), "gross": F.array_max(gross), "_base": F.array_max(base), "_stamp": F.array_max(stamp), "_levy": F.array_max(levy)})
     summed = F.round(F.col("_base") + F.col("tax") + F.coalesce("_stamp", F.lit(0.0)), 3)

@@ -10,7 +10,7 @@ from docloom.functions.numbers import amount_typed
 from docloom.functions.text import once
 from docloom.operators.checks import reconciled, validated
 from docloom.operators.classify import by_patterns
-from docloom.operators.fields import field
+from docloom.operators.fields import chosen, found
 
 
 def money(amount: Column, style: Column) -> Column:
@@ -36,7 +36,8 @@ def read(docs: DataFrame) -> DataFrame:
     """doc_id, doc_type, bill_no, bill_date, due_date, supplier, net, tax, gross, status: type, fields, amounts, reconciliation and checks; no row leaves its partition."""
     t = F.col("text")
     names = ("numero_facture", "date", "echeance", "fournisseur", "montant_ht", "tva", "montant_ttc")
-    raw = once(docs, {"doc_type": by_patterns(t), **{n: field(t, n) for n in names}}).drop("text")
+    spans = docs.select("doc_id", by_patterns(t).alias("doc_type"), found(t, list(names)).alias("_found"))
+    raw = once(spans, {n: chosen(F.col(f"_found.{n}"), n) for n in names}).drop("_found")
     amounts = once(raw, {"net": amount_typed(F.col("montant_ht")), "tax": amount_typed(F.col("tva")), "gross": amount_typed(F.col("montant_ttc"))})
     text_of = {"numero_facture": F.col("numero_facture"), "date": F.col("date"), "fournisseur": F.col("fournisseur"), "montant_ht": F.col("net").cast("string"), "montant_tva": F.col("tax").cast("string"), "montant_ttc": F.col("gross").cast("string")}
     pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in text_of.items()]), lambda p: p["v"].isNotNull())

@@ -15,6 +15,7 @@ from docloom.functions import dates, numbers, text
 from docloom.functions import vocabulary as V
 from docloom.operators import checks, classify, documents, fields, fleet, forms, grid, payments, resolve, sheets
 from docloom.plans import invoices
+from docloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -32,7 +33,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, sf_dir, name)
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows' texts are long work."""
+    return tables.spread(table(spark, sf_dir, name))
 
 
 NET = "o_totalprice::DECIMAL(18,3)"
@@ -48,7 +54,7 @@ SELECT o_orderkey AS doc_id, 'facture' AS doc_type, 'FAC-' || strftime(o_orderda
 FROM orders JOIN customer ON o_custkey = c_custkey
 """)
 def invoice_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return invoices.read(invoices.render(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")))
+    return invoices.read(invoices.render(spread(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")))
 
 
 KINDS = ["Facture N° 12", "Bon de commande N° 7", "Devis N° 3", "Bon de livraison N° 9", "Facture de vente 4", "Chèque N° 12345", "Lettre de change", "Bonjour"]
@@ -61,7 +67,7 @@ SELECT o_orderkey AS doc_id, ['facture', 'bon_commande', 'devis', 'bon_livraison
 """)
 def doc_type_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array(*map(F.lit, KINDS))[(F.col("o_orderkey") % 8).cast("int")]
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), said.alias("text"))
+    docs = spread(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), said.alias("text"))
     return docs.select("doc_id", classify.by_patterns(F.col("text")).alias("doc_type"), classify.by_weighted_words(F.col("text"))["doc_type"].alias("by_words"), classify.cheque_or_draft(F.col("text"))["doc_type"].alias("payment"))
 
 
@@ -73,7 +79,7 @@ def amount_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.translate(s, ",.", " ,")
     dotted = F.translate(s, ",.", ".,")
     out = {"nlp": F.concat(spaced, F.lit(" TND")), "pipeline": F.concat(spaced, F.lit(" DT")), "typed": dotted, "bom": dotted, "cell": s, "payment": dotted, "api": spaced}
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[numbers.amount(v, k).alias(k) for k, v in out.items()])
+    return spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[numbers.amount(v, k).alias(k) for k, v in out.items()])
 
 
 DIGITS = ["deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"]
@@ -86,7 +92,7 @@ def amount_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda c: F.array(*map(F.lit, DIGITS))[c.cast("int")]
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     said = F.concat(F.lit("la somme de "), word(k % 8), F.lit(" mille "), word(c % 8), F.lit(" cent soixante-dix "), word(k % 7), F.lit(" dinars et "), word(c % 5), F.lit(" millimes"))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), numbers.amount_in_words(said).alias("amount"))
+    return spread(spark, sf_dir, "orders").select(k.alias("doc_id"), numbers.amount_in_words(said).alias("amount"))
 
 
 @query("SELECT o_orderkey AS doc_id, o_orderdate::DATE AS slashed, o_orderdate::DATE AS named, o_orderdate::DATE AS iso, o_orderdate::DATE AS typed, CASE WHEN (o_orderkey % 2) = 0 THEN NULL ELSE o_orderdate::DATE END AS impossible, (DATE '2000-01-01' - o_orderdate::DATE) > 365 AS stale FROM orders")
@@ -95,7 +101,7 @@ def date_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.element_at(F.array(*[F.lit(m) for m in ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")]), F.month(d))
     named = F.concat_ws(" ", F.dayofmonth(d), month, F.year(d))
     odd = F.when(F.col("o_orderkey") % 2 == 0, "31/02/2024").otherwise(F.date_format(d, "dd-MM-yyyy"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), dates.normalised(F.date_format(d, "dd/MM/yyyy")).alias("slashed"), dates.normalised(named).alias("named"), dates.normalised(F.date_format(d, "yyyy-MM-dd")).alias("iso"), dates.typed(F.date_format(d, "dd.MM.yyyy")).alias("typed"), dates.normalised(odd).alias("impossible"), dates.stale_hard(d.cast("date"), F.lit("2000-01-01").cast("date")).alias("stale"))
+    return spread(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), dates.normalised(F.date_format(d, "dd/MM/yyyy")).alias("slashed"), dates.normalised(named).alias("named"), dates.normalised(F.date_format(d, "yyyy-MM-dd")).alias("iso"), dates.typed(F.date_format(d, "dd.MM.yyyy")).alias("typed"), dates.normalised(odd).alias("impossible"), dates.stale_hard(d.cast("date"), F.lit("2000-01-01").cast("date")).alias("stale"))
 
 
 @query("""
@@ -186,7 +192,7 @@ def availability_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]*[A-Za-z0-9])', 1), '') AS email FROM documents""")
 def email_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", fields.contacts(F.col("text"))["email"].alias("email"))
+    return spread(spark, sf_dir, "documents").select("doc_id", fields.contacts(F.col("text"))["email"].alias("email"))
 
 
 @query(r"""
@@ -195,7 +201,7 @@ SELECT doc_id, CASE WHEN len(ws) < 5 THEN 'too few words' WHEN len(regexp_extrac
   WHEN len(list_filter(ws, lambda x: regexp_matches(x, '^[\p{L}\d][\p{L}\d''’.,:/\-]*$'))) / len(ws) < 0.35 THEN 'few clean words' END AS reason FROM w
 """)
 def text_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", classify.text_quality(F.col("text"), F.lit(0)).alias("reason"))
+    return spread(spark, sf_dir, "documents").select("doc_id", classify.text_quality(F.col("text"), F.lit(0)).alias("reason"))
 
 
 @query("SELECT event_id, value * 2 - 90 BETWEEN -90 AND 90 AND value * 4 - 180 BETWEEN -180 AND 180 AS valid, least(greatest(value, 10.0), 50.0) AS battery FROM events")
@@ -226,9 +232,8 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey::VARCHAR AS file, 3 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, 'P' || l_partkey AS item_code, 'Part ' || l_partkey AS item_name, l_quantity::INT::DOUBLE AS qty, l_quantity::INT::DOUBLE AS qty_per_unit, 1.0::DOUBLE AS conversion_factor, round(l_extendedprice, 2) AS rate FROM lineitem
 """)
 def grid_bom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = spark.createDataFrame([("Code article", "item_code"), ("Désignation", "item_name"), ("Quantité", "qty"), ("Prix", "rate")], "heading string, field string")
-    cells = order_cells(spark, sf_dir)
-    rows = grid.table_rows(cells, grid.header_row(cells, columns, ["item_code", "item_name", "qty"]), "item_code")
+    columns = [("Code article", "item_code"), ("Désignation", "item_name"), ("Quantité", "qty"), ("Prix", "rate")]
+    rows = grid.table(order_cells(spark, sf_dir), columns, ["item_code", "item_name", "qty"], "item_code")
     return grid.component_defaults(rows).select("file", "r", "item_code", "item_name", "qty", "qty_per_unit", "conversion_factor", "rate")
 
 
@@ -259,7 +264,7 @@ def party_resolve_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS doc_id, c_name AS party FROM customer")
 def party_resolve_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(spark, sf_dir, "customer")
     docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Vendu à : "), F.translate("c_name", "#", " ")).alias("text"))
     return resolve.party_match(docs, c.select(F.translate("c_name", "#", " ").alias("name"))).select("doc_id", F.replace("party", F.lit(" "), F.lit("#")).alias("party"))
 
@@ -291,7 +296,7 @@ def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS doc_id, 'Fournisseur X ' || o_orderkey AS header, 'Désignation ' || o_custkey AS body, 'Total HT 5' AS footer FROM orders")
 def zone_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit("Fournisseur X "), "o_orderkey", F.lit("\nDésignation "), "o_custkey", F.lit("\nTotal HT 5"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), fields.zones(page).alias("z")).select("doc_id", "z.*")
+    return spread(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), fields.zones(page).alias("z")).select("doc_id", "z.*")
 
 
 @query("SELECT o_orderkey AS doc_id, 'f' || o_orderkey || 'x_a1b2c3d4.pdf' AS name, 'f' || o_orderkey || 'x.pdf' AS clean, 'f' || o_orderkey || 'x_a1b2c3d4' AS base, 'f' || o_orderkey || 'x' AS clean_base FROM orders")
@@ -305,7 +310,7 @@ def file_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cheque_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = F.lit("2000-01-01").cast("date")
     t = F.concat(F.lit("Chèque N° : "), F.col("o_orderkey") + 10_000_000, F.lit("\nBIAT\nPayez contre ce chèque\nMontant : "), F.translate(F.format_number(F.round("o_totalprice", 2), 2), ",.", " ,"), F.lit(" DT\nÀ l'ordre de : Société Alpha SARL\nTunis, le "), F.date_format(F.date_sub(as_of, (F.col("o_orderkey") % 700).cast("int")), "dd/MM/yyyy"))
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"))
+    docs = spread(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"))
     got = payments.cheques(docs, as_of)
     return got.select("doc_id", "number", "amount", "date", "bank", "beneficiary", "stale")
 
@@ -313,7 +318,7 @@ def cheque_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS doc_id, l_linenumber::INT AS n, 'REF' || l_partkey AS reference, l_quantity::INT::DOUBLE AS qty, 1234.5::DOUBLE AS rate, round(l_quantity::INT * 1234.5, 3) AS amount FROM lineitem")
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.concat(F.lit("REF"), "l_partkey", F.lit(" Tube acier\n"), F.col("l_quantity").cast("int"), F.lit(" x 1234,5\n"), F.replace((F.round(F.col("l_quantity").cast("int") * 1234.5, 3)).cast("decimal(18,3)").cast("string"), F.lit("."), F.lit(",")))
-    docs = table(spark, sf_dir, "lineitem").select(F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).alias("id"), s.alias("text")).select(F.concat_ws("-", "id.o", "id.n").alias("doc_id"), "text")
+    docs = spread(spark, sf_dir, "lineitem").select(F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).alias("id"), s.alias("text")).select(F.concat_ws("-", "id.o", "id.n").alias("doc_id"), "text")
     got = sheets.invoice_lines(docs)
     part = F.split("doc_id", "-")
     return got.select(part[0].cast("long").alias("doc_id"), part[1].cast("int").alias("n"), "reference", "qty", "rate", "amount")
@@ -324,7 +329,7 @@ def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = lambda c: F.translate(F.format_number(c, 3), ",.", " ,")
     net = F.round("o_totalprice", 3)
     t = F.concat(F.lit("Total HT "), num(net), F.lit(" DT\nTVA (7%)\n7,5\nTVA (19%)\n12\nTotal TTC "), num(net + 19.5), F.lit(" DT"))
-    return sheets.totals(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")))
+    return sheets.totals(spread(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")))
 
 
 @query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'low' WHEN c_custkey % 2 = 0 THEN 'mandatory' ELSE 'high' END AS mark, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS amount, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'A' || c_custkey END AS value FROM customer")
@@ -348,10 +353,10 @@ def invoice_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     page = F.when(k % 3 == 0, F.concat(F.lit("Facture\nALPHA "), c, F.lit(" SARL rue 5\nFacture FAC-24-"), k % 1000, F.lit("\nDésignation Quantité\n")))
     page = page.when(k % 3 == 1, F.concat(F.lit("Facture\n12 rue du port\nBeta Negoce\nTotal\nN° facture : A"), k)).otherwise(F.concat(F.lit("Tel fax GAMMA\nDésignation\nN° : "), k))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), forms.supplier(F.split(page, "\n")).alias("supplier"), forms.invoice_number(page).alias("number"))
+    return spread(spark, sf_dir, "orders").select(k.alias("doc_id"), forms.supplier(F.split(page, "\n")).alias("supplier"), forms.invoice_number(page).alias("number"))
 
 
-from docloom import rule_queries  # noqa: E402, F401  (registers its queries here)
+from docloom import feature_queries, rule_queries  # noqa: E402, F401  (register their queries here)
 
 
 def queries() -> dict[str, Query]:

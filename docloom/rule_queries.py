@@ -9,7 +9,7 @@ from docloom.functions import dates, fuzzy, numbers, text
 from docloom.functions import vocabulary as V
 from docloom.operators import checks, classify, documents, fields, fleet, forms, grid, payments, resolve, sheets
 from docloom.plans import invoices, worker
-from docloom.queries import order_cells, query, table
+from docloom.queries import order_cells, query, spread, table
 from docloom.sources import files
 
 
@@ -38,7 +38,7 @@ def number_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.replace(s, F.lit(","), F.lit(""))
     spaced, dotted, comma = F.translate(s, ",.", " ,"), F.translate(s, ",.", ".,"), F.replace(bare, F.lit("."), F.lit(","))
     larger = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice") * 25).otherwise(F.col("l_extendedprice"))
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", numbers.amount_matcher(spaced).alias("matcher"), numbers.amount_extractor(comma).alias("extractor"), numbers.price(F.concat(spaced, F.lit(" DT"))).alias("price"),
         forms.client_amount(F.concat(F.lit("("), bare, F.lit(" DT)"))).alias("client"), forms.item_amount(dotted).alias("item"), forms.bill_amount(F.concat(comma, F.lit(" kg"))).alias("bill"),
         F.array_max(numbers.scan_amounts(F.concat(F.lit("Total "), spaced, F.lit(" DT")))).alias("scanned"), numbers.replaces(bare, larger).alias("replaced"),
@@ -53,7 +53,7 @@ def amount_in_words_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda c: F.get(F.array(*map(F.lit, digits)), c.cast("int"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     said = F.concat(F.lit("montant de "), word(k % 8), F.lit(" mille "), word(c % 8), F.lit(" cent soixante-dix "), word(k % 7), F.lit(" dinars et "), word(c % 5), F.lit(" millimes"))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), numbers.amount_in_words(said, 10.0, True).alias("amount"))
+    return spread(spark, sf_dir, "orders").select(k.alias("doc_id"), numbers.amount_in_words(said, 10.0, True).alias("amount"))
 
 
 @query("""
@@ -63,7 +63,7 @@ SELECT doc_id, d AS first, 2 AS found, (DATE '2009-01-01' - d) / 30.44 AS months
 def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, as_of = F.add_months(F.col("o_orderdate").cast("date"), 120), F.lit("2009-01-01").cast("date")
     said = F.concat(F.lit("Le "), F.date_format(d, "dd/MM/yyyy"), F.lit(" à 90 jours, fait le "), F.date_format(d, "dd-MM-yyyy"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("doc_id"), dates.first_plausible(said, as_of).alias("first"), F.size(dates.scan(said, as_of)).alias("found"), dates.age_in_months(d, as_of).alias("months"),
         dates.not_in_future(d, F.lit("2005-01-01").cast("date")).alias("past"), dates.due_after(said, d).alias("due"), dates.voted(said, as_of).alias("voted"), dates.stale_on_save(d, as_of).alias("old"),
     )
@@ -78,7 +78,7 @@ def year_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.date_sub(as_of, (F.col("o_orderkey") % 80).cast("int"))
     five = F.add_months(d, 60)
     both = dates.reconcile_due(F.date_add(d, 60), d)
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), dates.repair_year(five, as_of).alias("r"), dates.repair_year(d, as_of).alias("k"), dates.repair_year(F.date_add(d, 100), as_of, "traite").alias("t"), both.alias("b"))
+    rows = spread(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), dates.repair_year(five, as_of).alias("r"), dates.repair_year(d, as_of).alias("k"), dates.repair_year(F.date_add(d, 100), as_of, "traite").alias("t"), both.alias("b"))
     return rows.select("doc_id", F.col("r.date").alias("repaired"), F.col("r.corrected").alias("corrected"), F.col("k.date").alias("kept"), F.col("t.date").alias("draft"), F.col("b.emitted").alias("emitted"), F.col("b.due").alias("due"))
 
 
@@ -95,7 +95,7 @@ SELECT c_custkey AS id, 'ecole n' || c_custkey AS folded, 'champ_e_' || c_custke
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return table(spark, sf_dir, "customer").select(
+    return spread(spark, sf_dir, "customer").select(
         k.alias("id"), text.fold(say("École N", k)).alias("folded"), text.field_key(say("Champ É ", k)).alias("key"), text.squeeze(say("  a \n ", k, "\t b ")).alias("squeezed"), text.repair_payment(say(k, "O", k, "–1")).alias("payment"),
         text.repair_sheet(say(k, "O", k)).alias("sheet"), text.repair_codes(say("ABO", k)).alias("codes"), text.item_code(say("AB-", k, ". reste")).alias("item_code"), text.part_code(say("aPXO", k)).alias("part_code"), text.chain(say(" - x  ", k, " |")).alias("chain"),
         text.before_label(say("Alpha ", k, " Tel : 71")).alias("before"), *[text.unit(each("c_custkey", [u[0] for u in UNITS]), p).alias(f"unit_{p}") for p in ("item", "bom", "sheet")], text.payment_method(each("c_custkey", [m[0] for m in METHODS])).alias("method"),
@@ -111,7 +111,7 @@ COMPANIES = [("Alpha", True), ("TVA 19", False), ("12 34", False), ("ab", False)
 @query(f"SELECT c_custkey AS id, {one_of('c_custkey', [p[1] for p in PARTIES])} AS party, {one_of('c_custkey', [p[1] for p in DRAWEES])} AS drawee, {one_of('c_custkey', [c[1] for c in COMPANIES])} AS company, lpad(((c_custkey * 7919) % 10000000)::VARCHAR, 8, '0') AS cheque FROM customer")
 def party_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat(F.lit("9"), F.lpad(((F.col("c_custkey") * 7919) % 10000000).cast("string"), 7, "0"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), payments.plausible_party(each("c_custkey", [p[0] for p in PARTIES]), "tireur").alias("party"), payments.plausible_party(each("c_custkey", [p[0] for p in DRAWEES]), "tire").alias("drawee"), payments.company_name(each("c_custkey", [c[0] for c in COMPANIES])).alias("company"), payments.cheque_number(number).alias("cheque"))
+    return spread(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), payments.plausible_party(each("c_custkey", [p[0] for p in PARTIES]), "tireur").alias("party"), payments.plausible_party(each("c_custkey", [p[0] for p in DRAWEES]), "tire").alias("drawee"), payments.company_name(each("c_custkey", [c[0] for c in COMPANIES])).alias("company"), payments.cheque_number(number).alias("cheque"))
 
 
 SUBSTRINGS = [("acture 12", "facture"), ("BL N° 4, bordereau", "bon_livraison"), ("chque, rib", "cheque"), ("Bon de commande", "bon_commande"), ("rien", "inconnu")]
@@ -128,7 +128,7 @@ SELECT o_orderkey AS doc_id, {one_of("o_orderkey", [x[1] for x in SUBSTRINGS])}
 def class_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "o_orderkey"
     image = [each(k, [x[n] for x in IMAGES]) for n in range(3)]
-    return table(spark, sf_dir, "orders").select(
+    return spread(spark, sf_dir, "orders").select(
         F.col(k).alias("doc_id"), classify.by_substrings(each(k, [x[0] for x in SUBSTRINGS])).alias("by_substrings"), classify.other_type(each(k, [x[0] for x in NO_PAYMENT])).alias("no_payment"), classify.from_fields(F.create_map(each(k, [x[0] for x in KEYED]), F.lit("1"))).alias("keyed"),
         classify.image_quality(*image).alias("image"), classify.accepted(each(k, ["Bon pour accord", "refus"])).alias("accepted"), classify.band(each(k, [80, 60, 59])).alias("band"), forms.final_sheet_type(each(k, [x[0] for x in SHEETS]), each(k, [x[1] for x in SHEETS]), ["bom"], 2).alias("sheet"),
     )
@@ -149,7 +149,7 @@ SELECT o_orderkey AS doc_id, {one_of("o_orderkey", [x[5] for x in PAYMENTS])} AS
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "o_orderkey"
     of = lambda rows, n: each(k, [x[n] for x in rows])
-    return table(spark, sf_dir, "orders").select(
+    return spread(spark, sf_dir, "orders").select(
         F.col(k).alias("doc_id"), classify.payment_gate(*[of(PAYMENTS, n) for n in range(5)])["reason"].alias("payment"), classify.item_gate(*[of(ITEMS, n) for n in range(3)])["doc_type"].alias("item"),
         classify.bill_gate(of(BILLS, 0), of(BILLS, 1))["doc_type"].alias("bill"), classify.invoice_gate(of(INVOICES, 0), of(INVOICES, 1))["doc_type"].alias("invoice"),
     )
@@ -162,7 +162,7 @@ GROUPS = [("Catégorie : CONS", "Consommables"), ("Item Group : Peintures (bleu)
 def item_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Réf. : R-"), "p_partkey", F.lit("\nPrix : "), "p_partkey", F.lit(",5"))
     basic = sheets.basic_item(said)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), sheets.item_group(each("p_partkey", [g[0] for g in GROUPS]))["group"].alias("item_group"), basic["item_code"]["value"].alias("basic_code"), basic["standard_rate"]["value"].alias("basic_rate"))
+    return spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), sheets.item_group(each("p_partkey", [g[0] for g in GROUPS]))["group"].alias("item_group"), basic["item_code"]["value"].alias("basic_code"), basic["standard_rate"]["value"].alias("basic_rate"))
 
 
 #: By kind of value: what stands behind a label, and what must be read, around the part's key.
@@ -177,7 +177,7 @@ def item_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit(f"{label} {start}"), F.col("p_partkey").cast("string") if end is not None else F.lit(""), F.lit(f"{end or ''}\n"))
 
     page = F.concat(*[line(labels, kind) for _, labels, kind, _ in sheets.ITEM_LABELS])
-    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), page.alias("page"))
+    found = spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), page.alias("page"))
     return found.select("doc_id", F.explode(sheets.by_labels(F.col("page"), sheets.ITEM_LABELS)).alias("field", "v")).select("doc_id", "field", F.col("v.value").alias("value"))
 
 
@@ -187,7 +187,7 @@ SELECT p_partkey AS doc_id, 'BOM-' || lpad((p_partkey % 10000)::VARCHAR, 4, '0')
 def bill_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     page = F.concat(F.lit("Article "), k, F.lit(" — Châssis "), k, F.lit("\nBOM-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("-001\nGamme (Routing) RT-"), k, F.lit("\nQuantité produite "), 1 + k % 9, F.lit("\nUDM de l'article : pcs\nDevise : TND\nPrix basé sur dernier achat\nTransfert matériel ordre de fabrication\nTaux de perte processus 4 %\nPar défaut"))
-    rows = table(spark, sf_dir, "part").select(k.alias("doc_id"), sheets.bill_head(page).alias("f"))
+    rows = spread(spark, sf_dir, "part").select(k.alias("doc_id"), sheets.bill_head(page).alias("f"))
     names = {"name": "name", "item": "item", "item_name": "item_name", "quantity": "quantity", "uom": "uom", "currency": "currency", "routing": "routing", "rm_cost_as_per": "basis", "transfer_material_against": "transfer", "scrap_percentage": "scrap", "is_default": "is_default"}
     return rows.select("doc_id", *[F.try_element_at("f", F.lit(a))["value"].alias(b) for a, b in names.items()])
 
@@ -214,7 +214,7 @@ def typed_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for t, fs in HEADS.items():
         page = F.concat(*[F.concat(F.lit(label + v.split("{}")[0]), F.col("o_orderkey").cast("string") if "{}" in v else F.lit(""), F.lit("\n")) for _, label, v in fs])
-        docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), page.alias("text"))
+        docs = spread(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), page.alias("text"))
         rows = fields.long_form(docs, t).where(F.col("field").isin([n for n, *_ in fs])).select("doc_id", F.lit(t).alias("doc_type"), "field", "value")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -231,7 +231,7 @@ def tunisian_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = fields.roles(F.lit("Total HT : 100,00 TVA : 19,00\nNet à payer 119,00"), "amount")
     days = fields.roles(F.lit("Date 01/02/2024 échéance 01/03/2024"), "date")
     found, more, some = fields.contacts(page), fields.tunisian_fields(page), fields.entities(page)
-    return table(spark, sf_dir, "orders").select(
+    return spread(spark, sf_dir, "orders").select(
         k.alias("doc_id"), found["tax_id"].alias("tax_id"), found["phone"].alias("phone"), found["postcode"].alias("postcode"), more["invoice"].alias("invoice"), more["date"].alias("day"), more["total"].alias("total"), more["tax"].alias("tax"), more["company"].alias("company"), more["address"].alias("address"),
         roles["montant_ht"].alias("net_role"), roles["montant_ttc"].alias("gross_role"), days["echeance"].alias("due_role"), F.get(some["companies"], 0).alias("firm"), F.size(some["companies"]).alias("n_firms"),
     )
@@ -244,7 +244,7 @@ def body_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.replace(F.replace(F.format_number(F.round(F.col("l_extendedprice") + 100, 2), 2), F.lit(","), F.lit("")), F.lit("."), F.lit(","))
     got = fields.body_line(F.concat(F.lit("ABC"), "l_partkey", F.lit(" | Tube acier | "), F.col("l_quantity").cast("int"), F.lit(" | 10,5 | "), total))
     top = each("l_linenumber", [10.0, 50.0, 90.0])
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", got.alias("g"), fields.zone_of_line(top, top, F.lit(100.0)).alias("zone"))
+    rows = spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", got.alias("g"), fields.zone_of_line(top, top, F.lit(100.0)).alias("zone"))
     return rows.select("l_orderkey", "l_linenumber", "g.reference", "g.designation", F.col("g.quantity").alias("small"), F.col("g.price").alias("middle"), "g.total", "zone")
 
 
@@ -255,7 +255,7 @@ def draft_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 200).cast("int"))
     page = F.concat(F.lit("Lettre de change\nTraite N° : T"), k % 1000 + 1000, F.lit("\nDate d'émission : "), F.date_format(day, "dd/MM/yyyy"), F.lit("\nÀ 90 jours\nMontant : 1 500,000 DT\nTireur : Acier Tunisie SARL\nTiré : BIAT Sousse\nBon pour accord"))
-    docs = table(spark, sf_dir, "orders").select(k.alias("doc_id"), page.alias("text"))
+    docs = spread(spark, sf_dir, "orders").select(k.alias("doc_id"), page.alias("text"))
     got = payments.drafts(docs, F.lit("2024-06-01").cast("date"))
     return got.select("doc_id", F.regexp_extract("number", "(\\d+)$", 1).cast("long").alias("number"), "amount", "emitted", "due", "drawer", "drawee", "bank", "town", "accepted")
 
@@ -323,7 +323,7 @@ def field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat(F.lit("FAC-"), k)
     amount = resolve.compatible(F.lit("montant_ttc"), F.lit("100"), each("o_orderkey", ["100.01", "104", "120"]))
     day = resolve.compatible(F.lit("date"), F.lit("15/04/2024"), F.when(even, "15/04/2024").otherwise("15/04/2023"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(spark, sf_dir, "orders").select(
         k.alias("doc_id"), amount["compatible"].alias("amount_fits"), amount["score"].alias("amount_score"), day["score"].alias("date_score"), resolve.compatible(F.lit("fournisseur"), F.lit("Acier Tunisie"), F.lit("acier tunisie sarl"))["compatible"].alias("text_fits"),
         F.round(resolve.field_score(F.lit("numero_facture"), number, F.concat(F.lit("Facture "), number), number), 6).alias("field_score"), F.round(forms.field_confidence(F.lit("numero_facture"), number, F.concat(F.lit("x "), number)), 6).alias("confidence"),
         resolve.shape_score(F.lit("numero_cheque"), F.when(even, "123456").otherwise("x")).alias("shape"), fuzzy.ratio_of(number, number).alias("ratio"), fuzzy.token_set_ratio_of(F.concat(number, F.lit(" b a")), F.concat(F.lit("a "), number)).alias("token_set"),
@@ -365,7 +365,7 @@ def check_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = checks.net_amount(F.when(k % 3 == 0, n).otherwise(0.0), F.when(k % 3 == 1, n + 19).otherwise(n), F.when(k % 3 == 1, 19.0).otherwise(0.0))
     share = checks.matched_share(F.lit(1), F.lit(3))
     reading = lambda g: F.struct(F.lit(None).cast("double").alias("net"), F.lit(None).cast("double").alias("tax"), g.alias("gross"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(spark, sf_dir, "orders").select(
         k.alias("doc_id"), net.alias("net"), checks.derived_on_form(F.lit(0.0), F.lit(19.0), n + 19)["net"].alias("form_net"), share["confidence"].alias("share"), share["applied"].alias("applied"),
         checks.first_present(F.create_map(F.lit("y"), F.concat(F.lit("b"), k)), ["x", "y"]).alias("alias"), checks.precedence(F.lit(""), F.lit("0"), F.concat(F.lit("b"), k)).alias("first"), checks.final_status(F.when(k % 2 == 0, 3).otherwise(2)).alias("status"),
         checks.coerced(F.lit("Float"), F.concat(k.cast("string"), F.lit(",50"))).alias("coerced"), checks.merged_totals(reading(n), reading(F.lit(1000.0)))["gross"].alias("merged_gross"),
@@ -382,18 +382,22 @@ def form_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.when(F.col("o_orderstatus") == "O", V.PENDING).when(F.col("o_orderstatus") == "F", V.VALID).otherwise(V.REJECTED)
     links = F.array(F.struct(F.lit("x").alias("value"), even.alias("resolved")), F.struct(F.lit("").alias("value"), F.lit(False).alias("resolved")))
     item = F.create_map(F.lit("item_code"), F.lit("A"), F.lit("item_name"), F.when(even, "").otherwise("B"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(spark, sf_dir, "orders").select(
         k.alias("doc_id"), documents.guarded_status(old, F.when(even, V.PENDING).otherwise(V.VALID)).alias("guarded"), forms.completed(F.lit(V.TO_CHECK), F.when(even, 0).otherwise(1)).alias("completed"), forms.may_save(links).alias("may_save"),
         forms.row_complete(F.lit("A"), F.lit("Kg"), (k % 3).cast("double")).alias("row_complete"), forms.item_value(F.lit("text"), F.lit("OLD"), F.lit("NEW"), F.lit(True)).alias("code"), forms.item_value(F.lit("check"), F.lit(""), F.when(even, "Oui").otherwise("Non"), F.lit(False)).alias("flag"),
         documents.payment_amount(F.when(k % 3 == 0, 5.0), F.when(k % 3 == 1, 7.0).otherwise(0.0), F.lit(9.0)).alias("paid"), forms.missing_on_item(item, ["item_code", "item_name", "item_group"], "item_group").alias("missing"),
     )
 
 
-@query("SELECT c_custkey AS name, 'Purchase Invoice' AS doctype, 'E' || c_custkey AS entry, c_custkey % 2 = 1 AS by_number FROM customer")
+@query("""
+WITH d AS (SELECT c_custkey AS name, 'objet n' || c_custkey || ' du dossier' AS said FROM customer), e AS (SELECT 'E' || c_custkey AS entry, 'n' || c_custkey AS bill_no FROM customer WHERE c_custkey % 2 = 1)
+SELECT c_custkey AS name, 'Purchase Invoice' AS doctype, 'E' || c_custkey AS entry, FALSE AS by_number FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT name, 'Purchase Invoice', entry, TRUE FROM d JOIN e ON contains(said, bill_no) QUALIFY row_number() OVER (PARTITION BY entry ORDER BY name) <= 5
+""")
 def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, odd = table(spark, sf_dir, "customer"), F.col("c_custkey") % 2 == 1
-    docs = c.select(F.col("c_custkey").alias("name"), F.when(~odd, "Purchase Invoice").alias("linked_doctype"), F.when(~odd, F.concat(F.lit("E"), "c_custkey")).alias("linked_docname"), F.create_map(F.lit("numero"), F.concat(F.lit("N"), "c_custkey")).alias("fields"))
-    entries = c.select(F.lit("Purchase Invoice").alias("doctype"), F.concat(F.lit("E"), "c_custkey").alias("entry"), F.concat(F.lit("N"), "c_custkey").alias("bill_no"))
+    docs = c.select(F.col("c_custkey").alias("name"), F.when(~odd, "Purchase Invoice").alias("linked_doctype"), F.when(~odd, F.concat(F.lit("E"), "c_custkey")).alias("linked_docname"), F.create_map(F.lit("memo"), F.concat(F.lit("objet n"), "c_custkey", F.lit(" du dossier"))).alias("fields"))
+    entries = c.select(F.lit("Purchase Invoice").alias("doctype"), F.concat(F.lit("E"), "c_custkey").alias("entry"), F.concat(F.lit("n"), "c_custkey").alias("bill_no"))
     return documents.linked(docs, entries)
 
 
@@ -471,7 +475,7 @@ def component_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda i, end: F.concat(F.lit(f"{i} P"), c + i, F.lit(f" Tube acier 2,5 Kg 3 Unité 1,5{end}"))
     page = F.when(k % 2 == 0, F.concat(F.lit("Nomenclature\nComposants\n"), row(1, " 9"), F.lit("\n"), row(2, " 9"), F.lit("\nRésumé des coûts\n1 X9 Fin 1 Kg 1 Kg 1 1")))
     page = page.otherwise(F.concat(F.lit("Composants\n1\nP"), c + 1, F.lit("\nTube acier\n2,5 Kg\n3 Unité\n1,5 "), row(2, "")))
-    return sheets.components(table(spark, sf_dir, "orders").select(k.alias("doc_id"), page.alias("text")))
+    return sheets.components(spread(spark, sf_dir, "orders").select(k.alias("doc_id"), page.alias("text")))
 
 
 @query("""
@@ -487,7 +491,7 @@ def total_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     largest = F.concat(F.lit("articles "), spaced(n), F.lit("\nfin "), spaced(n + 200))
     levied = F.concat(F.lit("Total TTC "), num(n + 50), F.lit("\nTVA 50,000\nRIB 12345678901234567890"))
     page = F.when(k % 4 == 0, stamped).when(k % 4 == 1, beside).when(k % 4 == 2, largest).otherwise(levied)
-    return sheets.totals(table(spark, sf_dir, "orders").select(k.alias("doc_id"), page.alias("text")))
+    return sheets.totals(spread(spark, sf_dir, "orders").select(k.alias("doc_id"), page.alias("text")))
 
 
 @query("SELECT p_partkey::VARCHAR AS file, 'item_code' AS field, 'A' || p_partkey AS value FROM part UNION ALL SELECT p_partkey::VARCHAR, 'item_name', 'Nom ' || p_partkey FROM part UNION ALL SELECT p_partkey::VARCHAR, 'item_group', 'CONS' FROM part")
@@ -514,7 +518,7 @@ def site_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'Rejeté' WHEN o_orderkey % 7 = 0 THEN 'Validation requise' ELSE 'Validé' END AS status FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'
 """)
 def worker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(spark, sf_dir, "orders")
     pages = invoices.render(o, table(spark, sf_dir, "customer"))
     docs = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "O", V.PENDING).when(F.col("o_orderstatus") == "P", V.RUNNING).otherwise(V.VALID).alias("status")).join(pages, "doc_id")
     docs = docs.select(F.col("doc_id").alias("name"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"), "status")

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources import workbooks
+
 #: Extensions that are taken, and the first bytes of formats.
 TAKEN = ["pdf", "png", "jpg", "jpeg", "tiff", "bmp", "xlsx", "svg"]
 MAGIC = {"25504446": "pdf", "89504E47": "png", "FFD8FF": "jpg", "49492A00": "tiff", "4D4D002A": "tiff", "424D": "bmp", "504B0304": "xlsx"}
@@ -55,42 +50,6 @@ def chosen_text(df: DataFrame) -> DataFrame:
     return df.withColumn("_best", best).select("*", "_best.*").drop("_best")
 
 
-def _cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """Sheet, row, column and text of each filled cell of a workbook."""
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{ns}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        titles = [s.get("name") or "" for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")] if "xl/workbook.xml" in names else []
-        parts = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
-        for k, part in enumerate(parts):
-            title = titles[k] if k < len(titles) else part
-            for cell in ElementTree.fromstring(z.read(part)).iter(f"{ns}c"):
-                where = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r") or "")
-                value = cell.find(f"{ns}v")
-                text = "".join(t.text or "" for t in cell.iter(f"{ns}t")) if cell.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
-                if cell.get("t") == "s" and text:
-                    text = shared[int(text)]
-                if where and text:
-                    column = 0
-                    for c in where[1]:
-                        column = column * 26 + ord(c) - 64
-                    yield title, int(where[2]) - 1, column - 1, text
-
-
 def cells(files: DataFrame) -> DataFrame:
-    """(file, sheet, r, c, v) of all filled cells of workbooks; damaged files give none. One workbook is in memory at a time."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0), b.column(1), strict=True):
-                try:
-                    rows = list(_cells(content.as_py() or b""))
-                except (zipfile.BadZipFile, ElementTree.ParseError, IndexError, ValueError):
-                    rows = []
-                s, r, c, v = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-                yield pa.record_batch([pa.array([path.as_py()] * len(rows), pa.string()), pa.array(s, pa.string()), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.string())], ["file", "sheet", "r", "c", "v"])
-
-    return files.select("path", "content").mapInArrow(work, "file string, sheet string, r int, c int, v string")
+    """(file, sheet, r, c, v) of all filled cells of workbooks that were read as binary files; damaged files give none. See docloom.sources.workbooks for reading them as a data source."""
+    return workbooks.cells_of_content(files).drop("place")
