@@ -5,8 +5,9 @@ of 256 bytes that overlap by half and cover the text to its end; the mean over a
 over all chunks go into one logistic unit. A filter is a table for each of its four places, so that a text
 costs two look-ups of byte pairs a byte.
 
-Fitting runs on the driver over a bounded sample (SAMPLE rows at most, those with the lowest hash of their
-id, of texts of LENGTH characters at most); scoring runs where the texts are, over the whole of every text, without
+Fitting runs on the driver over a bounded sample: SAMPLE labelled rows at most, those with the lowest hash of their
+id, and of these as many as fit into BYTES together, in that order. Texts of all lengths are among them, each learned whole; one that
+is larger than BYTES alone can't be. Scoring runs where the texts are, over the whole of every text, without
 a shuffle.
 
 Defined results: a null text counts as empty; an empty text gets the score of no chunks at all. Without
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.columns import give_back, pick, take_turns
+from docloom.llm.storage import Scratch
 from docloom.llm.token_counts import in_portions
 
 WIDTH, FILTERS, CELL, CELLS, HOP = 4, 16, 64, 4, 2
 #: Labelled rows for fitting, at most.
 SAMPLE = 3000
-#: Characters of a text that may be learned from, so that what comes to the driver is bounded.
-LENGTH = 50_000
+#: Bytes of the texts for fitting together, at most.
+BYTES = 64 << 20
 #: Bytes whose answers are in memory at once.
 BLOCK = 1 << 18
 
@@ -161,12 +163,21 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 3 == 1
 
 
-def train(df: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> ByteNet:
-    """Fits on at most sample labelled rows outside the held-out third."""
+def train(df: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, most_bytes: int = BYTES) -> ByteNet:
+    """Fits on at most sample labelled rows outside the held-out third, and at most so many bytes of text."""
     known = pick(labels, doc_id=key, y=label).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = pick(df, doc_id=key, text=text).where(F.coalesce(F.length("text"), F.lit(0)) <= LENGTH).join(F.broadcast(chosen), "doc_id")
-    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
+    order = F.xxhash64("doc_id")
+    chosen = known.orderBy(order, "doc_id").limit(sample)
+    # no more than sample rows, as Spark broadcasts them
+    found = pick(df, doc_id=key, text=text).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    found = Scratch(df.sparkSession, "learned").save(found, "rows")
+    sizes = found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), order.alias("h")).collect()
+    fits, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if total + r.n <= most_bytes:
+            fits.append(r.doc_id)
+            total += r.n
+    rows = found.where(F.col("doc_id").isin(fits)).collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text or "" for r in rows], [int(r.y) for r in rows])
 

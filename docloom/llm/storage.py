@@ -18,6 +18,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+#: What keeps buffers of whole texts small: batches to Python by rows and by bytes, batches of a scan, row groups of what is written.
+SMALL = {BATCH: str(ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512", "parquet.block.size": str(16 << 20)}
+
+
+def small_buffers(spark: SparkSession) -> dict[str, str | None]:
+    """Sets SMALL for the session; what was set before, for restore."""
+    before = {k: spark.conf.get(k, None) for k in SMALL}
+    for k, v in SMALL.items():
+        if k != BATCH or not 0 < int(before[k]) < ROWS:
+            spark.conf.set(k, v)
+    return before
+
+
+def restore(spark: SparkSession, before: dict[str, str | None]) -> None:
+    for k, v in before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,13 +98,12 @@ class Scratch:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Writes df and reads it back: lineage ends here. Python gets ROWS rows at a time meanwhile, so that long texts fill little memory on either side."""
-        before = self.spark.conf.get(BATCH)
-        self.spark.conf.set(BATCH, str(min(int(before), ROWS) if int(before) > 0 else ROWS))
+        """Writes df and reads it back: lineage ends here. Buffers are SMALL meanwhile, so that long texts fill little memory on either side."""
+        before = small_buffers(self.spark)
         try:
             df.write.mode("overwrite").parquet(self.path(table))
         finally:
-            self.spark.conf.set(BATCH, before)
+            restore(self.spark, before)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:

@@ -205,3 +205,29 @@ def test_small_portions_and_dictionaries_count_the_same(monkeypatch):
 
 def test_scratch_tables_of_the_operators_lie_in_the_shared_folder(docs):
     assert Scratch(docs.sparkSession, "x").root.startswith(docs.sparkSession.conf.get("spark.checkpoint.dir"))
+
+
+def test_texts_of_all_lengths_are_learned(spark):
+    from docloom.llm import byte_cnn
+
+    rows = [(k, ("good words " if k % 2 else "### %% ") * (20_000 if k > 15 else 20)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    net = byte_cnn.train(docs, labels)
+    got = {r.doc_id: r for r in byte_cnn.score(docs, net).collect()}
+    assert all(got[k].predicted == k % 2 for k in range(60))
+    # only what fits is learned, whatever its length
+    assert byte_cnn.train(docs, labels, most_bytes=10).scores(["x"]) == [0.5]
+    assert byte_cnn.train(docs, labels, most_bytes=3_000_000).scores([rows[1][1], rows[0][1]])[0] > 0.5
+
+
+def test_settings_come_back(spark):
+    from docloom.llm import storage
+
+    before = {k: spark.conf.get(k, None) for k in storage.SMALL}
+    assert Scratch(spark, "settings").save(spark.range(3), "t").count() == 3
+    assert {k: spark.conf.get(k, None) for k in storage.SMALL} == before
+    held = storage.small_buffers(spark)
+    assert spark.conf.get(storage.BATCH) == str(storage.ROWS)
+    storage.restore(spark, held)
+    assert {k: spark.conf.get(k, None) for k in storage.SMALL} == before
