@@ -42,19 +42,14 @@ def by_key(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
     return rows.join(side, same, how)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python and back; few rows at a time keep what both sides hold of them small. Holds for the session, as a stage runs after its function has returned."""
-    spark.conf.set(storage.BATCH, str(storage.ROWS))
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    storage.small_buffers(spark)
     net = byte_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return byte_cnn.keep_good(docs, net)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    storage.small_buffers(spark)
     rows = keyed(docs)
     verdicts = fertility_rules.verdicts(rows, public_tokenizers.path(PIECES), public_tokenizers.path(BYTES), key=KEY)
     rejected = Scratch(spark, "rejected").save(verdicts.where("not kept").select(F.col("doc_id").alias(KEY)).distinct(), "rows")
@@ -62,12 +57,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    storage.small_buffers(spark)
     return minhash_forest.keep_one(docs, 80).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    storage.small_buffers(spark)
     rows = keyed(docs)
     mixed = source_mix.mix(rows, key=KEY).groupBy(F.col("doc_id").alias(KEY)).agg(F.sum("copies").cast("int").alias(COPIES), F.count("*").alias(ROWS))
     taken = Scratch(spark, "taken").save(mixed.where(F.col(COPIES) > 0), "rows")
@@ -82,10 +78,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    storage.small_buffers(spark)
     return sentencepiece_codec.digests(docs, public_tokenizers.path(PIECES))
 
 
+# A stage runs after its function has returned, so each sets small buffers for the session; run sets back what was before.
 STAGES = [
     ("quality classifier", quality_classifier),
     ("quality rules", quality_rules),
@@ -97,11 +94,15 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        before = storage.made()
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
-        # a stage's tables go with the stage before it
-        storage.release(spark, before)
-        if k:
-            scratch.drop(f"stage{k - 1}")
+    settings = storage.small_buffers(spark)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            before = storage.made()
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+            # a stage's tables go with the stage before it
+            storage.release(spark, before)
+            if k:
+                scratch.drop(f"stage{k - 1}")
+    finally:
+        storage.restore(spark, settings)
     return docs
