@@ -24,9 +24,10 @@ SMALL = {BATCH: str(ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(4 <
 
 def small_buffers(spark: SparkSession) -> dict[str, str | None]:
     """Sets SMALL for the session; what was set before, for restore."""
+    # null: not set by anyone
     before = {k: spark.conf.get(k, None) for k in SMALL}
     for k, v in SMALL.items():
-        if k != BATCH or not 0 < int(before[k]) < ROWS:
+        if k != BATCH or not 0 < int(spark.conf.get(k)) < ROWS:
             spark.conf.set(k, v)
     return before
 
