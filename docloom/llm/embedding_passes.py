@@ -4,15 +4,17 @@ Equal vectors of a label become one node first. A node's sketch has 256 signs of
 pass orders the nodes of a label lexicographically by 64 of the signs, in an order of its own, and
 compares each node's sketch with those of the WINDOW nodes before it; pairs whose sketches don't rule out
 the wanted cosine are verified in double precision on the vectors. Verified pairs of all passes are united
-into components. A label gets as many passes as a lone pair at the wanted cosine needs to be met with a
-chance of MISS short of one, given how many nodes stand between the two by chance. Orders are made by range
+into components. FIRST passes are made for all labels, and show how many first signs the nodes at both ends of a window have in
+common where they are not near each other: the two of a lone pair must agree in as many to meet. A label gets
+as many further passes as a pair at the wanted cosine needs for that with a chance of MISS short of one, so a label of many
+nodes, or of nodes in one direction, gets more. One that would need more than MOST is compared whole instead. Orders are made by range
 partitioning on (pass, label, signs, id), so that a label with a third of all rows is spread over all tasks.
 
-A window bounds the pairs that a pass finds, so an exact check without bound follows: within each label all vectors
-of a length are compared, in blocks, each pair of blocks a group of its own. A block is packed into one row, and
-is sent once for each block of its label. Counts leave a group, and those links that join components which
-the passes left apart, a forest of them at most. So links and components are exact; the work grows with the
-square of a label's distinct vectors, what is sent with that of its blocks.
+A window bounds the pairs that a pass finds, not those that are counted: the members of each component are then compared with
+each other in packed blocks, each pair of blocks a group of its own, so that all links of a component count, however
+dense it is. So components are those that the passes find (of lone pairs at the wanted cosine about MISS are missed), and links
+inside them are exact; the work grows with the vectors and with the squares of components, not with those of labels. ``exact``
+compares all vectors of every label, which loses nothing and whose work grows with the squares of labels.
 
 Defined results: a null label, and a vector that is null, empty, zero or holds null or non-finite components,
 links with nothing; such a row is its own component and kept. Rows with equal labels and vectors are always
@@ -36,8 +38,10 @@ from docloom.llm.components import components
 from docloom.llm.storage import Scratch
 
 SIGNS, KEY, WINDOW = 256, 64, 4
-#: A lone pair at the wanted cosine is missed with this chance, about; passes of a label, at least and at most.
-MISS, PASSES = 0.02, (4, 160)
+#: A lone pair at the wanted cosine is missed with this chance, about; passes of every label, and of one at most.
+MISS, FIRST, MOST = 0.02, 4, 160
+#: Of the windows' ends that are not near each other, those with more first signs in common than this share of all others don't count.
+DEPTH = 0.95
 #: Bytes of a block of vectors, about, and rows of it that are compared at once.
 BLOCK, TILE = 4 << 20, 512
 #: Standard deviations of the sketch that the wanted cosine may be missed by.
@@ -50,7 +54,7 @@ def projections(size: int) -> np.ndarray:
 
 def orders() -> np.ndarray:
     rng = np.random.default_rng(32)
-    return np.stack([rng.permutation(SIGNS)[:KEY] for _ in range(PASSES[1])])
+    return np.stack([rng.permutation(SIGNS)[:KEY] for _ in range(MOST)])
 
 
 def most_differing(cosine: float) -> int:
@@ -58,16 +62,15 @@ def most_differing(cosine: float) -> int:
     return int(SIGNS * p + SLACK * np.sqrt(SIGNS * p * (1 - p)))
 
 
-def passes_for(nodes: np.ndarray, cosine: float) -> np.ndarray:
-    """Passes for labels with so many nodes. The two of a pair agree in a sign with chance p, and stand within the window of each other about when they agree in so many first signs as leave WINDOW nodes of the label."""
+def passes_for(depth: np.ndarray, cosine: float) -> np.ndarray:
+    """Passes for labels in which a pair must agree in so many first signs to meet."""
     p = 1 - np.arccos(min(cosine, 1.0)) / np.pi
-    hit = p ** np.maximum(np.log2(np.maximum(nodes, 1) / WINDOW), 0.0)
-    return np.clip(np.ceil(np.log(MISS) / np.log1p(-np.minimum(hit, 0.999))), *PASSES).astype(int)
+    hit = p ** np.asarray(depth, float)
+    return np.maximum(np.ceil(np.log(MISS) / np.log1p(-np.minimum(hit, 0.999))), FIRST).astype(int)
 
 
-def pass_rows(nodes: DataFrame, cosine: float) -> DataFrame:
-    """A row for each node and pass of its label: pass, label, key (signs), id, sketch."""
-    sizes = Scratch(nodes.sparkSession, "sizes").save(nodes.groupBy("label").agg(F.count("*").alias("nodes")).withColumnRenamed("label", "of"), "labels")
+def pass_rows(nodes: DataFrame, begin: int = 0) -> DataFrame:
+    """A row for each node and pass of its label from begin on: pass, label, key (signs), id, sketch. nodes: id, label, vector, passes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -75,20 +78,35 @@ def pass_rows(nodes: DataFrame, cosine: float) -> DataFrame:
         for b in batches:
             ids, labels = b.column(0), b.column(1)
             vectors = [np.array(x, float) for x in b.column(2).to_pylist()]
-            passes = passes_for(b.column(3).to_numpy(), cosine)
+            passes = b.column(3).to_numpy()
             signs = np.zeros((len(vectors), SIGNS), np.uint8)
             for k, v in enumerate(vectors):
                 if len(v) not in planes:
                     planes[len(v)] = projections(len(v))
                 signs[k] = planes[len(v)] @ v > 0
             sketch = pa.array([x.tobytes() for x in np.packbits(signs, axis=1)], pa.binary())
-            for p in range(int(passes.max(initial=0))):
+            for p in range(begin, int(passes.max(initial=0))):
                 at = pa.array(np.flatnonzero(passes > p))
                 key = pa.array([x.tobytes() for x in np.packbits(signs[passes > p][:, picks[p]], axis=1)], pa.binary())
                 yield pa.record_batch([pa.array(np.full(len(at), p, np.int32)), labels.take(at), key, ids.take(at), sketch.take(at)], ["pass", "label", "key", "id", "sketch"])
 
-    at = nodes.join(sizes, F.col("label") == F.col("of")).select("id", "label", "vector", "nodes")
-    return at.mapInArrow(work, f"pass int, label {dict(nodes.dtypes)['label']}, key binary, id long, sketch binary")
+    return nodes.select("id", "label", "vector", F.col("passes").cast("int")).mapInArrow(work, f"pass int, label {dict(nodes.dtypes)['label']}, key binary, id long, sketch binary")
+
+
+def common_signs(groups: list, keys: np.ndarray, sketches: np.ndarray, near: int, fresh: int) -> list[tuple]:
+    """(label, first signs in common, how often) of nodes and the WINDOW-th before them in the same group whose sketches differ in more than near signs."""
+    at = np.arange(max(WINDOW, fresh), len(keys))
+    if not len(at):
+        return []
+    at = at[np.bitwise_count(sketches[at] ^ sketches[at - WINDOW]).sum(1) > near]
+    off = keys[at] ^ keys[at - WINDOW]
+    depth = np.where(off == 0, KEY, KEY - 1 - np.floor(np.log2(np.maximum(off, 1).astype(np.longdouble))).astype(int))
+    counts: dict[tuple, int] = {}
+    for i, d in zip(at.tolist(), depth.tolist(), strict=True):
+        if groups[i] == groups[i - WINDOW]:
+            k = (groups[i][1], d)
+            counts[k] = counts.get(k, 0) + 1
+    return [(label, d, n) for (label, d), n in counts.items()]
 
 
 def near_in(groups: list, ids: np.ndarray, sketches: np.ndarray, limit: int, fresh: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -104,36 +122,52 @@ def near_in(groups: list, ids: np.ndarray, sketches: np.ndarray, limit: int, fre
     return found
 
 
+#: What rows of candidates are.
+PAIR, EDGE, COMMON = 0, 1, 2
+
+
 def candidates(rows: DataFrame, cosine: float) -> DataFrame:
-    """a, b; and the WINDOW first and last rows of each partition (sketch not null; b: their number, from below for the last)."""
-    limit = most_differing(cosine)
-    kind = dict(rows.dtypes)["label"]
+    """By kind: pairs (a, b); the WINDOW first and last rows of each partition (a: id, b: its number, from below for the last); and how often (b) the ends of a window of a label have so many first signs (a) in common."""
+    limit, close = most_differing(cosine), int(SIGNS * np.arccos(cosine) / np.pi)
+    label_type = dict(rows.dtypes)["label"]
     ordered = rows.repartitionByRange("pass", "label", "key", "id").sortWithinPartitions("pass", "label", "key", "id")
-    names = ["a", "b", "part", "pass", "label", "sketch"]
+    names = ["kind", "a", "b", "part", "pass", "label", "sketch"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, seen, label_type = TaskContext.get().partitionId(), [], 0, None
+        part, held, seen, kind = TaskContext.get().partitionId(), [], 0, None
+
+        def batch(what: int, a: list, b: list, passes: list | None = None, labels: list | None = None, sketches: list | None = None) -> pa.RecordBatch:
+            n = len(a)
+            some = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+            return pa.record_batch([pa.array([what] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([part] * n, pa.int32()), some(passes, pa.int32()), some(labels, kind), some(sketches, pa.binary())], names)
+
+        def edges(ends: list, numbers: range) -> pa.RecordBatch:
+            return batch(EDGE, [r[2] for r in ends], list(numbers), [r[0] for r in ends], [r[1] for r in ends], [r[3] for r in ends])
+
         for b in batches:
-            label_type = b.schema.field(1).type
-            rows = held + list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
-            ends = rows[: max(0, WINDOW - seen)] if seen < WINDOW else []
+            kind = b.schema.field(1).type
+            rows = held + list(zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4, 2)), strict=True))
             if seen < WINDOW:
                 ends = rows[len(held) :][: WINDOW - seen]
-                yield pa.record_batch([pa.array([r[2] for r in ends], pa.int64()), pa.array(range(seen, seen + len(ends)), pa.int64()), pa.array([part] * len(ends), pa.int32()), pa.array([r[0] for r in ends], pa.int32()), pa.array([r[1] for r in ends], label_type), pa.array([r[3] for r in ends], pa.binary())], names)
+                yield edges(ends, range(seen, seen + len(ends)))
             seen += b.num_rows
             if rows:
                 ids = np.array([r[2] for r in rows], np.int64)
                 sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-                for x, y in near_in([r[:2] for r in rows], ids, sketches, limit, len(held)):
+                groups = [r[:2] for r in rows]
+                for x, y in near_in(groups, ids, sketches, limit, len(held)):
                     if len(x):
-                        yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), part, np.int32)), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), label_type), pa.nulls(len(x), pa.binary())], names)
+                        yield batch(PAIR, np.minimum(x, y).tolist(), np.maximum(x, y).tolist())
+                keys = np.frombuffer(b"".join(r[4] for r in rows), ">u8").astype(np.uint64)
+                if common := common_signs(groups, keys, sketches, close, len(held)):
+                    yield batch(COMMON, [d for _, d, _ in common], [n for *_, n in common], None, [x for x, *_ in common])
             held = rows[-WINDOW:]
         if held:
-            yield pa.record_batch([pa.array([r[2] for r in held], pa.int64()), pa.array(range(-len(held), 0), pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array([r[0] for r in held], pa.int32()), pa.array([r[1] for r in held], label_type), pa.array([r[3] for r in held], pa.binary())], names)
+            yield edges(held, range(-len(held), 0))
 
-    return ordered.mapInArrow(work, f"a long, b long, part int, pass int, label {kind}, sketch binary")
+    return ordered.mapInArrow(work, f"kind int, a long, b long, part int, pass int, label {label_type}, sketch binary")
 
 
 def across(edges: list, cosine: float) -> list[tuple[int, int]]:
@@ -146,7 +180,7 @@ def across(edges: list, cosine: float) -> list[tuple[int, int]]:
         line = tail + first
         ids = np.array([e.a for e in line], np.int64)
         sketches = np.frombuffer(b"".join(e.sketch for e in line), np.uint8).reshape(len(line), -1)
-        for x, y in near_in([(e[3], e[4]) for e in line], ids, sketches, limit, len(tail)):
+        for x, y in near_in([(e["pass"], e["label"]) for e in line], ids, sketches, limit, len(tail)):
             found += [(int(min(p)), int(max(p))) for p in zip(x, y, strict=True)]
         tail = (tail + last)[-WINDOW:] if len(last) < WINDOW else last
     return found
@@ -193,27 +227,27 @@ def bridges(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return found
 
 
-def blocks(nodes: DataFrame) -> DataFrame:
-    """label, size, own (number of the block), blocks (of its label and size), and packed: ids, components, copies, vectors."""
+def blocks(nodes: DataFrame, by: str) -> DataFrame:
+    """by, size, own (number of the block), blocks (of its by and size), and packed: ids, components, copies, vectors."""
     scratch = Scratch(nodes.sparkSession, "blocks")
     nodes = nodes.withColumn("size", F.size("vector"))
     count = F.ceil(F.count("*") * F.col("size") * 8 / BLOCK).cast("int")
-    sizes = scratch.save(nodes.groupBy("label", "size").agg(count.alias("blocks")).toDF("of", "of_size", "blocks"), "sizes")
-    own = nodes.join(sizes, (F.col("label") == F.col("of")) & (F.col("size") == F.col("of_size"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    kind = dict(nodes.dtypes)["label"]
+    sizes = scratch.save(nodes.groupBy(by, "size").agg(count.alias("blocks"), F.count("*").alias("nodes")).toDF("of", "of_size", "blocks", "nodes").where("nodes > 1"), "sizes")
+    own = nodes.join(sizes, (F.col(by) == F.col("of")) & (F.col("size") == F.col("of_size"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    kind = dict(nodes.dtypes)[by]
 
     def pack(t: pd.DataFrame) -> pd.DataFrame:
         v = unit(np.stack([np.asarray(x, float) for x in t["vector"]]))
         first = t.iloc[0]
-        return pd.DataFrame({"label": [first["label"]], "size": [first["size"]], "own": [first["own"]], "blocks": [first["blocks"]], "ids": [t["id"].to_numpy(np.int64).tobytes()], "components": [t["component"].to_numpy(np.int64).tobytes()], "copies": [t["copies"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()]})
+        return pd.DataFrame({"by": [first["by"]], "size": [first["size"]], "own": [first["own"]], "blocks": [first["blocks"]], "ids": [t["id"].to_numpy(np.int64).tobytes()], "components": [t["component"].to_numpy(np.int64).tobytes()], "copies": [t["copies"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()]})
 
-    packed = own.select("label", "size", "own", "blocks", "id", "component", "copies", "vector").groupBy("label", "size", "own")
-    return scratch.save(packed.applyInPandas(pack, f"label {kind}, size int, own int, blocks int, ids binary, components binary, copies binary, vectors binary"), "packed")
+    packed = own.select(F.col(by).alias("by"), "size", "own", "blocks", "id", "component", "copies", "vector").groupBy("by", "size", "own")
+    return scratch.save(packed.applyInPandas(pack, f"by {kind}, size int, own int, blocks int, ids binary, components binary, copies binary, vectors binary"), "packed")
 
 
-def all_links(nodes: DataFrame, cosine: float) -> DataFrame:
-    """id, links (vectors of other nodes of the label at that cosine), other null; and, links null, components (id, other) that a link joins. nodes: id, label, component, vector, copies."""
-    packed = blocks(nodes)
+def all_links(nodes: DataFrame, cosine: float, by: str) -> DataFrame:
+    """id, links (vectors of other nodes of equal by at that cosine), other null; and, links null, components (id, other) that a link joins. by: component, or label for all pairs of it. nodes: id, label, component, vector, copies."""
+    packed = blocks(nodes, by)
     dealt = packed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
 
@@ -241,24 +275,40 @@ def all_links(nodes: DataFrame, cosine: float) -> DataFrame:
             "other": pd.array([*[None] * len(known), *[b for _, b in joins]], "Int64"),
         })
 
-    return dealt.groupBy("label", "size", "i", "j").applyInPandas(work, "id long, links long, other long")
+    return dealt.groupBy("by", "size", "i", "j").applyInPandas(work, "id long, links long, other long")
 
 
-def pass_links(nodes: DataFrame, cosine: float) -> DataFrame:
-    """The links (a, b) that the passes find. nodes: id, label, vector. Partitions' first and last WINDOW rows come to the driver."""
+def passes(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) that the passes find, and the labels (of) that are to be compared whole. nodes: id, label, vector. Partitions' first and last WINDOW rows come to the driver."""
     spark = nodes.sparkSession
     scratch = Scratch(spark, "passes")
-    found = scratch.save(candidates(pass_rows(nodes, cosine), cosine), "found")
-    pairs = found.where("sketch is null").select("a", "b")
-    if more := across(found.where("sketch is not null").collect(), cosine):
-        pairs = pairs.unionByName(spark.createDataFrame(more, "a long, b long"))
-    links = scratch.save(verified(scratch.save(pairs.distinct(), "pairs"), nodes.select("id", "vector"), cosine), "links")
-    scratch.drop("found", "pairs")
-    return links
+
+    def met(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        found = scratch.save(candidates(rows, cosine), name)
+        pairs = found.where(F.col("kind") == PAIR).select("a", "b")
+        if more := across(found.where(F.col("kind") == EDGE).collect(), cosine):
+            pairs = pairs.unionByName(spark.createDataFrame(more, "a long, b long"))
+        return pairs, found
+
+    first, found = met(pass_rows(nodes.withColumn("passes", F.lit(FIRST))), "first")
+    depth = found.where(F.col("kind") == COMMON).groupBy(F.col("label").alias("of")).agg(F.percentile("a", DEPTH, F.col("b")).alias("depth"))
+    table = F.create_map(*[F.lit(x) for d in range(KEY + 1) for x in (d, int(passes_for(np.array([d]), cosine)[0]))])
+    wanted = scratch.save(depth.select("of", table[F.ceil("depth").cast("int")].alias("passes")), "wanted")
+    more = nodes.join(wanted.where(F.col("passes").between(FIRST + 1, MOST)), F.col("label") == F.col("of"))
+    second, _ = met(pass_rows(more.select("id", "label", "vector", "passes"), FIRST), "second")
+    links = scratch.save(verified(scratch.save(first.unionByName(second).distinct(), "pairs"), nodes.select("id", "vector"), cosine), "links")
+    dense = scratch.save(wanted.where(F.col("passes") > MOST).select("of"), "dense")
+    scratch.drop("first", "second", "pairs")
+    return links, dense
+
+
+def pass_links(nodes: DataFrame, cosine: float) -> DataFrame:
+    """The links (a, b) that the passes find. nodes: id, label, vector."""
+    return passes(nodes, cosine)[0]
 
 
-def groups(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row."""
+def groups(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", exact: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row. exact: beyond the passes, all vectors of a label are compared."""
     spark = df.sparkSession
     scratch = Scratch(spark, "vectors")
     rows = pick(df, vec_id=key, vector=vector, label=label).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"), "label")
@@ -267,11 +317,18 @@ def groups(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str
     same = F.xxhash64("label", F.transform("vector", lambda x: x + F.lit(0.0)))
     nodes = good.groupBy("label", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector")).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     nodes = scratch.save(nodes.where("id is not null"), "nodes")
-    links = pass_links(nodes, cosine)
+    links, dense = passes(nodes, cosine)
     labels = scratch.save(components(links), "labels")
     placed = nodes.join(labels, nodes.id == labels.node, "left").select("id", "label", F.coalesce("component", "id").alias("component"), "vector", "copies")
     placed = scratch.save(placed, "placed")
-    compared = scratch.save(all_links(placed, cosine), "compared")
+    is_dense = F.col("label") == F.col("of")
+    if exact:
+        compared = all_links(placed, cosine, "label")
+    else:
+        compared = all_links(placed.join(dense, is_dense, "left_anti"), cosine, "component")
+        if not dense.isEmpty():
+            compared = compared.unionByName(all_links(placed.join(dense, is_dense, "left_semi"), cosine, "label"))
+    compared = scratch.save(compared, "compared")
     counts = compared.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     # a component is named by its smallest id, and so is what its bridges join
     joined = scratch.save(components(compared.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))), "joined")

@@ -7,9 +7,11 @@ container, are joined by edges that cost what it takes to label them differently
 A minimum cut labels the blocks at the least total cost. Blocks whose log-odds outweigh all of their edges are
 settled beforehand, which doesn't change the cut; what is left goes through augmenting paths of least length.
 
-Terminal and edge costs are fitted on pages with known labels that ``html_training`` writes, by the likelihood of
-each block's label given its features, and given its neighbours' labels beside them, so both are log-odds. No
-single name decides: a name of which only a part speaks for boilerplate weighs less than one that does whole.
+Terminal and edge costs are fitted on pages with known labels that the writers of ``html_training`` make, by the likelihood of
+each block's label given its features, and given its neighbours' labels beside them, so both are log-odds. Features speak
+one way: length, sentences, paragraphs and articles for content, links and telling names against it (SPEAKS); what a
+writer's habits say to the contrary counts as nothing. No single name decides: a name of which only a part speaks for
+boilerplate weighs less than one that does whole, and a form that holds most of a page's words is no form.
 
 Pages are handled one by one where they are read; nothing is shuffled.
 
@@ -43,14 +45,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("head svg audio video canvas select datalist button".split())
 #: An element that opens closes these at the top of the stack.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
-PAGE_PARTS = frozenset("nav footer aside form menu dialog fieldset".split())
+PAGE_PARTS = frozenset("nav footer aside menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note".split())
 APART = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register sidebar rail aside nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar header comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations widget widgets tags skip search form copyright legal disclaimer".split()
 )
 OWN = frozenset("article content post entry story main body text".split())
-#: Steps in the tree from which on two blocks count as equally far.
-FAR = 6
+#: Steps in the tree from which on two blocks count as equally far, and characters below which a block is a line.
+FAR, LINE = 6, 60
+#: What a line says that tells who owns the page.
+OWNERS = re.compile(r"©|\(c\)|\bcopyright\b|\ball rights reserved\b|\btous droits réservés\b|\balle rechte vorbehalten\b|\btodos los derechos reservados\b", re.I)
 
 
 @dataclass
@@ -63,6 +67,7 @@ class Element:
     half: bool  # a name of which a part does
     article: bool
     own: bool
+    form: Element | None = None  # the form it stands in
 
 
 @dataclass
@@ -70,6 +75,7 @@ class Block:
     text: str
     at: Element
     linked: int
+    in_form: bool = False
 
 
 def names(attributes: str) -> tuple[list[set[str]], str, bool]:
@@ -159,9 +165,18 @@ def blocks(page: str) -> list[Block]:
             said = [x for x in seen if x & APART and not (up.article and "header" in x)]
             whole |= any(x <= APART for x in said)
             half |= any(not x <= APART for x in said)
-        stack.append(Element(tag, up, up.depth + 1, part, whole, half, up.article or tag in ("article", "main"), up.own or any(x & OWN for x in seen)))
+        stack.append(Element(tag, up, up.depth + 1, part, whole, half, up.article or tag in ("article", "main"), up.own or any(x & OWN for x in seen), up.form))
+        if tag == "form":
+            stack[-1].form = stack[-1]
     words(page[at:])
     flush()
+    held: dict[int, int] = {}
+    for b in found:
+        if b.at.form is not None:
+            held[id(b.at.form)] = held.get(id(b.at.form), 0) + len(b.text) - b.linked
+    most = sum(len(b.text) - b.linked for b in found) / 2
+    for b in found:
+        b.in_form = b.at.form is not None and held[id(b.at.form)] <= most
     return found
 
 
@@ -170,10 +185,14 @@ def features(b: Block) -> list[float]:
     return [
         1.0, min(1.0, n / 40), min(1.0, n / 150), b.linked / n, b.text[-1] in ".!?…。！？:;»\"”",
         e.tag in ("p", "blockquote", "pre"), e.tag[:1] == "h" and e.tag[1:].isdigit(), e.tag in ("li", "td", "th", "dt", "dd"),
-        e.part, e.whole, e.half, e.article, e.own,
+        e.part or b.in_form, e.whole, e.half, e.article, e.own, n < 4 * LINE and not e.article and e.tag != "p" and OWNERS.search(b.text) is not None,
     ]
 
 
+#: Which way each feature may speak: 1 for content, -1 against, 0 either.
+SPEAKS = np.array([0, 1, 1, -1, 1, 1, 0, 0, -1, -1, -1, 1, 1, -1])
+
+
 def steps(a: Element, b: Element) -> int:
     """Steps in the tree from one element to the other; FAR if there are more."""
     n = 0
@@ -186,16 +205,32 @@ def steps(a: Element, b: Element) -> int:
     return n
 
 
+#: Kinds of edges: steps in the tree, and one more for consecutive blocks of a container; each for blocks that are alike, of unlike length, and in elements of which only one is marked as a part of the page.
+KINDS = 3 * (FAR + 2)
+
+
+def marked(b: Block) -> bool:
+    return b.at.part or b.at.whole or b.in_form
+
+
+def unlike(a: Block, b: Block) -> int:
+    return 2 if marked(a) != marked(b) else int((len(a.text) < LINE) != (len(b.text) < LINE))
+
+
 def neighbours(page: list[Block]) -> list[tuple[int, int, int]]:
-    """Pairs of blocks with an edge, and its kind: the steps between consecutive blocks, or one more than FAR for consecutive blocks of a container."""
+    """Pairs of blocks with an edge, and its kind."""
     edges: list[tuple[int, int, int]] = []
     last: dict[int, int] = {}
+
+    def join(i: int, j: int, kind: int) -> None:
+        edges.append((i, j, kind + (FAR + 2) * unlike(page[i], page[j])))
+
     for i, b in enumerate(page):
         if i:
-            edges.append((i - 1, i, steps(page[i - 1].at, b.at)))
+            join(i - 1, i, steps(page[i - 1].at, b.at))
         box = id(b.at.parent)
         if box in last and last[box] != i - 1:
-            edges.append((last[box], i, FAR + 1))
+            join(last[box], i, FAR + 1)
         last[box] = i
     return edges
 
@@ -217,7 +252,7 @@ def fitted() -> Costs:
     for page, known in labelled_pages():
         found = blocks(page)
         side = [known[b.text[0]] for b in found]
-        beside = np.zeros((len(found), FAR + 2))
+        beside = np.zeros((len(found), KINDS))
         for i, j, kind in neighbours(found):
             beside[i, kind] += 2 * side[j] - 1
             beside[j, kind] += 2 * side[i] - 1
@@ -227,17 +262,24 @@ def fitted() -> Costs:
         labels += side
         near.append(beside)
     x, beside, y = np.array(rows, float), np.concatenate(near), np.array(labels, float)
-    weights = logistic(x, y, np.zeros(len(y)))
-    return Costs(weights, np.maximum(logistic(beside, y, x @ weights), 0.0).tolist())
+    weights = logistic(x, y, np.zeros(len(y)), SPEAKS)
+    return Costs(weights, logistic(beside, y, x @ weights, np.ones(KINDS)).tolist())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Weights of x beside known log-odds, with a unit penalty; Newton steps."""
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(known + x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
-    return w
+def logistic(x: np.ndarray, y: np.ndarray, known: np.ndarray, speaks: np.ndarray) -> np.ndarray:
+    """Weights of x beside known log-odds, with a unit penalty; Newton steps. A weight that would speak the wrong way is nothing, and the others are fitted without it."""
+    free = np.ones(x.shape[1], bool)
+    while True:
+        w, part = np.zeros(int(free.sum())), x[:, free]
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(known + part @ w, -30, 30)))
+            w += np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + np.eye(len(w)), part.T @ (y - p) - w)
+        wrong = w * speaks[free] < 0
+        if not wrong.any():
+            out = np.zeros(x.shape[1])
+            out[free] = w
+            return out
+        free[np.flatnonzero(free)[wrong]] = False
 
 
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

@@ -287,7 +287,7 @@ def test_cut_of_a_page_is_the_brute_force_minimum():
     from docloom.llm import html_training
 
     costs, writer, small = html_mincut.fitted(), html_training.Writer(77), 0
-    for _ in range(120):
+    for _ in range(300):
         found = html_mincut.blocks(writer.page())
         for b in found:
             b.text = b.text[1:]
@@ -369,12 +369,17 @@ def test_a_transcript_spread_over_tasks(spark, partitions):
         got = {}
         for r in chat_hmm.turns_of_pieces(df).collect():
             got.setdefault(r.conv_id, []).append((r.turn_no, r.rendered))
+        rates = chat_hmm.rates_of(df)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tally = chat_hmm.Tally()
+    for conv in {c for c, _, _ in rows}:
+        tally.whole(chat_hmm.read("\n".join(p for c, _, p in rows if c == conv))[0])
+    assert rates == tally.rates()
     for conv in {c for c, _, _ in rows}:
         text = "\n".join(p for c, _, p in rows if c == conv)
-        want = [chat_hmm.render([t]) for t in chat_hmm.parse(text)]
+        want = [chat_hmm.render([t]) for t in chat_hmm.parse(text, rates)]
         assert [x for _, x in sorted(got.get(conv, []))] == want, conv
         assert [k for k, _ in sorted(got.get(conv, []))] == list(range(len(want)))
 
@@ -427,6 +432,36 @@ def test_viterbi(text, roles):
     assert [r for r, _ in chat_hmm.parse(None)] == []
 
 
+MARKED = [
+    "<|user|>\nhi\n<|assistant|>\npara one.\n\npara two.\n\npara three.\n<|user|>\nok",
+    "User: a\nAssistant: one\n\ntwo",
+    "User: how?\n\nAssistant: so:\n\n- x\n\n- y\n\n1. z\n\n```\nfoo = 1\n\nbar: 2\n```\n\nWhat else?\n\nUser: thanks\n\nbye",
+    "**User:** q\n\n**Assistant:** Note: keep this\n\nWarning: and this\n\n**User:** > Assistant: quoted\n\nend",
+    "### User\nq\n\n### Assistant\n\n# Title\n\n" + "word " * 80 + "\n\nlast",
+]
+
+
+@pytest.mark.parametrize("text", MARKED)
+def test_marked_turns_are_never_split(text):
+    """Paragraphs, lists, code, quotes and names before a colon stay in their turn."""
+    got = chat_hmm.parse(text)
+    assert [r for r, _ in got] == ["user", "assistant", "user"][: len(got)] and len(got) == sum(chat_hmm.MARKER.match(x) is not None and chat_hmm.read(x)[0][0].way() is not None for x in text.split("\n") if x.strip())
+
+
+def test_a_table_of_marked_transcripts_is_never_split(spark):
+    rows = [(k, n, ["User: a\n\nb", "Assistant: one\n\ntwo\n\n- three\n\nx = 4"][n % 2]) for k in range(30) for n in range(4)]
+    # a few transcripts of another style have turns without a marker
+    rows += [(100 + k, n, "\n" + x) for k in range(20) for n, x in enumerate(["[USER] a", "[BOT] b", "c?", "[BOT] d", "e?"])]
+    df = spark.createDataFrame(rows, "conv_id long, place long, piece string")
+    got = {}
+    for r in chat_hmm.turns_of_pieces(df).collect():
+        got.setdefault(r.conv_id, []).append((r.turn_no, r.role))
+    for k in range(30):
+        assert sorted(got[k]) == [(0, "user"), (1, "assistant"), (2, "user"), (3, "assistant")]
+    for k in range(20):
+        assert [r for _, r in sorted(got[100 + k])] == ["user", "assistant", "user", "assistant", "user"]
+
+
 def test_words_of_a_turn_stay():
     assert chat_hmm.parse("User: hi\nQuestion: what?\nAssistant: yes")[0] == ("user", "hi\nQuestion: what?")
 

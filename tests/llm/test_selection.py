@@ -231,3 +231,64 @@ def test_settings_come_back(spark):
     assert spark.conf.get(storage.BATCH) == str(storage.ROWS)
     storage.restore(spark, held)
     assert {k: spark.conf.get(k, None) for k in storage.SMALL} == before
+
+
+def test_exact_comparison_and_passes_agree(spark):
+    from docloom.llm import embedding_passes
+
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((1_500, 32))
+    v[500:900] = v[:400] + 0.18 * rng.standard_normal((400, 32))  # pairs
+    v[900:1200] = v[0] + 0.15 * rng.standard_normal((300, 32))  # a group around one
+    df = spark.createDataFrame([(k, x.tolist(), k % 3) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    plain = lambda exact: {r.vec_id: (r.n_links, r.component_id) for r in embedding_passes.groups(df, exact=exact).collect()}
+    want, got = plain(True), plain(False)
+    queries = [k for k in want if k % 50 == 0] + list(range(900, 1200, 7))
+    same = sum(want[k] == got[k] for k in queries)
+    assert same >= 0.95 * len(queries) and all(got[k][0] <= want[k][0] for k in want)
+    assert sum(n for n, _ in got.values()) >= 0.97 * sum(n for n, _ in want.values())
+
+
+def test_labels_that_need_too_many_passes_are_compared_whole(spark, monkeypatch):
+    from docloom.llm import embedding_passes
+
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(embedding_passes, "MOST", 5)
+    centre = rng.standard_normal(32)
+    v = [(centre + 0.45 * rng.standard_normal(32)).tolist() for _ in range(400)]
+    v += [(np.array(x) + 0.2 * rng.standard_normal(32)).tolist() for x in v[:200]]
+    df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(v)] + [(9_000 + k, rng.standard_normal(32).tolist(), 2) for k in range(20)], "vec_id long, embedding array<double>, label int")
+    got, want = ({r.vec_id: (r.n_links, r.component_id) for r in embedding_passes.groups(df, exact=e).collect()} for e in (False, True))
+    assert got == want and sum(n for n, _ in want.values()) > 100
+
+
+ARTICLE = "This is a sentence of an article that goes on for a while and says something. " * 5
+#: Hand-written pages that none of the writers makes, and their texts; A stands for the article.
+PAGES = [
+    ('<body><form id="aspnetForm"><div class="content"><h1>Title here</h1><p>A</p><p>A</p></div></form></body>', "Title here A A"),
+    ('<form method=post><ul><li><a href=x>Home</a></li><li><a href=x>News</a></li></ul><div><p>A</p><p>A</p></div></form>', "A A"),
+    ("<body><div>A</div><div>Copyright 2024 Example Corp</div></body>", "A"),
+    ("<body><div>A</div><div>&copy; 2024 Example. All rights reserved.</div></body>", "A"),
+    ("<body><div id=header>Site name</div><div>A</div><div class=sidebar><p>Something else that is said at some length beside the article.</p></div></body>", "A"),
+    ("<body><ul><li><a href=x>Home</a></li><li><a href=x>About</a></li></ul><div><div><p>A</p><p>Short one.</p><ul><li>first point</li><li>second point</li></ul><p>A</p></div></div><div>All rights reserved</div></body>", "A Short one. first point second point A"),
+    ("<table><tr><td><a href=x>Menu</a><br><a href=y>Other</a></td><td><p>A</p><p>A</p></td></tr></table>", "A A"),
+    ("<body><div><a href=/>Site</a> | <a href=/a>About</a></div><div><h2>Head</h2><div>A</div><div>A</div></div><div>Call 555 1234</div></body>", "Head A A"),
+    ("<body><form><input name=q><p>Search</p></form><article><p>A</p></article></body>", "A"),
+    ("<body><article><h1>Only a title</h1></article></body>", "Only a title"),
+    ("<body><article><p>A</p><p>All rights reserved.</p><p>A</p></article></body>", "A All rights reserved. A"),
+    ("<body><nav>Home</nav><main><h1>T</h1><p>A</p><section class=comments><p>I think so, too. It is well said.</p></section></main><footer>A</footer></body>", "T A"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_pages_by_hand(page, text):
+    from docloom.llm import html_mincut
+
+    assert html_mincut.main_text(page.replace("A<", ARTICLE + "<"), html_mincut.fitted()) == " ".join(re.sub(r"\bA\b", ARTICLE, text).split())
+
+
+def test_features_speak_one_way():
+    from docloom.llm import html_mincut
+
+    costs = html_mincut.fitted()
+    assert (costs.weights * html_mincut.SPEAKS >= 0).all() and min(costs.edges) >= 0 and max(costs.edges) > 1
