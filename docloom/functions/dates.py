@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +25,10 @@ def date_of(year: Column, month: Column, day: Column) -> Column:
 
 def normalised(text: Column, pivot: int = 69) -> Column:
     """ISO, day/month/year with any separator, or a month's name; else null."""
-    names = reduce(lambda out, m: F.regexp_replace(out, f"\\b{m[0]}\\b", str(m[1])), MONTHS.items(), fold(squeeze(text)))
+    month = "\\b(" + "|".join(MONTHS) + ")\\b"
+    number = F.create_map(*[F.lit(x) for m, n in MONTHS.items() for x in (m, str(n))])
+    # no day names two months
+    names = let(fold(squeeze(text)), lambda s: F.when(s.rlike("[a-z]"), let(F.regexp_extract(s, month, 1), lambda m: F.when(m != "", F.replace(s, m, F.try_element_at(number, m))).otherwise(s))).otherwise(s))
     iso = "^(\\d{4})[/.\\-](\\d{1,2})[/.\\-](\\d{1,2})$"
     dmy = "^(\\d{1,2})[/.\\- ]+(\\d{1,2})[/.\\- ]+(\\d{2}|\\d{4})$"
 

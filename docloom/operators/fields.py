@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import vocabulary as V
-from docloom.functions.numbers import UNIT
-from docloom.functions.phrases import LINK, Labelled, any_of
+from docloom.functions.numbers import UNIT, amount_in_words
+from docloom.functions.phrases import LINK, Labelled, any_of, loose
 from docloom.functions.text import first_group, fold, let, rx, squeeze
 from docloom.operators.labels import Ways, spans
 
@@ -146,14 +146,36 @@ def tunisian_fields(text: Column) -> Column:
     )
 
 
+#: Currencies behind an amount, words before one, labels of companies, and their legal forms.
+CURRENCIES, AMOUNT_WORDS = ["€", "tnd", "dt", "$", "eur", "usd", "dinars?"], ["total", "montant", "net", "ttc", "ht", "tva"]
+COMPANY_LABELS, COMPANY_FORMS = ["raison sociale", "société", "company", "fournisseur", "vendor"], ["SARL", "SUARL", "SPA", "SA", "SAS", "EURL", "SNC", "CORP", "LTD", "LLC", "INC", "GROUPE", "GROUP"]
+COMPANY_STOPS = ["fodec", "base tva", "tva", "timbre", "taxe", "taxes", "montant", "total ht", "total ttc", "total taxe", "remise", "designation", "quantite", "article", "reference"]
+
+
+def company(name: Column) -> Column:
+    """The name without a stray letter before it; null for less than three characters, words that no company is called, and what is all digits and signs."""
+    fits = lambda v: (F.length(v) >= 3) & ~F.exists(F.array(*map(F.lit, COMPANY_STOPS)), lambda w: F.contains(fold(v), w)) & ~v.rlike("^[\\d\\s\\W_]+$")
+    return let(F.trim(F.regexp_replace(F.trim(name), "^[A-Za-z]\\s+", "")), lambda v: F.when(fits(v), v))
+
+
 def entities(text: Column) -> Column:
-    """Struct of distinct dates, amounts and references in order of their first place, and companies by legal form or, in the first 30 lines, in capitals."""
-    dates = F.regexp_extract_all(text, F.lit(rx(r"\b(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4})\b")), F.lit(1))
-    amounts = F.regexp_extract_all(text, F.lit(rx(r"(\d[\d .,]*\d)\s*(?:DT|TND|€|EUR|dinars?)\b")), F.lit(1))
-    refs = F.regexp_extract_all(text, F.lit("(?U)\\b([A-Z]{2,6}[-/]\\d[\\w\\-/]*)"), F.lit(1))
-    firms = F.regexp_extract_all(text, F.lit("(?U)([A-ZÀ-Ü][\\w&'’.]*(?:[ ][\\w&'’.]+){0,5}[ ](?:SARL|SUARL|SA|SAS|EURL|SNC|LTD|LLC|INC))\\b"), F.lit(1))
-    capitals = F.filter(F.transform(F.slice(F.split(text, "\\r?\\n"), 1, 30), lambda x: F.trim(x)), lambda x: x.rlike("^[A-ZÀ-Ü][A-ZÀ-Ü&'’. ]{3,60}$"))
-    return F.struct(F.array_distinct(dates).alias("dates"), F.array_distinct(amounts).alias("amounts"), F.array_distinct(refs).alias("references"), F.array_distinct(F.when(F.size(firms) > 0, firms).otherwise(capitals)).alias("companies"))
+    """Struct of distinct values in order of their first place. Dates with numbers (day or year first) or a month's name; amounts with a currency, then those behind a word for one, then the amount in words; references; companies by legal form, then behind a label, else lines of the first 30 in capitals."""
+    months = "(?:" + "|".join(map(loose, V.MONTHS)) + ")"
+    dates = F.regexp_extract_all(text, F.lit(rx(rf"\b(?:\d{{1,2}}[/.\-]\d{{1,2}}[/.\-]\d{{2,4}}|\d{{4}}[/.\-]\d{{1,2}}[/.\-]\d{{1,2}}|\d{{1,2}}\s+{months}\s+\d{{4}})\b")), F.lit(0))
+    some = lambda found, least: F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x.rlike(f"\\d{{{least},}}"))
+    told = some(F.regexp_extract_all(text, F.lit(rx(r"(\d[\d  .,]*\d)\s*" + any_of(CURRENCIES) + r"(?![A-Za-z])")), F.lit(1)), 2)
+    behind = some(F.regexp_extract_all(text, F.lit(rx(any_of(AMOUNT_WORDS) + LINK + r"([\d  .,]{4,30})")), F.lit(1)), 3)
+    spelled = let(amount_in_words(text), lambda v: F.when(v.isNotNull(), F.array(v.cast("string"))).otherwise(F.array().cast("array<string>")))
+    refs = F.regexp_extract_all(text, F.lit("(?U)\\b([A-Z]{2,6}[-/]\\d[\\w\\-/]*|[A-Z]{2,5}\\d{3,}(?:[/\\-]\\d+)?)"), F.lit(1))
+    forms = "|".join(COMPANY_FORMS)
+    by_form = F.regexp_extract_all(text, F.lit(f"(?U)([A-ZÀ-Ü][\\w&'’.]*(?:[ ][\\w&'’.]+){{0,5}}[ ](?:{forms}))\\b"), F.lit(1))
+    by_label = F.regexp_extract_all(text, F.lit("(?iuU)" + any_of(COMPANY_LABELS) + r"\s*[:\-]\s*" + "([^\\n]{4,61})"), F.lit(1))
+    capitals = F.filter(F.transform(F.slice(F.split(text, "\\r?\\n"), 1, 30), lambda x: F.regexp_replace(squeeze(x), "^[ \\-:|]+|[ \\-:|]+$", "")), lambda x: x.rlike("^[A-ZÀ-Ü0-9&'’.\\- ]{4,40}$"))
+    named = lambda xs: F.filter(F.transform(xs, company), lambda x: x.isNotNull())
+    # a labelled line that holds a company by its form is that company
+    lines = F.filter(by_label, lambda x: ~F.exists(by_form, lambda f: F.contains(x, f)))
+    firms = let(named(F.concat(by_form, lines)), lambda f: F.when(F.size(f) > 0, f).otherwise(named(capitals)))
+    return F.struct(F.array_distinct(dates).alias("dates"), F.array_distinct(F.concat(told, behind, spelled)).alias("amounts"), F.array_distinct(refs).alias("references"), F.array_distinct(firms).alias("companies"))
 
 
 #: Words before a value that tell its role.

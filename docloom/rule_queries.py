@@ -27,6 +27,25 @@ def each(key: str, values: list) -> Column:
     return F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int"))
 
 
+def among(key: str, said: Column, below: bool = True) -> Column:
+    """A text among lines that say nothing to any rule, whose words, numbers and order change from row to row; null stays null. below: whether some stand behind it."""
+    k = F.col(key).cast("long")
+    line = lambda n: F.concat(F.get(F.array(*map(F.lit, ["page", "dossier", "agent", "suite", "vu par"])), F.pmod(F.xxhash64(k, F.lit(n)), F.lit(5)).cast("int")), F.lit(" "), F.pmod(F.xxhash64(F.lit(n), k), F.lit(90)).cast("string"))
+    before, after = F.pmod(F.xxhash64(k), F.lit(3)), F.pmod(F.xxhash64(k, F.lit("after")), F.lit(3 if below else 1))
+    lines = lambda n, shift: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < n, line(i + shift)))
+    return F.when(said.isNotNull(), F.array_join(F.array_compact(F.concat(lines(before, 0), F.array(said), lines(after, 10))), "\n"))
+
+
+def lettered(key: str) -> Column:
+    """A name of letters for each key: its digits as letters."""
+    return F.initcap(F.translate(F.col(key).cast("string"), "0123456789", "bcdfglmnrt"))
+
+
+def lettered_sql(key: str) -> str:
+    x = f"translate({key}::VARCHAR, '0123456789', 'bcdfglmnrt')"
+    return f"(upper(substr({x}, 1, 1)) || substr({x}, 2))"
+
+
 PRICE = "round(l_extendedprice, 2)"
 
 
@@ -103,15 +122,23 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PARTIES = [("Acier Tunisie SARL", "Acier Tunisie SARL"), ("signature", None), ("Acier (Tunis)", None), ("OT OLEO TECHNO", "OLEO TECHNO"), ("aCieR tUnIs", None), ("A 12345 B", None), ("Bon pour aval", None)]
-DRAWEES = [("agence BIAT Tunis", "BIAT"), ("Fonds Alpha", "Fonds Alpha"), ("xy", None)]
-COMPANIES = [("Alpha", True), ("TVA 19", False), ("12 34", False), ("ab", False)]
+#: What a party is called around a name ({}), and what is taken of it; null where it is none.
+PARTIES = [("Acier {} SARL", "Acier {} SARL"), ("signature", None), ("Acier ({})", None), ("OT OLEO TECHNO", "OLEO TECHNO"), ("aCi{}eR tUnIs", None), ("{} 12345 B", None), ("Bon pour aval {}", None), ("Acier {} x Tunisie Sud", "Acier {} Tunisie Sud")]
+DRAWEES = [("agence BIAT {}", "BIAT"), ("Fonds {}", "Fonds {}"), ("xy", None)]
+COMPANIES = [("Alpha {}", True), ("TVA 19 {}", False), ("12 34", False), ("ab", False)]
+
 
+def put_in(texts: list[str | None], key: str) -> Column:
+    """The text at the key's remainder, with the key's name in it."""
+    return F.replace(each(key, texts), F.lit("{}"), lettered(key))
 
-@query(f"SELECT c_custkey AS id, {one_of('c_custkey', [p[1] for p in PARTIES])} AS party, {one_of('c_custkey', [p[1] for p in DRAWEES])} AS drawee, {one_of('c_custkey', [c[1] for c in COMPANIES])} AS company, lpad(((c_custkey * 7919) % 10000000)::VARCHAR, 8, '0') AS cheque FROM customer")
+
+@query(f"SELECT c_custkey AS id, replace({one_of('c_custkey', [p[1] for p in PARTIES])}, '{{}}', {lettered_sql('c_custkey')}) AS party, replace({one_of('c_custkey', [p[1] for p in DRAWEES])}, '{{}}', {lettered_sql('c_custkey')}) AS drawee, {one_of('c_custkey', [c[1] for c in COMPANIES])} AS company, lpad(((c_custkey * 7919) % 10000000)::VARCHAR, 8, '0') AS cheque FROM customer")
 def party_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.concat(F.lit("9"), F.lpad(((F.col("c_custkey") * 7919) % 10000000).cast("string"), 7, "0"))
-    return spread(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), payments.plausible_party(each("c_custkey", [p[0] for p in PARTIES]), "tireur").alias("party"), payments.plausible_party(each("c_custkey", [p[0] for p in DRAWEES]), "tire").alias("drawee"), payments.company_name(each("c_custkey", [c[0] for c in COMPANIES])).alias("company"), payments.cheque_number(number).alias("cheque"))
+    k = "c_custkey"
+    number = F.concat(F.lit("9"), F.lpad(((F.col(k) * 7919) % 10000000).cast("string"), 7, "0"))
+    of = lambda rows: put_in([x[0] for x in rows], k)
+    return spread(spark, sf_dir, "customer").select(F.col(k).alias("id"), payments.plausible_party(of(PARTIES), "tireur").alias("party"), payments.plausible_party(of(DRAWEES), "tire").alias("drawee"), payments.company_name(of(COMPANIES)).alias("company"), payments.cheque_number(number).alias("cheque"))
 
 
 SUBSTRINGS = [("acture 12", "facture"), ("BL N° 4, bordereau", "bon_livraison"), ("chque, rib", "cheque"), ("Bon de commande", "bon_commande"), ("rien", "inconnu")]
@@ -129,8 +156,8 @@ def class_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "o_orderkey"
     image = [each(k, [x[n] for x in IMAGES]) for n in range(3)]
     return spread(spark, sf_dir, "orders").select(
-        F.col(k).alias("doc_id"), classify.by_substrings(each(k, [x[0] for x in SUBSTRINGS])).alias("by_substrings"), classify.other_type(each(k, [x[0] for x in NO_PAYMENT])).alias("no_payment"), classify.from_fields(F.create_map(each(k, [x[0] for x in KEYED]), F.lit("1"))).alias("keyed"),
-        classify.image_quality(*image).alias("image"), classify.accepted(each(k, ["Bon pour accord", "refus"])).alias("accepted"), classify.band(each(k, [80, 60, 59])).alias("band"), forms.final_sheet_type(each(k, [x[0] for x in SHEETS]), each(k, [x[1] for x in SHEETS]), ["bom"], 2).alias("sheet"),
+        F.col(k).alias("doc_id"), classify.by_substrings(among(k, each(k, [x[0] for x in SUBSTRINGS]))).alias("by_substrings"), classify.other_type(among(k, each(k, [x[0] for x in NO_PAYMENT]))).alias("no_payment"), classify.from_fields(F.create_map(each(k, [x[0] for x in KEYED]), F.lit("1"))).alias("keyed"),
+        classify.image_quality(*image).alias("image"), classify.accepted(among(k, each(k, ["Bon pour accord", "refus"]))).alias("accepted"), classify.band(each(k, [80, 60, 59])).alias("band"), forms.final_sheet_type(each(k, [x[0] for x in SHEETS]), each(k, [x[1] for x in SHEETS]), ["bom"], 2).alias("sheet"),
     )
 
 
@@ -149,9 +176,10 @@ SELECT o_orderkey AS doc_id, {one_of("o_orderkey", [x[5] for x in PAYMENTS])} AS
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "o_orderkey"
     of = lambda rows, n: each(k, [x[n] for x in rows])
+    text_of = lambda rows, n=0: among(k, of(rows, n))
     return spread(spark, sf_dir, "orders").select(
-        F.col(k).alias("doc_id"), classify.payment_gate(*[of(PAYMENTS, n) for n in range(5)])["reason"].alias("payment"), classify.item_gate(*[of(ITEMS, n) for n in range(3)])["doc_type"].alias("item"),
-        classify.bill_gate(of(BILLS, 0), of(BILLS, 1))["doc_type"].alias("bill"), classify.invoice_gate(of(INVOICES, 0), of(INVOICES, 1))["doc_type"].alias("invoice"),
+        F.col(k).alias("doc_id"), classify.payment_gate(text_of(PAYMENTS), *[of(PAYMENTS, n) for n in range(1, 5)])["reason"].alias("payment"), classify.item_gate(text_of(ITEMS), of(ITEMS, 1), of(ITEMS, 2))["doc_type"].alias("item"),
+        classify.bill_gate(text_of(BILLS), text_of(BILLS, 1))["doc_type"].alias("bill"), classify.invoice_gate(text_of(INVOICES), text_of(INVOICES, 1))["doc_type"].alias("invoice"),
     )
 
 
@@ -162,7 +190,7 @@ GROUPS = [("Catégorie : CONS", "Consommables"), ("Item Group : Peintures (bleu)
 def item_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Réf. : R-"), "p_partkey", F.lit("\nPrix : "), "p_partkey", F.lit(",5"))
     basic = sheets.basic_item(said)
-    return spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), sheets.item_group(each("p_partkey", [g[0] for g in GROUPS]))["group"].alias("item_group"), basic["item_code"]["value"].alias("basic_code"), basic["standard_rate"]["value"].alias("basic_rate"))
+    return spread(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), sheets.item_group(among("p_partkey", each("p_partkey", [g[0] for g in GROUPS]), False))["group"].alias("item_group"), basic["item_code"]["value"].alias("basic_code"), basic["standard_rate"]["value"].alias("basic_rate"))
 
 
 #: By kind of value: what stands behind a label, and what must be read, around the part's key.
@@ -353,22 +381,28 @@ def enriched_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("e")["fournisseur"]["value"].alias("supplier"), F.col("e")["date"]["value"].alias("day"), F.col("e")["montant_ttc"]["value"].alias("gross"), F.col("e")["montant_ttc"]["confidence"].alias("confidence"), F.col("e")["numero_facture"]["value"].alias("number"))
 
 
-NET = "round(o_totalprice, 2)"
-
-
-@query(f"""
-SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN {NET} WHEN 1 THEN round({NET} + 19 - 19, 3) ELSE {NET} END AS net, {NET} AS form_net, 33 AS share, TRUE AS applied, 'b' || o_orderkey AS alias, 'b' || o_orderkey AS first, CASE WHEN o_orderkey % 2 = 0 THEN 'Validé' ELSE 'Validation requise' END AS status,
-  (o_orderkey + 0.5)::DOUBLE::VARCHAR AS coerced, CASE WHEN {NET} / 1000.0 > 100 THEN 1000.0 ELSE greatest({NET}, 1000.0) END AS merged_gross FROM orders
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, round(o_totalprice, 2) AS n FROM orders)
+SELECT k AS doc_id, CASE WHEN k % 3 = 1 THEN round(round(n + 19, 2) - 19, 3) ELSE n END AS net, CASE WHEN k % 2 = 0 THEN n WHEN k % 5 = 0 THEN 0.0 ELSE round(round(n + 19, 2) - 19, 3) END::DOUBLE AS form_net, CASE WHEN k % 5 <> 0 THEN 19.0 WHEN k % 2 = 0 THEN round(round(n + 19, 2) - n, 3) ELSE 0.0 END::DOUBLE AS form_tax,
+  CASE WHEN c % 9 > 0 THEN 100 * (k % 7) // (c % 9) ELSE k % 100 END::INT AS share, CASE WHEN c % 9 > 0 THEN 100 * (k % 7) // (c % 9) ELSE k % 100 END >= 30 AS applied, CASE WHEN k % 4 = 0 THEN NULL ELSE 'b' || k END AS alias, CASE WHEN k % 3 = 0 THEN 'x' || c ELSE 'b' || k END AS first,
+  CASE WHEN k % 6 >= 3 THEN 'Validé' ELSE 'Validation requise' END AS status, CASE k % 5 WHEN 0 THEN (k + 0.5)::DOUBLE::VARCHAR WHEN 1 THEN k::VARCHAR WHEN 2 THEN (DATE '2024-01-01' + (c % 300)::INT)::VARCHAR WHEN 3 THEN CASE WHEN c % 2 = 0 THEN '1' ELSE '0' END ELSE 'mot ' || k END AS coerced,
+  CASE k % 3 WHEN 0 THEN n * 2 ELSE n END::DOUBLE AS merged_gross FROM o
 """)
 def check_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, n = F.col("o_orderkey"), F.round("o_totalprice", 2)
-    net = checks.net_amount(F.when(k % 3 == 0, n).otherwise(0.0), F.when(k % 3 == 1, n + 19).otherwise(n), F.when(k % 3 == 1, 19.0).otherwise(0.0))
-    share = checks.matched_share(F.lit(1), F.lit(3))
+    k, c, n = F.col("o_orderkey"), F.col("o_custkey"), F.round("o_totalprice", 2)
+    gross = F.round(n + 19, 2)
+    net = checks.net_amount(F.when(k % 3 == 0, n).otherwise(0.0), F.when(k % 3 == 1, gross).otherwise(n), F.when(k % 3 == 1, 19.0).otherwise(0.0))
+    form = checks.derived_on_form(F.when(k % 2 == 0, n).otherwise(0.0), F.when(k % 5 == 0, 0.0).otherwise(19.0), gross)
+    share = checks.matched_share(k % 7, c % 9, k % 100)
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    fields = F.map_from_arrays(F.array(F.when(k % 2 == 0, "x").otherwise("y")), F.array(F.when(k % 4 == 0, "").otherwise(said("b", k))))
+    kind = each("o_orderkey", ["Float", "Int", "Date", "Check", "Data"])
+    value = F.when(k % 5 == 0, said(k, ",50")).when(k % 5 == 1, said(k, ",00")).when(k % 5 == 2, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (c % 300).cast("int")), "dd/MM/yyyy")).when(k % 5 == 3, F.when(c % 2 == 0, " Oui").otherwise("non")).otherwise(said(" mot ", k))
     reading = lambda g: F.struct(F.lit(None).cast("double").alias("net"), F.lit(None).cast("double").alias("tax"), g.alias("gross"))
+    other = F.when(k % 3 == 0, n * 2).when(k % 3 == 1, n * 1000)
     return spread(spark, sf_dir, "orders").select(
-        k.alias("doc_id"), net.alias("net"), checks.derived_on_form(F.lit(0.0), F.lit(19.0), n + 19)["net"].alias("form_net"), share["confidence"].alias("share"), share["applied"].alias("applied"),
-        checks.first_present(F.create_map(F.lit("y"), F.concat(F.lit("b"), k)), ["x", "y"]).alias("alias"), checks.precedence(F.lit(""), F.lit("0"), F.concat(F.lit("b"), k)).alias("first"), checks.final_status(F.when(k % 2 == 0, 3).otherwise(2)).alias("status"),
-        checks.coerced(F.lit("Float"), F.concat(k.cast("string"), F.lit(",50"))).alias("coerced"), checks.merged_totals(reading(n), reading(F.lit(1000.0)))["gross"].alias("merged_gross"),
+        k.alias("doc_id"), net.alias("net"), form["net"].alias("form_net"), form["tax"].alias("form_tax"), share["confidence"].alias("share"), share["applied"].alias("applied"), checks.first_present(fields, ["x", "y"]).alias("alias"),
+        checks.precedence(F.lit(""), F.when(k % 3 == 0, said("x", c)).otherwise("0"), said("b", k)).alias("first"), checks.final_status(k % 6).alias("status"), checks.coerced(kind, value).alias("coerced"), checks.merged_totals(reading(n), reading(other))["gross"].alias("merged_gross"),
     )
 
 
@@ -529,14 +563,18 @@ MAGIC = [("pdf", "255044462D312E34", "pdf"), ("bin", "89504E470D0A1A0A", "png"),
 
 
 @query(f"""
-SELECT o_orderkey AS id, {one_of("o_orderkey", [m[2] for m in MAGIC])} AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'too small' WHEN o_orderkey % 5 = 4 THEN 'unknown type' END AS refused, CASE o_orderkey % 4 WHEN 0 THEN 'pdf_text' WHEN 1 THEN 'fast' WHEN 2 THEN 'paddle' ELSE 'slow' END AS engine,
-  CASE o_orderkey % 4 WHEN 0 THEN 95 WHEN 1 THEN 75 WHEN 2 THEN 85 ELSE 65 END AS score FROM orders
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
+e AS (SELECT k, c, CASE WHEN k % 101 > 50 THEN 'pdf_text' WHEN k % 41 > 20 THEN 'fast' WHEN c % 13 > greatest(k % 41, c % 7) THEN 'paddle' ELSE 'slow' END AS engine FROM o)
+SELECT k AS id, {one_of("k", [m[2] for m in MAGIC])} AS kind, CASE WHEN c % 4096 < 2048 THEN 'too small' WHEN k % 5 = 4 THEN 'unknown type' END AS refused, engine, CASE engine WHEN 'pdf_text' THEN 95 WHEN 'fast' THEN 75 WHEN 'paddle' THEN 85 ELSE 65 END AS score FROM e
 """)
 def upload_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(
-        k.alias("id"), F.concat(F.lit("/in/f"), k, F.lit("."), each("o_orderkey", [m[0] for m in MAGIC])).alias("path"), F.unhex(each("o_orderkey", [m[1] for m in MAGIC])).alias("content"), F.when(k % 3 == 0, 100).otherwise(5000).cast("long").alias("length"),
-        F.when(k % 4 == 0, F.repeat(F.lit("x"), F.lit(51))).alias("pdf_text"), F.repeat(F.lit("mot "), F.when(k % 4 == 1, 21).otherwise(3)).alias("fast_text"), F.lit(None).cast("string").alias("sharp_text"), F.repeat(F.lit("mot "), F.when(k % 4 == 2, 9).otherwise(1)).alias("other_text"),
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    words = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("mot"), i)).otherwise("")), " ")
+    # other bytes behind the first ones that tell the format
+    content = F.concat(F.unhex(each("o_orderkey", [m[1] for m in MAGIC])), F.unhex(F.md5(k.cast("string"))))
+    rows = spread(spark, sf_dir, "orders").select(
+        k.alias("id"), F.concat(F.lit("/in/f."), k, F.lit("."), each("o_orderkey", [m[0] for m in MAGIC])).alias("path"), content.alias("content"), (c % 4096).cast("long").alias("length"),
+        F.repeat(F.lit("x"), (k % 101).cast("int")).alias("pdf_text"), words(k % 41).alias("fast_text"), words(c % 7).alias("sharp_text"), words(c % 13).alias("other_text"),
     )
     return files.chosen_text(files.intake(rows)).select("id", "kind", "refused", "engine", F.col("ocr_score").alias("score"))
 

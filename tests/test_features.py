@@ -152,6 +152,23 @@ def test_draft_numbers(spark, said, number):
     assert one(spark, payments.drawer_company(F.lit("LETTRE\nAcier 12 SARL\nx"))) == "Acier  SARL"
 
 
+@pytest.mark.parametrize(
+    ("said", "found"),
+    [
+        ("Le 01/02/2024, 2024-03-01 et 3 février 2024, encore 01/02/2024", (["01/02/2024", "2024-03-01", "3 février 2024"], [], [], [])),
+        ("Payer 1 250,500 DT\nTotal : 2 500\n12 €", ([], ["1 250,500", "12", "2 500"], [], [])),
+        ("la somme de deux mille dinars", ([], ["2000.0"], [], [])),
+        ("FAC-12 et BL1234/5", ([], [], ["FAC-12", "BL1234/5"], [])),
+        ("A Acier du Sud SARL\nSociété : Beta Trading\nFournisseur : Montant HT", ([], [], [], ["Acier du Sud SARL", "Beta Trading"])),
+        ("FORTI STORE\nTVA\nx", ([], [], [], ["FORTI STORE"])),
+        ("", ([], [], [], [])),
+    ],
+)
+def test_entities(spark, said, found):
+    got = one(spark, fields.entities(F.lit(said)))
+    assert (got.dates, got.amounts, got.references, got.companies) == found
+
+
 # roles
 
 
