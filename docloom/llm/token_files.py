@@ -45,9 +45,12 @@ MAGIC = b"DLTOKEN1"
 BLOCK = 4096
 #: Share of a block's values that its width must hold.
 PERCENTILE = 95
-#: Stretches of text that a worker remembers at most; then it starts anew.
+#: Stretches of text of one generation that a worker remembers, about; it keeps two.
 REMEMBERED = 1_300_000
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(40)]
 HEAD = struct.Struct("<IBI")
+#: Begins what is known as it stands; texts with it are split by BORDER.
+MARK = "\x01"
 #: White space other than the space and the line feed.
 OTHER_BLANKS = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
 #: A letter, then signs to the end of a stretch: the pre-tokenizer always splits there.
@@ -181,26 +184,47 @@ class StretchEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def stretches(self, text: str) -> list[str]:
+    @staticmethod
+    def key(stretch: str) -> str:
+        """What a stretch is known by: without the blank that most begin with; with a mark if another one could be taken for it."""
+        if stretch[:1] == " " and stretch[1:2] not in ("\n", MARK):
+            return stretch[1:]
+        return stretch if stretch[:1] == "\n" else MARK + stretch
+
+    @staticmethod
+    def stretch(key: str) -> str:
+        return key[1:] if key[:1] == MARK else key if key[:1] == "\n" else " " + key
+
+    def keys(self, text: str) -> list[str]:
+        """The keys of a text's stretches, in order."""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_BLANKS.search(text):
-            return BORDER.split(text)
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")
+            return list(map(self.key, BORDER.split(text)))
+        found = text.replace("\n", " \n").split(" ")
+        found[0] = self.key(found[0])
+        return found
 
     def learn(self, rest: list[str]) -> None:
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
-            for x, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for x, e in zip(part, self.lib.encode_batch_fast(list(map(self.stretch, part)), add_special_tokens=False), strict=True):
                 ids = e.ids
-                self.known[x] = struct.pack(f"<{len(ids)}I", *ids)
+                self.known[x] = PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def recall(self, new: set[str]) -> set[str]:
+        """What is not known of new keys; those of the older generation are taken over, so that frequent ones stay when it goes."""
+        found = self.older.keys() & new
+        self.known.update((x, self.older[x]) for x in found)
+        return new - found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
         out: list[bytes] = []
         waiting, new = [], set()
+        look = self.known.get
         for text in texts:
-            parts = self.stretches(text)
-            found = list(map(known.get, parts))
+            parts = self.keys(text)
+            found = list(map(look, parts))
             try:
                 out.append(b"".join(found))
             except TypeError:
@@ -208,10 +232,13 @@ class StretchEncoder:
                 new.update([parts[k] for k in gaps])
                 waiting.append((len(out), parts, found, gaps))
                 out.append(b"")
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        ended = {x: m.groups() for x in new if "|>" not in x and (m := TAIL.fullmatch(x))}
-        self.learn(list({y for x in new for y in ended.get(x, (x,)) if y not in known}))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = self.recall(new)
+        # signs at the end of a stretch are told apart from its word; what begins with a mark or a line is rare
+        ended = {x: (m[1], MARK + m[2]) for x in new if not x[-1:].isalnum() and "|>" not in x and (m := TAIL.fullmatch(x))}
+        known = self.known
+        self.learn(list(self.recall({y for x in new for y in ended.get(x, (x,)) if y not in known})))
         for x, (word, signs) in ended.items():
             known[x] = known[word] + known[signs]
         for at, parts, found, gaps in waiting:
