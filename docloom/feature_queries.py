@@ -183,16 +183,16 @@ def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey AS page, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))::INT AS line, 'REF' || l_partkey AS reference, 'Tube acier ' || l_suppkey AS designation,
-  CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE l_quantity END::INT AS qty, round(l_extendedprice / 1000, 2) AS rate, CASE WHEN l_linenumber % 3 = 0 THEN round(l_extendedprice / 1000, 2) ELSE round(l_quantity * round(l_extendedprice / 1000, 2), 2) END AS amount FROM lineitem
+  CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE l_quantity END::INT AS qty, ((1 + l_partkey % 4000) / 4.0)::DOUBLE AS rate, ((1 + l_partkey % 4000) / 4.0 * CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE l_quantity::INT END)::DOUBLE AS amount FROM lineitem
 """)
 def box_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with boxes, put to lines by height and to columns by the gaps that all lines leave; every third line has no quantity."""
     from pyspark.sql import Window
 
-    k, price = F.col("l_orderkey"), F.round(F.col("l_extendedprice") / 1000, 2)
+    k, price = F.col("l_orderkey"), (1 + F.col("l_partkey") % 4000) / 4.0
     line = table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     third = F.col("l_linenumber") % 3 == 0
-    amount = F.when(third, price).otherwise(F.round(F.col("l_quantity") * price, 2))
+    amount = F.when(third, price).otherwise(F.col("l_quantity").cast("int") * price)
     # words of a line stand at slightly different heights, and shift from page to page
     box = lambda x, w, dy, word: F.struct((F.lit(x) + k % 7).alias("x0"), (20 * F.col("line") + dy).alias("y0"), (F.lit(x) + k % 7 + w).alias("x1"), (20 * F.col("line") + dy + 10).alias("y1"), word.alias("word"))
     number = lambda v: F.translate(F.format_string("%.2f", v), ".", ",")
