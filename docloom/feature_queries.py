@@ -10,7 +10,7 @@ from docloom.functions import vocabulary as V
 from docloom.operators import classify, documents, fields, fleet, grid, payments, roles, sheets
 from docloom.plans import invoices, worker
 from docloom.plans.steps import Steps
-from docloom.queries import STORED, query, spread, stored, table
+from docloom.queries import STORED, query, spread, stored, table, together
 from docloom.sources import shared, workbooks
 from docloom.sources.store import DocumentStore
 from docloom.streaming import intake
@@ -190,16 +190,16 @@ def box_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     k, price = F.col("l_orderkey"), (1 + F.col("l_partkey") % 4000) / 4.0
-    line = table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    line = together(spark, sf_dir, "lineitem", "l_orderkey").withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     third = F.col("l_linenumber") % 3 == 0
     amount = F.when(third, price).otherwise(F.col("l_quantity").cast("int") * price)
     # words of a line stand at slightly different heights, and shift from page to page
     box = lambda x, w, dy, word: F.struct((F.lit(x) + k % 7).alias("x0"), (20 * F.col("line") + dy).alias("y0"), (F.lit(x) + k % 7 + w).alias("x1"), (20 * F.col("line") + dy + 10).alias("y1"), word.alias("word"))
     number = lambda v: F.translate(F.format_string("%.2f", v), ".", ",")
     words = F.array(box(10, 60, 0, say("REF", F.col("l_partkey"))), box(100, 40, 1, F.lit("Tube")), box(146, 44, -1, F.lit("acier")), box(196, 30, 2, F.col("l_suppkey").cast("string")), box(260, 30, 0, F.when(third, "").otherwise(F.col("l_quantity").cast("int").cast("string"))), box(320, 50, 1, number(price)), box(420, 60, -2, number(amount)))
-    # the headings of a table's columns are wide enough to keep each apart on every page
+    # the headings of a table's columns are wide enough to keep each apart on every page; they come with a page's first line
     heads = F.array(*[F.struct((F.lit(x) + k % 7).alias("x0"), F.lit(0).alias("y0"), (F.lit(x) + k % 7 + w).alias("x1"), F.lit(10).alias("y1"), F.lit(h).alias("word")) for x, w, h in ((10, 60, "Référence"), (100, 120, "Désignation"), (260, 30, "Qté"), (320, 50, "P.HT"), (420, 60, "Montant"))])
-    boxes = line.select(k.alias("page"), F.inline(words)).where("word <> ''").unionByName(line.select("l_orderkey").distinct().select(k.alias("page"), F.inline(heads)))
+    boxes = line.select(k.alias("page"), F.inline(F.when(F.col("line") == 1, F.concat(heads, words)).otherwise(words))).where("word <> ''")
     return grid.invoice_table(grid.cells_of_boxes(boxes)).select("page", F.col("r").alias("line"), "reference", "designation", "qty", "rate", "amount")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.numbers import amount_cell
-from docloom.functions.text import fold, rx, squeeze
+from docloom.functions.text import fold, let, once, rx, squeeze
 from docloom.operators.contains import either_holds
 
 SHEET = ["file", "sheet"]
@@ -135,18 +135,18 @@ def separators(positions: Column, tolerance: int = 10) -> Column:
 
 
 def sessions(df: DataFrame, keys: list[str], start: Column, end: Column, tolerance: float, name: str) -> DataFrame:
-    """df with the number, from 0, of the run that a row's stretch lies in: a gap of more than the tolerance behind all stretches before it begins a new one. Equal stretches are one before the windows, so that a page's rows are never one list."""
+    """df with the number, from 0, of the run that a row's stretch lies in: a gap of more than the tolerance behind all stretches before it begins a new one. Equal stretches are one. Windows over the keys only, so that rows that lie together by them stay where they are, and a page's rows are never one list."""
     rows = df.withColumns({"_a": start, "_z": end})
     ahead = Window.partitionBy(*keys).orderBy("_a", "_z")
-    reach = F.max("_z").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
-    once = rows.select(*keys, "_a", "_z").distinct()
-    cut = once.withColumn("_new", F.coalesce((F.col("_a") - reach > tolerance).cast("int"), F.lit(0)))
-    numbered = cut.withColumn(name, F.sum("_new").over(ahead.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
-    return rows.join(numbered, [*keys, "_a", "_z"]).drop("_a", "_z")
+    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    same = F.lag("_a").over(ahead).eqNullSafe(F.col("_a")) & F.lag("_z").over(ahead).eqNullSafe(F.col("_z")) & (F.row_number().over(ahead) > 1)
+    rows = rows.withColumns({"_reach": F.max("_z").over(before), "_same": same})
+    new = F.when(F.col("_same"), 0).otherwise(F.coalesce((F.col("_a") - F.col("_reach") > tolerance).cast("int"), F.lit(0)))
+    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(ahead.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_a", "_z", "_reach", "_same", "_new")
 
 
 def cells_of_boxes(words: DataFrame, page: str = "page", line_gap: float = 4, column_gap: float = 14) -> DataFrame:
-    """(page, r, c, v) from words with their boxes (page, x0, y0, x1, y1, word): rows are runs of words by height, columns are runs of the whole page by width, so that a gap that all lines leave parts two columns; a cell's words stand from left to right."""
+    """(page, r, c, v) from words with their boxes (page, x0, y0, x1, y1, word): rows are runs of words by height, columns are runs of the whole page by width, so that a gap that all lines leave parts two columns; a cell's words stand from left to right. Words travel once at most, to their page."""
     lined = sessions(words, [page], F.col("y0"), F.col("y1"), line_gap, "r")
     placed = sessions(lined, [page], F.col("x0"), F.col("x1"), column_gap, "c")
     said = placed.groupBy(page, "r", "c").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", "word"))).alias("_w"))
@@ -159,15 +159,18 @@ TABLE_COLUMNS = {7: ["reference", "designation", "qty", "rate", "tax", "discount
 
 def invoice_table(cells: DataFrame, page: str = "page") -> DataFrame:
     """(page, r, reference, designation, qty, rate, amount) of the rows of an invoice's table, its columns named by their number. Rows need an amount and a reference of two characters or a designation of three, and are no headings. A quantity that lacks is the amount by the rate, else one; a rate that lacks is the amount by the quantity."""
-    width = cells.groupBy(page).agg((F.max("c") + 1).alias("_width"))
+    # a window over the pages, on which the cells lie together already
+    wide = cells.withColumn("_width", F.max("c").over(Window.partitionBy(page)) + 1).where("_width >= 3")
     names = F.create_map(*[x for n, ns in TABLE_COLUMNS.items() for x in (F.lit(n), F.array(*map(F.lit, ns)))])
-    named = cells.join(width.where("_width >= 3"), page).withColumn("field", F.get(F.try_element_at(names, F.least("_width", F.lit(7))), F.col("c"))).where("field is not null")
-    rows = named.groupBy(page, "r").agg(F.map_from_entries(F.collect_list(F.struct("field", F.trim("v").alias("v")))).alias("_v"))
-    v = lambda n: F.coalesce(F.try_element_at("_v", F.lit(n)), F.lit(""))
+    named = wide.withColumn("field", F.get(F.try_element_at(names, F.least("_width", F.lit(7))), F.col("c"))).where("field is not null")
+    fields = ["reference", "designation", "qty", "rate", "amount"]
+    rows = named.groupBy(page, "r").agg(*[F.coalesce(F.max(F.when(F.col("field") == n, F.trim("v"))), F.lit("")).alias(f"_{n}") for n in fields])
+    v = lambda n: F.col(f"_{n}")
     heading = F.concat_ws(" ", v("reference"), v("designation")).rlike(rx("r[ée]f[ée]rence|d[ée]signation|qt[ée]|p\\.?ht"))
     kept = rows.where(~heading & ((F.length(v("designation")) >= 3) | (F.length(v("reference")) >= 2)))
-    number = lambda n: F.when(amount_cell(v(n)) > 0, amount_cell(v(n)))
-    kept = kept.select(page, "r", v("reference").alias("reference"), v("designation").alias("designation"), number("qty").alias("_qty"), number("rate").alias("_rate"), number("amount").alias("amount")).where("amount is not null")
+    number = lambda n: let(amount_cell(v(n)), lambda x: F.when(x > 0, x))
+    kept = once(kept, {"qty_": number("qty"), "rate_": number("rate"), "amount": number("amount")}).where("amount is not null")
+    kept = kept.select(page, "r", v("reference").alias("reference"), v("designation").alias("designation"), F.col("qty_").alias("_qty"), F.col("rate_").alias("_rate"), "amount")
     qty = F.coalesce("_qty", F.when(F.col("_rate").isNotNull(), F.round(F.col("amount") / F.col("_rate"))), F.lit(1.0))
     kept = kept.withColumn("_q", qty)
     rate = F.coalesce("_rate", F.when(F.col("_q") > 0, F.round(F.col("amount") / F.col("_q"), 3)), "amount")

@@ -41,6 +41,11 @@ def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.spread(table(spark, sf_dir, name))
 
 
+def together(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table by keys, where each row gives many."""
+    return tables.together(table(spark, sf_dir, name), *keys)
+
+
 NET = "o_totalprice::DECIMAL(18,3)"
 TAX = f"({NET} * 0.19::DECIMAL(3,2))::DECIMAL(18,3)"
 

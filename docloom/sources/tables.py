@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,8 +11,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a partition at most, where work on rows is long or each gives many.
+ROWS = 50_000
+
+
+def portions(rows: DataFrame) -> int:
+    """Into how many partitions the rows of a scan go: one for each core at least, none of more than ROWS. The count reads the files' footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / ROWS))
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """rows of a scan in as many partitions as there are cores at least. Reading texts costs far more than moving them, and a small file is one partition whatever cores stand idle; a large table has more partitions than cores and is not shuffled."""
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+    """rows of a scan in partitions that are no long work. Reading texts costs far more than moving them: a small file is one partition whatever cores stand idle, and one of narrow rows holds millions; a scan that has as many partitions is not shuffled."""
+    n = portions(rows)
+    return rows.repartition(n) if rows._jdf.queryExecution().toRdd().getNumPartitions() < n else rows
+
+
+def together(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows of a scan by keys, in partitions of a bounded number of rows (but for the rows of one key), which keep their number although their rows are narrow: what is made of them is wider."""
+    return rows.repartition(portions(rows), *keys)
