@@ -155,9 +155,12 @@ SELECT o_orderkey AS doc_id, {one_of("o_orderkey", [x[1] for x in SUBSTRINGS])}
 def class_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "o_orderkey"
     image = [each(k, [x[n] for x in IMAGES]) for n in range(3)]
-    return spread(spark, sf_dir, "orders").select(
-        F.col(k).alias("doc_id"), classify.by_substrings(among(k, each(k, [x[0] for x in SUBSTRINGS]))).alias("by_substrings"), classify.other_type(among(k, each(k, [x[0] for x in NO_PAYMENT]))).alias("no_payment"), classify.from_fields(F.create_map(each(k, [x[0] for x in KEYED]), F.lit("1"))).alias("keyed"),
-        classify.image_quality(*image).alias("image"), classify.accepted(among(k, each(k, ["Bon pour accord", "refus"]))).alias("accepted"), classify.band(each(k, [80, 60, 59])).alias("band"), forms.final_sheet_type(each(k, [x[0] for x in SHEETS]), each(k, [x[1] for x in SHEETS]), ["bom"], 2).alias("sheet"),
+    said = {"_substrings": [x[0] for x in SUBSTRINGS], "_other": [x[0] for x in NO_PAYMENT], "_accord": ["Bon pour accord", "refus"]}
+    # the texts are made once, though rules name them often
+    rows = text.once(spread(spark, sf_dir, "orders").select(k), {n: among(k, each(k, v)) for n, v in said.items()})
+    return rows.select(
+        F.col(k).alias("doc_id"), classify.by_substrings(F.col("_substrings")).alias("by_substrings"), classify.other_type(F.col("_other")).alias("no_payment"), classify.from_fields(F.create_map(each(k, [x[0] for x in KEYED]), F.lit("1"))).alias("keyed"),
+        classify.image_quality(*image).alias("image"), classify.accepted(F.col("_accord")).alias("accepted"), classify.band(each(k, [80, 60, 59])).alias("band"), forms.final_sheet_type(each(k, [x[0] for x in SHEETS]), each(k, [x[1] for x in SHEETS]), ["bom"], 2).alias("sheet"),
     )
 
 
@@ -176,10 +179,13 @@ SELECT o_orderkey AS doc_id, {one_of("o_orderkey", [x[5] for x in PAYMENTS])} AS
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "o_orderkey"
     of = lambda rows, n: each(k, [x[n] for x in rows])
-    text_of = lambda rows, n=0: among(k, of(rows, n))
-    return spread(spark, sf_dir, "orders").select(
-        F.col(k).alias("doc_id"), classify.payment_gate(text_of(PAYMENTS), *[of(PAYMENTS, n) for n in range(1, 5)])["reason"].alias("payment"), classify.item_gate(text_of(ITEMS), of(ITEMS, 1), of(ITEMS, 2))["doc_type"].alias("item"),
-        classify.bill_gate(text_of(BILLS), text_of(BILLS, 1))["doc_type"].alias("bill"), classify.invoice_gate(text_of(INVOICES), text_of(INVOICES, 1))["doc_type"].alias("invoice"),
+    said = {"_payment": of(PAYMENTS, 0), "_item": of(ITEMS, 0), "_bill": of(BILLS, 0), "_bill2": of(BILLS, 1), "_invoice": of(INVOICES, 0), "_invoice2": of(INVOICES, 1)}
+    # the texts are made once, though rules name them often
+    rows = text.once(spread(spark, sf_dir, "orders").select(k), {n: among(k, v) for n, v in said.items()})
+    t = lambda n: F.col(f"_{n}")
+    return rows.select(
+        F.col(k).alias("doc_id"), classify.payment_gate(t("payment"), *[of(PAYMENTS, n) for n in range(1, 5)])["reason"].alias("payment"), classify.item_gate(t("item"), of(ITEMS, 1), of(ITEMS, 2))["doc_type"].alias("item"),
+        classify.bill_gate(t("bill"), t("bill2"))["doc_type"].alias("bill"), classify.invoice_gate(t("invoice"), t("invoice2"))["doc_type"].alias("invoice"),
     )
 
 

@@ -37,3 +37,18 @@ def test_partitions_grow_with_the_rows(spark, tmp_path):
     rows = tables.read(spark, str(tmp_path), "t")
     assert tables.spread(rows).rdd.getNumPartitions() == 5
     assert tables.together(rows, "id").rdd.getNumPartitions() == 5
+
+
+@data
+@pytest.mark.parametrize("name", ["gates", "class_rules"])
+def test_texts_are_made_once(spark, name):
+    said = plan(queries.queries()[name](spark, str(DATA)))
+    assert said.count("vu par") <= 60
+
+
+def test_short_numbers_are_no_accounts(spark):
+    from docloom.operators import payments
+
+    docs = spark.createDataFrame([(1, "Lettre\nOrdre de paiement\n10500004"), (2, "Lettre\nOrdre de paiement\n10500002123"), (3, "Lettre\nOrdre de paiement\n10499996")], "doc_id long, text string")
+    got = {r.doc_id: r.number for r in payments.drafts(docs, F.lit("2024-06-01").cast("date")).collect()}
+    assert got == {1: "10500004", 2: None, 3: "10499996"}
