@@ -83,10 +83,13 @@ def link_value(df: DataFrame, master: DataFrame, value: str = "value") -> DataFr
     """The id if it exists, else of five names that begin with it, in order, the one that equals it but for case, else the first."""
     ids = master.select(F.col("id").alias("_id")).distinct()
     names = master.select(F.col("id").alias("found"), F.lower("id").alias("low")).distinct()
-    want = df.select(F.col(value).alias("want")).where(F.col(value) != "").distinct().withColumn("head", F.lower(F.substring("want", 1, 3)))
-    near = want.join(names.withColumn("head", F.substring("low", 1, 3)), "head").where(F.col("low").startswith(F.lower("want")))
-    five = near.withColumn("k", F.row_number().over(Window.partitionBy("want").orderBy("found"))).where("k <= 5")
-    best = five.groupBy("want").agg(F.min_by("found", F.struct((F.col("low") != F.lower("want")).alias("other"), F.col("k"))).alias("found"))
+    want = df.select(F.col(value).alias("want")).where(F.col(value) != "").distinct().withColumn("head", F.lower("want"))
+    # names are filed under their beginnings of the lengths that values have, so that each value meets its five by an equi-join
+    lengths = want.agg(F.collect_set(F.length("head")).alias("_lengths")).scalar()
+    begins = names.withColumn("_n", F.explode(lengths)).where(F.col("_n") <= F.length("low")).select("found", "low", F.substring(F.col("low"), F.lit(1), F.col("_n")).alias("head"))
+    wanted = begins.join(want.select("head").distinct(), "head", "left_semi")
+    five = wanted.withColumn("k", F.row_number().over(Window.partitionBy("head").orderBy("found"))).where("k <= 5")
+    best = want.join(five.groupBy("head").agg(F.min_by("found", F.struct((F.col("low") != F.col("head")).alias("other"), F.col("k"))).alias("found")), "head").select("want", "found")
     out = df.join(ids, df[value] == ids["_id"], "left").join(best, df[value] == best["want"], "left")
     return out.withColumn("resolved", F.coalesce("_id", "found")).drop("_id", "want", "found")
 

@@ -52,3 +52,14 @@ def test_short_numbers_are_no_accounts(spark):
     docs = spark.createDataFrame([(1, "Lettre\nOrdre de paiement\n10500004"), (2, "Lettre\nOrdre de paiement\n10500002123"), (3, "Lettre\nOrdre de paiement\n10499996")], "doc_id long, text string")
     got = {r.doc_id: r.number for r in payments.drafts(docs, F.lit("2024-06-01").cast("date")).collect()}
     assert got == {1: "10500004", 2: None, 3: "10499996"}
+
+
+def test_values_meet_only_names_that_begin_with_them(spark):
+    from docloom.operators import forms
+
+    master = spark.createDataFrame([(f"Customer#{n:03d}",) for n in range(60)] + [("customer#00",)], "id string")
+    asked = spark.createDataFrame([(1, "customer#007"), (2, "Cus"), (3, "CUSTOMER#00"), (4, "x"), (5, None), (6, "Customer#009")], "k long, value string")
+    got = forms.link_value(asked, master)
+    assert "startswith" not in plan(got).lower()
+    # the one that equals it but for case comes sixth or later in order, so it is not among the five
+    assert {r.k: r.resolved for r in got.collect()} == {1: "Customer#007", 2: "Customer#000", 3: "Customer#000", 4: None, 5: None, 6: "Customer#009"}
