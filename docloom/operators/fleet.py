@@ -48,19 +48,24 @@ def available_for(requests: DataFrame, vehicles: DataFrame, reservations: DataFr
     """R1-R3 for a table of requests: (request, n_free, plate): how many vehicles in service that agree in the keys are free for it, and the first of them by plate.
 
     Vehicles of equal keys are numbered by plate. A request's taken vehicles are numbers too; the first number that lacks
-    among them is that of the first free one, so that no request is paired with the vehicles that are free.
+    among them is that of the first free one, so that no request is paired with the vehicles that are free. Requests of equal
+    keys and times are answered once.
     requests: request, start, end, keys; vehicles: name, plate, status, keys; reservations: name, vehicle, start, end, status.
     """
     fit = vehicles.where(~F.col("status").isin(V.OUT_OF_SERVICE))
     numbered = fit.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("plate", "name")) - 1).select(F.col("name").alias("vehicle"), "plate", *keys, "_n")
     still_open = reservations.where(~F.col("status").isin(V.CLOSED_RESERVATIONS)).join(numbered.select("vehicle", *keys, "_n"), "vehicle").select(F.col("_n").alias("reservation"), "start", "end", *keys)
-    taken = overlaps(requests, still_open, keys, bucket_s).select("request", F.col("reservation").alias("_n")).distinct()
+    # requests of equal keys and times have one answer
+    asked = requests.withColumn("_ask", F.struct(*keys, "start", "end"))
+    asks = asked.select("_ask").distinct().select(F.col("_ask").alias("request"), "_ask.*")
+    taken = overlaps(asks, still_open, keys, bucket_s).select("request", F.col("reservation").alias("_n")).distinct()
     # taken numbers that are as small as their place have none free before them
     placed = taken.withColumn("_place", F.row_number().over(Window.partitionBy("request").orderBy("_n")) - 1)
     per = placed.groupBy("request").agg(F.count("*").alias("_taken"), F.count_if(F.col("_n") == F.col("_place")).alias("_first"))
     size = numbered.groupBy(*keys).agg(F.count("*").alias("_size"))
-    found = requests.select("request", *keys).join(size, keys, "left").join(per, "request", "left").select("request", *keys, (F.coalesce("_size", F.lit(0)) - F.coalesce("_taken", F.lit(0))).alias("n_free"), F.coalesce("_first", F.lit(0)).cast("int").alias("_n"))
-    return found.join(numbered.select(*keys, "_n", "plate"), [*keys, "_n"], "left").select("request", "n_free", "plate")
+    counted = asks.join(size, keys, "left").join(per, "request", "left").select("request", *keys, (F.coalesce("_size", F.lit(0)) - F.coalesce("_taken", F.lit(0))).alias("n_free"), F.coalesce("_first", F.lit(0)).cast("int").alias("_n"))
+    free = counted.join(numbered.select(*keys, "_n", "plate"), [*keys, "_n"], "left").select(F.col("request").alias("_ask"), "n_free", "plate")
+    return asked.select("request", "_ask").join(free, "_ask", "left").select("request", "n_free", "plate")
 
 
 def status_after(events: DataFrame) -> DataFrame:

@@ -63,3 +63,18 @@ def test_values_meet_only_names_that_begin_with_them(spark):
     assert "startswith" not in plan(got).lower()
     # the one that equals it but for case comes sixth or later in order, so it is not among the five
     assert {r.k: r.resolved for r in got.collect()} == {1: "Customer#007", 2: "Customer#000", 3: "Customer#000", 4: None, 5: None, 6: "Customer#009"}
+
+
+def test_equal_requests_are_answered_once(spark, monkeypatch):
+    from docloom.operators import fleet
+
+    at = datetime.datetime(2024, 1, 1)
+    hour = datetime.timedelta(hours=1)
+    asked = spark.createDataFrame([(n, at, at + 24 * hour, 1) for n in range(50)] + [(50, at + 48 * hour, at + 50 * hour, 1), (51, at, at + hour, None)], "request long, start timestamp, end timestamp, nation int")
+    cars = spark.createDataFrame([(1, "a", "Disponible", 1), (2, "b", "Disponible", 1)], "name long, plate string, status string, nation int")
+    booked = spark.createDataFrame([(9, 1, at + hour, at + 2 * hour, "Confirmée")], "name long, vehicle long, start timestamp, end timestamp, status string")
+    met, overlaps = [], fleet.overlaps
+    monkeypatch.setattr(fleet, "overlaps", lambda q, *a: met.append(q.count()) or overlaps(q, *a))
+    got = {r.request: (r.n_free, r.plate) for r in fleet.available_for(asked, cars, booked, ["nation"]).collect()}
+    assert met == [3]
+    assert got == {n: (1, "b") for n in range(50)} | {50: (2, "a"), 51: (0, None)}
