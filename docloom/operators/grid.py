@@ -47,15 +47,15 @@ def label_pairs(cells: DataFrame, aliases: DataFrame) -> DataFrame:
 def site_table(cells: DataFrame, columns: list[tuple[str, list[str]]]) -> DataFrame:
     """X11: (file, sheet, r, values): rows below the first one with a cell that is site or code, by the columns whose heading holds one of a field's words (the first word, then the first column); rows need a code. columns: field and its words, in order."""
     low = F.lower(F.trim("v"))
-    head = cells.where(low.isin("site", "code")).groupBy(*SHEET).agg(F.min("r").alias("header"))
-    headings = cells.join(head, SHEET).where("r = header").select(*SHEET, "header", "c", low.alias("heading"))
-    named = None
-    for field, words in columns:
-        rank = F.coalesce(*[F.when(F.contains("heading", F.lit(w)), F.lit(k)) for k, w in enumerate(words)])
-        one = headings.withColumn("rank", rank).where("rank is not null").groupBy(*SHEET, "header").agg(F.min_by("c", F.struct("rank", "c")).alias("c")).withColumn("field", F.lit(field))
-        named = one if named is None else named.unionByName(one)
-    inside = cells.join(named, [*SHEET, "c"]).where((F.col("r") > F.col("header")) & (F.trim("v") != ""))
-    rows = inside.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("field", F.trim("v").alias("v")))).alias("values"))
+    sheet = Window.partitionBy(*SHEET)
+    # windows over a sheet's cells after one shuffle, without joins; a cell's place among its sheet's headings decides its column's fields
+    inside = cells.withColumn("_low", low).withColumn("_header", F.min(F.when(F.col("_low").isin("site", "code"), F.col("r"))).over(sheet)).where("r >= _header")
+    ranks = [F.coalesce(*[F.when(F.contains("_low", F.lit(w)), F.lit(k)) for k, w in enumerate(words)]) for _, words in columns]
+    place = lambda rank: F.min(F.when((F.col("r") == F.col("_header")) & rank.isNotNull(), F.struct(rank.alias("rank"), F.col("c").alias("c"))))
+    placed = inside.withColumns({f"_c{k}": place(rank).over(sheet) for k, rank in enumerate(ranks)})
+    of = F.filter(F.array(*[F.when(F.col(f"_c{k}.c") == F.col("c"), F.lit(field)) for k, (field, _) in enumerate(columns)]), lambda x: x.isNotNull())
+    said = placed.where((F.col("r") > F.col("_header")) & (F.trim("v") != "")).select(*ROW, F.explode(of).alias("field"), F.trim("v").alias("v"))
+    rows = said.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("field", "v"))).alias("values"))
     return rows.where(F.array_contains(F.map_keys("values"), "code"))
 
 

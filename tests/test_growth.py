@@ -78,3 +78,16 @@ def test_equal_requests_are_answered_once(spark, monkeypatch):
     got = {r.request: (r.n_free, r.plate) for r in fleet.available_for(asked, cars, booked, ["nation"]).collect()}
     assert met == [3]
     assert got == {n: (1, "b") for n in range(50)} | {50: (2, "a"), 51: (0, None)}
+
+
+@data
+def test_sites_are_read_without_joins(spark):
+    assert "Join" not in plan(queries.queries()["site_workbook"](spark, str(DATA)))
+
+
+def test_a_column_may_hold_several_fields(spark):
+    cells = [(r, c, v) for r, row in enumerate([["Titre", "", ""], ["Code", "Nom site", "Stock"], ["A", "x", "1"], ["", "y", "2"]]) for c, v in enumerate(row)]
+    sheet = spark.createDataFrame([("f", "s", *x) for x in cells] + [("g", "s", 0, 0, "nothing")], "file string, sheet string, r int, c int, v string")
+    got = grid.site_table(sheet, [("code", ["site", "code"]), ("label", ["nom"])]).collect()
+    # the first word counts before the first column: the site's column is the one of names
+    assert [(r.file, r.r, r["values"]) for r in sorted(got, key=lambda r: r.r)] == [("f", 2, {"code": "x", "label": "x"}), ("f", 3, {"code": "y", "label": "y"})]
