@@ -133,16 +133,24 @@ def supplier(lines: Column) -> Column:
 def known_supplier(docs: DataFrame, master: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name", least: float = 80) -> DataFrame:
     """Docs with supplier: the first name of the master data (by ord) that the text holds, else the first that is as similar as that to a line of the first 30, else by heuristics. master: a dimension (name, ord).
 
-    A name in the text has its first word there, and one as similar has a word in common, so that names meet texts over words.
+    A name in the text, and one as similar, has a word in common with it. Names meet the texts that may hold them over their
+    rarest word; only texts that hold none meet all names that share a word.
     """
-    names = master.where(F.length(F.trim(name)) >= 3).select(F.trim(name).alias("_name"), "ord")
-    low = names.select("*", F.explode(words(F.col("_name"))).alias("_word"))
+    names = master.where(F.length(F.trim(name)) >= 3).select(F.trim(name).alias("_name"), "ord").withColumn("_words", words(F.col("_name")))
+    low = names.select("_name", "ord", F.explode("_words").alias("_word"))
+    often = low.groupBy("_word").agg(F.count("*").alias("_n"))
+    filed = low.join(often, "_word").groupBy("_name", "ord").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    said = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_text"), words(F.col(text)).alias("_said"))
+    # a name inside a text has all of its words there, but for the first and last, which may be cut off longer ones
+    shorter = lambda w: F.sequence(F.lit(3), F.greatest(F.length(w) - 1, F.lit(3)))
+    cuts = F.array_distinct(F.concat("_said", F.flatten(F.transform("_said", lambda w: F.filter(F.concat(F.transform(shorter(w), lambda n: F.left(w, n)), F.transform(shorter(w), lambda n: F.right(w, n))), lambda x: F.length(x) < F.length(w))))))
+    keys = said.select("_key", F.explode(cuts).alias("_word"))
+    met = keys.join(filed, "_word").select("_key", "_name", "ord").join(said, "_key")
+    held = met.where(F.contains("_text", F.lower("_name")) & F.arrays_overlap("_said", words(F.col("_name"))))
+    whole = held.groupBy("_key").agg(F.min_by("_name", "ord").alias("_known"))
     lines = F.slice(F.split(F.col(text), "\\r?\\n"), 1, 30)
-    said = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_text"), F.transform(lines, lambda x: F.lower(F.trim(x))).alias("_lines"), F.explode(words(F.col(text))).alias("_word"))
-    pairs = said.join(low, "_word").select("_key", "_text", "_lines", "_name", "ord").distinct()
-    pairs = pairs.withColumn("_whole", F.contains("_text", F.lower("_name")))
-    whole = pairs.where("_whole").groupBy("_key").agg(F.min_by("_name", "ord").alias("_known"))
-    near = pairs.join(whole, "_key", "left_anti").select("_key", "_name", "ord", F.explode("_lines").alias("_line")).where(F.col("_line") != "")
+    rest = docs.select(F.col(key).alias("_key"), F.transform(lines, lambda x: F.lower(F.trim(x))).alias("_lines"), F.explode(words(F.col(text))).alias("_word")).join(whole, "_key", "left_anti")
+    near = rest.join(low, "_word").select("_key", "_lines", "_name", "ord").distinct().select("_key", "_name", "ord", F.explode("_lines").alias("_line")).where(F.col("_line") != "")
     # a part that is as similar shares so many of the shorter text's characters that one of them can't be much the longer
     near = near.withColumn("_score", partial_ratio_of(F.lower("_name"), F.col("_line"))).where(F.col("_score") >= least)
     similar = near.groupBy("_key").agg(F.min_by("_name", "ord").alias("_known"))

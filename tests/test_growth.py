@@ -91,3 +91,14 @@ def test_a_column_may_hold_several_fields(spark):
     got = grid.site_table(sheet, [("code", ["site", "code"]), ("label", ["nom"])]).collect()
     # the first word counts before the first column: the site's column is the one of names
     assert [(r.file, r.r, r["values"]) for r in sorted(got, key=lambda r: r.r)] == [("f", 2, {"code": "x", "label": "x"}), ("f", 3, {"code": "y", "label": "y"})]
+
+
+def test_names_are_filed_under_their_rarest_word(spark):
+    from docloom.operators import forms
+
+    master = spark.createDataFrame([(n, f"Supplier {n:05d}") for n in range(80)] + [(-1, "Acier du Sud"), (90, "Supplier"), (91, "Nord Metal")], "ord long, name string")
+    docs = spark.createDataFrame([(1, "Vendeur supplier 00007\nTotal"), (2, "les Aciers\nacier du sudiste\n"), (3, "x supplier\n"), (4, "Nord Metall"), (5, "plomb")], "doc_id long, text string")
+    got = forms.known_supplier(docs, master)
+    assert "min_by(_word" in plan(got)
+    known = {r.doc_id: r.supplier for r in got.collect()}
+    assert {k: known[k] for k in (1, 2, 3, 4)} == {1: "Supplier 00007", 2: "Acier du Sud", 3: "Supplier", 4: "Nord Metal"}
