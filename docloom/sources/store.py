@@ -30,7 +30,7 @@ class DocumentStore:
         return F.pmod(F.xxhash64(bare_name(F.col(self.key))), F.lit(self.parts)).cast("int")
 
     def create(self, docs: DataFrame) -> None:
-        docs.withColumn(PART, self.part()).repartition(PART).write.partitionBy(PART).mode("errorifexists").parquet(self._data())
+        docs.withColumn(PART, self.part()).hint("rebalance", PART).write.partitionBy(PART).mode("errorifexists").parquet(self._data())
 
     def _data(self) -> str:
         return f"{self.path}/documents"
@@ -55,6 +55,6 @@ class DocumentStore:
             old = stored.where(F.col(PART).isin(touched))
             # a new document is called by its first name's digest, so that later batches find it
             rows = upserted(old.drop(PART), new.drop(PART), columns, self.key).withColumn("name", F.coalesce("name", F.md5(self.key))).withColumn(PART, self.part())
-            rows.select(*stored.columns).repartition(PART).write.partitionBy(PART).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._data())
+            rows.select(*stored.columns).hint("rebalance", PART).write.partitionBy(PART).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._data())
         self.spark.createDataFrame([(len(touched),)], "parts int").write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch}")
         return touched
