@@ -77,8 +77,8 @@ def matched_share(matched: Column, total: Column, read_score: Column | None = No
 
 
 def renamed(fields: DataFrame, mapping: DataFrame, last: bool = True, key: str = "doc_id") -> DataFrame:
-    """(key, name, value): fields under their names in the books; of several fields with one name the last (or first) in the mapping's order. fields: key, doc_type, field, value; mapping: doc_type, ord, field, name. The mapping is small; Spark broadcasts it by its size."""
-    joined = fields.where(~is_missing(F.col("value"))).join(mapping, ["doc_type", "field"])
+    """(key, name, value): fields under their names in the books; of several fields with one name the last (or first) in the mapping's order. fields: key, doc_type, field, value; mapping: doc_type, ord, field, name. The mapping is small and goes to every task: all rows have few fields, so that a shuffled join would bring them to as few tasks."""
+    joined = fields.where(~is_missing(F.col("value"))).join(F.broadcast(mapping), ["doc_type", "field"])
     pick = F.max_by if last else F.min_by
     return joined.groupBy(key, "name").agg(pick("value", "ord").alias("value"))
 
