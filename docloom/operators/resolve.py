@@ -112,7 +112,7 @@ def zero_padding(codes: DataFrame, items: DataFrame, code: str = "code", item: s
     head, zeros, tail = (F.regexp_extract(code, "^(.*?[^0-9])(0*)([1-9][0-9]*)$", k) for k in (1, 2, 3))
     tries = F.when(head != "", F.transform(F.sequence(F.lit(0), F.length(zeros)), lambda n: F.concat(head, F.repeat(F.lit("0"), n), tail))).otherwise(F.array(code))
     have = items.select(F.col(item).alias("try")).distinct()
-    found = codes.select(code, F.explode(tries).alias("try")).distinct().join(have, "try").groupBy(F.col(code).alias("_c")).agg(F.max_by("try", F.length("try")).alias("resolved"))
+    found = codes.select(code, F.explode(F.array_distinct(tries)).alias("try")).join(have, "try").groupBy(F.col(code).alias("_c")).agg(F.max_by("try", F.length("try")).alias("resolved"))
     return codes.join(found, codes[code] == found["_c"], "left").drop("_c")
 
 
