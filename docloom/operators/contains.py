@@ -23,15 +23,14 @@ def held(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase: str =
     """(text, phrase): the distinct pairs of a text and a phrase, not empty, that stands in it as it is."""
     said = texts.select(F.col(text).alias("_text")).where("_text is not null").distinct()
     want = phrases.select(F.col(phrase).alias("_phrase")).where("_phrase <> ''").distinct()
-    keys = want.select("_phrase", F.explode(F.when(F.length("_phrase") < SIZE, F.array("_phrase")).otherwise(stretches(F.col("_phrase"), SIZE))).alias("_key"))
+    filings = F.when(F.length("_phrase") < SIZE, F.array("_phrase")).otherwise(stretches(F.col("_phrase"), SIZE))
+    keys = want.withColumn("_keys", filings).select("_phrase", F.size("_keys").alias("_size"), F.explode("_keys").alias("_key"))
     every = said.select("_text", F.explode(F.concat(*[stretches(F.col("_text"), n) for n in range(1, SIZE + 1)])).alias("_key"))
     # stretches of one and two characters count only where a phrase is that short
     wanted = every.join(keys.select("_key").distinct(), "_key", "left_semi")
     often = wanted.groupBy("_key").agg(F.count("*").alias("_n"))
-    filed = keys.join(often, "_key").groupBy("_phrase").agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"), F.count("*").alias("_found"), F.min("_n"))
     # a phrase one of whose stretches no text has stands nowhere
-    size = keys.groupBy("_phrase").agg(F.count("*").alias("_size"))
-    filed = filed.join(size, "_phrase").where("_found = _size").select("_phrase", "_key")
+    filed = keys.join(often, "_key").groupBy("_phrase", "_size").agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"), F.count("*").alias("_found")).where("_found = _size").select("_phrase", "_key")
     met = wanted.join(filed, "_key")
     return met.where(F.contains("_text", "_phrase")).select(F.col("_text").alias("text"), F.col("_phrase").alias("phrase"))
 

@@ -90,13 +90,13 @@ def table_rows(cells: DataFrame, header: DataFrame, key: str, end: str = "^(tota
     return inside.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("field", F.trim("v").alias("v")))).alias("values")).where(F.array_contains(F.map_keys("values"), key))
 
 
-def table(cells: DataFrame, columns: list[tuple[str, str]], wanted: list[str], key: str, first_rows: int = 50, least: int = 3, of_wanted: int = 2, end: str = "^(total|notes?|remarques?|observations?)\\b") -> DataFrame:
-    """(file, sheet, r, values): what header_row and table_rows give, from one shuffle of the cells by sheet: rows are put together, then headings, the first header and the first closing row below it are found by windows over a sheet's rows. columns: heading and field.
+def table(cells: DataFrame, columns: list[tuple[str, str]], wanted: list[str], key: str, first_rows: int = 50, least: int = 3, of_wanted: int = 2, end: str = "^(total|notes?|remarques?|observations?)\\b", together: bool = False) -> DataFrame:
+    """(file, sheet, r, values): what header_row and table_rows give, from one shuffle of the cells by sheet: rows are put together, then headings, the first header and the first closing row below it are found by windows over a sheet's rows. columns: heading and field. together: whether a file's cells lie in one partition already.
 
     A sheet is one task's work; the format bounds its rows.
     """
     field_of = F.create_map(*[fold(F.lit(h)) if k == 0 else F.lit(f) for h, f in columns for k in (0, 1)])
-    rows = cells.repartition(*SHEET).groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("_v"))
+    rows = (cells if together else cells.repartition(*SHEET)).groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("_v"))
     named = F.map_filter(F.transform_values("_v", lambda c, v: F.try_element_at(field_of, fold(squeeze(v)))), lambda c, f: f.isNotNull())
     rows = rows.withColumn("_named", F.when(F.col("r") < first_rows, named))
     fields = F.array_distinct(F.map_values("_named"))

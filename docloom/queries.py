@@ -226,11 +226,14 @@ def site_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spreadsheet for each order: a title, a label with a value, headings, and a row for each line."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), (place + 3).alias("r"), F.array(F.concat(F.lit("P"), "l_partkey"), F.concat(F.lit("Part "), "l_partkey"), F.col("l_quantity").cast("int").cast("string"), F.format_number("l_extendedprice", 2)).alias("vs"))
-    heads = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file")).distinct()
-    top = heads.select("file", F.explode(F.array(F.struct(F.lit(0).alias("r"), F.array(F.lit("Nomenclature"), F.lit("")).alias("vs")), F.struct(F.lit(1).alias("r"), F.array(F.lit("Référence"), F.lit(""), F.concat(F.lit("BOM-"), "file")).alias("vs")), F.struct(F.lit(3).alias("r"), F.array(F.lit("Code article"), F.lit("Désignation"), F.lit("Quantité"), F.lit("Prix")).alias("vs")))).alias("t")).select("file", "t.r", "t.vs")
-    return top.unionByName(line).select("file", F.lit("1").alias("sheet"), "r", F.posexplode("vs").alias("c", "v"))
+    rows = tables.together(table(spark, sf_dir, "lineitem").withColumn("file", F.col("l_orderkey").cast("string")), "file")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    row = lambda r, *vs: F.struct(F.lit(r).alias("r") if isinstance(r, int) else r.alias("r"), F.array(*[F.lit(v) if isinstance(v, str) else v for v in vs]).alias("vs"))
+    # what stands above the lines comes with the first one, so that a file's cells lie together
+    top = F.array(row(0, "Nomenclature", ""), row(1, "Référence", "", F.concat(F.lit("BOM-"), "file")), row(3, "Code article", "Désignation", "Quantité", "Prix"))
+    line = F.array(row(F.col("place") + 3, F.concat(F.lit("P"), "l_partkey"), F.concat(F.lit("Part "), "l_partkey"), F.col("l_quantity").cast("int").cast("string"), F.format_number("l_extendedprice", 2)))
+    some = rows.withColumn("place", place).select("file", F.inline(F.when(F.col("place") == 1, F.concat(top, line)).otherwise(line)))
+    return some.select("file", F.lit("1").alias("sheet"), "r", F.posexplode("vs").alias("c", "v"))
 
 
 @query("""
@@ -238,7 +241,7 @@ SELECT l_orderkey::VARCHAR AS file, 3 + row_number() OVER (PARTITION BY l_orderk
 """)
 def grid_bom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [("Code article", "item_code"), ("Désignation", "item_name"), ("Quantité", "qty"), ("Prix", "rate")]
-    rows = grid.table(order_cells(spark, sf_dir), columns, ["item_code", "item_name", "qty"], "item_code")
+    rows = grid.table(order_cells(spark, sf_dir), columns, ["item_code", "item_name", "qty"], "item_code", together=True)
     return grid.component_defaults(rows).select("file", "r", "item_code", "item_name", "qty", "qty_per_unit", "conversion_factor", "rate")
 
 
@@ -276,7 +279,7 @@ def party_resolve_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey = 0 THEN NULL ELSE 'PX' || lpad(p_partkey::VARCHAR, 12, '0') END AS resolved FROM part")
 def zero_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(spark, sf_dir, "part")
     code = lambda n: F.concat(F.lit("PX"), F.lpad(F.col("p_partkey").cast("string"), n, "0"))
     found = resolve.zero_padding(p.select(F.col("p_partkey").alias("doc_id"), code(16).alias("code")), p.select(code(12).alias("item_code")))
     return found.select("doc_id", "resolved")
@@ -287,7 +290,7 @@ def field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = spark.createDataFrame([("facture", 0, "montant", "grand_total"), ("facture", 1, "montant_ttc", "grand_total"), ("facture", 2, "numero_facture", "bill_no"), ("facture", 3, "numero", "bill_no")], "doc_type string, ord int, field string, name string")
     k = F.col("o_orderkey").cast("string")
     rows = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("montant", F.concat(F.lit("a"), k)), ("montant_ttc", F.concat(F.lit("b"), k)), ("numero_facture", F.concat(F.lit("n"), k)), ("numero", F.lit("")))])
-    return checks.renamed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("facture").alias("doc_type"), F.inline(rows)), mapping)
+    return checks.renamed(spread(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("facture").alias("doc_type"), F.inline(rows)), mapping)
 
 
 @query(STORED + ", f AS (SELECT document_name, min(name) AS name FROM d GROUP BY 1), n AS (SELECT DISTINCT o_custkey AS c FROM orders) SELECT d.name, d.document_name, CASE WHEN f.name IS NOT NULL THEN 'Validation requise' ELSE status END AS status FROM d LEFT JOIN f ON d.name = f.name UNION ALL SELECT NULL, 'new_' || c_custkey || '.pdf', 'Validation requise' FROM customer")

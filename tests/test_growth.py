@@ -102,3 +102,33 @@ def test_names_are_filed_under_their_rarest_word(spark):
     assert "min_by(_word" in plan(got)
     known = {r.doc_id: r.supplier for r in got.collect()}
     assert {k: known[k] for k in (1, 2, 3, 4)} == {1: "Supplier 00007", 2: "Acier du Sud", 3: "Supplier", 4: "Nord Metal"}
+
+
+@data
+def test_few_names_bring_no_rows_together(spark):
+    said = plan(queries.queries()["field_mapping"](spark, str(DATA)))
+    assert "BroadcastHashJoin" in said and "SortMergeJoin" not in said
+
+
+@data
+@pytest.mark.parametrize("name", ["zero_padding", "field_mapping"])
+def test_rows_that_give_many_are_dealt_out(spark, name):
+    said = plan(queries.queries()[name](spark, str(DATA)))
+    assert "RoundRobinPartitioning" in said and "REPARTITION_BY_NUM" in said
+
+
+@data
+def test_cells_of_a_file_lie_together(spark):
+    assert plan(queries.queries()["grid_bom_components"](spark, str(DATA))).count("Exchange") == 1
+
+
+def test_partitions_of_a_store_are_written_by_several_tasks(spark, tmp_path):
+    from docloom.sources.store import DocumentStore
+
+    store = DocumentStore(spark, str(tmp_path), 1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        store.create(spark.range(20_000).selectExpr("uuid() AS name", "concat('f', id, 'x.pdf') AS document_name", "'a' AS status"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "documents" / "part=0").glob("*.parquet"))) > 1 and store.documents().count() == 20_000
