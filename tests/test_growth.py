@@ -132,3 +132,19 @@ def test_partitions_of_a_store_are_written_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(list((tmp_path / "documents" / "part=0").glob("*.parquet"))) > 1 and store.documents().count() == 20_000
+
+
+def test_values_by_role_are_those_of_the_patterns():
+    import random
+
+    from docloom.operators import roles
+
+    rnd = random.Random(1)
+    parts = ["SARL", "sa ", "visa", "GROUPE", "gie", "A", "é", "Metal 5", " ", "  ", "\n", ", ", "12/03/2024", "1.2.24", "2024-01-02", "12/3/202", "/5", "7", "_3/4/2024", "SAS", "snc ltd", "ſarl", "gıe", "GİE", "KSA"]
+    for _ in range(2000):
+        said = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 25)))
+        for profile in ("text", "sheet"):
+            for kind in roles.KINDS:
+                assert [[m.span() for m in some] for some in roles.matches(said, profile, kind)] == [[m.span() for m in p.finditer(said)] for p in roles._patterns(profile, kind)]
+    # a text without a legal form is not tried at each of its letters
+    assert not list(roles._before_legal("Commande CDE-2023-12 Fournisseur : Acier"))
