@@ -194,6 +194,11 @@ def measures(piece_file: str, byte_file: str) -> Measures:
     return _measures[piece_file, byte_file]
 
 
+def forget() -> None:
+    """A function of the module, as a table of the module that a task's function names is copied to the worker with it."""
+    _measures.clear()
+
+
 def script(text: str) -> str:
     """The script of most letters, by the first word of their names."""
     found = Counter(unicodedata.name(c, "OTHER").split(" ")[0] for c, _ in Counter(text).most_common() if c.isalpha())
@@ -208,8 +213,8 @@ def measured(df: DataFrame, piece_file: str, byte_file: str, key: str = "doc_id"
     source = pick(df, doc_id=key, text=text, lang=lang)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turns("fertility", forget)
         m = measures(piece_file, byte_file)
-        take_turns("fertility", _measures.clear)
         for b in batches:
             for first, texts in in_portions(b, 1, 2_000_000):
                 part = b.slice(first, len(texts))

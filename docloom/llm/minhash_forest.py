@@ -61,6 +61,11 @@ PLACES = np.stack([_rng.choice(MINIMA, DEPTH, replace=False) for _ in range(TREE
 _words: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    """A function of the module, as a table of the module that a task's function names is copied to the worker with it."""
+    _words.clear()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     words = (text or "").encode().lower().split()
@@ -93,7 +98,7 @@ def frequent(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np
     sample = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turns("forest", _words.clear)
+        take_turns("forest", forget)
         for b in batches:
             rows: list[tuple[int, int, bytes]] = []
             for x in b.column(1):
@@ -101,7 +106,7 @@ def frequent(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np
                 own = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
                 rows += [(k, own, part.tobytes()) for k in range(SHARES) if len(part := s[s % np.uint64(SHARES) == k])]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["share", "own", "packed"])
-        _words.clear()
+        forget()
         give_back()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +163,7 @@ def fingerprints(df: DataFrame, percent: int, known: tuple[np.ndarray, np.ndarra
     source = pick(df, doc_id=key, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turns("forest", _words.clear)
+        take_turns("forest", forget)
         for b in batches:
             n, keys, signs, lists, bits = [], [], [], [], []
             for x in b.column(1):
@@ -169,7 +174,7 @@ def fingerprints(df: DataFrame, percent: int, known: tuple[np.ndarray, np.ndarra
                 lists.append(listed(s, known, percent).view(np.int64) if len(s) else None)
                 bits.append(parities(s) if len(s) else None)
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "set_key", "signature", "listed", "bits"])
-        _words.clear()
+        forget()
         give_back()
 
     return source.mapInArrow(work, "doc_id long, n long, set_key binary, signature binary, listed array<long>, bits binary")
@@ -261,12 +266,12 @@ def shingle_sets(df: DataFrame, wanted: DataFrame, key: str = "doc_id", text: st
     source = pick(df, id=key, text=text).withColumn("id", F.col("id").cast("long")).join(wanted, "id", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turns("forest", _words.clear)
+        take_turns("forest", forget)
         for b in batches:
             sets = [shingles(x.as_py()).view(np.int64) for x in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
         # what follows in the JVM needs the room
-        _words.clear()
+        forget()
         give_back()
 
     return source.mapInArrow(work, "id long, shingles array<long>")

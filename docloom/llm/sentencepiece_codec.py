@@ -259,13 +259,18 @@ def codec(model_file: str) -> PieceCodec:
     return _codecs[model_file]
 
 
+def forget() -> None:
+    """A function of the module, as a table of the module that a task's function names is copied to the worker with it."""
+    _codecs.clear()
+
+
 def encode_decode(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, ids (decimals joined by commas), n_tokens, decoded: one row for each of df, no shuffle."""
     source = pick(df, doc_id=key, text=text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turns("sentencepiece", forget)
         c = codec(model_file)
-        take_turns("sentencepiece", _codecs.clear)
         for b in batches:
             got = [c.encode_decode(x or "") for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x.count(",") + 1 if x else 0 for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
@@ -278,8 +283,8 @@ def digests(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_
     source = pick(df, doc_id=key, text=text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turns("sentencepiece", forget)
         c, sha = codec(model_file), hashlib.sha256
-        take_turns("sentencepiece", _codecs.clear)
         for b in batches:
             n, ids, back = [], [], []
             for x in b.column(1):

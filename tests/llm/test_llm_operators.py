@@ -872,3 +872,18 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.source_mixing(spark, twice, str(tmp_path)).count() == source_mix.mix(twice).agg(F.sum("copies")).first()[0]
     assert {(r.doc_id, r["count"]) for r in mixed.groupBy("doc_id").count().collect()} == {(d, r.copies) for d, r in copies.items() if r.copies}
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_workers_forget_what_other_operators_remember(spark):
+    """Workers keep no words behind a stage, and no model once another operator's task began."""
+    import pyarrow as pa
+
+    docs = spark.range(0, 64, 1, 64).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six "), "id").alias("text"))
+
+    def left(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([len(minhash_forest._words) + len(sentencepiece_codec._codecs)])], ["n"])
+
+    sentencepiece_codec.digests(docs, public_tokenizers.path("piece_bpe_32k.model")).write.format("noop").mode("overwrite").save()
+    minhash_forest.fingerprints(docs, 85, (np.array([], np.uint64), np.array([], np.int64))).write.format("noop").mode("overwrite").save()
+    assert spark.range(0, 64, 1, 64).mapInArrow(left, "n long").agg(F.max("n")).first()[0] == 0
