@@ -23,22 +23,24 @@ PARTY_FIELDS = {"fournisseur", "client"}
 
 def party_name(value: Column) -> Column:
     """A name up to the word that no name goes on with: a day, one that begins an address, a town behind a comma, a whole word of another label; up to a bar or slash; and up to the legal form that ends it."""
-    letters = lambda w: F.regexp_replace(fold(w), "[^a-z0-9]", "")
+    bare = lambda words: F.transform(words, lambda w: F.regexp_replace(fold(w), "[^a-z0-9]", ""))
+    begins = lambda heads: "^(?:" + "|".join(heads) + ")"
+
+    def whole(x: Column) -> Column:
+        words, letters = x["words"], x["letters"]
 
-    def whole(words: Column) -> Column:
         def ends(w: Column, i: Column) -> Column:
-            before = F.get(words, i - 1)
-            behind_comma = F.coalesce(before.endswith(","), F.lit(False)) | w.startswith(",")
-            two = F.concat_ws(" ", letters(w), letters(F.get(words, i + 1)))
-            town = F.exists(F.array(*map(F.lit, V.TOWNS)), lambda t: two.startswith(t))
-            address = F.exists(F.array(*map(F.lit, V.ADDRESS_HEADS)), lambda h: letters(w).startswith(h))
+            behind_comma = F.coalesce(F.get(words, i - 1).endswith(","), F.lit(False)) | w.startswith(",")
+            town = F.concat_ws(" ", F.get(letters, i), F.get(letters, i + 1)).rlike(begins(V.TOWNS))
+            address = F.get(letters, i).rlike(begins(V.ADDRESS_HEADS))
             day = w.rlike("^\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{2,4}")
-            return (i > 0) & (address | letters(w).isin(V.ADDRESS_WORDS) | day | behind_comma & town)
+            return (i > 0) & (address | F.get(letters, i).isin(V.ADDRESS_WORDS) | day | behind_comma & town)
 
         stop = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(ends(w, i), i)), lambda i: i.isNotNull()))
-        return F.array_join(F.when(stop.isNotNull(), F.slice(words, F.lit(1), F.coalesce(stop, F.lit(1)))).otherwise(words), " ")
+        return let(stop, lambda n: F.array_join(F.when(n.isNotNull(), F.slice(words, F.lit(1), F.coalesce(n, F.lit(1)))).otherwise(words), " "))
 
-    cut = F.regexp_replace(let(F.split(value, " "), whole), "\\s*[|/\\\\].*$", "")
+    split = let(F.split(value, " "), lambda words: F.struct(words.alias("words"), bare(words).alias("letters")))
+    cut = F.regexp_replace(let(split, whole), "\\s*[|/\\\\].*$", "")
     named = lambda c: F.coalesce(first_group(c, rx(f"^(.*?{V.LEGAL_FORMS})")), c)
     return F.regexp_replace(let(cut, named), "^[ .,;:|]+|[ .,;:|]+$", "")
 
@@ -63,7 +65,7 @@ def guarded(value: Column, field: str) -> Column:
 @cache
 def ways(names: tuple[str, ...]) -> Ways:
     """The index of some fields' labels; a worker builds it once."""
-    return Ways({n: V.LABELS[n] for n in names}, V.VALUES, {"date": V.DUE_LINE}, {"tva": V.TAX_NUMBER})
+    return Ways({n: V.LABELS[n] for n in names}, V.VALUES, {"date": V.DUE_LINE}, {"tva": V.TAX_NUMBER}, {"bank": V.BANKS})
 
 
 def found(text: Column, names: list[str], every: bool = False) -> Column:
