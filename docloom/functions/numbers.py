@@ -167,11 +167,14 @@ def words_to_number(text: Column, hundred_flushes: bool = False) -> Column:
 
 def amount_in_words(text: Column, floor: float = 100.0, hundred_flushes: bool = False) -> Column:
     """The dinars (at least floor) and millimes that a text spells."""
-    s = F.replace(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" "))
-    said = F.coalesce(first_group(s, FLAGS + "somme\\s+(?:de|ae)\\s+(.*?)dinars?"), first_group(s, FLAGS + "montant\\s+(?:de\\s+)?(.*?)dinars?"))
-    dinars = words_to_number(said, hundred_flushes)
-    millimes = words_to_number(first_group(s, FLAGS + "dinars?\\s+et\\s+(.*?)millimes?"), hundred_flushes)
-    return F.when(dinars >= floor, F.round(dinars + F.coalesce(millimes, F.lit(0.0)) / 1000, 3))
+
+    def spelled(s: Column) -> Column:
+        said = F.coalesce(first_group(s, FLAGS + "somme\\s+(?:de|ae)\\s+(.*?)dinars?"), first_group(s, FLAGS + "montant\\s+(?:de\\s+)?(.*?)dinars?"))
+        millimes = words_to_number(first_group(s, FLAGS + "dinars?\\s+et\\s+(.*?)millimes?"), hundred_flushes)
+        return let(words_to_number(said, hundred_flushes), lambda dinars: F.when(dinars >= floor, F.round(dinars + F.coalesce(millimes, F.lit(0.0)) / 1000, 3)))
+
+    # only a text with these letters can name dinars
+    return let(F.replace(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" ")), lambda s: F.when(F.contains(s, F.lit("nar")), spelled(s)))
 
 
 def replaces(old: Column, new: Column) -> Column:

@@ -54,8 +54,7 @@ def squeeze(text: Column) -> Column:
 
 def repair_payment(text: Column) -> Column:
     """Dashes, slashes, letters read for digits between digits and the signs of days and numbers, split decimals."""
-    out = F.regexp_replace(text, "[‐-―−]", "-")
-    out = F.regexp_replace(out, "[⁄∕／]", "/")
+    out = F.translate(text, "‐‑‒–—―−⁄∕／", "-------///")
     out = F.regexp_replace(out, "(?<=[0-9/.\\-])O(?=[0-9/.\\-])", "0")
     out = F.regexp_replace(out, "(?<=[0-9/.\\-])[lI](?=[0-9/.\\-])", "1")
     return F.regexp_replace(out, "(?U)(\\d)\\s+[Jl|I](\\d{3})\\b", "$1,$2")
@@ -130,7 +129,7 @@ def chain(text: Column) -> Column:
 
 def before_label(text: Column) -> Column:
     """Cut before the next label that ends with a colon."""
-    return F.trim(F.regexp_replace(text, rx("\\s+[\\p{L}][\\p{L} .'/]{1,30}:.*$"), ""))
+    return F.trim(F.when(F.contains(text, F.lit(":")), F.regexp_replace(text, rx("\\s+[\\p{L}][\\p{L} .'/]{1,30}:.*$"), "")).otherwise(text))
 
 
 #: Words that belong to a company's name though labels are like them.
