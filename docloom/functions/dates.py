@@ -20,7 +20,21 @@ def year_of(text: Column, pivot: int = 69) -> Column:
 def date_of(year: Column, month: Column, day: Column) -> Column:
     """Null where the calendar has no such day."""
     text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), text.try_cast("date"))
+
+
+def digits(text: Column) -> Column:
+    """The runs of digits, in order."""
+    return F.regexp_extract_all(text, F.lit("\\d+"), F.lit(0))
+
+
+def _int(parts: Column, k: int) -> Column:
+    return F.get(parts, k).try_cast("int")
+
+
+def day_of(text: Column, pivot: int = 69) -> Column:
+    """The day of a text whose runs of digits are day, month and year."""
+    return let(digits(text), lambda p: date_of(year_of(F.get(p, 2), pivot), _int(p, 1), _int(p, 0)))
 
 
 def normalised(text: Column, pivot: int = 69) -> Column:
@@ -29,21 +43,16 @@ def normalised(text: Column, pivot: int = 69) -> Column:
     number = F.create_map(*[F.lit(x) for m, n in MONTHS.items() for x in (m, str(n))])
     # no day names two months
     names = let(fold(squeeze(text)), lambda s: F.when(s.rlike("[a-z]"), let(F.regexp_extract(s, month, 1), lambda m: F.when(m != "", F.replace(s, m, F.try_element_at(number, m))).otherwise(s))).otherwise(s))
-    iso = "^(\\d{4})[/.\\-](\\d{1,2})[/.\\-](\\d{1,2})$"
-    dmy = "^(\\d{1,2})[/.\\- ]+(\\d{1,2})[/.\\- ]+(\\d{2}|\\d{4})$"
-
-
-    def parsed(s: Column) -> Column:
-        part = lambda p, k: F.nullif(F.regexp_extract(s, p, k), F.lit(""))
-        return F.coalesce(date_of(part(iso, 1).try_cast("int"), part(iso, 2).try_cast("int"), part(iso, 3).try_cast("int")), date_of(year_of(part(dmy, 3), pivot), part(dmy, 2).try_cast("int"), part(dmy, 1).try_cast("int")))
-
+    dated = "^(?:\\d{4}[/.\\-]\\d{1,2}[/.\\-]\\d{1,2}|\\d{1,2}[/.\\- ]+\\d{1,2}[/.\\- ]+(?:\\d{2}|\\d{4}))$"
+    iso = lambda p: F.length(F.get(p, 0)) == 4
+    parsed = lambda s: let(F.when(s.rlike(dated), digits(s)), lambda p: F.when(iso(p), date_of(_int(p, 0), _int(p, 1), _int(p, 2))).otherwise(date_of(year_of(F.get(p, 2), pivot), _int(p, 1), _int(p, 0))))
     return let(names, parsed)
 
 
 def scan(text: Column, as_of: Column, first_year: int = 2000, ahead: int = 5) -> Column:
     """All days of the calendar in a text, by day, month and year, within the years first_year to as_of plus ahead."""
     whole = F.regexp_extract_all(text, F.lit(DAY_MONTH_YEAR), F.lit(0))
-    found = F.transform(whole, lambda x: date_of(year_of(F.regexp_extract(x, DAY_MONTH_YEAR, 3)), F.regexp_extract(x, DAY_MONTH_YEAR, 2).try_cast("int"), F.regexp_extract(x, DAY_MONTH_YEAR, 1).try_cast("int")))
+    found = F.transform(whole, day_of)
     return F.filter(found, lambda d: d.isNotNull() & F.year(d).between(F.lit(first_year), F.year(as_of) + ahead))
 
 
@@ -86,8 +95,7 @@ def first_plausible(text: Column, as_of: Column) -> Column:
 
 def typed(text: Column) -> Column:
     """Day, month and year, two digits as 20yy; null where the calendar has no such day."""
-    part = lambda k: F.nullif(F.regexp_extract(text, "(\\d{1,2})[/.\\-](\\d{1,2})[/.\\-](\\d{4}|\\d{2})", k), F.lit(""))
-    return date_of(year_of(part(3), 100), part(2).try_cast("int"), part(1).try_cast("int"))
+    return day_of(F.regexp_extract(text, "\\d{1,2}[/.\\-]\\d{1,2}[/.\\-](?:\\d{4}|\\d{2})", 0), 100)
 
 
 def not_in_future(date: Column, as_of: Column) -> Column:
@@ -120,13 +128,12 @@ def reconcile_due(emitted: Column, due: Column, most_inverted: int = 7) -> Colum
 def nearest_to(text: Column, label: str, as_of: Column) -> Column:
     """The day whose place in the text is nearest to a match of the label, the earlier of two as near; null without one."""
     whole = F.regexp_extract_all(text, F.lit(DAY_MONTH_YEAR), F.lit(0))
-    day = lambda x: date_of(year_of(F.regexp_extract(x, DAY_MONTH_YEAR, 3)), F.regexp_extract(x, DAY_MONTH_YEAR, 2).try_cast("int"), F.regexp_extract(x, DAY_MONTH_YEAR, 1).try_cast("int"))
     heads, labels = F.split(text, FLAGS + label), F.regexp_extract_all(text, F.lit(FLAGS + "(" + label + ")"), F.lit(1))
     length = lambda xs, i: F.aggregate(F.slice(xs, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
     # a label ends behind all parts and labels up to it
     ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.when(i <= F.size(labels), length(heads, i) + length(labels, i)))
     far = lambda x: F.array_min(F.transform(ends, lambda e: F.abs(F.instr(text, x) - e)))
-    ranked = F.transform(F.array_distinct(whole), lambda x: F.struct(far(x).alias("far"), F.instr(text, x).alias("at"), day(x).alias("day")))
+    ranked = F.transform(F.array_distinct(whole), lambda x: F.struct(far(x).alias("far"), F.instr(text, x).alias("at"), day_of(x).alias("day")))
     near = F.array_min(F.filter(ranked, lambda r: r["far"].isNotNull() & r["day"].isNotNull()))
     return near["day"]
 
