@@ -225,13 +225,18 @@ def zone_of_line(top: Column, bottom: Column, height: Column) -> Column:
 
 def body_line(line: Column) -> Column:
     """Struct (reference, designation, quantity, price, total) of a line of columns."""
-    parts = F.filter(F.transform(F.split(line, "\\||;|\\t|\\s{2,}"), lambda x: F.trim(x)), lambda p: p != "")
-    numbers = F.filter(F.transform(parts, lambda p: F.when(p.rlike("^[\\d ]+([.,]\\d+)?$"), F.replace(F.replace(p, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"))), lambda x: x.isNotNull())
-    down = F.sort_array(numbers, False)
-    at = lambda k: F.try_element_at(down, F.lit(k))
-    n = F.size(down)
-    return F.struct(
-        F.try_element_at(F.filter(parts, lambda p: p.rlike("^(?=.*\\d)[A-Z]{2,}[A-Z0-9\\-/]*$")), F.lit(1)).alias("reference"),
-        F.try_element_at(F.filter(parts, lambda p: p.rlike("\\p{L}") & ~p.rlike("^(?=.*\\d)[A-Z]{2,}[A-Z0-9\\-/]*$")), F.lit(1)).alias("designation"),
-        F.when(n >= 3, at(3)).alias("quantity"), F.when(n >= 2, at(2)).alias("price"), F.when(n >= 1, at(1)).alias("total"),
-    )
+    code = "^(?=.*\\d)[A-Z]{2,}[A-Z0-9\\-/]*$"
+    number = lambda p: F.when(p.rlike("^[\\d ]+([.,]\\d+)?$"), F.translate(p, ", ", ".").try_cast("double"))
+    taken = lambda parts: F.struct(parts.alias("parts"), F.sort_array(F.filter(F.transform(parts, number), lambda x: x.isNotNull()), False).alias("down"))
+
+    def columns(x: Column) -> Column:
+        parts, down = x["parts"], x["down"]
+        at = lambda k: F.try_element_at(down, F.lit(k))
+        return F.struct(
+            F.try_element_at(F.filter(parts, lambda p: p.rlike(code)), F.lit(1)).alias("reference"),
+            F.try_element_at(F.filter(parts, lambda p: p.rlike("\\p{L}") & ~p.rlike(code)), F.lit(1)).alias("designation"),
+            at(3).alias("quantity"), at(2).alias("price"), at(1).alias("total"),
+        )
+
+    # the line is split once, and its numbers are read once
+    return let(let(F.filter(F.transform(F.split(line, "\\||;|\\t|\\s{2,}"), lambda x: F.trim(x)), lambda p: p != ""), taken), columns)
