@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.numbers import amount_bom, amount_pipeline, scan_amounts
+from docloom.functions.numbers import BLANK, amount_bom, scan_amounts
 from docloom.functions.phrases import any_of, signs, words
 from docloom.functions.text import before_label, chain, first_group, let, once, part_code, rx, squeeze, unit
 from docloom.operators.labels import Sheet, sheet
@@ -323,14 +325,14 @@ def item_group(text: Column) -> Column:
 NO_TOTAL = r"t[ée]l|fax|adress|mail|@|www\.|au\s+capital|r\.?i\.?b|scann|cachet|\d{10,}|tva\s*:\s*\d{5,}"
 
 
-#: What a line of each total says, and what it mustn't.
+#: What a line of each total says, what it mustn't, and parts of words in lower case one of which stands in any line that says it (of letters that have one capital only).
 TOTAL_LABELS = {
-    "net": ("total\\s*h\\.?t|montant\\s*h\\.?t|hors\\s*taxe|net\\s*commercial", "brut"),
-    "tax": ("(?<!\\p{L})t\\.?v\\.?a(?!\\p{L})[^\\d\\n]*(?:\\d+\\s*%\\)?)?", "bas[ae]"),
-    "gross": ("t\\.?t\\.?c|net\\s*à\\s*payer|total\\s*g[ée]n[ée]ral|amount\\s*due", None),
-    "base": ("bas[ae]\\s*tva", None),
-    "stamp": ("timbre", None),
-    "levy": ("fodec", None),
+    "net": ("total\\s*h\\.?t|montant\\s*h\\.?t|hors\\s*taxe|net\\s*commercial", "brut", ["total", "montant", "taxe", "net"]),
+    "tax": ("(?<!\\p{L})t\\.?v\\.?a(?!\\p{L})[^\\d\\n]*(?:\\d+\\s*%\\)?)?", "bas[ae]", ["tv", "t.v"]),
+    "gross": ("t\\.?t\\.?c|net\\s*à\\s*payer|total\\s*g[ée]n[ée]ral|amount\\s*due", None, ["tt", "t.t", "net", "total", "amount"]),
+    "base": ("bas[ae]\\s*tva", None, ["tva"]),
+    "stamp": ("timbre", None, ["mbre"]),
+    "levy": ("fodec", None, ["fodec"]),
 }
 
 
@@ -344,15 +346,23 @@ def totals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     sum_of = "(\\d[\\d . ]*(?:[.,]\\d{1,3})?)\\s*(?:DT|TND|€)?\\s*$"
 
-    def parsed(line: Column) -> Column:
-        own, alone = (amount_pipeline(first_group(line, rx(p + sum_of))) for p in ("", "^\\s*"))
+    def told(line: Column) -> Column:
+        # digits, blanks and separators of an amount, of which only the blanks go
+        found = lambda begins: F.regexp_replace(F.regexp_extract(line, rx(begins + sum_of), 1), BLANK, "")
+        return F.struct(line.alias("line"), F.lower(line).alias("low"), F.when(line.rlike(rx("\\d")), found("")).alias("own"), F.when(line.rlike(rx("^\\s*\\d")), found("^\\s*")).alias("alone"))
+
+    def number(s: Column) -> Column:
+        # a cast of what is no number costs as much as a line's patterns
+        return F.when((s != "") & s.contains("."), s).when(s != "", F.replace(s, F.lit(","), F.lit("."))).try_cast("double")
+
+    def said(x: Column, label: str, but: str | None, parts: list[str]) -> Column:
         # 0: the label isn't there, 1: without digits beside it, 2: with some
-        said = {n: F.when(line.rlike(rx(label)) & (~line.rlike(rx(but)) if but else F.lit(True)), F.when(F.regexp_replace(line, rx(label), "").rlike("\\d"), 2).otherwise(1)).otherwise(0) for n, (label, but) in TOTAL_LABELS.items()}
-        return F.struct(own.alias("own"), alone.alias("alone"), *[c.alias(n) for n, c in said.items()])
+        here = functools.reduce(operator.or_, [F.contains(x["low"], F.lit(p)) for p in parts]) & x["line"].rlike(rx(label))
+        return F.when(here & (~x["line"].rlike(rx(but)) if but else F.lit(True)), F.when(F.regexp_replace(x["line"], rx(label), "").rlike("\\d"), 2).otherwise(1)).otherwise(0)
 
-    lines = F.filter(F.split(text, "\\r?\\n"), lambda x: ~x.rlike(rx(NO_TOTAL)))
-    df = once(df, {"_text": lines})
-    df = once(df, {"_lines": F.transform("_text", parsed), "_all": F.filter(F.flatten(F.transform("_text", scan_amounts)), lambda x: x > 100)}).drop("_text")
+    df = once(df, {"_text": F.filter(F.split(text, "\\r?\\n"), lambda x: ~x.rlike(rx(NO_TOTAL)))})
+    df = once(df, {"_told": F.transform("_text", told)})
+    df = once(df, {"_lines": F.transform("_told", lambda x: F.struct(number(x["own"]).alias("own"), number(x["alone"]).alias("alone"), *[said(x, *label).alias(n) for n, label in TOTAL_LABELS.items()]))}).drop("_told")
     lines = F.col("_lines")
 
     def read(name: str, most: float = 9_999_999.0) -> Column:
@@ -368,7 +378,11 @@ def totals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = once(df, {"net": F.array_max(net), "tax": F.when(F.size(tax) > 0, added), "gross": F.array_max(gross), "_base": F.array_max(base), "_stamp": F.array_max(stamp), "_levy": F.array_max(levy)})
     summed = F.round(F.col("_base") + F.col("tax") + F.coalesce("_stamp", F.lit(0.0)), 3)
     near_base = F.coalesce(F.abs(F.col("gross") - F.col("_base")) < 0.02 * F.col("_base"), F.lit(False))
-    rows = once(rows, {"_gross": F.coalesce(F.when(near_base, summed), "gross", summed, F.round(F.col("net") + F.col("tax"), 3), F.array_max("_all"))})
+    rows = once(rows, {"_gross": F.coalesce(F.when(near_base, summed), "gross", summed, F.round(F.col("net") + F.col("tax"), 3))})
+    # all amounts of a text are read only where its labels leave the gross or the net open
+    every = F.filter(F.flatten(F.transform("_text", lambda x: F.when(x.rlike(rx("\\d")), scan_amounts(x)).otherwise(F.array().cast("array<double>")))), lambda x: x > 100)
+    rows = once(rows, {"_all": F.when(F.col("_gross").isNull() | (F.col("net").isNull() & F.col("tax").isNull()), every)}).drop("_text", "_lines")
+    rows = rows.withColumn("_gross", F.coalesce("_gross", F.array_max("_all")))
     between = F.array_max(F.filter("_all", lambda x: (x < 0.99 * F.col("_gross")) & (x >= 0.40 * F.col("_gross")) & F.coalesce(F.abs(x - F.col("_base")) > 0.001 * F.col("_base"), F.lit(True))))
     rows = once(rows, {"_net": F.coalesce("net", F.when(F.col("tax").isNotNull(), F.round(F.col("_gross") - F.col("tax"), 3)), between, F.when(F.col("_levy") > 1, F.round(F.col("_levy") / 0.01, 3)))})
     rest = F.round(F.col("_gross") - F.col("_net"), 3)

@@ -196,3 +196,13 @@ def test_a_body_line_is_split_once(spark):
     rows = spark.createDataFrame([("AB1 | Tube acier | 3 | 10,5 | 1 200,75",), ("mot; 7",), ("",), (None,), ("AB-2\tx  5",)], "x string").select(fields.body_line(F.col("x")).alias("g")).select("g.reference", "g.designation", "g.quantity", "g.price", "g.total")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert [tuple(r) for r in rows.collect()] == [("AB1", "Tube acier", 3.0, 10.5, 1200.75), (None, "mot", None, None, 7.0), (None,) * 5, (None,) * 5, ("AB-2", "x", None, None, 5.0)]
+
+
+def test_lines_of_totals_are_read_once(spark):
+    from docloom.operators import sheets
+
+    texts = ["TOTAL  H.T 1 000,5 DT\nT.V.A (19 %)\n 190,095 \nNET À PAYER\n\n1.190.595", "Total brut HT 5\nHORS TAXES 12 x 200\nBase TVA 100\nTVA 19,000\nTIMBRE 0,600", "articles 1 234,500\nfin 1 300,000", "FODEC 2,5\nTTC 300", "Tél 71 123,450", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sheets.totals(docs)
+    assert {r.doc_id: (r.net, r.tax, r.gross) for r in got.collect()} == {0: (1000.5, 190.095, 190.095), 1: (200.0, 19.0, 119.6), 2: (1234500.0, 65500.0, 1300000.0), 3: (250.0, 50.0, 300.0), 4: (None, None, None), 5: (None, None, None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp") <= 30
