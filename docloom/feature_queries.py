@@ -107,15 +107,14 @@ def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [["Sites de stock", "", ""], ["Site", "Stock sécurité (US)", "Catégorie ABC"], ["S1", (k % 5).cast("string"), ""], ["S2", (1 + k % 9).cast("string"), say("B", F.col("s_nationkey"))], ["", "99", "Z"]]
     cells = [F.struct(sites.alias("sheet"), F.lit(1).alias("place"), F.lit(r).alias("r"), F.lit(c).alias("c"), (F.lit(v) if isinstance(v, str) else v).alias("v")) for r, row in enumerate(rows) for c, v in enumerate(row)]
     cells.append(F.struct(item.alias("sheet"), F.lit(0).alias("place"), F.lit(0).alias("r"), F.lit(0).alias("c"), say("Article : A", k).alias("v")))
-    df = table(spark, sf_dir, "supplier").select(k.cast("string").alias("file"), "s_nationkey", F.inline(F.array(*cells))).drop("s_nationkey").where("v <> ''")
+    df = together(spark, sf_dir, "supplier", "s_suppkey").select(k.cast("string").alias("file"), "s_nationkey", F.inline(F.array(*cells))).drop("s_nationkey").where("v <> ''")
     at = shared.folder(spark, "sheets")
-    workbooks.write(df, at)
-    found = workbooks.read(spark, at).withColumn("file", F.regexp_extract("file", "(\\d+)\\.xlsx$", 1).cast("long"))
-    items, stock = workbooks.item_book(found)
-    named = lambda cells, n: cells.groupBy("file").agg(F.min("sheet").alias(n))
-    levels = grid.site_levels(stock).select("file", "n_sites", "safety_stock", "abc")
+    workbooks.write(df, at, dealt=True)
+    found = workbooks.marked_sheets(workbooks.read(spark, at).withColumn("file", F.regexp_extract("file", "(\\d+)\\.xlsx$", 1).cast("long")))
+    named = found.groupBy("file").agg(*[F.min(F.when(F.col(c), F.col("sheet"))).alias(n) for c, n in (("is_item", "item_sheet"), ("is_site", "site_sheet"))])
+    levels = grid.site_levels(found.where("is_site")).select("file", "n_sites", "safety_stock", "abc")
     # the two levels of a site are 0 to 4 and 1 to 9: the greater one counts
-    return named(items, "item_sheet").join(named(stock, "site_sheet"), "file", "left").join(levels, "file", "left").select("file", "item_sheet", "site_sheet", "n_sites", F.when(F.col("safety_stock").isNotNull(), F.greatest("safety_stock", 1 + F.col("file") % 9) - F.greatest(F.lit(0), F.col("file") % 5 - (1 + F.col("file") % 9))).alias("safety_stock"), "abc")
+    return named.join(levels, "file", "left").select("file", "item_sheet", "site_sheet", "n_sites", F.when(F.col("safety_stock").isNotNull(), F.greatest("safety_stock", 1 + F.col("file") % 9) - F.greatest(F.lit(0), F.col("file") % 5 - (1 + F.col("file") % 9))).alias("safety_stock"), "abc")
 
 
 EVENTS = "SELECT 'f' || user_id AS path, date_trunc('millisecond', ts) AS m FROM events"

@@ -6,15 +6,20 @@ named and ordered by the workbook's relations, whatever the numbers of their par
 unpacked and passed on in batches; shared strings go to a temporary file beyond SPILL bytes; so memory doesn't grow with a
 workbook. A schema with fewer columns reads fewer, and filters on the sheet's name skip sheets. Damaged files give no rows.
 
+With the option ``rows`` a row of a sheet is one: (file, sheet, place, r, v), v an array with a null for each empty cell before
+the last filled one. What reads rows needs no shuffle to bring their cells together.
+
 ``df.write.format("workbook").mode("append").save(folder)`` writes a workbook for each value of file. Rows must come sorted by
-file, place, r, c, with all rows of a file in one task: ``sheets_together`` sees to that. Files stand in the folder only
+file, place, r, c, with all rows of a file in one task: ``sheets_together`` sees to that. Rows in the form above are written too. Files stand in the folder only
 after all tasks are done.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import functools
 import io
+import itertools
 import re
 import tempfile
 import uuid
@@ -25,25 +30,30 @@ from dataclasses import dataclass
 from typing import BinaryIO
 from urllib.parse import quote
 from xml.etree import ElementTree
+from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 SCHEMA = "file string, sheet string, place int, r int, c int, v string"
+ROWS = "file string, sheet string, place int, r int, v array<string>"
 _KINDS = {"file": pa.string(), "sheet": pa.string(), "place": pa.int32(), "r": pa.int32(), "c": pa.int32(), "v": pa.string()}
-#: Bytes from which a file is read by sheets, bytes of a partition of smaller files, bytes of shared strings in memory, rows of a batch.
-LARGE, PACK, SPILL, BATCH = 16 << 20, 64 << 20, 8 << 20, 5_000
+_ROW_KINDS = {k: t for k, t in _KINDS.items() if k not in ("c", "v")} | {"v": pa.list_(pa.string())}
+#: Bytes from which a file is read by sheets, bytes of a partition of smaller files and how many bytes the opening of one counts (2 MB are some 200,000 cells), bytes of shared strings in memory, rows of a batch.
+LARGE, PACK, OPEN, SPILL, BATCH = 16 << 20, 2 << 20, 4 << 10, 8 << 20, 5_000
+#: Bytes of a sheet parsed at a time, bytes up to which a file is read at once, cells written at a time.
+CHUNK, WHOLE, CELLS = 64 << 10, 1 << 20, 1_000
 #: Fixed values of the format.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
 SHEET_TYPE, BOOK_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"
-DAMAGED = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, EOFError, NotImplementedError)
+DAMAGED = (zipfile.BadZipFile, ElementTree.ParseError, expat.ExpatError, KeyError, IndexError, ValueError, EOFError, NotImplementedError)
 
 
 class SharedStrings:
@@ -69,6 +79,10 @@ class SharedStrings:
         return self.file.read(self.ends[n + 1] - self.ends[n]).decode()
 
 
+_PLACE = re.compile(r"([A-Z]+)(\d+)")
+
+
+@functools.cache
 def column_number(letters: str) -> int:
     n = 0
     for c in letters:
@@ -94,11 +108,7 @@ class Workbook:
             self.sheets = [(self.sheets[k][0] if k < len(self.sheets) else part, part) for k, part in enumerate(parts)]
         self.sheets = [(title, part if part in names else "") for title, part in self.sheets]
 
-    def _text(self, cell: ElementTree.Element) -> str:
-        kind, value = cell.get("t"), cell.find(f"{{{MAIN}}}v")
-        if kind == "inlineStr":
-            return "".join(t.text or "" for t in cell.iter(f"{{{MAIN}}}t"))
-        said = (value.text or "") if value is not None else ""
+    def _value(self, kind: str | None, said: str) -> str:
         if kind == "s" and said:
             if self._shared is None:
                 with self.zip.open("xl/sharedStrings.xml") as f:
@@ -111,22 +121,64 @@ class Workbook:
         part = self.sheets[place][1]
         if not part:
             return
-        data, r, c = None, -1, -1
-        with self.zip.open(part) as stream:
-            for event, e in ElementTree.iterparse(stream, ("start", "end")):
-                if event == "start":
-                    if e.tag == f"{{{MAIN}}}sheetData":
-                        data = e
-                    elif e.tag == f"{{{MAIN}}}row":
-                        r, c = int(e.get("r") or r + 2) - 1, -1
-                elif e.tag == f"{{{MAIN}}}c":
-                    at = re.fullmatch(r"([A-Z]+)(\d+)", e.get("r") or "")
-                    r, c = (int(at[2]) - 1, column_number(at[1])) if at else (r, c + 1)
-                    text = self._text(e)
+        held: list[tuple[int, int, str]] = []
+        r = c = -1
+        # of the cell at hand: whether one is open, its kind, the depth of what is open in it, its texts, whether text counts, whether its value was met
+        inside, kind, depth, texts, taking, met = False, None, 0, [], False, False
+        row_tag, cell_tag, text_tag, value_tag = (f"{MAIN}}}{t}" for t in ("row", "c", "t", "v"))
+
+        def start(tag: str, named: dict[str, str]) -> None:
+            nonlocal r, c, inside, kind, depth, texts, taking, met
+            if inside:
+                depth += 1
+                # an element's text ends where another begins in it
+                if kind == "inlineStr":
+                    taking = tag == text_tag
+                else:
+                    taking = tag == value_tag and depth == 1 and not met
+                    met = met or taking
+            elif tag == cell_tag:
+                inside, kind, depth, texts, taking, met = True, named.get("t"), 0, [], False, False
+                at = _PLACE.fullmatch(named.get("r") or "")
+                if at:
+                    r, c = int(at[2]) - 1, column_number(at[1])
+                else:
+                    c += 1
+            elif tag == row_tag:
+                r, c = int(named.get("r") or r + 2) - 1, -1
+
+        def said(text: str) -> None:
+            if taking:
+                texts.append(text)
+
+        def end(tag: str) -> None:
+            nonlocal inside, depth, taking
+            if inside:
+                if depth:
+                    depth, taking = depth - 1, False
+                else:
+                    inside = False
+                    text = "".join(texts)
+                    if kind != "inlineStr":
+                        text = self._value(kind, text)
                     if text:
-                        yield r, c, text
-                elif e.tag == f"{{{MAIN}}}row" and data is not None:
-                    data.clear()
+                        held.append((r, c, text))
+
+        parser = expat.ParserCreate(namespace_separator="}")
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, said
+        with self.zip.open(part) as stream:
+            while True:
+                try:
+                    chunk = stream.read(CHUNK)
+                    parser.Parse(chunk, not chunk)
+                except DAMAGED:
+                    yield from held
+                    raise
+                yield from held
+                held.clear()
+                if not chunk:
+                    return
 
 
 def rows(stream: BinaryIO, places: list[int] | None = None, sheets: set[str] | None = None) -> Iterator[tuple[str, int, int, int, str]]:
@@ -141,6 +193,17 @@ def rows(stream: BinaryIO, places: list[int] | None = None, sheets: set[str] | N
         return
 
 
+def whole_rows(cells: Iterator[tuple[str, int, int, int, str]]) -> Iterator[tuple[str, int, int, list[str | None]]]:
+    """Sheet, place, row and texts by column of cells that come row by row; of a column that a row names twice the last text counts."""
+    for (sheet, place, r), row in itertools.groupby(cells, lambda x: x[:3]):
+        texts: list[str | None] = []
+        for _, _, _, c, v in row:
+            if c >= len(texts):
+                texts.extend([None] * (c + 1 - len(texts)))
+            texts[c] = v
+        yield sheet, place, r, texts
+
+
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
     path = re.sub("^file:/(?!/)", "file:///", path)
     if "://" in path:
@@ -171,8 +234,8 @@ class Files(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns, self.sheets = path, columns, None
+    def __init__(self, path: str, columns: list[str], by_rows: bool = False):
+        self.path, self.columns, self.sheets, self.by_rows = path, columns, None, by_rows
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -194,28 +257,27 @@ class _Reader(DataSourceReader):
                     pass
                 continue
             pack.append((path, None))
-            size += n
+            size += n + OPEN
             if size >= PACK:
                 parts, pack, size = [*parts, Files(pack)], [], 0
         return [*parts, Files(pack)] if pack else parts or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store = store_of(self.path)[0]
-        held: list[tuple] = []
-        every = list(_KINDS)
+        kinds = _ROW_KINDS if self.by_rows else _KINDS
+        wanted = [(list(kinds).index(c), kinds[c]) for c in self.columns]
 
-        def batch() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([h[every.index(c)] for h in held], _KINDS[c]) for c in self.columns], self.columns)
+        def found() -> Iterator[tuple]:
+            for path, places in partition.files:
+                with store.open_input_file(path) as f:
+                    cells = rows(io.BytesIO(f.read()) if f.size() <= WHOLE else f, places, self.sheets)
+                    for row in whole_rows(cells) if self.by_rows else cells:
+                        yield path, *row
 
-        for path, places in partition.files:
-            with store.open_input_file(path) as f:
-                for row in rows(f, places, self.sheets):
-                    held.append((path, *row))
-                    if len(held) == BATCH:
-                        yield batch()
-                        held = []
-        if held:
-            yield batch()
+        every = found()
+        while held := list(itertools.islice(every, BATCH)):
+            by_column = list(zip(*held, strict=True))
+            yield pa.record_batch([pa.array(by_column[k], t) for k, t in wanted], self.columns)
 
 
 @dataclass
@@ -229,6 +291,7 @@ def clean(text: str) -> str:
     return re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]", "", text)
 
 
+@functools.cache
 def letters(c: int) -> str:
     out = ""
     while c >= 0:
@@ -241,22 +304,34 @@ def write_book(stream: BinaryIO, cells: Iterator[tuple[str, int, int, int, str]]
     sheets: list[tuple[str, int]] = []
     with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as z:
         now, out, row = None, None, None
+        said: list[str] = []
+
+        def put() -> None:
+            out.write("".join(said).encode())
+            said.clear()
+
+        def close() -> None:
+            said.append("</row></sheetData></worksheet>")
+            put()
+            out.close()
+
         for sheet, place, r, c, v in cells:
             if place != now:
                 if out:
-                    out.write(b"</row></sheetData></worksheet>")
-                    out.close()
+                    close()
                 now, row = place, None
                 sheets.append((sheet, place))
                 out = z.open(f"xl/worksheets/sheet{9999 - place}.xml", "w", force_zip64=True)
-                out.write(f'<worksheet xmlns="{MAIN}"><sheetData>'.encode())
+                said.append(f'<worksheet xmlns="{MAIN}"><sheetData>')
             if r != row:
-                out.write(f'{"" if row is None else "</row>"}<row r="{r + 1}">'.encode())
+                said.append(f'{"" if row is None else "</row>"}<row r="{r + 1}">')
                 row = r
-            out.write(f'<c r="{letters(c)}{r + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(clean(v))}</t></is></c>'.encode())
+            # what XML can't hold is not printable
+            said.append(f'<c r="{letters(c)}{r + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(v if v.isprintable() else clean(v))}</t></is></c>')
+            if len(said) >= CELLS:
+                put()
         if out:
-            out.write(b"</row></sheetData></worksheet>")
-            out.close()
+            close()
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{RELATIONS}"><sheets>' + "".join(f'<sheet name={quoteattr(clean(s))} sheetId="{n + 1}" r:id="r{p}"/>' for n, (s, p) in enumerate(sheets)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{PACKAGE}">' + "".join(f'<Relationship Id="r{p}" Type="{RELATIONS}/worksheet" Target="worksheets/sheet{9999 - p}.xml"/>' for _, p in sheets) + "</Relationships>")
         z.writestr("_rels/.rels", f'<Relationships xmlns="{PACKAGE}"><Relationship Id="r1" Type="{RELATIONS}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -273,20 +348,18 @@ class _Writer(DataSourceArrowWriter):
         # a task that is tried again writes to a folder of its own
         folder, files = f"{at}/{self.folder}/{uuid.uuid4().hex}", []
         store.create_dir(folder)
-        every = (tuple(x) for b in iterator for x in zip(*(b.column(self.columns.index(c)).to_pylist() for c in ("file", "sheet", "place", "r", "c", "v")), strict=True))
-        row = next(every, None)
-        while row is not None:
-            name = row[0]
-
-            def same() -> Iterator[tuple]:
-                nonlocal row
-                while row is not None and row[0] == name:
-                    yield row[1] or "", row[2], row[3], row[4], row[5] or ""
-                    row = next(every, None)
-
+        by_rows = "c" not in self.columns
+        kinds = _ROW_KINDS if by_rows else _KINDS
+        places = [self.columns.index(c) for c in kinds]
+        every = itertools.chain.from_iterable(zip(*(b.column(k).to_pylist() for k in places), strict=True) for b in iterator)
+        for name, row in itertools.groupby(every, lambda x: x[0]):
+            if by_rows:
+                cells = ((sheet or "", place, r, c, v) for _, sheet, place, r, texts in row for c, v in enumerate(texts or []) if v)
+            else:
+                cells = ((sheet or "", place, r, c, v or "") for _, sheet, place, r, c, v in row)
             files.append(f"{quote(name or '', safe=' ')}.xlsx")
             with store.open_output_stream(f"{folder}/{files[-1]}") as out:
-                write_book(out, same())
+                write_book(out, cells)
         return Written(folder, files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -310,14 +383,19 @@ class WorkbookSource(DataSource):
     def name(cls) -> str:
         return "workbook"
 
+    @property
+    def by_rows(self) -> bool:
+        return str(self.options.get("rows", "")).lower() == "true"
+
     def schema(self) -> str:
-        return SCHEMA
+        return ROWS if self.by_rows else SCHEMA
 
     def reader(self, schema) -> _Reader:
-        unknown = [c for c in schema.fieldNames() if c not in _KINDS]
+        kinds = _ROW_KINDS if self.by_rows else _KINDS
+        unknown = [c for c in schema.fieldNames() if c not in kinds]
         if unknown:
-            raise ValueError(f"a workbook has no columns {unknown}; it has {list(_KINDS)}")
-        return _Reader(self.options["path"], schema.fieldNames())
+            raise ValueError(f"a workbook has no columns {unknown}; it has {list(kinds)}")
+        return _Reader(self.options["path"], schema.fieldNames(), self.by_rows)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"], schema.fieldNames(), overwrite)
@@ -329,42 +407,49 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of all sheets."""
+def read(spark: SparkSession, path: str, by_rows: bool = False) -> DataFrame:
+    """The cells of all sheets, or their rows."""
     register(spark)
-    return spark.read.format("workbook").load(path)
+    return spark.read.format("workbook").option("rows", by_rows).load(path)
 
 
-def sheets_together(cells: DataFrame, parts: int | None = None) -> DataFrame:
-    """cells as the writer wants them."""
-    dealt = cells.repartition(parts, "file") if parts else cells.repartition("file")
-    return dealt.select("file", "sheet", F.col("place").cast("int").alias("place"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("v").cast("string").alias("v")).sortWithinPartitions("file", "place", "r", "c")
+def sheets_together(cells: DataFrame, parts: int | None = None, dealt: bool = False) -> DataFrame:
+    """cells, or rows, as the writer wants them. The number of tasks does not go by bytes, as a cell costs far more than its few ones. dealt: all rows of a file lie in one partition already."""
+    spark = cells.sparkSession
+    parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not dealt:
+        cells = cells.repartition(parts, "file")
+    numbers = [c for c in ("place", "r", "c") if c in cells.columns]
+    return cells.select("file", "sheet", *[F.col(c).cast("int").alias(c) for c in numbers], F.col("v").cast("string" if "c" in numbers else "array<string>").alias("v")).sortWithinPartitions("file", *numbers)
 
 
-def write(cells: DataFrame, path: str, parts: int | None = None) -> None:
+def write(cells: DataFrame, path: str, parts: int | None = None, dealt: bool = False) -> None:
     register(cells.sparkSession)
-    sheets_together(cells, parts).write.format("workbook").mode("append").save(path)
+    sheets_together(cells, parts, dealt).write.format("workbook").mode("append").save(path)
 
 
-def chosen_sheets(cells: DataFrame, words: list[str], default: int | None = 0, but: DataFrame | None = None) -> DataFrame:
-    """(file, place): of each file the first sheet, in the book's order, whose name holds one of the words; else the one at the default place, or none. but: sheets of (file, place) that are taken already."""
-    low = F.lower("sheet")
-    named = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
-    every = cells.select("file", "place", "sheet").distinct()
-    first = every.groupBy("file").agg(F.min(F.when(named, F.col("place"))).alias("named"), F.min(F.when(F.col("place") >= (default or 0), F.col("place"))).alias("other"))
-    found = first.select("file", (F.coalesce("named", "other") if default is not None else F.col("named")).alias("place")).where("place is not null")
-    return found if but is None else found.join(but, ["file", "place"], "left_anti")
+def named_place(words: list[str]) -> Column:
+    """Of each cell the place of its book's first sheet, in the book's order, whose name holds one of the words; null without any."""
+    named = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("sheet"), w))
+    return F.min(F.when(named, F.col("place"))).over(Window.partitionBy("file"))
 
 
 #: Words in the names of an item's sheet and of its sites' sheet.
 ITEM_SHEET, SITE_SHEET = ["fiche", "article"], ["site", "stock"]
 
 
+def marked_sheets(cells: DataFrame) -> DataFrame:
+    """Cells with is_item and is_site: whether they are of the item's sheet (the book's first where none has such a name) and of its sites' sheet, which is no sheet of that name if it is the item's own. Windows over a book, so that the books are read once."""
+    first = F.min("place").over(Window.partitionBy("file"))
+    placed = cells.withColumns({"_item": F.coalesce(named_place(ITEM_SHEET), first), "_site": named_place(SITE_SHEET)})
+    is_site = F.coalesce((F.col("place") == F.col("_site")) & (F.col("_site") != F.col("_item")), F.lit(False))
+    return placed.withColumns({"is_item": F.col("place") == F.col("_item"), "is_site": is_site}).drop("_item", "_site")
+
+
 def item_book(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The cells of the item's sheet and those of its sites' sheet, which is no sheet of that name if it is the item's own."""
-    item = chosen_sheets(cells, ITEM_SHEET)
-    sites = chosen_sheets(cells, SITE_SHEET, None, item)
-    return cells.join(item, ["file", "place"], "left_semi"), cells.join(sites, ["file", "place"], "left_semi")
+    """The cells of the item's sheet and those of its sites' sheet."""
+    marked = marked_sheets(cells)
+    return tuple(marked.where(c).drop("is_item", "is_site") for c in ("is_item", "is_site"))
 
 
 def cells_of_content(files: DataFrame) -> DataFrame:

@@ -206,3 +206,57 @@ def test_lines_of_totals_are_read_once(spark):
     got = sheets.totals(docs)
     assert {r.doc_id: (r.net, r.tax, r.gross) for r in got.collect()} == {0: (1000.5, 190.095, 190.095), 1: (200.0, 19.0, 119.6), 2: (1234500.0, 65500.0, 1300000.0), 3: (250.0, 50.0, 300.0), 4: (None, None, None), 5: (None, None, None)}
     assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp") <= 30
+
+
+def test_small_books_are_read_by_many_tasks(tmp_path):
+    from docloom.sources import workbooks
+
+    for n in range(1_200):
+        (tmp_path / f"{n}.xlsx").write_bytes(b"x" * 2_000)
+    parts = workbooks._Reader(str(tmp_path), list(workbooks._KINDS)).partitions()
+    # 2,000 bytes and the opening of each: 345 books to 2 MB
+    assert [len(p.files) for p in parts] == [345, 345, 345, 165]
+
+
+def test_books_are_not_dealt_by_their_bytes(spark):
+    from docloom.sources import workbooks
+
+    cells = spark.range(100).select(F.col("id").cast("string").alias("file"), F.lit("s").alias("sheet"), F.lit(0).alias("place"), F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit("v").alias("v"))
+    assert workbooks.sheets_together(cells).rdd.getNumPartitions() == 4
+    assert workbooks.sheets_together(cells.repartition(3, "file"), dealt=True).rdd.getNumPartitions() == 3
+
+
+def test_sheets_are_chosen_without_joins(spark):
+    from docloom.sources import workbooks
+
+    cells = spark.createDataFrame([("a", "Stock fiche", 0, 0, 0, "v"), ("a", "Site", 1, 0, 0, "v"), ("b", "x", 1, 0, 0, "v"), ("b", "Site", 2, 0, 0, "v"), ("b", None, 3, 0, 0, "v")], workbooks.SCHEMA)
+    marked = workbooks.marked_sheets(cells)
+    assert "Join" not in plan(marked) and plan(marked).count("Exchange") == 1
+    # the first sheet named as a sites' one is the item's own: no other takes its place
+    assert {(r.file, r.place): (r.is_item, r.is_site) for r in marked.collect()} == {("a", 0): (True, False), ("a", 1): (False, False), ("b", 1): (True, False), ("b", 2): (False, True), ("b", 3): (False, False)}
+
+
+def test_cells_as_they_stand_in_xml():
+    import io
+    import zipfile
+
+    from docloom.sources import workbooks
+
+    sheet = '<c r="A1" t="inlineStr"><is><r><t>a&amp;</t></r><!-- no --><r><t xml:space="preserve"> b<!-- no -->c</t></r></is></c><c><f>1+1</f><v>2</v><v>3</v></c><c r="AB1"><v/></c><c r="AC1" t="str"><v>é</v><extLst><ext><v>no</v></ext></extLst></c>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{workbooks.MAIN}"><sheetData><row r="1">{sheet}</row><row><c><v>4</v></c></row><row r="9"><c><v>5</v></c></row><row r="x"><c><v>6</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{workbooks.MAIN}"><sheetData></sheetData></worksheet>')
+    # a damaged sheet ends where it is damaged
+    assert [x[2:] for x in workbooks.rows(out)] == [(0, 0, "a& bc"), (0, 1, "2"), (0, 28, "é"), (1, 0, "4"), (8, 0, "5")]
+
+
+def test_rows_of_sheets_need_no_shuffle(spark, tmp_path):
+    from docloom.sources import workbooks
+
+    rows = [("a", "S", 0, 0, ["x", None, "z<", ""]), ("a", "S", 0, 7, ["1"]), ("a", "T", 1, 0, [None, "2\x01"]), ("b", "S", 0, 3, [None])]
+    workbooks.write(spark.createDataFrame(rows, workbooks.ROWS), str(tmp_path / "o"))
+    got = workbooks.read(spark, str(tmp_path / "o"), by_rows=True)
+    assert "Exchange" not in plan(got)
+    assert sorted((r.file[-6:-5], r.sheet, r.place, r.r, r.v) for r in got.collect()) == [("a", "S", 0, 0, ["x", None, "z<"]), ("a", "S", 0, 7, ["1"]), ("a", "T", 1, 0, [None, "2"])]
+    assert workbooks.read(spark, str(tmp_path / "o")).where("sheet = 'S'").count() == 3
