@@ -83,15 +83,14 @@ def workbook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     per = Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    line = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(per))
+    line = together(spark, sf_dir, "lineitem", "l_suppkey").withColumn("n", F.row_number().over(per))
     values = F.array(say("P", F.col("l_partkey")), say("é <", F.col("l_orderkey"), '> & "x"'), F.format_string("%.2f", F.round("l_extendedprice", 2)))
     place = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0)
-    cells = line.select(F.col("l_suppkey").cast("string").alias("file"), F.col("l_returnflag").alias("sheet"), place.alias("place"), F.col("n").alias("r"), F.posexplode(values).alias("c", "v"))
+    rows = line.select(F.col("l_suppkey").cast("string").alias("file"), F.col("l_returnflag").alias("sheet"), place.alias("place"), F.col("n").alias("r"), values.alias("v"))
     at = shared.folder(spark, "workbooks")
-    workbooks.write(cells, at)
-    got = workbooks.read(spark, at).groupBy("file", "sheet", "place", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("v"))
-    v = lambda n: F.try_element_at("v", F.lit(n))
-    return got.select(F.regexp_extract("file", "(\\d+)\\.xlsx$", 1).cast("long").alias("file"), "sheet", "place", "r", v(0).alias("part"), v(1).alias("words"), v(2).cast("double").alias("price"))
+    workbooks.write(rows, at, dealt=True)
+    v = lambda n: F.get("v", F.lit(n))
+    return workbooks.read(spark, at, by_rows=True).select(F.regexp_extract("file", "(\\d+)\\.xlsx$", 1).cast("long").alias("file"), "sheet", "place", "r", v(0).alias("part"), v(1).alias("words"), v(2).cast("double").alias("price"))
 
 
 @query("""
