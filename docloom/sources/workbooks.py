@@ -195,13 +195,20 @@ def rows(stream: BinaryIO, places: list[int] | None = None, sheets: set[str] | N
 
 def whole_rows(cells: Iterator[tuple[str, int, int, int, str]]) -> Iterator[tuple[str, int, int, list[str | None]]]:
     """Sheet, place, row and texts by column of cells that come row by row; of a column that a row names twice the last text counts."""
-    for (sheet, place, r), row in itertools.groupby(cells, lambda x: x[:3]):
-        texts: list[str | None] = []
-        for _, _, _, c, v in row:
-            if c >= len(texts):
-                texts.extend([None] * (c + 1 - len(texts)))
+    now, texts = None, []
+    for sheet, place, r, c, v in cells:
+        if now is None or r != now[2] or place != now[1]:
+            if now is not None:
+                yield *now, texts
+            now, texts = (sheet, place, r), []
+        if c > len(texts):
+            texts.extend([None] * (c - len(texts)))
+        if c == len(texts):
+            texts.append(v)
+        else:
             texts[c] = v
-        yield sheet, place, r, texts
+    if now is not None:
+        yield *now, texts
 
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
