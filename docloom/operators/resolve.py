@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions.fuzzy import token_set_ratio_of, token_sort_ratio_of
 from docloom.functions.numbers import amount_nlp
-from docloom.functions.text import fold, let, once, rx, squeeze
+from docloom.functions.text import fold, once, rx, squeeze
 from docloom.operators.contains import either_holds
+from docloom.sources.tables import parted
 
 
 def by_priority(df: DataFrame, master: DataFrame, rules: list[tuple[str, str]], out: str) -> DataFrame:
@@ -34,10 +35,19 @@ def words(text: Column) -> Column:
 COMMON = 50
 
 
-def pieces(name: Column, most: Column, least: int = 3) -> Column:
-    """All stretches of a name, of at least and at most so many characters, with and without its signs and blanks."""
-    every = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - least + 1, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.least(F.length(s) - i + 1, most), F.lit(least))), lambda n: F.substring(s, i, n))))
-    return F.array_distinct(F.filter(F.concat(let(name, every), let(bare(name), every)), lambda x: (F.length(x) >= least) & ~x.contains(" ")))
+#: Characters of a token's beginning by which it is looked for in names; no token has fewer.
+HEAD = 3
+
+
+def pieces(names: DataFrame, tokens: DataFrame) -> DataFrame:
+    """names (party, upper) by those of their stretches, with and without signs and blanks, that begin as a token of their length does: each token once for a name. tokens: distinct; only their beginnings and lengths, which an alphabet bounds, go to every task."""
+    heads = tokens.groupBy(F.left("token", F.lit(HEAD)).alias("head")).agg(F.collect_set(F.length("token")).alias("lengths"))
+    forms = names.select("party", "upper", F.explode(F.array_distinct(F.array("upper", bare(F.col("upper"))))).alias("form")).where(F.length("form") >= HEAD)
+    starts = forms.select("*", F.explode(F.sequence(F.lit(1), F.length("form") - HEAD + 1)).alias("at")).withColumn("head", F.substring("form", F.col("at"), F.lit(HEAD)))
+    found = starts.join(F.broadcast(heads), "head").select("party", "upper", "form", "at", F.explode("lengths").alias("n")).where(F.col("at") + F.col("n") - 1 <= F.length("form"))
+    found = found.withColumn("token", F.substring("form", F.col("at"), F.col("n")))
+    first = (F.position("token", "form") == F.col("at")) & ((F.col("form") == F.col("upper")) | ~F.contains("upper", "token"))
+    return found.where(first).select("party", "upper", "token").join(tokens, "token", "left_semi")
 
 
 def bare(name: Column) -> Column:
@@ -53,7 +63,7 @@ def coverage(tokens: Column, upper: Column) -> Column:
 def party_match(docs: DataFrame, parties: DataFrame, text: str = "text", name: str = "name", key: str = "doc_id") -> DataFrame:
     """Key, party, token_score, fuzzy_score: the party with the best of 0.7 token coverage and 0.3 token-set ratio, if a token of the text inside its name covers 40 % of it, or the ratio is 70 or more with any token inside.
 
-    Tokens meet names over the names' stretches, as an equi-join. Stretches of many names (COMMON) don't pair
+    Tokens meet names over those stretches of names that begin as tokens do, as an equi-join. Stretches of many names (COMMON) don't pair
     texts and names at first: they only bound what a name that shares nothing rarer could reach, and are
     joined for those texts whose best name so far lies below that bound. Bounds come from built-ins; the
     similarity is computed for what is above the best lower bound.
@@ -61,14 +71,12 @@ def party_match(docs: DataFrame, parties: DataFrame, text: str = "text", name: s
     names = parties.select(F.col(name).alias("party"), F.upper(name).alias("upper")).distinct().where(F.length(bare(F.col("upper"))) > 0)
     said = docs.select(key, F.trim(squeeze(F.upper(F.regexp_replace(text, "[^A-Za-zÀ-ÿ0-9 ]", " ")))).alias("said"), words(F.col(text)).alias("tokens"))
     tokens = said.select(key, F.explode("tokens").alias("token"))
-    # no stretch is longer than the longest token
-    longest = tokens.agg(F.coalesce(F.max(F.length("token")), F.lit(3)).alias("most")).scalar()
-    listed = names.withColumn("_most", longest).select("party", "upper", F.explode(pieces(F.col("upper"), F.col("_most"))).alias("token")).join(tokens.select("token").distinct(), "token", "left_semi")
+    listed = pieces(names, tokens.select("token").distinct())
     share = F.max(F.length("token") / F.length(bare(F.col("upper"))) * 100)
     per = listed.groupBy("token").agg(F.count("*").alias("n"), share.alias("reach"))
     rare = listed.join(per.where(F.col("n") <= COMMON).select("token"), "token").select("token", F.struct("party", "upper").alias("name"), F.lit(None).cast("double").alias("reach"))
     common = per.where(F.col("n") > COMMON).select("token", "reach")
-    look = rare.unionByName(common.select("token", F.lit(None).cast(rare.schema["name"].dataType).alias("name"), "reach"))
+    look = parted(rare.unionByName(common.select("token", F.lit(None).cast(rare.schema["name"].dataType).alias("name"), "reach")), "token")
     met = tokens.join(look, "token").groupBy(F.col(key).alias("_key")).agg(F.collect_set("name").alias("names"), F.max("reach").alias("reach"))
     seen = said.join(met, said[key] == met["_key"]).drop("_key")
     rated = F.transform("names", lambda n: F.struct(n["party"].alias("party"), n["upper"].alias("upper"), coverage(F.col("tokens"), n["upper"]).alias("token_score"), (F.size(F.array_except(F.split(n["upper"], " +"), F.split(F.col("said"), " +"))) == 0).alias("whole")))
@@ -80,7 +88,7 @@ def party_match(docs: DataFrame, parties: DataFrame, text: str = "text", name: s
     pairs = seen.select(key, "said", "floor", F.inline("rated")).where(cut).select(key, "said", "party", "upper", "token_score")
     unsettled = seen.where(F.col("reach") * 0.7 + 30 > F.col("floor")).select(key, "said", "tokens", "floor", F.explode("tokens").alias("token"))
     wide = unsettled.join(listed.join(common.select("token"), "token"), "token").select(key, "said", "party", "upper", "floor", coverage(F.col("tokens"), F.col("upper")).alias("token_score")).where(cut)
-    pairs = pairs.unionByName(wide.select(key, "said", "party", "upper", "token_score")).distinct()
+    pairs = parted(pairs.unionByName(wide.select(key, "said", "party", "upper", "token_score")), key).distinct()
     scored = pairs.withColumn("fuzzy_score", token_set_ratio_of("said", "upper")).where("token_score >= 30 or fuzzy_score >= 60")
     best = scored.groupBy(key).agg(F.max_by(F.struct("party", "token_score", "fuzzy_score"), F.struct((F.col("token_score") * 0.7 + F.col("fuzzy_score") * 0.3).alias("s"), "party")).alias("b")).select(key, "b.*")
     return best.where("token_score >= 40 or (fuzzy_score >= 70 and token_score > 0)")

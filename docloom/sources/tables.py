@@ -29,3 +29,8 @@ def spread(rows: DataFrame) -> DataFrame:
 def together(rows: DataFrame, *keys: str) -> DataFrame:
     """rows of a scan by keys, in partitions of a bounded number of rows (but for the rows of one key), which keep their number although their rows are narrow: what is made of them is wider."""
     return rows.repartition(portions(rows), *keys)
+
+
+def parted(union: DataFrame, *keys: str) -> DataFrame:
+    """A union by keys. Spark 4.1 takes a union whose parts lie by a key as lying by it too and shuffles no more, but a part may have got other partitions by the time it runs: joins then fail (Can't zip RDDs with unequal numbers of partitions)."""
+    return union.repartition(*keys)

@@ -260,3 +260,34 @@ def test_rows_of_sheets_need_no_shuffle(spark, tmp_path):
     assert "Exchange" not in plan(got)
     assert sorted((r.file[-6:-5], r.sheet, r.place, r.r, r.v) for r in got.collect()) == [("a", "S", 0, 0, ["x", None, "z<"]), ("a", "S", 0, 7, ["1"]), ("a", "T", 1, 0, [None, "2"])]
     assert workbooks.read(spark, str(tmp_path / "o")).where("sheet = 'S'").count() == 3
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """Joins as they are where both sides are large."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_parties_by_shuffled_joins(spark, no_broadcasts):
+    from docloom.operators import resolve
+
+    names = spark.createDataFrame([(f"CUSTOMER {k:09d}",) for k in range(200)] + [("Acier Tunisie",)], "name string")
+    docs = spark.createDataFrame([(k, f"Vendu à : Customer {k:09d}") for k in range(40)] + [(900, "customer 0000001I7"), (901, "acier de Tunisie"), (902, "rien du tout"), (903, "")], "doc_id int, text string")
+    got = [(r.doc_id, r.party) for r in resolve.party_match(docs, names).collect()]
+    assert sorted(p for p in got if p[0] != 900) == [(k, f"CUSTOMER {k:09d}") for k in range(40)] + [(901, "Acier Tunisie")]
+    assert [p[:8] for k, p in got if k == 900] == ["CUSTOMER"]
+
+
+def test_names_by_stretches_that_begin_as_tokens_do(spark):
+    from docloom.operators import resolve
+
+    names = ["ANANAS ANANAS", "A.B-C ABC", "CUSTOMER 000000001", "ÉLAN & CO", "SA"]
+    words = ["ANA", "NAN", "ANANAS", "ANANASANANAS", "ABC", "ABCABC", "BCA", "CUSTOMER", "000000001", "000", "R000", "ÉLANCO", "LAN", "XYZ", "CUSTOMERS"]
+    rows = spark.createDataFrame([(n.lower(), n) for n in names], "party string, upper string")
+    got = resolve.pieces(rows, spark.createDataFrame([(w,) for w in words], "token string")).select("upper", "token").collect()
+    plain = {n: "".join(c for c in n if c.isalnum()) for n in names}
+    assert sorted(map(tuple, got)) == sorted((n, w) for n in names for w in words if w in n or w in plain[n])
